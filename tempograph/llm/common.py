@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the shared folder that the cluster names; a temporary one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base:  # one machine, as in tests
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

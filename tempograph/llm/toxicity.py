@@ -1,14 +1,16 @@
 """Toxicity by maximum-scoring segments.
 
-Word scores are log-odds between toxic and other labelled texts, with a Dirichlet prior whose shape is the
-pooled word distribution. Scores below SIGNIFICANT standard errors become a small penalty, so a random text has
+Tokens are words and their first 4, 5 and 6 bytes, so an inflected form is known by its stem; a word scores as the
+best of its tokens. Token scores are log-odds between toxic and other labelled texts, with a Dirichlet prior whose shape is the
+pooled distribution. A token counts once for each distinct text, so repeats and exact copies
+add no evidence. Scores below LEAST_ODDS or SIGNIFICANT standard errors become a small penalty, so a random text has
 a negative mean. A linear scan (Ruzzo and Tompa) finds all disjoint maximal segments of a document; those
 that reach the cut are its toxic passages. By extreme-value theory the best segment among n words of a
 random text follows a Gumbel law, with `lambda` the positive root of E[exp(lambda * s)] = 1. Segment scores
 are put in those units, lambda * S - log(n), summed over significant passages, and set on a 0..1 scale by a
 logistic fit on a histogram of the learning rows.
 
-Counts cover every labelled learning row (no sample), aggregated in Spark into 2^BITS word slots; only slots of
+Counts cover every labelled learning row (no sample), aggregated in Spark into 2^BITS token slots; only slots of
 significant words leave Spark, at most 2^BITS numbers.
 
 Defined results: null and wordless texts have no passage and get the score of no evidence; with no usable
@@ -22,37 +24,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_CLASS, LOWER, doc_numbers, steps, utf8, word_hashes, words_of
+from .common import ALNUM_CLASS, LOWER, doc_numbers, mix, steps, utf8, word_hashes, words_of
 from .quality_classifier import fold
 
 BITS = 20
+STEMS = (4, 5, 6)
 PRIOR = 5_000.0
-SIGNIFICANT = 4.0
+SIGNIFICANT = 6.0
+LEAST_ODDS = 2.5
 PENALTY = 0.03
 TOXIC_FROM = 0.5
 
 
 def _slots(batch, column):
-    """Step by step: first row, word slots, first word of each document."""
+    """Step by step: first row, the slots of each word's tokens (word, then stems), first word of each document."""
     data, offsets = utf8(batch.column(column))
     for lo, hi in steps(offsets):
         part = LOWER[data[offsets[lo] : offsets[hi]]]
         s, e, first = words_of(part, offsets[lo : hi + 1] - offsets[lo], ALNUM_CLASS)
-        yield lo, (word_hashes(part, s, e) >> np.uint64(64 - BITS)).astype(np.int64), first
+        slots = [mix(word_hashes(part, s, e if k is None else np.minimum(e, s + k)) + np.uint64(k or 0)) >> np.uint64(64 - BITS) for k in (None, *STEMS)]
+        yield lo, [x.astype(np.int64) for x in slots], first
 
 
 def word_scores(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndarray, float]:
     """Score of each word slot, and lambda."""
-    rows = docs.select("doc_id", "text").join(labels.select(F.col("doc_id").alias("l"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)").hint("shuffle_hash"), F.col("doc_id") == F.col("l")).select("text", "y")
+    rows = docs.select("doc_id", "text").join(labels.select(F.col("doc_id").alias("l"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)").hint("shuffle_hash"), F.col("doc_id") == F.col("l"))
+    # One row for each distinct text and label; a copy of the text goes no further than the map side of this.
+    rows = rows.groupBy(F.sha2("text", 256).alias("k"), "y").agg(F.min("text").alias("text")).select("text", "y")
 
     def count(batches):
         sums = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, slot, first in _slots(batch, 0):
-                of = y[lo + doc_numbers(first)]
+            for lo, slots, first in _slots(batch, 0):
+                once = np.unique(np.concatenate([doc_numbers(first) << BITS | slot for slot in slots]))
+                of, slot = y[lo + (once >> BITS)], once & ((1 << BITS) - 1)
                 for k in (0, 1):
-                    sums[k] += np.bincount(slot[of == k], minlength=1 << BITS)
+                    np.add.at(sums[k], slot[of == k], 1)
         used = np.flatnonzero(sums[0] + sums[1])
         yield pa.record_batch([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], ["slot", "clean", "toxic"])
 
@@ -65,7 +73,7 @@ def word_scores(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndar
     prior = F.lit(PRIOR) * (F.col("c") + F.col("t")) / (nc + nt)
     odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
     z = (odds(F.col("t"), nt) - odds(F.col("c"), nc)) / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    strong = counts.select("slot", "c", (odds(F.col("t"), nt) - odds(F.col("c"), nc)).alias("s"), z.alias("z")).filter(F.col("z") >= SIGNIFICANT)
+    strong = counts.select("slot", "c", (odds(F.col("t"), nt) - odds(F.col("c"), nc)).alias("s"), z.alias("z")).filter((F.col("z") >= SIGNIFICANT) & (F.col("s") >= LEAST_ODDS))
     share = 0.0
     values = []
     for r in strong.collect():  # at most 2^BITS rows
@@ -134,9 +142,9 @@ def passages(docs: DataFrame, scores: np.ndarray, lam: float, cut: float = 0.0)
         for batch in batches:
             n_words = np.zeros(batch.num_rows, np.int64)
             evidence, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for lo, slot, first in _slots(batch, 1):
+            for lo, slots, first in _slots(batch, 1):
                 n_words[lo : lo + len(first) - 1] = np.diff(first)
-                value = table[slot]
+                value = np.maximum.reduce([table[slot] for slot in slots])
                 at = np.flatnonzero(value > 0)
                 bounds = np.searchsorted(at, first)
                 for d in np.flatnonzero(np.diff(bounds)).tolist():
