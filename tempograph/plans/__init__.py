@@ -1 +1,9 @@
-"""plans of the temporal knowledge-graph library."""
+"""Registered queries over the given tables, and the same in SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
