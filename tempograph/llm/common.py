@@ -52,11 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_blocks(docs: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
-    """Add `block`: documents dealt by hash to blocks of about `block_chars` characters each."""
+def block_count(docs: DataFrame, block_chars: int) -> int:
+    """Blocks of about `block_chars` characters; smaller ones, down to a sixteenth, while there are fewer than shuffle partitions."""
     total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // block_chars))
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-total // block_chars), min(parts, -(-16 * total // block_chars)))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

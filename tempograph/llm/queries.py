@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality_classifier, quality_rules, toxicity, url_filter
+import public_tokenizers
+
+from . import bpe, decontaminate, jaccard_join, lm_score, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
+def op1_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -24,6 +35,10 @@ def op6_pii(spark, sf_dir):
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,8 +48,18 @@ def op9_toxicity(spark, sf_dir):
     return found.withColumn("n_passages", F.size("passages")).drop("passages")
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "pipeline") and callable(f)}
 
 
 def oracle_sql():
