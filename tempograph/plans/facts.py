@@ -147,8 +147,8 @@ def f6_overlap(spark, d):
 def f7_time_ranges(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     phrase = F.element_at(F.array(*map(F.lit, ("seen last spring", "Last Summer", "last autumn", "last winter", "in June", "in december", "last week", "yesterday", "last month", "on 2026-01-15", "2026-03", "2026-13-40", "never"))), (F.col("event_id") % 13 + 1).cast("int"))
-    r = time_range(phrase, F.col("ts"))
-    return e.select("event_id", F.unix_micros(r["start"]).alias("start_us"), F.unix_micros(r["end"]).alias("end_us"))
+    r = e.select("event_id", time_range(phrase, F.col("ts")).alias("r"))
+    return r.select("event_id", F.unix_micros("r.start").alias("start_us"), F.unix_micros("r.end").alias("end_us"))
 
 
 def j1_subject_object_names(spark, d):
