@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fact for each event, with two time axes."""
+def event_facts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One fact for each event, with two time axes. `events` may be a stream of the table."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     predicate = F.when(kind == "signup", "has_role").when(kind == "error", "version_is").when(kind == "purchase", "owns").when(kind == "click", "uses").otherwise("related_to")
-    e = table(spark, sf_dir, "events").withColumn("k", k).withColumn("ts", F.col("ts").cast("timestamp"))
+    e = (table(spark, sf_dir, "events") if events is None else events).withColumn("k", k).withColumn("ts", F.col("ts").cast("timestamp"))
     e = e.select(
         F.concat(F.lit("f"), F.col("event_id")).alias("id"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id")).alias("subject_id"), predicate.alias("predicate"),
         F.concat(F.lit("k"), F.col("k") % 5).alias("object_value"), F.col("ts").alias("recorded_at"), (F.col("ts") - F.make_interval(hours="k")).alias("valid_at"),

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table and read it back: cuts lineage in loops, and survives the loss of an executor."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder; a temporary one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # one machine, as in tests
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table and read it back: cuts lineage in loops, and survives the loss of an executor."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1,156 @@
-"""streaming of the temporal knowledge-graph library."""
+"""Streaming forms of ingest, state changes, quotas and alerts, over file sources with `availableNow` triggers.
+
+Order of arrival (`seq`), not event time, drives supersession, as in the batch form; watermarks only bound the state of
+de-duplication and of quota windows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+
+from ..sources.scratch import scratch_path
+
+READ_LIMIT, WRITE_LIMIT, WINDOW_SECONDS = 100, 20, 10
+SUPPRESS_SECONDS = 300
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of files."""
+    batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    stream = spark.readStream.schema(batch.schema)
+    first = next(iter(batch.inputFiles()), "")
+    if first.rstrip("/").rpartition("/")[0].endswith(f"{name}.parquet"):
+        return stream.parquet(f"{sf_dir}/{name}.parquet")
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Process what is there, into a Parquet table in the shared folder, and read that."""
+    spark = stream.sparkSession
+    path = scratch_path(spark)
+    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def deduplicated(stream: DataFrame, time: str = "recorded_at", within: str = "1 hour") -> DataFrame:
+    """Each episode id once within the watermark."""
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(["id"])
+
+
+def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], stored: str, failed: str, checkpoint: str) -> None:
+    """Micro-batches of episodes (id, content, ...): those that failed before come first, ids already stored are skipped. `process` adds a column `ok`; rows
+    that are not ok go to the failed table with one more retry."""
+    spark = stream.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        def table(path, schema):
+            try:
+                return spark.read.parquet(path)
+            except Exception as e:  # not written yet
+                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                    raise
+                return spark.createDataFrame([], schema)
+
+        old = table(stored, batch.schema)
+        again = table(failed, StructType([*batch.schema.fields, StructField("retries", LongType()), StructField("batch", LongType())]))
+        last = again.groupBy("id").agg(F.max("retries").alias("retries"))
+        fresh = batch.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").join(last, "id", "left").withColumn("retries", F.coalesce("retries", F.lit(0)))
+        waiting = again.filter(F.col("batch") == number - 1).drop("batch").join(old.select("id"), "id", "left_anti")
+        done = process(waiting.unionByName(fresh.select(*waiting.columns))).persist()
+        done.filter("ok").select(*batch.columns).write.mode("append").parquet(stored)
+        done.filter("not ok").withColumn("retries", F.col("retries") + 1).withColumn("batch", F.lit(number).cast("long")).select(*batch.columns, "retries", "batch").write.mode("append").parquet(failed)
+        done.unpersist()
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def quota_use(requests: DataFrame, read_limit: int = READ_LIMIT, write_limit: int = WRITE_LIMIT) -> DataFrame:
+    """Requests (key_id, is_write, ts) for each key, kind and fixed window of ten seconds, and by how much they are over the limit. Works on a table and on a stream."""
+    w = F.window("ts", f"{WINDOW_SECONDS} seconds")
+    source = requests.withWatermark("ts", "1 minute") if requests.isStreaming else requests
+    used = source.groupBy("key_id", "is_write", w.alias("w")).agg(F.count("*").alias("n"))
+    limit = F.when(F.col("is_write"), write_limit).otherwise(read_limit)
+    return used.select("key_id", "is_write", F.unix_micros("w.start").alias("window_us"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("refused"))
+
+
+class _Suppress(StatefulProcessor):
+    """Passes an alert if none of its category was sent in the period before."""
+
+    def __init__(self, seconds: int):
+        self.micros = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getValueState("sent", StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values(["at", "id"])
+        last = self.sent.get()[0] if self.sent.exists() else None
+        kept = []
+        for at, alert in zip(every["at"].tolist(), every["id"].tolist()):
+            if last is None or at - last >= self.micros:
+                kept.append((alert, key[0], at))
+                last = at
+        if last is not None:
+            self.sent.update((last,))
+        yield pd.DataFrame(kept, columns=["id", "category", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def suppressed_alerts(alerts: DataFrame, seconds: int = SUPPRESS_SECONDS) -> DataFrame:
+    """Alerts (id, category, at in microseconds) that go out: one for each category and period since the last one sent."""
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out = StructType([StructField("id", LongType()), StructField("category", StringType()), StructField("at", LongType())])
+    return alerts.groupBy("category").transformWithStateInPandas(statefulProcessor=_Suppress(seconds), outputStructType=out, outputMode="Append", timeMode="None")
+
+
+_ACTIVE = StructType([StructField("id", StringType()), StructField("object_value", StringType()), StructField("negation", BooleanType())])
+_CHANGE = StructType([StructField("kind", StringType()), StructField("from_id", StringType()), StructField("to_id", StringType())])
+
+
+class _Fold(StatefulProcessor):
+    """The write rule, one fact after another; state is the key's active facts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.active = handle.getListState("active", _ACTIVE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        active = [tuple(x) for x in self.active.get()]
+        changes = []
+        for f in pd.concat(list(rows)).sort_values(["recorded_at", "seq"]).itertuples():
+            active = fold_step(active, (f.id, f.object_value, bool(f.negation)), bool(f.functional), changes)
+        self.active.put(active)
+        yield pd.DataFrame(changes, columns=["kind", "from_id", "to_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def fold_step(active: list, fact: tuple, functional: bool, changes: list) -> list:
+    """Active facts of a key after one more; appends what the fact did to others."""
+    name, obj, negated = fact
+    other = [a for a in active if a[1] != obj] if functional else []
+    if other:
+        changes += [("SUPERSEDES", name, a[0]) for a in other]
+        return [a for a in active if a[1] == obj] + [fact]
+    against = [a for a in active if a[1] == obj and a[2] != negated]
+    if against:
+        changes += [("CONTRADICTS", name, a[0]) for a in against]
+        return [a for a in active if a not in against]
+    return [*active, fact]
+
+
+def state_changes(facts: DataFrame) -> DataFrame:
+    """Edges (kind, from_id, to_id) as facts arrive, for each (subject, predicate, namespace)."""
+    facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    f = facts.select("subject_id", "predicate", "namespace", "id", "seq", "recorded_at", F.coalesce("object_value", F.lit("")).alias("object_value"), "negation", "functional")
+    return f.groupBy("subject_id", "predicate", "namespace").transformWithStateInPandas(statefulProcessor=_Fold(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")
