@@ -72,9 +72,11 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS):
 
 def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = MAX_TRAIN, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (bias last) from at most `max_train` labelled documents. `labels` holds the rows to learn from."""
-    rows = docs.select("doc_id", "text").join(labels.select(F.col("doc_id").alias("l"), F.col(label).cast("double").alias("y")).filter("y is not null").hint("shuffle_hash"), F.col("doc_id") == F.col("l"))
-    # The bound on what one task learns from. Least hashes first: the same rows whatever the partitioning.
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(max_train).select("text", "y")
+    marked = labels.select(F.col("doc_id").alias("l"), F.col(label).cast("double").alias("y")).filter("y is not null and l is not null")
+    # The bound on what is learnt from. Least hashes first: the same rows whatever the partitioning. At most
+    # `max_train` small rows are broadcast, so only the chosen texts are moved.
+    sample = marked.orderBy(F.xxhash64("l"), "l", "y").limit(max_train)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l")).orderBy(F.xxhash64("l"), "l", "y", F.xxhash64("text")).limit(max_train).select("text", "y")
 
     def fit(batches):
         examples = []
@@ -102,25 +104,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = MAX_T
     return parts[0] if parts else np.zeros((1 << bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep_from: float = KEEP_FROM) -> DataFrame:
-    """(doc_id, score, predicted) of every document."""
-    docs = docs.select("doc_id", "text")
+def score(docs: DataFrame, weights: np.ndarray, keep_from: float = KEEP_FROM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep`, score and predicted of every document."""
+    docs = docs.select(F.col("text").alias("_text"), *keep)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2^bits numbers, whatever the corpus
     bits = int(len(weights) - 1).bit_length() - 1
 
     def run(batches):
         w = sent.value
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(0))
             total = np.zeros(batch.num_rows)
             for lo, hi in steps(offsets):
                 d, slot, value = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], bits)
                 total[lo:hi] = np.bincount(d, weights=w[slot] * value, minlength=hi - lo)
             p = 1 / (1 + np.exp(-np.clip(total + float(w[-1]), -30, 30)))
-            yield pa.record_batch([batch.column(0), pa.array(np.round(p, 6))], ["doc_id", "score"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(np.round(p, 6))], [*keep, "score"])
 
-    scored = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.mapInArrow(run, f"{fields}, score double").withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
 
 
 def fold(column="doc_id"):
@@ -128,8 +130,7 @@ def fold(column="doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
-def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, held_out, score, predicted): learnt from labels outside the held-out fold."""
-    learnt = labels.filter(~fold())
-    weights = train(docs, learnt, label, max_train)
-    return score(docs, weights).withColumn("held_out", F.coalesce(fold(), F.lit(False)))
+def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` (doc_id among them), score, predicted and held_out: learnt from labels outside the held-out fold."""
+    weights = train(docs, labels.filter(~fold()), label, max_train)
+    return score(docs, weights, keep=keep).withColumn("held_out", F.coalesce(fold(), F.lit(False)))
