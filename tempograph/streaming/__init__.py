@@ -128,7 +128,7 @@ class _Fold(StatefulProcessor):
         changes = []
         for f in pd.concat(list(rows)).sort_values(["recorded_at", "seq"]).itertuples():
             active = fold_step(active, (f.id, f.object_value, bool(f.negation)), bool(f.functional), changes)
-        self.active.put(active)
+        self.active.put(active) if active else self.active.clear()
         yield pd.DataFrame(changes, columns=["kind", "from_id", "to_id"])
 
     def close(self) -> None:
