@@ -172,6 +172,34 @@ def pending_search(queries: DataFrame, pending: DataFrame, now, newest: int = 10
     return ranked(hits, k)
 
 
+def hybrid_search(queries: DataFrame, statements: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """Keyword and vector lists fused, each fetched to twice k; keyword alone where there are no vectors."""
+    words = keyword_search(queries, statements, 2 * k)
+    if query_vectors is None:
+        return words.filter(F.col("rank") <= k)
+    return ranked(fuse([vector_search(query_vectors, vectors, 2 * k), words]), k, [F.desc("score"), F.col("first_seen")])
+
+
+def scoped_search(queries: DataFrame, statements: DataFrame, allowed: DataFrame, pending: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """Keyword hits in the namespaces that each query may see (`allowed`: qid, namespace), then hits in pending content (qid, id, score), cut at k."""
+    hits = bm25(queries, statements).join(statements.select("id", "namespace").hint("merge"), "id").join(allowed.distinct().hint("merge"), ["qid", "namespace"], "left_semi")
+    rows = hits.select("qid", "id", "score", F.lit(0).alias("tier"))
+    if pending is not None:
+        rows = rows.unionByName(pending.select("qid", F.concat(F.lit("pending:"), F.col("id")).alias("id"), "score", F.lit(1).alias("tier")))
+    return ranked(rows, k, [F.col("tier"), F.desc("score")])
+
+
+def recall(models: DataFrame, observations: DataFrame, facts: DataFrame, k: int = 10, n_models: int = 3) -> DataFrame:
+    """(qid, id, result_type, place): curated models first (at most 3), then observations, then facts. Each has (qid, id, rank)."""
+    tiers = ((models.filter(F.col("rank") <= n_models), "mental_model"), (observations, "observation"), (facts, "fact"))
+    every = None
+    for i, (df, kind) in enumerate(tiers):
+        one = df.select("qid", "id", "rank", F.lit(kind).alias("result_type"), F.lit(i).alias("tier"))
+        every = one if every is None else every.unionByName(one)
+    w = Window.partitionBy("qid").orderBy("tier", "rank", "id")
+    return every.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("qid", "id", "result_type", "place")
+
+
 def name_lookup(queries: DataFrame, aliases: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of entities that a text names by alias: as subject first, then as object."""
     from ..functions import normalize_name
@@ -181,4 +209,4 @@ def name_lookup(queries: DataFrame, aliases: DataFrame, facts: DataFrame) -> Dat
     return hits.groupBy("qid", "id").agg(F.min("_tier").alias("tier"))
 
 
-__all__ = ["bm25", "by_state", "fuse", "graph_search", "inject", "keyword_search", "name_lookup", "pending_search", "query_terms", "ranked", "recency_search", "search", "temporal_search", "top_k", "vector_search"]
+__all__ = ["bm25", "by_state", "fuse", "graph_search", "hybrid_search", "inject", "keyword_search", "name_lookup", "pending_search", "query_terms", "ranked", "recall", "recency_search", "scoped_search", "search", "temporal_search", "top_k", "vector_search"]

@@ -82,6 +82,28 @@ def r12_pending(spark, d):
     return _rank(R.pending_search(_asked(spark, d), s, "2026-01-04 00:00:00", 1000, 86400))
 
 
+def r3_hybrid(spark, d):
+    """Query and statement vectors of the same number stand in for embedded texts."""
+    v = table(spark, d, "embeddings")
+    qv = v.filter("vec_id < 40").select(F.col("vec_id").alias("qid"), "embedding")
+    sv = v.select(F.concat(F.lit("d"), F.col("vec_id")).alias("id"), "embedding")
+    return _rank(R.hybrid_search(_asked(spark, d).filter("qid < 40"), statements(spark, d), qv, sv, 10))
+
+
+def r11_scoped(spark, d):
+    q = _asked(spark, d)
+    allowed = q.select("qid", F.when(F.col("qid") % 2 == 0, "fr").otherwise("de").alias("namespace"))
+    s = statements(spark, d).select("id", F.col("statement").alias("content"), F.col("recorded_at").alias("queued_at"))
+    return _rank(R.scoped_search(q, statements(spark, d), allowed, R.pending_search(q, s, "2026-01-04 00:00:00", 1000, 86400, 3), 8))
+
+
+def r15_recall(spark, d):
+    q, s = _asked(spark, d), statements(spark, d)
+    hits = R.bm25(q, s)
+    part = lambda ns: R.ranked(hits.join(s.filter(F.col("namespace") == ns).select("id"), "id", "left_semi"))
+    return R.recall(part("es"), part("fr").filter("rank <= 4"), R.ranked(hits, 10)).withColumn("place", F.col("place").cast("long"))
+
+
 def r14_name_lookup(spark, d):
     facts = graph_facts(spark, d).withColumn("id", F.concat_ws(">", "subject_id", "predicate", "object_id"))
     asked = entities(spark, d).filter("id like 'nat:%'").select(F.col("id").alias("qid"), "name").withColumn("text", F.upper("name"))
@@ -147,6 +169,18 @@ SQL = {
     "r12_pending": f"""WITH {ASKED}, {STATEMENTS}, c AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(statement), '[ \\t-\\r]+'), lambda x: x <> '')) AS w FROM stmts WHERE recorded_at > TIMESTAMP '2026-01-03' ORDER BY recorded_at DESC, id LIMIT 1000),
  q AS (SELECT qid, list_distinct(list_filter(string_split(CASE WHEN qid % 3 = 0 THEN text || ' in january' ELSE text END, ' '), lambda x: x <> '')) AS w FROM asked), s AS (SELECT qid, id, round(len(list_intersect(q.w, c.w)) / greatest(len(q.w), 1), 6) AS score FROM q, c)
  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "r3_hybrid": f"""WITH {_BM}, {_V}, s AS (SELECT q.vec_id AS qid, 'd' || e.vec_id AS id, e.vec_id AS n, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id < 40),
+ vr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20),
+ li AS (SELECT qid, id, rank, 0 AS l FROM vr UNION ALL SELECT qid, id, rank, 1 FROM bm WHERE rank <= 20 AND qid < 40), f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(l := l, r := rank)) AS seen FROM li GROUP BY 1, 2)
+ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, id) AS rank FROM f QUALIFY rank <= 10""",
+    "r11_scoped": f"""WITH {_BM}, c AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(statement), '[ \\t-\\r]+'), lambda x: x <> '')) AS w FROM stmts WHERE recorded_at > TIMESTAMP '2026-01-03' ORDER BY recorded_at DESC, id LIMIT 1000),
+ pq AS (SELECT qid, list_distinct(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM q), ps AS (SELECT qid, id, round(len(list_intersect(pq.w, c.w)) / greatest(len(pq.w), 1), 6) AS score FROM pq, c),
+ pr AS (SELECT qid, id, score FROM ps WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 3),
+ u AS (SELECT qid, id, score, 0 AS tier FROM sc JOIN stmts USING (id) WHERE namespace = CASE WHEN qid % 2 = 0 THEN 'fr' ELSE 'de' END UNION ALL SELECT qid, 'pending:' || id, score, 1 FROM pr)
+ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY tier, score DESC, id) AS rank FROM u QUALIFY rank <= 8""",
+    "r15_recall": f"""WITH {_BM}, n AS (SELECT qid, id, score, namespace FROM sc JOIN stmts USING (id)), r AS (SELECT qid, id, namespace, row_number() OVER (PARTITION BY qid, namespace ORDER BY score DESC, id) AS rank FROM n),
+ u AS (SELECT qid, id, rank, 'mental_model' AS result_type, 0 AS tier FROM r WHERE namespace = 'es' AND rank <= 3 UNION ALL SELECT qid, id, rank, 'observation', 1 FROM r WHERE namespace = 'fr' AND rank <= 4 UNION ALL SELECT qid, id, rank, 'fact', 2 FROM bm WHERE rank <= 10)
+ SELECT qid, id, result_type, row_number() OVER (PARTITION BY qid ORDER BY tier, rank, id) AS place FROM u QUALIFY place <= 10""",
     "r14_name_lookup": f"""WITH {GRAPH}, h AS (SELECT 'nat:' || n_nationkey AS qid, subject_id || '>' || predicate || '>' || object_id AS id, CASE WHEN subject_id = 'nat:' || n_nationkey THEN 0 ELSE 1 END AS tier FROM graph, nation WHERE subject_id = 'nat:' || n_nationkey OR object_id = 'nat:' || n_nationkey)
  SELECT qid, CAST(tier AS BIGINT) AS tier, count(DISTINCT id) AS n FROM h GROUP BY 1, 2""",
     "g1_multi_hop": f"WITH RECURSIVE {GRAPH}, {_LINKS}, walk AS (SELECT 'supp:' || s_suppkey AS seed, 'supp:' || s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey <= 5 UNION SELECT seed, l.b, hop + 1 FROM walk JOIN l ON l.a = walk.id WHERE hop < 3) SELECT seed, id, CAST(min(hop) AS BIGINT) AS hop FROM walk GROUP BY 1, 2 HAVING min(hop) > 0",
