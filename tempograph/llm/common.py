@@ -59,6 +59,34 @@ def block_count(docs: DataFrame, block_chars: int) -> int:
     return max(1, -(-total // block_chars), min(parts, -(-16 * total // block_chars)))
 
 
+BLOOM_BITS = 26
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be in `ids` (column doc_id), and few others: a Bloom filter of fixed size (8 MB, whatever the
+    corpus) keeps texts that no join wants from being shuffled. Beyond some ten million ids it lets more through; the join that
+    follows decides."""
+    slot = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << BLOOM_BITS))
+    bits = ids.select(F.explode(F.array(slot(0), slot(1), slot(2))).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
+    words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    for r in bits.toLocalIterator():  # at most 2^20 rows
+        words[r["w"]] = r["b"]
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    keep = docs.columns
+
+    def run(batches):
+        filled = sent.value.view(np.uint64)
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for i in range(3):
+                s = batch.column(i).to_numpy().view(np.uint64)
+                ok &= (filled[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0
+            yield pa.record_batch(batch.columns[3:], keep).filter(pa.array(ok))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.select(slot(0).alias("_b0"), slot(1).alias("_b1"), slot(2).alias("_b2"), *keep).mapInArrow(run, fields)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^i and P^-i modulo 2^64 for i below n."""
     if "p" not in _powers or len(_powers["p"]) < n:

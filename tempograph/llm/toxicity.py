@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_CLASS, LOWER, doc_numbers, mix, steps, utf8, word_hashes, words_of
+from .common import ALNUM_CLASS, LOWER, doc_numbers, likely, mix, steps, stored, utf8, word_hashes, words_of
 from .quality_classifier import fold
 
 BITS = 20
@@ -47,10 +47,12 @@ def _slots(batch, column):
 
 
 def word_scores(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndarray, float]:
-    """Score of each word slot, and lambda."""
-    rows = docs.select("doc_id", "text").join(labels.select(F.col("doc_id").alias("l"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)").hint("shuffle_hash"), F.col("doc_id") == F.col("l"))
-    # One row for each distinct text and label; a copy of the text goes no further than the map side of this.
-    rows = rows.groupBy(F.sha2("text", 256).alias("k"), "y").agg(F.min("text").alias("text")).select("text", "y")
+    """Score of each token slot, and lambda."""
+    marked = labels.select(F.col("doc_id").alias("l"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
+    # One document for each distinct text and label. Texts themselves are moved once, for the chosen ones.
+    keyed = docs.select("doc_id", F.sha2("text", 256).alias("k")).hint("merge").join(marked, F.col("doc_id") == F.col("l"))
+    chosen = stored(keyed.groupBy("k", "y").agg(F.min("doc_id").alias("l")).select("l", "y"), "chosen")
+    rows = likely(docs.select("doc_id", "text"), chosen.select(F.col("l").alias("doc_id"))).join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("l")).select("text", "y")
 
     def count(batches):
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -64,7 +66,7 @@ def word_scores(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndar
         used = np.flatnonzero(sums[0] + sums[1])
         yield pa.record_batch([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], ["slot", "clean", "toxic"])
 
-    counts = rows.mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    counts = stored(rows.mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "counts")
     sums = counts.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
     scores = np.full(1 << BITS, -PENALTY, np.float32)
     if not sums["c"] or not sums["t"]:
@@ -185,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic_fro
     """(doc_id, held_out, score, predicted, n_words, passages): learnt from labels outside the held-out fold."""
     learnt = labels.filter(~fold())
     table, lam = word_scores(docs, learnt, label)
-    a, b = calibrate(passages(docs.join(learnt.select(F.col("doc_id").alias("l")).distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("l"), "left_semi"), table, lam), learnt, label)
-    found = passages(docs, table, lam)
+    found = stored(passages(docs, table, lam), "passages")
+    a, b = calibrate(found, learnt, label)
     p = F.round(1 / (1 + F.exp(-(F.lit(a) * F.log1p("evidence") + F.lit(b)))), 6)
     return found.select("doc_id", F.coalesce(fold(), F.lit(False)).alias("held_out"), p.alias("score"), (p >= toxic_from).cast("int").alias("predicted"), "n_words", "passages")
