@@ -12,7 +12,8 @@ D = (1-t)/(1+t) * (a+b) shingles, so with more than D cells that aren't empty, t
 2. Rows are partitioned and sorted by key and read as a stream, so a group of any size takes no memory. Every member is paired with
    the first of its group; groups of up to SMALL members are paired fully.
 3. Sets that are equal fall together first (one representative), then a 1,024-bit parity sketch and the sizes
-   drop most pairs, and the texts of the rest are compared exactly.
+   drop most pairs. Larger sets are compared by a longer sketch (8 to 16 bits a shingle, folded to the shorter one's length), and the texts
+   of the rest are compared exactly.
 4. Links give components. Groups of more than SMALL members that then lie in one component are finished. In the others,
    members are paired if they lie in different components, filtered by bit sketch inside the join, and verified: no link
    between different texts is lost, and no group is expanded into all its pairs.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, mix, shingles, steps, stored, utf8, word_hashes, words_of
+from .common import LOWER, SPACE_CLASS, likely, mix, shingles, steps, stored, utf8, word_hashes, words_of
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -199,22 +200,61 @@ def _may_link(a: str, b: str, t_num: int, t_den: int) -> Column:
     return (t_den * F.least(na, nb) >= t_num * F.greatest(na, nb)) & ((t_num + t_den) * apart <= (t_den - t_num) * (na + nb))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def pass_long_sketch(pairs: DataFrame, docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE) -> DataFrame:
+    """Pairs whose long sketches allow a link. Bit counts are powers of two; a sketch is folded to half by XOR of its halves."""
+    id_type = pairs.schema["a"].dataType.simpleString()
+
+    def sketch(batches):
+        for batch in batches:
+            rows, out, size = [], [], []
+            for row, h in doc_sets(batch, 1, n):
+                if len(h):
+                    bits = 1 << int(8 * len(h) - 1).bit_length()
+                    at, count = np.unique(mix(h + np.uint64(11)) & np.uint64(bits - 1), return_counts=True)
+                    flags = np.zeros(bits, np.uint8)
+                    flags[at[count % 2 == 1].astype(np.int64)] = 1
+                    rows.append(row), size.append(len(h)), out.append(np.packbits(flags).tobytes())
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(size, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "sketch"])
+
+    sketches = likely(docs.select("doc_id", "text"), _ends(pairs)).mapInArrow(sketch, f"doc_id {id_type}, n long, sketch binary")
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "na", "nb", "sa", "sb")
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for i, (na, nb, sa, sb) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)))):
+                x, y = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
+                while len(x) != len(y):
+                    if len(x) > len(y):
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    else:
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                if (t_num + t_den) * int(np.bitwise_count(x ^ y).sum()) <= (t_den - t_num) * (na + nb):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return both.mapInArrow(compare, f"a {id_type}, b {id_type}")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, compared on whole sets."""
-    texts = docs.select("doc_id", "text")
+    """The pairs (a, b) whose texts are similar, compared on whole sets. Only texts of such pairs are moved."""
+    id_type = pairs.schema["a"].dataType.simpleString()
+    texts = likely(docs.select("doc_id", "text"), _ends(pairs))
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
 
     def run(batches):
         for batch in batches:
             sets_b = dict(doc_sets(batch, 2, n))
-            keep, last = [], None
             codes = batch.column(0).dictionary_encode().indices.to_numpy()
-            first = {c: i for i, c in reversed(list(enumerate(codes.tolist())))}
-            sets_a = {}
-            lead = sorted(first.values())
-            for i, h in doc_sets(batch.take(pa.array(lead)), 3, n):
-                sets_a[codes[lead[i]]] = h
+            lead = np.unique(codes, return_index=True)[1]  # each a once
+            sets_a = {int(codes[lead[i]]): h for i, h in doc_sets(batch.take(pa.array(lead)), 3, n)}
+            keep = []
             for row, c in enumerate(codes.tolist()):
                 x, y = sets_a[c], sets_b[row]
                 common = len(np.intersect1d(x, y, assume_unique=True))
@@ -222,7 +262,6 @@ def verify(pairs: DataFrame, docs: DataFrame, t_num: int = T_NUM, t_den: int = T
                     keep.append(row)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    id_type = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", "text_b", "text_a").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
@@ -259,7 +298,9 @@ def link_components(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n:
     side = lambda p: sized.select(*(F.col(c).alias(f"{p}{c}") for c in sized.columns))
     pairs = to_reps(found.filter("key is null").select("a", "b"))
     near = pairs.hint("merge").join(side("a_"), F.col("a") == F.col("a_doc_id")).join(side("b_").hint("merge"), F.col("b") == F.col("b_doc_id")).filter(_may_link("a_", "b_", t_num, t_den)).select("a", "b")
-    links = stored(verify(stored(near, "near"), docs, t_num, t_den, n), "links")
+    near = stored(near, "near")
+    check = lambda p, name: stored(verify(stored(pass_long_sketch(p, docs, t_num, t_den, n), f"{name}_close"), docs, t_num, t_den, n), name)
+    links = check(near, "links")
     comp = components(links)
 
     # Large groups that aren't in one component: pairs across components, filtered inside the join.
@@ -271,7 +312,7 @@ def link_components(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n:
         as_side = lambda p: members.select("key", *(F.col(c).alias(f"{p}{c}") for c in members.columns if c != "key"))
         across = as_side("a_").hint("merge").join(as_side("b_"), "key").filter((F.col("a_component") < F.col("b_component")) & _may_link("a_", "b_", t_num, t_den))
         late = across.select(F.least("a_m", "b_m").alias("a"), F.greatest("a_m", "b_m").alias("b")).distinct().join(near.hint("merge"), ["a", "b"], "left_anti")
-        more = stored(verify(stored(late, "late"), docs, t_num, t_den, n), "more_links")
+        more = check(stored(late, "late"), "more_links")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
 
