@@ -9,7 +9,8 @@ A byte goes if a string of `length` (50) bytes over it also starts in a document
    number of documents needs no memory. Where contexts are equal, all documents but the first lose the whole
    context at once. Only the first document of each context of an anchor with several contexts needs a closer look.
 3. Those contexts are brought back as bytes, split into two finer groups each (the strings that reach 15 bytes to the left of the anchor, and
-   those that reach as far to the right), and each bucket of groups gets a suffix array. Neighbours in it that
+   those that reach as far to the right). All strings of a group hold the same bytes around the anchor, its core, which is written as one symbol.
+   Equal passages of a group fall together, and each bucket of groups gets a suffix array of its distinct passages. Neighbours in it that
    share 50 bytes form intervals; a string's bytes go if its interval has a smaller document.
    Groups of more than HOT contexts are handled by counting their strings one by one in Spark instead.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, steps, stored, utf8
+from .common import likely, mix, powers, steps, stored, utf8
 
 LENGTH = 50
 ANCHOR = 20
@@ -193,84 +194,111 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
 
 
 def contexts_of(docs: DataFrame, closer: DataFrame, length: int, k: int) -> DataFrame:
-    """(key, doc_id, start, side, bytes): the two halves of each context, keyed by anchor and near bytes."""
-    wanted = closer.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))  # at most one for each byte of a text
-    joined = docs.hint("merge").join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "at")
+    """(key, proof, core, doc_id, start, left, flanks): the two halves of each context. `key` and `proof` are hashes of the side and the `core` bytes that all
+    strings of the half hold; `flanks` are the bytes before it (`left` of them) and after it."""
+    wanted = closer.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("at"))  # at most one for each byte of a text
+    texts = likely(docs.select("doc_id", "text"), closer.select("doc_id").distinct())
+    joined = texts.hint("merge").join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "at")
     near = (length - k) // 2
 
     def run(batches):
         for batch in batches:
-            key, doc, start, body = [], [], [], []
+            core, doc, start, left, flanks = [], [], [], [], []
+
+            def add(d, text, lo, a, b, hi):
+                """text[lo:hi] with the core text[a:b]."""
+                if hi - lo >= length and lo <= a and b <= hi:
+                    core.append(text[a:b]), doc.append(d), start.append(lo), left.append(a - lo), flanks.append(text[lo:a] + text[b:hi])
+
             for d, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = text.encode()
-                for x in at:
-                    p, h = x["pos"], x["h"]
+                for p in at:
                     # Strings that start at p - near or before hold the `near` bytes before the anchor; the others hold as many after it.
-                    if p >= near:
-                        lo, hi = max(0, p - (length - k)), min(len(text), p - near + length)
-                        if hi - lo >= length:
-                            key.append(b"l%d:" % h + text[p - near : p])
-                            doc.append(d), start.append(lo), body.append(text[lo:hi])
-                    lo, hi = max(0, p - near + 1), min(len(text), p + length)
-                    if hi - lo >= length:
-                        key.append(b"r%d:" % h + text[p + k : p + k + length - k - near + 1])
-                        doc.append(d), start.append(lo), body.append(text[lo:hi])
-            yield pa.record_batch([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary())], ["key", "doc_id", "start", "body"])
-
-    out = joined.mapInArrow(run, "key binary, doc_id long, start int, body binary")
-    return out.select(F.xxhash64("key").alias("key"), "doc_id", "start", "body")
-
-
-def covered_in_bucket(doc: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(body, offset in it) of the strings of `length` bytes that a body of a smaller document has."""
-    text = np.frombuffer(b"\0".join(bodies), np.uint8)
-    size = np.array([len(b) for b in bodies])
+                    add(d, text, max(0, p - (length - k)), p - near, p + k, min(len(text), p - near + length)) if p >= near else None
+                    add(d, text, max(0, p - near + 1), p, p + length - near + 1, min(len(text), p + length))
+            yield pa.record_batch([pa.array(core, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(left, pa.int32()), pa.array(flanks, pa.binary())], ["core", "doc_id", "start", "left", "flanks"])
+
+    out = joined.mapInArrow(run, "core binary, doc_id long, start int, left int, flanks binary")
+    # Of one core, strings of the left half have it in one place of the anchor and those of the right half in another: the cores' lengths differ.
+    return out.select(F.xxhash64("core").alias("key"), F.hash("core").alias("proof"), F.octet_length("core").alias("core"), "doc_id", "start", "left", "flanks")
+
+
+def covered_in_bucket(group: np.ndarray, doc: np.ndarray, left: np.ndarray, flanks: list[bytes], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, offset in it) of the strings that a passage of a smaller document and the same group has. A string is `symbols` long, its group's core one of them."""
+    size = np.array([len(x) + 1 for x in flanks])
     begin = np.cumsum(np.r_[0, size[:-1] + 1])
-    owner = np.repeat(np.arange(len(bodies)), size + 1)[: len(text)]
-    codes = text.astype(np.int64) + 1  # 0 parts the bodies
-    codes[(begin[1:] - 1)] = 0
+    n = int(begin[-1] + size[-1])
+    codes = np.zeros(n, np.int64)  # 0 parts the passages
+    flat = np.frombuffer(b"".join(flanks), np.uint8)
+    at = np.ones(n, bool)
+    at[begin[1:] - 1] = False
+    at[begin + left] = False
+    codes[at] = flat.astype(np.int64) + 1
+    codes[begin + left] = 257 + group
+    owner = np.repeat(np.arange(len(flanks)), np.r_[size[:-1] + 1, size[-1]])
     order = np.array(suffix_array(codes.tolist()))
-    whole = (begin + size)[owner[order]] - order >= length
-    order = order[whole]
+    offset = order - begin[owner[order]]
+    order = order[(offset <= left[owner[order]]) & (offset + symbols <= size[owner[order]])]
     if not len(order):
         return order, order
-    rows = np.lib.stride_tricks.sliding_window_view(text, length)[order]
+    rows = np.lib.stride_tricks.sliding_window_view(codes, symbols)[order]
     new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]
     least = np.minimum.reduceat(doc[owner[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
     hit = order[least < doc[owner[order]]]
     return owner[hit], hit - begin[owner[hit]]
 
 
-def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    starts = np.unique(starts)
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist())) if len(starts) else []
-
-
 def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, start, end): runs of strings that a smaller document's context in the same group has."""
-    sizes = contexts.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "n")
-    live = stored(contexts.hint("merge").join(sizes, "key"), "contexts")
+    group = ["key", "proof", "core"]
+    sizes = contexts.groupBy(*group).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(*group, "n")
+    live = stored(contexts.hint("merge").join(sizes, group), "contexts")
     usual = live.filter(F.col("n") <= hot)
     buckets = max(1, -(-usual.count() // bucket))
 
     def run(rows: pa.Table) -> pa.Table:
-        doc, start = rows["doc_id"].to_numpy(), rows["start"].to_numpy()
-        body, at = covered_in_bucket(doc, rows["body"].to_pylist(), length)
-        order = np.lexsort((at, body))
-        body, at = body[order], at[order]
-        cut = np.r_[True, (body[1:] != body[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
-        s, e = np.flatnonzero(cut), np.r_[np.flatnonzero(cut)[1:], len(at)] - 1
-        first, last = (at[s], at[e]) if len(at) else (at, at)
-        own = body[s] if len(at) else body
-        return pa.table({"doc_id": doc[own], "start": (start[own] + first).astype(np.int32), "end": (start[own] + last + length).astype(np.int32)})
+        doc, start, left, core = (rows[c].to_numpy() for c in ("doc_id", "start", "left", "core"))
+        flanks = rows["flanks"].to_pylist()
+        # Equal passages of a group are one, of the smallest document that has it.
+        seen: dict = {}
+        names = list(zip(rows["key"].to_pylist(), rows["proof"].to_pylist(), core.tolist(), left.tolist(), flanks))
+        same = np.array([seen.setdefault(x, len(seen)) for x in names])
+        first = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(first, same, doc)
+        later = np.flatnonzero(doc > first[same])
+        out = [(doc[later], start[later], start[later] + np.array([len(flanks[i]) + int(core[i]) for i in later], np.int64))]
+        groups: dict = {}
+        owner = np.array([groups.setdefault(x[:3], len(groups)) for x in seen])
+        several = np.bincount(owner)[owner] > 1
+        passages = list(seen)
+        for c in sorted({x[2] for x in passages}):
+            pick = np.array([i for i, x in enumerate(passages) if x[2] == c and several[i]], np.int64)
+            if not len(pick):
+                continue
+            who, at = covered_in_bucket(owner[pick], first[pick], np.array([passages[i][3] for i in pick]), [passages[i][4] for i in pick], length - c + 1)
+            if not len(who):
+                continue
+            order = np.lexsort((at, who))
+            who, at = pick[who[order]], at[order]
+            cut = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (at[1:] != at[:-1] + 1)])
+            end = np.r_[cut[1:], len(at)] - 1
+            runs: dict[int, list[tuple[int, int]]] = {}
+            for i, a, b in zip(who[cut].tolist(), at[cut].tolist(), at[end].tolist()):
+                runs.setdefault(i, []).append((a, b))
+            hit = [(int(doc[i]), int(start[i]) + a, int(start[i]) + b + length) for i in np.flatnonzero(np.isin(same, list(runs)) & (doc == first[same])).tolist() for a, b in runs[int(same[i])]]
+            if hit:
+                out.append(tuple(np.array(x) for x in zip(*hit)))
+        d, a, b = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"doc_id": d.astype(np.int64), "start": a.astype(np.int32), "end": b.astype(np.int32)})
 
     found = usual.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(run, "doc_id long, start int, end int")
     # Groups without bound: each string is a row, and equal ones are summed on the map side.
-    strings = live.filter(F.col("n") > hot).select("doc_id", "start", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - length)).alias("o"))
-    strings = strings.select("doc_id", (F.col("start") + F.col("o")).alias("start"), F.substring(F.col("body"), F.col("o") + 1, F.lit(length)).alias("string"))
-    least = strings.groupBy("string").agg(F.min("doc_id").alias("least"))
-    late = strings.hint("merge").join(least, "string").filter(F.col("least") < F.col("doc_id")).select("doc_id", "start", (F.col("start") + length).alias("end"))
+    wide = F.lit(length) - F.col("core")
+    strings = live.filter(F.col("n") > hot).select(*group, "doc_id", "start", "left", "flanks", F.explode(F.sequence(F.lit(0), F.least(F.col("left"), F.octet_length("flanks") - wide))).alias("o"))
+    strings = strings.select(*group, "doc_id", (F.col("start") + F.col("o")).alias("start"), (F.col("left") - F.col("o")).alias("ahead"), F.substring(F.col("flanks"), F.col("o") + 1, wide).alias("string"))
+    name = [*group, "ahead", "string"]
+    least = strings.groupBy(*name).agg(F.min("doc_id").alias("least"))
+    late = strings.hint("merge").join(least, name).filter(F.col("least") < F.col("doc_id")).select("doc_id", "start", (F.col("start") + length).alias("end"))
     return found.unionByName(late)
 
 
@@ -280,7 +308,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 1
     bits = min(63, int(total).bit_length() + 4)
     shared = stored(shared_anchors(anchor_rows(docs, bits, length, k)), "anchors")
-    closer = shared.filter("not whole").select("doc_id", "pos", "h").distinct()
+    closer = shared.filter("not whole").select("doc_id", "pos").distinct()
     partial = closer_spans(contexts_of(docs, closer, length, k), length)
     full = shared.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("end"))
     return full.unionByName(partial).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
