@@ -3,8 +3,10 @@
 Documents are dealt to blocks. Each block lists its distinct words (the pieces that the tokenizer's own pattern
 cuts a text into) with a number each. Spark brings equal words of all blocks together, each distinct
 word is encoded once, and its ids go back to the blocks that hold it, where they are joined to the words'
-positions. So a word travels once for each block, not for each occurrence, and a frequent word is spread over as many
-rows as there are blocks at most. Decoding joins ids with the vocabulary's id-to-piece table, whose size is the
+positions. So a word travels once for each block, not for each occurrence, and a frequent word is as many entries as there are
+blocks at most. What travels is batches of rows in Arrow's compressed form: documents by block, words by block and part (a part is a
+share of all words, by hash), ids by part and block. Parts and blocks are as many, so both stay small as the corpus grows.
+Decoding joins ids with the vocabulary's id-to-piece table, whose size is the
 tokenizer's (about 50,000 rows), so it is sent to every task, and puts the pieces together by position.
 
 The tokenizer file must be at the given path on every machine; it is only read.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count
+from .common import block_count, mix, utf8, word_hashes
 
 BLOCK_CHARS = 32 << 20
 #: The special string, and the pattern of the byte-level pre-tokenizer with its spaces spelt out.
@@ -58,9 +60,20 @@ def _tokenizer(path: str):
     return t
 
 
-def _sorted(rows: pa.Table) -> pa.Table:
-    """One order of a block's documents, whatever order they arrive in: it fixes the words' numbers."""
-    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+def _pack(rows: pa.Table, level: int = 3) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packs: pa.ChunkedArray) -> list[pa.Table]:
+    return [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs]
+
+
+def _block_rows(rows: pa.Table) -> pa.Table:
+    """A block's documents in one order, however they arrive: it fixes the words' numbers."""
+    return pa.concat_tables(_unpack(rows["pack"])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def _numbered_words(rows: pa.Table) -> dict[str, int]:
@@ -71,47 +84,83 @@ def _numbered_words(rows: pa.Table) -> dict[str, int]:
     return {w: i for i, w in enumerate(seen)}
 
 
+def _spread(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Indices begin[i], begin[i] + 1, ... of size[i] items each, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
     docs = docs.select("doc_id", "text")
     n = block_count(docs, block_chars)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
-    def list_words(rows: pa.Table) -> pa.Table:
-        words = list(_numbered_words(_sorted(rows)))
-        return pa.table({"word": pa.array(words, pa.string()), "block": pa.array(np.full(len(words), rows["block"][0].as_py(), np.int32)), "code": pa.array(np.arange(len(words), dtype=np.int32))})
+    def deal(batches):
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            rows = pa.table(batch.columns[1:], ["doc_id", "text"])
+            order = np.argsort(block, kind="stable")
+            cut = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1], True]) if len(block) else np.zeros(1, int)
+            packs = [(int(block[order[a]]), _pack(rows.take(pa.array(order[a:b])), 6)) for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.record_batch([pa.array([x for x, _ in packs], pa.int32()), pa.array([x for _, x in packs], pa.binary())], ["block", "pack"])
 
-    def encode_words(batches):
+    def list_words(rows: pa.Table) -> pa.Table:
+        words = pa.array(_numbered_words(_block_rows(rows)), pa.string())
+        data, offsets = utf8(words)
+        part = (mix(word_hashes(data, offsets[:-1], offsets[1:])) % np.uint64(n)).astype(np.int32)
+        parts, packs = [], []
+        for k in np.unique(part).tolist():
+            code = np.flatnonzero(part == k)
+            own = pa.table({"code": pa.array(code.astype(np.int32)), "word": words.take(pa.array(code))}).sort_by("word")
+            parts.append(k)
+            packs.append(_pack(own))
+        return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(parts), pa.int32()), "pack": pa.array(packs, pa.binary())})
+
+    def encode_words(rows: pa.Table) -> pa.Table:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in batches:  # sorted by word: each word's rows are together
-            words = batch.column(0).dictionary_encode()
-            ids = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(words.dictionary.to_pylist(), add_special_tokens=False)]
-            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(ids, pa.binary()).take(words.indices)], ["block", "code", "ids"])
+        tables = _unpack(rows["pack"])
+        words = pa.concat_arrays([c for t in tables for c in t["word"].chunks]).dictionary_encode()
+        distinct, size, flat = words.dictionary.to_pylist(), [], []
+        for i in range(0, len(distinct), 2000):
+            for x in tokenizer.encode_batch(distinct[i : i + 2000], add_special_tokens=False):
+                ids = x.ids
+                size.append(len(ids))
+                flat += ids
+        size, flat = np.array(size, np.int64), np.array(flat, np.uint32)
+        begin, index, at, packs = np.cumsum(size) - size, words.indices.to_numpy(), 0, []
+        for t in tables:
+            own = index[at : at + len(t)]
+            at += len(t)
+            packs.append(_pack(pa.table({"code": t["code"], "ids": pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[own])]), pa.array(flat[_spread(size[own], begin[own])]))})))
+        return pa.table({"block": rows["block"], "pack": pa.array(packs, pa.binary())})
 
     def join_ids(rows: pa.Table, encoded: pa.Table) -> pa.Table:
-        rows = _sorted(rows)
+        rows = _block_rows(rows)
         number = _numbered_words(rows)
-        order = np.argsort(encoded["code"].to_numpy())
-        if len(order) != len(number):
-            raise ValueError(f"block has {len(number)} words, {len(order)} were encoded")
-        ids = encoded["ids"].combine_chunks().take(pa.array(order))
-        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4 if len(ids) else np.zeros(1, np.int64)
-        flat = np.frombuffer(ids.buffers()[2], "<u4") if len(ids) and ids.buffers()[2] is not None else np.zeros(0, "<u4")
-        size = np.diff(ends)
+        size, begin = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
+        flats, base = [], 0
+        for t in _unpack(encoded["pack"]):
+            ids = t["ids"].combine_chunks()
+            ends = ids.offsets.to_numpy()
+            code = t["code"].to_numpy()
+            size[code], begin[code] = np.diff(ends), base + ends[:-1]
+            flats.append(ids.values.to_numpy())
+            base += len(flats[-1])
+        if (size < 0).any():
+            raise ValueError(f"{int((size < 0).sum())} of {len(number)} words of a block were not encoded")
+        flat = np.concatenate([np.zeros(0, "<u4"), *flats]).astype("<u4")
         split, get = _splitter(), number.__getitem__
         out, lengths = [], []
         for text in rows["text"].to_pylist():
             codes = np.fromiter(map(get, split(text)), np.int64) if text else np.zeros(0, np.int64)
-            own = size[codes]
-            total = int(own.sum())
-            at = np.repeat(ends[codes] - (np.cumsum(own) - own), own) + np.arange(total)
+            at = _spread(size[codes], begin[codes])
             out.append(flat[at].tobytes())
-            lengths.append(total)
+            lengths.append(len(at))
         return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    words = blocked.groupBy("block").applyInArrow(list_words, "word string, block int, code int")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words, "block int, code int, ids binary")
+    blocked = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(deal, "block int, pack binary")
+    words = blocked.groupBy("block").applyInArrow(list_words, "part int, block int, pack binary")
+    encoded = words.groupBy("part").applyInArrow(encode_words, "block int, pack binary")
     return blocked.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join_ids, f"doc_id {id_type}, n_tokens long, ids binary")
 
 
@@ -139,9 +188,7 @@ def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
             out = []
             for ids in batch.column(at_ids).to_pylist():
                 ids = np.frombuffer(ids or b"", "<u4")
-                own = size[ids]
-                at = np.repeat(begin[ids] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-                out.append(data[at].tobytes().decode("utf-8", "replace"))
+                out.append(data[_spread(size[ids], begin[ids])].tobytes().decode("utf-8", "replace"))
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*keep, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
