@@ -1,10 +1,10 @@
 """Language-model scores by stupid backoff, from n-gram counts of the whole corpus.
 
 Documents are dealt to blocks; each block explodes its texts into n-grams of 1 to `order` words and sums equal
-ones. These rows are partitioned by n-gram hash, which makes the count table: the sum over each hash. Table and
-n-grams share that partitioning, so their join is a windowed sum in place, with no second shuffle. Counts
-go back to the blocks that hold the n-gram (a hash that no other block has needs no answer), and each document sums
-its words' log scores.
+ones. The count table is partitioned by n-gram hash: a block sends each part of the table its n-grams of that part, as arrays of
+hashes and counts (so a frequent n-gram is one entry a block). A part sums them, joins the sums to the entries it got, and sends them
+back in the same order. Blocks and parts are as many, and a row is only sent where a block has n-grams of a part. Each document then sums its
+words' log scores.
 
 A document does not vouch for itself: its own occurrences are taken off every count. A word's score is
 count(n-gram) / count(its first words) for the longest n-gram with a count left, times 0.4 for each step
@@ -24,7 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE_CLASS, block_count, doc_numbers, mix, shingles, steps, utf8, word_hashes, words_of
@@ -61,6 +61,21 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, count, inverse
 
 
+def _entries(grams: list[np.ndarray], place: np.ndarray, n_words: np.ndarray, parts: int):
+    """Distinct n-grams of a block by part, then hash: hashes, counts, and the row bounds and numbers of its parts. Hash 0 counts all words."""
+    keys, counts = [np.zeros(1, np.uint64)], [np.array([n_words.sum()])]
+    for k, g in enumerate(grams):
+        u, c, _ = _counted(g[place >= k])
+        keys.append(u)
+        counts.append(c)
+    h, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    part = (h % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((h, part))
+    h, count, part = h[order], count[order], part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    return h, count, np.r_[cut, len(h)], part[cut]
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, n_backed_off, n_unseen, log_score, mean_log_score), natural logarithms."""
     docs = docs.select("doc_id", "text")
@@ -70,26 +85,33 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
 
     def explode(rows: pa.Table) -> pa.Table:
         grams, _, place, n_words = _grams(rows, order)
-        keys, counts = [np.zeros(1, np.int64)], [np.array([n_words.sum()])]
-        for k, g in enumerate(grams):
-            u, c, _ = _counted(g[place >= k])
-            keys.append(u.view(np.int64))
-            counts.append(c)
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        return pa.table({"h": keys, "block": pa.array(np.full(len(keys), rows["block"][0].as_py(), np.int32)), "n": counts.astype(np.int64)})
+        h, count, bounds, part = _entries(grams, place, n_words, n)
+        bounds = pa.array(bounds.astype(np.int32))
+        block = pa.array(np.full(len(part), rows["block"][0].as_py(), np.int32))
+        return pa.table({"part": part, "block": block, "h": pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64))), "n": pa.ListArray.from_arrays(bounds, pa.array(count))})
+
+    def total(rows: pa.Table) -> pa.Table:
+        h, counts = (rows[c].combine_chunks() for c in ("h", "n"))
+        bounds = np.r_[0, np.cumsum(h.value_lengths().to_numpy())].astype(np.int32)
+        _, inverse = np.unique(h.flatten().to_numpy(), return_inverse=True)
+        sums = np.zeros(int(inverse.max(initial=-1)) + 1, np.int64)
+        np.add.at(sums, inverse, counts.flatten().to_numpy())
+        return pa.table({"block": rows["block"], "part": rows["part"], "total": pa.ListArray.from_arrays(pa.array(bounds), pa.array(sums[inverse]))})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         grams, doc, place, n_words = _grams(rows, order)
-        h, total = answers["h"].to_numpy().view(np.uint64), answers["total"].to_numpy()
+        h = _entries(grams, place, n_words, n)[0]
+        total = answers.sort_by("part")["total"].combine_chunks().flatten().to_numpy()
+        if len(h) != len(total):
+            raise ValueError(f"a block has {len(h)} n-grams, {len(total)} were counted")
         by = np.argsort(h)
         h, total = h[by], total[by]
-        others = int(total[0]) if len(h) and h[0] == 0 else int(n_words.sum())
+        others = int(total[0])  # hash 0
         outside = (others - n_words)[doc]
         left = []  # what is left of each word's n-gram counts without its own document
         for k, g in enumerate(grams):
-            u, c, inverse = _counted(g)
-            at = np.minimum(np.searchsorted(h, u), max(0, len(h) - 1))
-            all_of = np.where(h[at] == u, total[at], c) if len(h) else c
+            u, _, inverse = _counted(g)
+            all_of = total[np.minimum(np.searchsorted(h, u), len(h) - 1)]
             own = _counted(mix(g + np.uint64(0x9E37) * doc.astype(np.uint64)) if len(g) else g)
             left.append(np.where(place >= k, all_of[inverse] - own[1][own[2]], 0) if len(g) else np.zeros(0, np.int64))
         log = np.zeros(len(doc))
@@ -116,9 +138,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
             }
         )
 
-    rows = blocked.groupBy("block").applyInArrow(explode, "h long, block int, n long")
-    counted = rows.withColumn("total", F.sum("n").over(Window.partitionBy("h")))
-    answers = counted.filter((F.col("total") > F.col("n")) | (F.col("h") == 0)).select("block", "h", "total")
+    entries = blocked.groupBy("block").applyInArrow(explode, "part long, block int, h array<long>, n array<long>")
+    answers = entries.groupBy("part").applyInArrow(total, "block int, part long, total array<long>")
     scored = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, n_words long, n_backed_off long, n_unseen long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)))
 
