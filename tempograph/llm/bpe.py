@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import block_count, mix, utf8, word_hashes
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 10 << 20
 #: The special string, and the pattern of the byte-level pre-tokenizer with its spaces spelt out.
 SPECIAL = "<|endoftext|>"
 _S = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS)
             code = np.flatnonzero(part == k)
             own = pa.table({"code": pa.array(code.astype(np.int32)), "word": words.take(pa.array(code))}).sort_by("word")
             parts.append(k)
-            packs.append(_pack(own))
+            packs.append(_pack(own, 7))
         return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(parts), pa.int32()), "pack": pa.array(packs, pa.binary())})
 
     def encode_words(rows: pa.Table) -> pa.Table:
