@@ -19,6 +19,7 @@ Documents of one doc_id may differ in text.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,12 +77,38 @@ def _block_rows(rows: pa.Table) -> pa.Table:
     return pa.concat_tables(_unpack(rows["pack"])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def _numbered_words(rows: pa.Table) -> dict[str, int]:
-    split, seen = _splitter(), {}
+#: A space beside other white space, where a text can't be cut at spaces.
+_WIDE_SPACE = rf" [{_S}]|[{_S}] |^ | $"
+
+
+def _chunker():
+    """Cut a text into chunks whose words don't depend on what is around them. The pattern never looks back, and looks ahead only
+    from white space; so between two other characters a space starts a new chunk. Texts with wider spaces, NUL or the special string are one chunk."""
+    import regex
+
+    wide = regex.compile(_WIDE_SPACE).search
+
+    def chunks(text: str) -> list[str]:
+        """The first chunk, marked by a leading NUL, then the others without their space."""
+        if SPECIAL in text or "\0" in text or wide(text):
+            return ["\0" + text]
+        parts = text.split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
+
+    return chunks
+
+
+def _listed(rows: pa.Table) -> tuple[dict[str, int], Iterator[list[str]]]:
+    """Distinct chunks of a block's texts with their numbers in order, and the words of each."""
+    chunks, split, seen = _chunker(), _splitter(), {}
     for text in rows["text"].to_pylist():
         if text:
-            seen.update(dict.fromkeys(split(text)))
-    return {w: i for i, w in enumerate(seen)}
+            seen.update(dict.fromkeys(chunks(text)))
+    for i, c in enumerate(seen):
+        seen[c] = i
+
+    return seen, (split(c[1:]) if c[:1] == "\0" else split(" " + c) for c in seen)
 
 
 def _spread(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -105,7 +132,11 @@ def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS)
             yield pa.record_batch([pa.array([x for x, _ in packs], pa.int32()), pa.array([x for _, x in packs], pa.binary())], ["block", "pack"])
 
     def list_words(rows: pa.Table) -> pa.Table:
-        words = pa.array(_numbered_words(_block_rows(rows)), pa.string())
+        numbers: dict[str, int] = {}
+        for words in _listed(_block_rows(rows))[1]:
+            numbers.update(dict.fromkeys(words))
+        words = pa.array(numbers, pa.string())
+        del numbers
         data, offsets = utf8(words)
         part = (mix(word_hashes(data, offsets[:-1], offsets[1:])) % np.uint64(n)).astype(np.int32)
         parts, packs = [], []
@@ -136,7 +167,13 @@ def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS)
 
     def join_ids(rows: pa.Table, encoded: pa.Table) -> pa.Table:
         rows = _block_rows(rows)
-        number = _numbered_words(rows)
+        chunk, chunk_words = _listed(rows)
+        number: dict[str, int] = {}
+        codes, cuts = [], [0]  # words of each distinct chunk
+        for words in chunk_words:
+            codes += [number.setdefault(w, len(number)) for w in words]
+            cuts.append(len(codes))
+        codes, cuts = np.array(codes, np.int64), np.array(cuts)
         size, begin = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
         flats, base = [], 0
         for t in _unpack(encoded["pack"]):
@@ -149,13 +186,19 @@ def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS)
         if (size < 0).any():
             raise ValueError(f"{int((size < 0).sum())} of {len(number)} words of a block were not encoded")
         flat = np.concatenate([np.zeros(0, "<u4"), *flats]).astype("<u4")
-        split, get = _splitter(), number.__getitem__
+        del number
+        # Ids of each distinct chunk, one after another; a text is a run of chunks.
+        own = size[codes]
+        flat = flat[_spread(own, begin[codes])]
+        at = np.r_[0, np.cumsum(own)][cuts]
+        size, begin = np.diff(at), at[:-1]
+        chunks, get = _chunker(), chunk.__getitem__
         out, lengths = [], []
         for text in rows["text"].to_pylist():
-            codes = np.fromiter(map(get, split(text)), np.int64) if text else np.zeros(0, np.int64)
-            at = _spread(size[codes], begin[codes])
-            out.append(flat[at].tobytes())
-            lengths.append(len(at))
+            c = np.fromiter(map(get, chunks(text)), np.int64) if text else np.zeros(0, np.int64)
+            ids = flat[_spread(size[c], begin[c])]
+            out.append(ids.tobytes())
+            lengths.append(len(ids))
         return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     blocked = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(deal, "block int, pack binary")
