@@ -14,9 +14,10 @@ D = (1-t)/(1+t) * (a+b) shingles, so with more than D cells that aren't empty, t
 3. Sets that are equal fall together first (one representative), then a 1,024-bit parity sketch and the sizes
    drop most pairs. Larger sets are compared by a longer sketch (8 to 16 bits a shingle, folded to the shorter one's length), and the texts
    of the rest are compared exactly.
-4. Links give components. Groups of more than SMALL members that then lie in one component are finished. In the others,
-   members are paired if they lie in different components, filtered by bit sketch inside the join, and verified: no link
-   between different texts is lost, and no group is expanded into all its pairs.
+4. Links give components. Groups of more than SMALL members that then lie in one component are finished. The others are mixed.
+   A set whose cells outside mixed groups are still more than D has met all its partners in those (the pigeonhole again). The
+   few sets without such room are paired with each other in mixed groups if they lie in different components, filtered by bit sketch inside the
+   join, and verified: no link between different texts is lost, and no group is expanded into all its pairs.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of fewer words than a shingle
 is one shingle; equal texts link; repeated rows of one doc_id are one document; extra columns are ignored.
@@ -78,10 +79,20 @@ def _cells(high: int, t_num: int, t_den: int) -> tuple[int, int]:
     return differ, int(SPARE * (differ + 1)) + 1
 
 
+def _cell_of(h: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(h ^ np.uint64(0xA5A5)) % np.uint64(cells)).astype(np.int64)
+
+
+def _own_bands(size: int, bands: list[tuple[int, int]]) -> tuple[int, ...]:
+    """The set's band, and the one below if there is one: there it meets smaller partners."""
+    b = next(i for i, (_, high) in enumerate(bands) if high >= size)
+    return (b, b - 1) if b else (b,)
+
+
 def _keys(h: np.ndarray, bands: list[tuple[int, int]], band: int, t_num: int, t_den: int) -> np.ndarray:
     """Join keys of one set in one band."""
     differ, cells = _cells(bands[band][1], t_num, t_den)
-    cell = (mix(h ^ np.uint64(0xA5A5)) % np.uint64(cells)).astype(np.int64)
+    cell = _cell_of(h, cells)
     order = np.argsort(cell, kind="stable")
     at = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1]])
     used = cell[order][at].astype(np.uint64)
@@ -93,27 +104,35 @@ def _keys(h: np.ndarray, bands: list[tuple[int, int]], band: int, t_num: int, t_
     return keys
 
 
-def set_table(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, fingerprint, sketch words s0..): one small row for each document."""
+def set_table(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, fingerprint, spare0, spare1, sketch words s0..): one small row for each document. `spare` is by how much its
+    non-empty cells exceed D, in its own band and in the one below."""
     docs = docs.select("doc_id", "text")
     names = [f"s{i}" for i in range(SKETCH_WORDS)]
 
     def run(batches):
+        bands = _bands(t_num, t_den, 1 << 12)
         for batch in batches:
             size, prints, words = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, np.zeros((batch.num_rows, SKETCH_WORDS), np.uint64)
+            spare = np.zeros((2, batch.num_rows), np.int32)
             for row, h in doc_sets(batch, 1, n):
                 size[row] = len(h)
                 if len(h):
+                    if len(h) > bands[-1][1]:
+                        bands = _bands(t_num, t_den, len(h))
+                    for role, band in enumerate(_own_bands(len(h), bands)):
+                        differ, cells = _cells(bands[band][1], t_num, t_den)
+                        spare[role, row] = np.count_nonzero(np.bincount(_cell_of(h, cells), minlength=1)) - differ
                     prints[row] = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                     bit = mix(h + np.uint64(7)) >> np.uint64(54)
                     np.bitwise_xor.at(words[row], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(prints, pa.binary()), *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in words.T)], ["doc_id", "n_shingles", "fingerprint", *names])
+            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(prints, pa.binary()), pa.array(spare[0]), pa.array(spare[1]), *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in words.T)], ["doc_id", "n_shingles", "fingerprint", "spare0", "spare1", *names])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, fingerprint binary, " + ", ".join(f"{x} long" for x in names))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, fingerprint binary, spare0 int, spare1 int, " + ", ".join(f"{x} long" for x in names))
 
 
 def cell_rows(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE) -> DataFrame:
-    """(key, doc_id): non-empty cells in the document's band and the one below."""
+    """(key, doc_id): non-empty cells in the document's band (even keys) and in the one below (the same keys plus one)."""
     docs = docs.select("doc_id", "text")
 
     def run(batches):
@@ -125,9 +144,9 @@ def cell_rows(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int =
                     continue
                 if len(h) > bands[-1][1]:
                     bands = _bands(t_num, t_den, len(h))
-                b = next(i for i, (lo, hi) in enumerate(bands) if hi >= len(h))
-                for band in (b, b - 1) if b else (b,):
-                    k = _keys(h, bands, band, t_num, t_den)
+                for role, band in enumerate(_own_bands(len(h), bands)):
+                    # 44 bits of key: two different cells share one so rarely that it only costs a comparison.
+                    k = _keys(h, bands, band, t_num, t_den) >> np.uint64(20) << np.uint64(1) | np.uint64(role)
                     keys.append(k)
                     rows.append(np.full(len(k), row))
                 if sum(map(len, keys)) > 1 << 18:
@@ -137,60 +156,67 @@ def cell_rows(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int =
 
     def _rows(batch, rows, keys):
         at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        # 44 bits of key: two different cells share one so rarely that it only costs a comparison.
-        key = (np.concatenate(keys) >> np.uint64(20)).view(np.int64) if keys else np.zeros(0, np.int64)
+        key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
         return pa.record_batch([pa.array(key), batch.column(0).take(pa.array(at))], ["key", "doc_id"])
 
     return docs.mapInArrow(run, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
 
 
 def group_pairs(rows: DataFrame, small: int = SMALL) -> DataFrame:
-    """(key, a, b) from groups of rows that share a key. `key` is null for pairs; members of groups of more than `small` come
-    with their key and a = b as well, for the second look."""
+    """(key, a, b) from groups of rows that share a key, its last bit aside. `key` is null for pairs; members of groups of more than `small`
+    come with their key and a = b as well, for the second look. Two members from the band above need no pair here: they meet in their own band."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        key = first = None  # of the group that goes on
+        group = first = None  # of the group that goes on
         window: list = []
         count = 0
         for batch in batches:
-            k, d = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            n = len(k)
+            key, d = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            n = len(key)
             if not n:
                 continue
+            k = key >> 1
             out_k, out_a, out_b = [], [], []
-            new = np.r_[k[0] != key, k[1:] != k[:-1]]
+
+            def tell(key, a, b):
+                out_k.append(key), out_a.append(a), out_b.append(b)
+
+            new = np.r_[k[0] != group, k[1:] != k[:-1]]
             start = np.flatnonzero(new)
             size = np.diff(np.r_[start, n])
-            # Groups that this batch neither begins nor ends with are whole; most have one row and make nothing.
+            # Groups of one row make nothing; the last one may go on in the next batch.
             spans = [(int(s), int(s + z)) for s, z in zip(start[size > 1], size[size > 1])]
             if not new[0]:
-                head = int(start[0]) if len(start) else n
-                spans.insert(0, (0, head))
+                spans.insert(0, (0, int(start[0]) if len(start) else n))
             tail = int(start[-1]) if len(start) else 0
-            if tail and not any(s == tail for s, _ in spans):
+            if not any(s == tail for s, _ in spans):
                 spans.append((tail, n))
             for s, e in spans:
                 if s or new[0]:
-                    key, first, window, count = k[s], d[s], [], 0
-                for x in d[s:e].tolist():
-                    if window and x == window[-1]:
+                    group, first, window, count = k[s], (d[s] if not key[s] & 1 else None), [], 0
+                if first is None:  # even keys come first, so there are none
+                    continue
+                for own, x in zip(key[s:e].tolist(), d[s:e].tolist()):
+                    if window and (own, x) == window[-1]:
                         continue
                     if count == small:  # the group turns out large: its members so far are told as well
-                        for y in window:
-                            out_k.append(key), out_a.append(y), out_b.append(y)
+                        for other, y in window:
+                            tell(other, y, y)
                     if count >= small:
-                        out_k.append(key), out_a.append(x), out_b.append(x)
-                        out_k.append(None), out_a.append(first), out_b.append(x)
-                        window = [x]
+                        tell(own, x, x)
+                        tell(None, first, x)
+                        window = [(own, x)]
                     else:
-                        for y in window:
-                            out_k.append(None), out_a.append(y), out_b.append(x)
-                        window.append(x)
+                        for other, y in window:
+                            if not other & 1:
+                                tell(None, y, x)
+                        window.append((own, x))
                     count += 1
             yield pa.record_batch([pa.array(out_k, pa.int64()), pa.array(out_a, batch.column(1).type), pa.array(out_b, batch.column(1).type)], ["key", "a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, f"key long, a {id_type}, b {id_type}")
+    together = rows.withColumn("g", F.shiftright("key", 1)).repartition("g").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
+    return together.mapInArrow(run, f"key long, a {id_type}, b {id_type}")
 
 
 def _may_link(a: str, b: str, t_num: int, t_den: int) -> Column:
@@ -283,7 +309,7 @@ def components(links: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     docs = docs.select("doc_id", "text")
-    named = stored(set_table(docs, n), "sets")
+    named = stored(set_table(docs, t_num, t_den, n), "sets")
     rep = named.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     rep_of = stored(named.filter("fingerprint is not null").select("doc_id", "fingerprint").hint("merge").join(rep, "fingerprint").select("doc_id", "rep"), "reps")
     found = stored(group_pairs(cell_rows(docs, t_num, t_den, n), small).distinct(), "groups")
@@ -303,11 +329,14 @@ def link_components(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n:
     links = check(near, "links")
     comp = components(links)
 
-    # Large groups that aren't in one component: pairs across components, filtered inside the join.
-    members = found.filter("key is not null").select("key", F.col("a").alias("doc_id")).hint("merge").join(rep_of, "doc_id").select("key", F.col("rep").alias("m")).distinct()
+    # Large groups that aren't in one component: sets that have no room left outside them, paired across components, filtered inside the join.
+    members = found.filter("key is not null").select("key", F.col("a").alias("doc_id")).hint("merge").join(rep_of, "doc_id").select(F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).alias("role"), F.col("rep").alias("m")).distinct()
     members = members.hint("merge").join(comp.withColumnRenamed("id", "m"), "m", "left").withColumn("component", F.coalesce("component", "m"))
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    members = stored(members.hint("merge").join(mixed, "key", "left_semi").hint("merge").join(sized, F.col("m") == F.col("doc_id")).drop("doc_id"), "members")
+    members = stored(members.hint("merge").join(mixed, "key", "left_semi"), "mixed")
+    spare = F.when(F.col("role") == 0, F.col("spare0")).otherwise(F.col("spare1"))
+    short = members.groupBy("m", "role").agg(F.countDistinct("key").alias("n_mixed")).hint("merge").join(named.select(F.col("doc_id").alias("m"), "spare0", "spare1"), "m").filter(F.col("n_mixed") >= spare).select("m", "role")
+    members = stored(members.hint("merge").join(short, ["m", "role"], "left_semi").drop("role").distinct().hint("merge").join(sized, F.col("m") == F.col("doc_id")).drop("doc_id"), "members")
     if not members.isEmpty():
         as_side = lambda p: members.select("key", *(F.col(c).alias(f"{p}{c}") for c in members.columns if c != "key"))
         across = as_side("a_").hint("merge").join(as_side("b_"), "key").filter((F.col("a_component") < F.col("b_component")) & _may_link("a_", "b_", t_num, t_den))
