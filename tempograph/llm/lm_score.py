@@ -76,6 +76,30 @@ def _entries(grams: list[np.ndarray], place: np.ndarray, n_words: np.ndarray, pa
     return h, count, np.r_[cut, len(h)], part[cut]
 
 
+def _word_scores(grams, doc, place, h, total, outside, backoff):
+    """Of each word: log score, whether it backed off, whether no other document has it. `h` and `total` are sorted hashes and corpus counts."""
+    left = []  # what is left of each word's n-gram counts without its own document
+    for k, g in enumerate(grams):
+        u, _, inverse = _counted(g)
+        all_of = total[np.minimum(np.searchsorted(h, u), len(h) - 1)][inverse]
+        _, own, own_of = _counted(mix(g + np.uint64(0x9E37) * doc.astype(np.uint64)))
+        left.append(np.where(place >= k, all_of - own[own_of], 0))
+    log, done, steps_back = np.zeros(len(doc)), np.zeros(len(doc), bool), np.zeros(len(doc), np.int64)
+    for k in range(len(grams) - 1, 0, -1):
+        can = ~done & (place >= k)
+        seen = can & (left[k] > 0)
+        i = np.flatnonzero(seen)
+        log[i] = np.log(left[k][i] / left[k - 1][i - 1]) + steps_back[i] * math.log(backoff)
+        done |= seen
+        steps_back += can & ~seen
+    i = np.flatnonzero(~done)
+    known = left[0][i] > 0
+    log[i] = np.log(np.where(known, left[0][i] / np.maximum(outside[i], 1), 1 / (outside[i] + 1))) + (steps_back[i] + ~known) * math.log(backoff)
+    unseen = np.zeros(len(doc), bool)
+    unseen[i[~known]] = True
+    return log, steps_back > 0, unseen
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, n_backed_off, n_unseen, log_score, mean_log_score), natural logarithms."""
     docs = docs.select("doc_id", "text")
@@ -107,36 +131,17 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
         by = np.argsort(h)
         h, total = h[by], total[by]
         others = int(total[0])  # hash 0
-        outside = (others - n_words)[doc]
-        left = []  # what is left of each word's n-gram counts without its own document
-        for k, g in enumerate(grams):
-            u, _, inverse = _counted(g)
-            all_of = total[np.minimum(np.searchsorted(h, u), len(h) - 1)]
-            own = _counted(mix(g + np.uint64(0x9E37) * doc.astype(np.uint64)) if len(g) else g)
-            left.append(np.where(place >= k, all_of[inverse] - own[1][own[2]], 0) if len(g) else np.zeros(0, np.int64))
-        log = np.zeros(len(doc))
-        done = np.zeros(len(doc), bool)
-        steps_back = np.zeros(len(doc), np.int64)
-        for k in range(order - 1, 0, -1):
-            can = ~done & (place >= k)
-            seen = can & (left[k] > 0)
-            i = np.flatnonzero(seen)
-            context = left[k - 1][i - 1]
-            log[i] = np.log(left[k][i] / context) + steps_back[i] * math.log(backoff)
-            done |= seen
-            steps_back += can & ~seen
-        i = np.flatnonzero(~done)
-        known = left[0][i] > 0 if len(i) else np.zeros(0, bool)
-        log[i] = np.log(np.where(known, left[0][i] / np.maximum(outside[i], 1), 1 / (outside[i] + 1))) + (steps_back[i] + ~known) * math.log(backoff) if len(i) else 0
-        unseen = np.zeros(len(doc), bool)
-        unseen[i[~known]] = True
         size = len(n_words)
-        return pa.table(
-            {
-                "doc_id": rows["doc_id"], "n_words": n_words, "n_backed_off": np.bincount(doc, steps_back > 0, minlength=size).astype(np.int64),
-                "n_unseen": np.bincount(doc, unseen, minlength=size).astype(np.int64), "log_score": np.round(np.bincount(doc, log, minlength=size), 6),
-            }
-        )
+        log_score, backed, unseen = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        ends = np.r_[0, np.cumsum(n_words)]
+        for lo, hi in steps(ends, 1 << 18):  # a few documents at a time: what is worked out for each word is dropped again
+            own = slice(ends[lo], ends[hi])
+            of = doc[own] - lo
+            log, back, none = _word_scores([g[own] for g in grams], of, place[own], h, total, (others - n_words[lo:hi])[of], backoff)
+            log_score[lo:hi] = np.bincount(of, log, minlength=hi - lo)
+            backed[lo:hi] = np.bincount(of, back, minlength=hi - lo)
+            unseen[lo:hi] = np.bincount(of, none, minlength=hi - lo)
+        return pa.table({"doc_id": rows["doc_id"], "n_words": n_words, "n_backed_off": backed, "n_unseen": unseen, "log_score": np.round(log_score, 6)})
 
     entries = blocked.groupBy("block").applyInArrow(explode, "part long, block int, h array<long>, n array<long>")
     answers = entries.groupBy("part").applyInArrow(total, "block int, part long, total array<long>")
