@@ -35,7 +35,7 @@ from .common import likely, mix, powers, steps, stored, utf8
 LENGTH = 50
 ANCHOR = 20
 HOT = 4_000
-BUCKET = 500
+BUCKET = 4_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     bits = min(63, int(total).bit_length() + 4)
     shared = stored(shared_anchors(anchor_rows(docs, bits, length, k)), "anchors")
     closer = shared.filter("not whole").select("doc_id", "pos").distinct()
-    partial = closer_spans(contexts_of(docs, closer, length, k), length)
+    partial = closer_spans(stored(contexts_of(docs, closer, length, k), "halves"), length)
     full = shared.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("end"))
     return full.unionByName(partial).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
