@@ -170,6 +170,24 @@ def test_toxicity(spark, docs, empty):
     assert not any(r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_knows_words_that_no_clean_text_has(spark):
+    """Two words that only toxic texts have, among few labelled texts, and a common word run together in clean ones."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    rows, labels = [], []
+    for i in range(300):
+        w = [word() for _ in range(60)]
+        if i % 10 == 0:
+            w[30:30] = ["worthless", "xyzzy", "scum"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 10 == 0)))
+    rows += [(1000, " ".join([word() for _ in range(40)] + ["worthless", "scum"] + [word() for _ in range(40)])), (1001, " ".join(word() for _ in range(80)))]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = by_id(toxicity.toxicity(df, labels), "predicted", "passages")
+    assert got[1000][0] == 1 and [(p.start, p.end) for p in got[1000][1]] == [(40, 42)]
+    assert got[1001] == (0, [])
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_scores(docs, rows, empty, order):
     got = by_id(lm_score.lm_scores(docs, order, block_chars=3000), "n_words", "n_backed_off", "n_unseen", "log_score")
