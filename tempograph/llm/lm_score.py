@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE_CLASS, block_count, doc_numbers, mix, shingles, steps, utf8, word_hashes, words_of
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 BLOCK_CHARS = 16 << 20
 

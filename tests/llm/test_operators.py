@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempograph.llm import bpe, decontaminate, jaccard_join, lm_score, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from tempograph.llm import bpe, decontaminate, jaccard_join, lm_score, pii, quality_classifier, quality_rules, queries, suffix_dedup, toxicity, url_filter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -196,6 +196,13 @@ def test_lm_scores(docs, rows, empty, order):
     assert lm_score.lm_scores(empty, order).count() == 0
 
 
+def test_lm_query_scores_trigrams(spark, tmp_path):
+    rows = [(1, "a b c d"), (2, "x b c y"), (3, "a b c e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op10_lm_scoring(spark, str(tmp_path)), "n_words", "n_backed_off", "n_unseen", "log_score")
+    assert got == {i: pytest.approx(want) for (i, _), want in zip(rows, lm_score.brute_force([t for _, t in rows], 3))}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
