@@ -3,6 +3,9 @@
 Seeds are emails, IP addresses, card numbers and phone numbers of fixed form. Around each seed, and around each
 other identifier-like string (one with an "@" or at least `MIN_DIGITS` digits), the words to the left and right
 give lexical patterns: two words before, or one word before and one after, with the coarse kind of characters inside.
+A run of digits is cut where a seed lies in it. What is left is offered whole, and if spaces part complete groups (each of
+enough digits, or in a shape that recurs) also in pieces; pieces have the whole run's patterns besides their own, and count neither for nor
+against a pattern. Of a run and its pieces the pieces become spans if they make it up, else the run, else what pieces were found.
 Spark holds the graph of patterns and instances and scores it in rounds: a pattern is as good as the share
 of its instances that are known to be of a kind, an instance is as good as the best of its patterns together.
 Instances that reach `MIN_SCORE` through patterns with `MIN_SEEDS` distinct seeds become spans of that kind.
@@ -17,7 +20,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -83,53 +86,89 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
     return [*out, f"{left} {inner} {after[0] if after else '$'}"]
 
 
+def _pieces(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], bool]:
+    """Single identifiers in a run of digits, and whether they make it up."""
+    words = [(start + m.start(), start + m.end()) for m in _WORD.finditer(text[start:end])]
+    digits = [len(_NOT_DIGIT.sub("", text[a:b])) for a, b in words]
+    if len(words) < 2:
+        return [], False
+    if min(digits) >= MIN_DIGITS:
+        return words, True
+    shapes = [_DIGIT.sub("9", text[a:b]) for a, b in words]
+    back = [0]  # of each prefix: its longest border (Knuth, Morris and Pratt); the last one gives the period
+    for i in range(1, len(shapes)):
+        k = back[-1]
+        while k and shapes[i] != shapes[k]:
+            k = back[k - 1]
+        back.append(k + (shapes[i] == shapes[k]))
+    p = len(shapes) - back[-1]
+    if p < len(shapes) and len(shapes) % p == 0 and sum(digits[:p]) >= MIN_DIGITS:
+        return [(words[i][0], words[i + p - 1][1]) for i in range(0, len(words), p)], True
+    return [w for w, n in zip(words, digits) if n >= MIN_DIGITS], False
+
+
 def _mentions(text: str):
-    """Seeds, and candidate strings that overlap none of them: (kind or None, start, end, instance, patterns)."""
+    """Seeds, and candidate strings that overlap none of them: (kind or None, start, end, instance, patterns, run, choice). `run` is where
+    the run starts that a candidate is or belongs to; of a run, candidates of the least `choice` are taken; 1 is the run itself."""
     seeds = base_spans(text)
     taken = sorted((a, b) for _, a, b in seeds)
     for kind, a, b in seeds:
-        yield kind, a, b, text[a:b].lower(), _patterns(text, a, b)
+        yield kind, a, b, text[a:b].lower(), _patterns(text, a, b), a, 1
     if "@" not in text and not _DIGIT.search(text):
         return
     k = 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.start(), m.end()
+        around = []  # the stretch without the seeds in it
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if (k < len(taken) and taken[k][0] < b) or ("@" not in m[0] and len(_NOT_DIGIT.sub("", m[0])) < MIN_DIGITS) or b - a > 80:
-            continue
-        yield None, a, b, m[0].lower(), _patterns(text, a, b)
+        at, j = a, k
+        while j < len(taken) and taken[j][0] < b:
+            around.append((at, taken[j][0]))
+            at, j = max(at, taken[j][1]), j + 1
+        outer = _patterns(text, a, b)
+        for lo, hi in [*around, (at, b)]:
+            for c in _CANDIDATE.finditer(text, lo, max(lo, hi)):
+                s, e = c.start(), c.end()
+                number = "@" not in c[0]
+                if number and len(_NOT_DIGIT.sub("", c[0])) < MIN_DIGITS:
+                    continue
+                whole = list(dict.fromkeys([*_patterns(text, s, e), *outer]))
+                yield None, s, e, c[0].lower(), whole, s, 1
+                pieces, all_of_it = _pieces(text, s, e) if number else ([], False)
+                for x, y in pieces:
+                    yield None, x, y, text[x:y].lower(), list(dict.fromkeys([*_patterns(text, x, y), *whole])), s, 0 if all_of_it else 2
 
 
 def mentions(docs: DataFrame) -> DataFrame:
     """(doc_id, found): all seeds and candidates of each document."""
     docs = docs.select("doc_id", "text")
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("run", pa.int32()), ("choice", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            rows = [[dict(zip(("kind", "start", "end", "instance", "patterns"), x)) for x in _mentions(t or "")] for t in batch.column(1).to_pylist()]
+            rows = [[dict(zip(("kind", "start", "end", "instance", "patterns", "run", "choice"), x)) for x in _mentions(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(rows, kind)], ["doc_id", "found"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>>>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>,run:int,choice:int>>")
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(instance, kind, score): unseen instances that high-confidence patterns vouch for."""
-    flat = found.select(F.explode("found").alias("m")).select("m.kind", "m.instance", "m.patterns")
-    edges = stored(flat.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    """(instance, kind, score): seeds' instances, and unseen ones that high-confidence patterns vouch for."""
+    flat = found.select(F.explode("found").alias("m")).select("m.kind", "m.instance", "m.patterns", (F.col("m.choice") != 1).alias("piece"))
+    edges = stored(flat.select("instance", "kind", "piece", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.min("piece").alias("piece")), "edges")
     seeded = edges.filter("kind is not null").select("pattern").distinct()
     # Patterns without a seed can only matter once an instance is found, so all edges of found instances stay in play.
     known = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):
-        total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-        backed = edges.select("pattern", "instance").hint("merge").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
+        total = edges.filter("not piece").groupBy("pattern").agg(F.count("*").alias("n"))
+        backed = edges.filter("not piece").select("pattern", "instance").hint("merge").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
         pattern = backed.filter(F.col("k") >= min_seeds).hint("merge").join(total, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("s") / (F.col("n") + 0.25)).alias("p")).filter("p >= 0.5")
         unseen = edges.filter("kind is null").select("pattern", "instance").hint("merge").join(pattern, "pattern")
         scored = unseen.groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("score"))
         best = scored.groupBy("instance").agg(F.max_by("as", F.struct("score", "as")).alias("kind"), F.max("score").alias("score")).filter(F.col("score") >= min_score)
         known = stored(edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)).unionByName(best), "known")
-    return known.hint("merge").join(edges.filter("kind is not null").select("instance").distinct(), "instance", "left_anti").filter(F.col("score") >= min_score)
+    return known.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")).filter(F.col("score") >= min_score)
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -138,8 +177,10 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     new = bootstrap(found, rounds)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
     per_doc = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(rank.cast("int").alias("k"), "start", "end"))).alias(name))
-    flat = found.filter(F.size("found") > 0).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.kind", "m.start", "m.end", "m.instance")
+    flat = found.filter(F.size("found") > 0).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.kind", "m.start", "m.end", "m.instance", "m.run", "m.choice")
     more = flat.filter("kind is null").drop("kind").hint("merge").join(new.select("instance", "kind"), "instance")
+    least = F.min("choice").over(Window.partitionBy("doc_id", "run"))
+    more = more.withColumn("_least", least).filter("choice = _least")
     extra = per_doc(more, "extra").withColumnRenamed("doc_id", "x")
     base = F.array_sort(F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: F.struct((F.array_position(F.array(*map(F.lit, KINDS)), m["kind"]) - 1).cast("int").alias("k"), m["start"].alias("start"), m["end"].alias("end"))))
     joined = found.select("doc_id", base.alias("base")).join(extra.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("x")), "left")

@@ -103,6 +103,29 @@ def test_pii_discovers_by_context(spark):
     assert by_id(pii.redact(df, found), "text")[50] == ("Please ring me at <phone> before noon",)
 
 
+def test_pii_discovers_in_lists_and_beside_seeds(spark):
+    """Identifiers in one long run, in groups of a recurring shape, and after a fixed span."""
+    numbers = [f"123-45-{6700 + i}" for i in range(8)]
+    seeds = [(i, f"Please ring me at +1 (555) 010-{1000 + i} before noon") for i in range(30)] + [(100 + i, f"Kept for ext 10.0.0.{i} in all") for i in range(30)]
+    rows = [*seeds, (50, f"Please ring me at {' '.join(numbers)} before noon"), (51, "Please ring me at 555 010 7777 555 010 8888 before noon"), (52, "Kept for ext 10.0.0.5 123-45-6789 in all"), (53, f"Sold {' '.join(numbers)} units")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.personal_data(df)
+    got = by_id(pii.redact(df, found), "text")
+    assert got[50] == (f"Please ring me at {' '.join(['<phone>'] * 8)} before noon",)
+    assert got[51] == ("Please ring me at <phone> <phone> before noon",)
+    assert got[52] == ("Kept for ext <ip> <ip> in all",)
+    assert len(found.filter("doc_id = 50").first().spans) == 8
+
+
+def test_pii_pieces():
+    cut = lambda t: ([t[a:b] for a, b in pii._pieces(t, 0, len(t))[0]], pii._pieces(t, 0, len(t))[1])
+    assert cut("123-45-6789 987-65-4321") == (["123-45-6789", "987-65-4321"], True)
+    assert cut("555 010 7777 555 010 8888") == (["555 010 7777", "555 010 8888"], True)
+    assert cut("5 123-45-6789") == (["123-45-6789"], False)
+    assert cut("555 010 7777") == ([], False)
+    assert [m[3] for m in pii._mentions("ext 10.0.0.5 123-45-6789")] == ["10.0.0.5", "123-45-6789"]
+
+
 @pytest.mark.parametrize("small", [4, 2])
 def test_jaccard_join(docs, rows, empty, small):
     got = by_id(jaccard_join.link_components(docs, small=small), "n_shingles", "component_id")
