@@ -80,9 +80,11 @@ def stale_models(models: DataFrame, curated: DataFrame, facts: DataFrame) -> Dat
     return hit.groupBy("model_id").agg(F.count("*").alias("n_newer_entities"))
 
 
-def draft_models(state: DataFrame, statements: int = 10) -> DataFrame:
-    """A draft for each entity: its newest active statements, joined."""
-    w = Window.partitionBy("subject_id").orderBy(F.desc("recorded_at"), F.desc("seq"))
-    top = state.filter("epistemic_state = 'active'").withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= statements)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_p", "statement"))), lambda x: x["statement"])
-    return top.groupBy("subject_id").agg(F.array_join(listed, ". ").alias("summary"), F.count("*").alias("n_statements"))
+def draft_models(state: DataFrame, statements: int | None = None) -> DataFrame:
+    """A draft for each entity: its active statements, newest first, joined; of the newest `statements` only, if given."""
+    top = state.filter("epistemic_state = 'active'")
+    if statements is not None:
+        w = Window.partitionBy("subject_id").orderBy(F.desc("recorded_at"), F.desc("seq"))
+        top = top.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= statements)
+    newest = F.reverse(F.array_sort(F.collect_list(F.struct("recorded_at", "seq", "statement"))))
+    return top.groupBy("subject_id").agg(F.array_join(F.transform(newest, lambda x: x["statement"]), ". ").alias("summary"), F.count("*").alias("n_statements"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempograph import functions as X
 from tempograph import streaming
-from tempograph.operators import extraction, facts, graph, quality, retrieval, storage, temporal
+from tempograph.operators import consolidation, extraction, facts, graph, quality, retrieval, storage, temporal
 from tempograph.sources import vocabulary
 
 FACT = "id string, seq long, subject_id string, predicate string, namespace string, object_value string, functional boolean, negation boolean, recorded_at timestamp, valid_at timestamp"
@@ -176,3 +176,10 @@ def test_session_batches(spark):
     got = storage.to_episodes(s, m, 2).orderBy("msg_range").collect()
     assert [r.msg_range for r in got] == ["0-2", "2-4", "4-5"] and got[0].content == "Assistant: m0\nUser: m1"
     assert len({r.id for r in got}) == 3 and all(len(r.id) == 36 for r in got)
+
+
+def test_drafts_have_all_active_statements(spark):
+    rows = [("s1", f"2026-01-01 00:00:{i:02d}", i, f"t{i}", "superseded" if i == 3 else "active") for i in range(25)] + [("s2", "2026-01-01 00:00:00", 99, "u", "active")]
+    state = spark.createDataFrame(rows, "subject_id string, recorded_at string, seq long, statement string, epistemic_state string").withColumn("recorded_at", F.to_timestamp("recorded_at"))
+    got = {r.subject_id: (r.summary, r.n_statements) for r in consolidation.draft_models(state).collect()}
+    assert got == {"s1": (". ".join(f"t{i}" for i in reversed(range(25)) if i != 3), 24), "s2": ("u", 1)}
