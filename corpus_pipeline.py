@@ -47,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with hashes of the ids and of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digest(bpe.decode(bpe.encode(docs, path), path))
+    return bpe.digest(bpe.round_trip(docs, path))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("tokens", tokens)]

@@ -1,23 +1,28 @@
 """Byte-pair encoding and decoding over a table of distinct words.
 
-Documents are dealt to blocks. Each block lists its distinct words (the pieces that the tokenizer's own pattern
-cuts a text into) with a number each. Spark brings equal words of all blocks together, each distinct
-word is encoded once, and its ids go back to the blocks that hold it, where they are joined to the words'
-positions. So a word travels once for each block, not for each occurrence, and a frequent word is as many entries as there are
-blocks at most. What travels is batches of rows in Arrow's compressed form: documents by block, words by block and part (a part is a
-share of all words, by hash), ids by part and block. Parts and blocks are as many, so both stay small as the corpus grows.
-Decoding joins ids with the vocabulary's id-to-piece table, whose size is the
-tokenizer's (about 50,000 rows), so it is sent to every task, and puts the pieces together by position.
+Documents are dealt to blocks by a hash of id and text. Each block lists its distinct words (the pieces that the tokenizer's own
+pattern cuts a text into). Spark brings equal words of all blocks together by hash, each distinct word is encoded once, and its ids
+go back to the blocks that hold it, where they are joined to the words' positions. So a word travels once for each block, not for
+each occurrence, and a frequent word is as many entries as there are blocks at most.
+
+A row that travels is one block's words of one part (a part is a share of all words, by hash), in the order of their hashes; the
+answer holds their ids in that order, so neither needs a key for each word. A row is only sent where a block has words of a part: rows are never
+more than words, and hold hundreds of words up to some 100 GB. Texts and words are compressed columns, as the task's disk bound is
+1.5 x input, and rows of single words with Spark's own row headers would take twice that.
+
+Decoding joins ids with the vocabulary's id-to-piece table. Ids are dense numbers and the table is as large as the tokenizer (about 50,000
+rows), so every task holds it, and the join is a gather by id; pieces are put together by position.
 
 The tokenizer file must be at the given path on every machine; it is only read.
 
 Defined results: null is encoded as the empty text: no ids; the special string of the tokenizer becomes its id,
 as in the tokenizers library; repeated rows are each encoded; a text of one very long word is one word.
-Documents of one doc_id may differ in text.
+Documents of one doc_id may differ in text; doc_id may be null and of any type that can be sorted; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, mix, utf8, word_hashes
+from .common import block_count, mix, squeeze, unsqueeze, utf8, word_hashes
 
 BLOCK_CHARS = 10 << 20
 #: The special string, and the pattern of the byte-level pre-tokenizer with its spaces spelt out.
@@ -51,7 +56,9 @@ def _splitter():
     return split
 
 
+@functools.lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    """Read once by a Python worker, not for each group."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -116,8 +123,19 @@ def _spread(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+def _parted(words: dict[str, int], parts: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words in order of (part, hash), the number each had, and the parts and row bounds of them."""
+    listed = pa.array(words, pa.string())
+    data, offsets = utf8(listed)
+    h = mix(word_hashes(data, offsets[:-1], offsets[1:]))
+    part = (h % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((h, part))
+    part = part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    return listed.take(pa.array(order)), order, part[cut], np.r_[cut, len(part)]
+
+
+def _encode(docs: DataFrame, tokenizer_path: str, block_chars: int, decoded: bool) -> DataFrame:
     docs = docs.select("doc_id", "text")
     n = block_count(docs, block_chars)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -135,35 +153,32 @@ def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS)
         numbers: dict[str, int] = {}
         for words in _listed(_block_rows(rows))[1]:
             numbers.update(dict.fromkeys(words))
-        words = pa.array(numbers, pa.string())
+        words, _, parts, bounds = _parted(numbers, n)
         del numbers
         data, offsets = utf8(words)
-        part = (mix(word_hashes(data, offsets[:-1], offsets[1:])) % np.uint64(n)).astype(np.int32)
-        parts, packs = [], []
-        for k in np.unique(part).tolist():
-            code = np.flatnonzero(part == k)
-            own = pa.table({"code": pa.array(code.astype(np.int32)), "word": words.take(pa.array(code))}).sort_by("word")
-            parts.append(k)
-            packs.append(_pack(own, 7))
-        return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(parts), pa.int32()), "pack": pa.array(packs, pa.binary())})
+        sent = [(squeeze(data[offsets[a] : offsets[b]]), squeeze(np.diff(offsets[a : b + 1]).astype(np.uint32))) for a, b in zip(bounds[:-1], bounds[1:])]
+        block = pa.array([rows["block"][0].as_py()] * len(parts), pa.int32())
+        return pa.table({"part": pa.array(parts, pa.int32()), "block": block, "words": pa.array([w for w, _ in sent], pa.binary()), "sizes": pa.array([x for _, x in sent], pa.binary())})
 
     def encode_words(rows: pa.Table) -> pa.Table:
         tokenizer = _tokenizer(tokenizer_path)
-        tables = _unpack(rows["pack"])
-        words = pa.concat_arrays([c for t in tables for c in t["word"].chunks]).dictionary_encode()
-        distinct, size, flat = words.dictionary.to_pylist(), [], []
-        for i in range(0, len(distinct), 2000):
-            for x in tokenizer.encode_batch(distinct[i : i + 2000], add_special_tokens=False):
-                ids = x.ids
-                size.append(len(ids))
-                flat += ids
-        size, flat = np.array(size, np.int64), np.array(flat, np.uint32)
-        begin, index, at, packs = np.cumsum(size) - size, words.indices.to_numpy(), 0, []
-        for t in tables:
-            own = index[at : at + len(t)]
-            at += len(t)
-            packs.append(_pack(pa.table({"code": t["code"], "ids": pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[own])]), pa.array(flat[_spread(size[own], begin[own])]))})))
-        return pa.table({"block": rows["block"], "pack": pa.array(packs, pa.binary())})
+        sizes = [unsqueeze(x.as_buffer(), np.uint32) for x in rows["sizes"]]
+        ends = np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]
+        text = pa.py_buffer(b"".join(unsqueeze(x.as_buffer(), np.uint8).tobytes() for x in rows["words"]))
+        words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), text).dictionary_encode()
+        size, flat = [], []
+        for i in range(0, len(words.dictionary), 2000):
+            encoded = [x.ids for x in tokenizer.encode_batch(words.dictionary[i : i + 2000].to_pylist(), add_special_tokens=False)]
+            size.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            flat.append(np.array([t for ids in encoded for t in ids], np.uint32))
+        size, flat = np.concatenate(size), np.concatenate(flat)
+        begin, index, at, counts, ids = np.cumsum(size) - size, words.indices.to_numpy(), 0, [], []
+        for x in sizes:
+            own = index[at : at + len(x)]
+            at += len(x)
+            counts.append(squeeze(size[own].astype(np.uint32)))
+            ids.append(squeeze(flat[_spread(size[own], begin[own])]))
+        return pa.table({"block": rows["block"], "part": rows["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     def join_ids(rows: pa.Table, encoded: pa.Table) -> pa.Table:
         rows = _block_rows(rows)
@@ -174,39 +189,54 @@ def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS)
             codes += [number.setdefault(w, len(number)) for w in words]
             cuts.append(len(codes))
         codes, cuts = np.array(codes, np.int64), np.array(cuts)
-        size, begin = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
-        flats, base = [], 0
-        for t in _unpack(encoded["pack"]):
-            ids = t["ids"].combine_chunks()
-            ends = ids.offsets.to_numpy()
-            code = t["code"].to_numpy()
-            size[code], begin[code] = np.diff(ends), base + ends[:-1]
-            flats.append(ids.values.to_numpy())
-            base += len(flats[-1])
-        if (size < 0).any():
-            raise ValueError(f"{int((size < 0).sum())} of {len(number)} words of a block were not encoded")
-        flat = np.concatenate([np.zeros(0, "<u4"), *flats]).astype("<u4")
-        del number
+        _, order, parts, bounds = _parted(number, n)
+        encoded = encoded.sort_by("part")
+        counts = [unsqueeze(x.as_buffer(), np.uint32) for x in encoded["counts"]]
+        if encoded["part"].to_pylist() != parts.tolist() or [len(x) for x in counts] != np.diff(bounds).tolist():
+            raise ValueError(f"{sum(map(len, counts))} of {len(number)} words of a block were encoded")
+        size = np.zeros(len(number), np.int64)
+        begin = np.zeros(len(number), np.int64)
+        every = np.concatenate([np.zeros(0, np.uint32), *counts]).astype(np.int64)
+        size[order], begin[order] = every, np.cumsum(every) - every
+        flat = np.concatenate([np.zeros(0, "<u4"), *(unsqueeze(x.as_buffer(), np.uint32) for x in encoded["ids"])]).astype("<u4")
+        del number, encoded, counts
         # Ids of each distinct chunk, one after another; a text is a run of chunks.
         own = size[codes]
         flat = flat[_spread(own, begin[codes])]
         at = np.r_[0, np.cumsum(own)][cuts]
         size, begin = np.diff(at), at[:-1]
         chunks, get = _chunker(), chunk.__getitem__
-        out, lengths = [], []
-        for text in rows["text"].to_pylist():
+        text_of = _decoder(tokenizer_path) if decoded else None
+        out, lengths, texts = [], [], []
+        for text in rows["text"]:
+            text = text.as_py()
             c = np.fromiter(map(get, chunks(text)), np.int64) if text else np.zeros(0, np.int64)
             ids = flat[_spread(size[c], begin[c])]
             out.append(ids.tobytes())
             lengths.append(len(ids))
-        return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(out, pa.binary())})
+            if decoded:
+                texts.append(text_of(ids))
+        more = {"decoded": pa.array(texts, pa.string())} if decoded else {}
+        return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(out, pa.binary()), **more})
+
+    blocked = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(deal, "block int, pack binary")
+    words = blocked.groupBy("block").applyInArrow(list_words, "part int, block int, words binary, sizes binary")
+    encoded = words.groupBy("part").applyInArrow(encode_words, "block int, part int, counts binary, ids binary")
+    fields = f"doc_id {id_type}, n_tokens long, ids binary" + ", decoded string" * decoded
+    return blocked.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join_ids, fields)
 
-    blocked = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(deal, "block int, pack binary")
-    words = blocked.groupBy("block").applyInArrow(list_words, "part int, block int, pack binary")
-    encoded = words.groupBy("part").applyInArrow(encode_words, "block int, pack binary")
-    return blocked.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join_ids, f"doc_id {id_type}, n_tokens long, ids binary")
 
+def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+    return _encode(docs, tokenizer_path, block_chars, decoded=False)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """`decode(encode(docs))` in one Python worker for each task instead of two."""
+    return _encode(docs, tokenizer_path, block_chars, decoded=True)
 
+
+@functools.lru_cache(maxsize=1)
 def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The id-to-piece table: all pieces' bytes, and where each id's begin."""
     tokenizer = _tokenizer(path)
@@ -218,20 +248,22 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
 
 
+def _decoder(path: str):
+    data, begin = _pieces(path)
+    size = np.diff(begin)
+    return lambda ids: data[_spread(size[ids], begin[ids])].tobytes().decode("utf-8", "replace")
+
+
 def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Add `decoded`, the text of `ids`; bytes that are no UTF-8 become U+FFFD."""
+    """Add `decoded`, the text of `ids`; bytes that are no UTF-8 become U+FFFD. Null ids are none."""
     keep = [c for c in tokens.columns if c != "decoded"]
     tokens = tokens.select(*keep)
     at_ids = keep.index("ids")
 
     def run(batches):
-        data, begin = _pieces(tokenizer_path)
-        size = np.diff(begin)
+        text_of = _decoder(tokenizer_path)
         for batch in batches:
-            out = []
-            for ids in batch.column(at_ids).to_pylist():
-                ids = np.frombuffer(ids or b"", "<u4")
-                out.append(data[_spread(size[ids], begin[ids])].tobytes().decode("utf-8", "replace"))
+            out = [text_of(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(at_ids)]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*keep, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)

@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,17 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(slot(0).alias("_b0"), slot(1).alias("_b1"), slot(2).alias("_b2"), *keep).mapInArrow(run, fields)
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Integers as one compressed value: their bytes plane by plane, so that small numbers of a wide type cost little."""
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 3)
+
+
+def unsqueeze(b, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^i and P^-i modulo 2^64 for i below n."""
     if "p" not in _powers or len(_powers["p"]) < n:

@@ -12,7 +12,7 @@ from .common import table
 
 def op1_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), path))
 
 
 def op2_suffix_dedup(spark, sf_dir):
