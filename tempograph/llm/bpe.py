@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, mix, squeeze, unsqueeze, utf8, word_hashes
+from .common import block_count, dealt, mix, squeeze, unpacked, unsqueeze, utf8, word_hashes
 
 BLOCK_CHARS = 10 << 20
 #: The special string, and the pattern of the byte-level pre-tokenizer with its spaces spelt out.
@@ -68,22 +68,6 @@ def _tokenizer(path: str):
     return t
 
 
-def _pack(rows: pa.Table, level: int = 3) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
-        out.write_table(rows)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(packs: pa.ChunkedArray) -> list[pa.Table]:
-    return [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs]
-
-
-def _block_rows(rows: pa.Table) -> pa.Table:
-    """A block's documents in one order, however they arrive: it fixes the words' numbers."""
-    return pa.concat_tables(_unpack(rows["pack"])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
 #: A space beside other white space, where a text can't be cut at spaces.
 _WIDE_SPACE = rf" [{_S}]|[{_S}] |^ | $"
 
@@ -140,18 +124,9 @@ def _encode(docs: DataFrame, tokenizer_path: str, block_chars: int, decoded: boo
     n = block_count(docs, block_chars)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def deal(batches):
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            rows = pa.table(batch.columns[1:], ["doc_id", "text"])
-            order = np.argsort(block, kind="stable")
-            cut = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1], True]) if len(block) else np.zeros(1, int)
-            packs = [(int(block[order[a]]), _pack(rows.take(pa.array(order[a:b])), 6)) for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.record_batch([pa.array([x for x, _ in packs], pa.int32()), pa.array([x for _, x in packs], pa.binary())], ["block", "pack"])
-
     def list_words(rows: pa.Table) -> pa.Table:
         numbers: dict[str, int] = {}
-        for words in _listed(_block_rows(rows))[1]:
+        for words in _listed(unpacked(rows))[1]:
             numbers.update(dict.fromkeys(words))
         words, _, parts, bounds = _parted(numbers, n)
         del numbers
@@ -181,7 +156,7 @@ def _encode(docs: DataFrame, tokenizer_path: str, block_chars: int, decoded: boo
         return pa.table({"block": rows["block"], "part": rows["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     def join_ids(rows: pa.Table, encoded: pa.Table) -> pa.Table:
-        rows = _block_rows(rows)
+        rows = unpacked(rows)
         chunk, chunk_words = _listed(rows)
         number: dict[str, int] = {}
         codes, cuts = [], [0]  # words of each distinct chunk
@@ -219,7 +194,7 @@ def _encode(docs: DataFrame, tokenizer_path: str, block_chars: int, decoded: boo
         more = {"decoded": pa.array(texts, pa.string())} if decoded else {}
         return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(out, pa.binary()), **more})
 
-    blocked = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(deal, "block int, pack binary")
+    blocked = dealt(docs, n)
     words = blocked.groupBy("block").applyInArrow(list_words, "part int, block int, words binary, sizes binary")
     encoded = words.groupBy("part").applyInArrow(encode_words, "block int, part int, counts binary, ids binary")
     fields = f"doc_id {id_type}, n_tokens long, ids binary" + ", decoded string" * decoded

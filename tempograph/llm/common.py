@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Bytes of text that one numpy step works on; one longer document is a step of its own.
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the shared folder that the cluster names; a temporary one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # one machine, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -60,28 +62,66 @@ def block_count(docs: DataFrame, block_chars: int) -> int:
     return max(1, -(-total // block_chars), min(parts, -(-16 * total // block_chars)))
 
 
+def _pack(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def dealt(docs: DataFrame, n: int) -> DataFrame:
+    """(block, pack): documents (doc_id, text) dealt to n blocks by a hash of both, so one doc_id or null is not one block; a pack is a task's
+    documents of a block in Arrow's compressed form, 40 % less than as rows."""
+
+    def run(batches):
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            rows = pa.table(batch.columns[1:], ["doc_id", "text"])
+            order = np.argsort(block, kind="stable")
+            cut = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1], True]) if len(block) else np.zeros(1, int)
+            packs = [(int(block[order[a]]), _pack(rows.take(pa.array(order[a:b])))) for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.record_batch([pa.array([x for x, _ in packs], pa.int32()), pa.array([x for _, x in packs], pa.binary())], ["block", "pack"])
+
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(run, "block int, pack binary")
+
+
+def unpacked(rows: pa.Table) -> pa.Table:
+    """A block's documents in one order, however they arrive."""
+    tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["pack"]]
+    return pa.concat_tables(tables).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 BLOOM_BITS = 26
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id may be in `ids` (column doc_id), and few others: a Bloom filter of fixed size (8 MB, whatever the
-    corpus) keeps texts that no join wants from being shuffled. Beyond some ten million ids it lets more through; the join that
-    follows decides."""
-    slot = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << BLOOM_BITS))
-    bits = ids.select(F.explode(F.array(slot(0), slot(1), slot(2))).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
+def bloom(spark: SparkSession, slots: DataFrame):
+    """A Bloom filter of fixed size (8 MB, whatever the data) from rows of slots `s`, summed in Spark and sent to every task. It only saves
+    shuffling: what it lets through is decided by the join that follows."""
+    bits = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
     words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     for r in bits.toLocalIterator():  # at most 2^20 rows
         words[r["w"]] = r["b"]
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    return spark.sparkContext.broadcast(words)
+
+
+def in_bloom(words: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+    filled = words.view(np.uint64)
+    ok = np.ones(len(slots[0]), bool)
+    for s in slots:
+        ok &= (filled[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0
+    return ok
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be in `ids` (column doc_id), and few others, so that texts which no join wants aren't shuffled.
+    Beyond some ten million ids it lets more through."""
+    slot = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << BLOOM_BITS))
+    sent = bloom(docs.sparkSession, ids.select(F.explode(F.array(slot(0), slot(1), slot(2))).alias("s")))
     keep = docs.columns
 
     def run(batches):
-        filled = sent.value.view(np.uint64)
         for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for i in range(3):
-                s = batch.column(i).to_numpy().view(np.uint64)
-                ok &= (filled[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0
+            ok = in_bloom(sent.value, [batch.column(i).to_numpy().view(np.uint64) for i in range(3)])
             yield pa.record_batch(batch.columns[3:], keep).filter(pa.array(ok))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -99,6 +139,31 @@ def unsqueeze(b, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
 
 
+def ranked(ids: DataFrame) -> DataFrame:
+    """(doc_id, rank): distinct ids numbered without gaps in their order, null first. Only row counts of sorted partitions are gathered, as a table."""
+    sorted_ids = stored(ids.select("doc_id").distinct().orderBy("doc_id").withColumn("_m", F.monotonically_increasing_id()), "ranks").withColumn("_p", F.shiftright("_m", 33))
+    sizes = sorted_ids.groupBy("_p").count()
+    before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))  # one row for each partition
+    return sorted_ids.join(F.broadcast(before), "_p").select("doc_id", (F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_before")).alias("rank"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(docs (doc_id, text, n long), shift, plain). Numbers are ordered as doc_ids, null first; n >> shift is the same for rows of one doc_id, and
+    rows of one doc_id have one number only if their texts are equal (by 64-bit hash). Whole, distinct ids are their own numbers (shift 0, `plain`);
+    that is found out by a count of ids, without texts. Otherwise ids are ranked in one sort, and texts join their numbers."""
+    docs = docs.select("doc_id", "text")
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") and docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("n", F.col("doc_id").cast("long")), 0, True
+    keyed = docs.withColumn("_t", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_t")) - 1
+    texts = stored(keyed.select("doc_id", "_t").distinct().withColumn("_j", place.cast("long")), "texts")
+    shift = int(texts.agg(F.max("_j")).first()[0] or 0).bit_length()
+    ranks = ranked(texts).withColumnRenamed("doc_id", "_id")
+    names = texts.hint("merge").join(ranks, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", F.col("_t").alias("_text"), F.shiftleft("rank", shift).bitwiseOR(F.col("_j")).alias("n"))
+    joined = keyed.hint("merge").join(stored(names, "numbers"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text")))
+    return stored(joined.select("doc_id", "text", "n"), "numbered"), shift, False
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^i and P^-i modulo 2^64 for i below n."""
     if "p" not in _powers or len(_powers["p"]) < n:

@@ -1,10 +1,13 @@
 """Language-model scores by stupid backoff, from n-gram counts of the whole corpus.
 
-Documents are dealt to blocks; each block explodes its texts into n-grams of 1 to `order` words and sums equal
-ones. The count table is partitioned by n-gram hash: a block sends each part of the table its n-grams of that part, as arrays of
-hashes and counts (so a frequent n-gram is one entry a block). A part sums them, joins the sums to the entries it got, and sends them
-back in the same order. Blocks and parts are as many, and a row is only sent where a block has n-grams of a part. Each document then sums its
-words' log scores.
+Documents are dealt to blocks; each block explodes its texts into n-grams of 1 to `order` words and sums equal ones, which is
+the map-side combine. The count table is partitioned by n-gram hash: a block sends each part of the table its n-grams of that part, so a
+frequent n-gram is one entry a block. A part sums them, joins the sums to the entries it got, and sends them
+back in the same order. Each document then sums its words' log scores.
+
+A row that travels is one block's entries of one part: sorted hashes as differences, and counts, both compressed without loss (some 6 bytes
+an entry). As Spark rows of their own, entries would take some 20 bytes, more than the 4 x input of disk that the task allows, as nearly every trigram is
+distinct. A row is only sent where a block has n-grams of a part, so rows are never more than entries.
 
 A document does not vouch for itself: its own occurrences are taken off every count. A word's score is
 count(n-gram) / count(its first words) for the longest n-gram with a count left, times 0.4 for each step
@@ -27,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, block_count, doc_numbers, mix, shingles, steps, utf8, word_hashes, words_of
+from .common import LOWER, SPACE_CLASS, block_count, dealt, mix, shingles, squeeze, steps, unpacked, unsqueeze, utf8, word_hashes, words_of
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 
 
 def _grams(rows: pa.Table, order: int):
@@ -105,27 +108,31 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
     docs = docs.select("doc_id", "text")
     n = block_count(docs, block_chars)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    blocked = dealt(docs, n)
 
     def explode(rows: pa.Table) -> pa.Table:
-        grams, _, place, n_words = _grams(rows, order)
+        block = rows["block"][0].as_py()
+        grams, _, place, n_words = _grams(unpacked(rows), order)
         h, count, bounds, part = _entries(grams, place, n_words, n)
-        bounds = pa.array(bounds.astype(np.int32))
-        block = pa.array(np.full(len(part), rows["block"][0].as_py(), np.int32))
-        return pa.table({"part": part, "block": block, "h": pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64))), "n": pa.ListArray.from_arrays(bounds, pa.array(count))})
+        sent = [(squeeze(np.diff(h[a:b], prepend=np.uint64(0))), squeeze(count[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+        return pa.table({"part": part, "block": pa.array(np.full(len(part), block, np.int32)), "h": pa.array([x for x, _ in sent], pa.binary()), "n": pa.array([x for _, x in sent], pa.binary())})
 
     def total(rows: pa.Table) -> pa.Table:
-        h, counts = (rows[c].combine_chunks() for c in ("h", "n"))
-        bounds = np.r_[0, np.cumsum(h.value_lengths().to_numpy())].astype(np.int32)
-        _, inverse = np.unique(h.flatten().to_numpy(), return_inverse=True)
+        h = [np.cumsum(unsqueeze(x.as_buffer(), np.uint64), dtype=np.uint64) for x in rows["h"]]
+        counts = np.concatenate([unsqueeze(x.as_buffer(), np.int64) for x in rows["n"]])
+        bounds = np.cumsum([0, *map(len, h)])
+        _, inverse = np.unique(np.concatenate(h), return_inverse=True)
+        del h
         sums = np.zeros(int(inverse.max(initial=-1)) + 1, np.int64)
-        np.add.at(sums, inverse, counts.flatten().to_numpy())
-        return pa.table({"block": rows["block"], "part": rows["part"], "total": pa.ListArray.from_arrays(pa.array(bounds), pa.array(sums[inverse]))})
+        np.add.at(sums, inverse, counts)
+        sums = sums[inverse]
+        return pa.table({"block": rows["block"], "part": rows["part"], "total": pa.array([squeeze(sums[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = unpacked(rows)
         grams, doc, place, n_words = _grams(rows, order)
         h = _entries(grams, place, n_words, n)[0]
-        total = answers.sort_by("part")["total"].combine_chunks().flatten().to_numpy()
+        total = np.concatenate([unsqueeze(x.as_buffer(), np.int64) for x in answers.sort_by("part")["total"]])
         if len(h) != len(total):
             raise ValueError(f"a block has {len(h)} n-grams, {len(total)} were counted")
         by = np.argsort(h)
@@ -143,8 +150,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
             unseen[lo:hi] = np.bincount(of, none, minlength=hi - lo)
         return pa.table({"doc_id": rows["doc_id"], "n_words": n_words, "n_backed_off": backed, "n_unseen": unseen, "log_score": np.round(log_score, 6)})
 
-    entries = blocked.groupBy("block").applyInArrow(explode, "part long, block int, h array<long>, n array<long>")
-    answers = entries.groupBy("part").applyInArrow(total, "block int, part long, total array<long>")
+    entries = blocked.groupBy("block").applyInArrow(explode, "part long, block int, h binary, n binary")
+    answers = entries.groupBy("part").applyInArrow(total, "block int, part long, total binary")
     scored = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, n_words long, n_backed_off long, n_unseen long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)))
 
