@@ -20,7 +20,9 @@ D = (1-t)/(1+t) * (a+b) shingles, so with more than D cells that aren't empty, t
    join, and verified: no link between different texts is lost, and no group is expanded into all its pairs.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of fewer words than a shingle
-is one shingle; equal texts link; repeated rows of one doc_id are one document; extra columns are ignored.
+is one shingle; equal texts link. doc_id may be of any type that sorts, null before all others; repeated rows and several texts of one doc_id stay a row each and
+link by their texts like other documents; a component's id is the smallest doc_id in it. Extra columns are ignored.
+Words and shingles are compared by 64-bit hashes, not letter by letter, as is the equality of sets (128 bits).
 """
 
 from __future__ import annotations
@@ -33,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, likely, mix, shingles, steps, stored, utf8, word_hashes, words_of
+from .common import LOWER, SPACE_CLASS, likely, mix, numbered, shingles, steps, stored, utf8, word_hashes, words_of
 
 SHINGLE = 5
 #: Similarity as a fraction.
 T_NUM, T_DEN = 75, 100
 SMALL = 4
 SKETCH_WORDS = 16
+#: Sets that a task remembers in order to send each only once; past so many it starts anew.
+MET = 100_000
+#: Parts that a group of equal sets is split into where rows look up its representative.
+SALT = 32
 #: Cells for each one that the pigeonhole needs: room for empty ones.
 SPARE = 1.2
 
@@ -137,11 +143,19 @@ def cell_rows(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int =
 
     def run(batches):
         bands = _bands(t_num, t_den, 1 << 12)
+        met: set[bytes] = set()
         for batch in batches:
             rows, keys = [], []
             for row, h in doc_sets(batch, 1, n):
                 if not len(h):
                     continue
+                # Of equal sets in a task one speaks for all: their pairs are made of representatives later on.
+                name = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+                if name in met:
+                    continue
+                if len(met) >= MET:
+                    met.clear()
+                met.add(name)
                 if len(h) > bands[-1][1]:
                     bands = _bands(t_num, t_den, len(h))
                 for role, band in enumerate(_own_bands(len(h), bands)):
@@ -307,11 +321,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE, small: int = SMALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, n_shingles, component_id) of every row."""
+    rows, _, plain = numbered(docs)
+    if plain:
+        return _linked(rows.select("doc_id", "text"), t_num, t_den, n, small)
+    found = link_rows(rows, t_num, t_den, n, small)
+    name = rows.select(F.col("n").alias("component"), F.col("doc_id").alias("component_id")).dropDuplicates(["component"])
+    return found.hint("merge").join(name, "component").select("doc_id", "n_shingles", "component_id")
+
+
+def link_rows(rows: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE, small: int = SMALL) -> DataFrame:
+    """(doc_id, n, n_shingles, component) of every row of `common.numbered`; `component` is the smallest number in the component."""
+    texts = rows.select(F.col("n").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    linked = _linked(texts, t_num, t_den, n, small).select(F.col("doc_id").alias("n"), "n_shingles", F.col("component_id").alias("component"))
+    return rows.select("doc_id", "n").hint("merge").join(linked, "n").select("doc_id", "n", "n_shingles", "component")
+
+
+def _linked(docs: DataFrame, t_num: int, t_den: int, n: int, small: int) -> DataFrame:
+    """The same for distinct ids."""
     named = stored(set_table(docs, t_num, t_den, n), "sets")
-    rep = named.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    rep_of = stored(named.filter("fingerprint is not null").select("doc_id", "fingerprint").hint("merge").join(rep, "fingerprint").select("doc_id", "rep"), "reps")
+    # Representatives of sets that several documents have; the others stand for themselves. Rows of one large group look it up in several parts.
+    several = named.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1")
+    several = several.select("fingerprint", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    salted = named.filter("fingerprint is not null").select("doc_id", "fingerprint", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("_salt"))
+    rep_of = stored(salted.hint("merge").join(several, ["fingerprint", "_salt"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "reps")
     found = stored(group_pairs(cell_rows(docs, t_num, t_den, n), small).distinct(), "groups")
 
     def to_reps(pairs: DataFrame, *more: str) -> DataFrame:

@@ -20,7 +20,9 @@ in a lower group, whose prefix grows by the group's; all so extended move to the
 one pass in ascending order places every suffix at the front of its group. No ranks are renamed.
 
 Defined results: null is empty; documents of fewer bytes than `length` lose nothing; repeats within a document
-stay unless an earlier document has them; rows of one doc_id are one document only if their texts are equal; extra columns are ignored.
+stay unless an earlier document has them. doc_id may be of any type that sorts, null before all others; rows of one doc_id, null too, are one document with
+several texts: they take nothing from each other, each loses what a smaller doc_id has, and each stays a row. Extra columns are ignored.
+In what follows `doc_id` is the row's number and `number >> shift` its document (`common.numbered`).
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, mix, powers, steps, stored, utf8
+from .common import likely, mix, numbered, powers, steps, stored, utf8
 
 LENGTH = 50
 ANCHOR = 20
@@ -151,7 +153,7 @@ def anchor_rows(docs: DataFrame, bits: int, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long, doc_id long, pos int")
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
+def shared_anchors(rows: DataFrame, shift: int = 0) -> DataFrame:
     """(doc_id, pos, h, whole): anchors whose whole context an earlier document has, and with whole = false those of the first
     document of a context whose anchor has other contexts too."""
 
@@ -170,7 +172,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             owner = np.cumsum(new_c) - 1
             first[owner >= 0] = d[starts][owner[owner >= 0]] if len(starts) else 0
             first[owner < 0] = d0 if d0 is not None else 0
-            whole = d > first
+            whole = d >> shift > first >> shift
             group = np.cumsum(new_h) - 1
             contexts = np.bincount(group[new_c] + 1, minlength=int(group[-1]) + 2)  # of the group that goes on, then of each new one
             many = contexts > 1
@@ -248,10 +250,10 @@ def covered_in_bucket(group: np.ndarray, doc: np.ndarray, left: np.ndarray, flan
     return owner[hit], hit - begin[owner[hit]]
 
 
-def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int = BUCKET, *, shift: int = 0) -> DataFrame:
     """(doc_id, start, end): runs of strings that a smaller document's context in the same group has."""
     group = ["key", "proof", "core"]
-    sizes = contexts.groupBy(*group).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(*group, "n")
+    sizes = contexts.groupBy(*group).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter(F.shiftright("lo", shift) < F.shiftright("hi", shift)).select(*group, "n")
     live = stored(contexts.hint("merge").join(sizes, group), "contexts")
     usual = live.filter(F.col("n") <= hot)
     buckets = max(1, -(-usual.count() // bucket))
@@ -265,7 +267,7 @@ def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int =
         same = np.array([seen.setdefault(x, len(seen)) for x in names])
         first = np.full(len(seen), np.iinfo(np.int64).max)
         np.minimum.at(first, same, doc)
-        later = np.flatnonzero(doc > first[same])
+        later = np.flatnonzero(doc >> shift > first[same] >> shift)
         out = [(doc[later], start[later], start[later] + np.array([len(flanks[i]) + int(core[i]) for i in later], np.int64))]
         groups: dict = {}
         owner = np.array([groups.setdefault(x[:3], len(groups)) for x in seen])
@@ -275,7 +277,7 @@ def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int =
             pick = np.array([i for i, x in enumerate(passages) if x[2] == c and several[i]], np.int64)
             if not len(pick):
                 continue
-            who, at = covered_in_bucket(owner[pick], first[pick], np.array([passages[i][3] for i in pick]), [passages[i][4] for i in pick], length - c + 1)
+            who, at = covered_in_bucket(owner[pick], first[pick] >> shift, np.array([passages[i][3] for i in pick]), [passages[i][4] for i in pick], length - c + 1)
             if not len(who):
                 continue
             order = np.lexsort((at, who))
@@ -285,7 +287,7 @@ def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int =
             runs: dict[int, list[tuple[int, int]]] = {}
             for i, a, b in zip(who[cut].tolist(), at[cut].tolist(), at[end].tolist()):
                 runs.setdefault(i, []).append((a, b))
-            hit = [(int(doc[i]), int(start[i]) + a, int(start[i]) + b + length) for i in np.flatnonzero(np.isin(same, list(runs)) & (doc == first[same])).tolist() for a, b in runs[int(same[i])]]
+            hit = [(int(doc[i]), int(start[i]) + a, int(start[i]) + b + length) for i in np.flatnonzero(np.isin(same, list(runs)) & (doc >> shift == first[same] >> shift)).tolist() for a, b in runs[int(same[i])]]
             if hit:
                 out.append(tuple(np.array(x) for x in zip(*hit)))
         d, a, b = (np.concatenate(x) for x in zip(*out))
@@ -298,27 +300,28 @@ def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int =
     strings = strings.select(*group, "doc_id", (F.col("start") + F.col("o")).alias("start"), (F.col("left") - F.col("o")).alias("ahead"), F.substring(F.col("flanks"), F.col("o") + 1, wide).alias("string"))
     name = [*group, "ahead", "string"]
     least = strings.groupBy(*name).agg(F.min("doc_id").alias("least"))
-    late = strings.hint("merge").join(least, name).filter(F.col("least") < F.col("doc_id")).select("doc_id", "start", (F.col("start") + length).alias("end"))
+    late = strings.hint("merge").join(least, name).filter(F.shiftright("least", shift) < F.shiftright("doc_id", shift)).select("doc_id", "start", (F.col("start") + length).alias("end"))
     return found.unionByName(late)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, spans): maximal byte runs to remove, for documents that have any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") >= length)
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, shift: int = 0) -> DataFrame:
+    """(doc_id, spans): byte runs to remove, for documents that have any. `docs` (doc_id long, text) has each number once."""
+    docs = docs.select("doc_id", "text").filter(F.octet_length("text") >= length)
     total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 1
     bits = min(63, int(total).bit_length() + 4)
-    shared = stored(shared_anchors(anchor_rows(docs, bits, length, k)), "anchors")
+    shared = stored(shared_anchors(anchor_rows(docs, bits, length, k), shift), "anchors")
     closer = shared.filter("not whole").select("doc_id", "pos").distinct()
-    partial = closer_spans(stored(contexts_of(docs, closer, length, k), "halves"), length)
+    partial = closer_spans(stored(contexts_of(docs, closer, length, k), "halves"), length, shift=shift)
     full = shared.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("end"))
     return full.unionByName(partial).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): `kept` is the remaining bytes."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = stored(repeated_spans(plain, length, k), "spans")
-    joined = plain.hint("merge").join(spans.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "spans")
+    rows, shift, plain = numbered(docs)
+    texts = rows.select(F.col("n").alias("doc_id"), "text")
+    spans = stored(repeated_spans(texts if plain else texts.dropDuplicates(["doc_id"]), length, k, shift), "spans")
+    joined = rows.hint("merge").join(spans.withColumnRenamed("doc_id", "id"), F.col("n") == F.col("id"), "left").select("doc_id", "text", "spans")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -341,7 +344,7 @@ def remove(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
                 n_bytes.append(len(text)), n_removed.append(len(text) - len(kept[-1])), out.append([{"start": a, "end": b} for a, b in runs])
             yield pa.record_batch([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
