@@ -2,15 +2,19 @@
 
 An item is the set of its windows: ten consecutive words, or all words of a shorter item. A window is the
 set of its word shingles. A document contains a window only if it contains all of its shingles, so with
-shingles in one order, rarest in the corpus first, the necessary prefix is one shingle. Documents are
-probed with that shingle alone. A hit fixes where the window would start (positional bound) and must leave
-room for the whole window (length bound); then all words are compared, so the result is exact.
+shingles in one order, rarest in the corpus first, the necessary prefix is one shingle.
 
-The prefix table is sent to the tasks in blocks of `block_windows` windows, the size bound of each
-broadcast. A benchmark of any size is handled: more windows mean more blocks, each a pass over the documents.
+1. Windows and their shingles are tables. Documents count the shingles that windows have; the count table gives each window
+   its rarest one. A window with a shingle that no document has is left out.
+2. Documents send one row for each place of a prefix shingle, with the words around it, and these rows join the
+   prefix table. A hit fixes where the window would start (positional bound) and must leave room for the
+   whole window (length bound); then all words are compared in the join's output, so the result is exact.
+
+Shingles that no window has are dropped in the task by a Bloom filter of fixed size; the joins decide. Up to `broadcast_prefixes` prefixes are
+sent to every task; more are joined by shuffle, each in SALT copies, so that a passage in a third of all documents is not one task's work.
 
 Defined results: null or wordless text has no words and no hits; a wordless or null item is never found;
-repeated items are each reported; extra columns are ignored.
+repeated items are each reported; every row of documents, repeated ones and those of null doc_id too, is one row of the result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_CLASS, LOWER, doc_numbers, shingles, steps, stored, utf8, word_hashes, words_of
+from .common import ALNUM_CLASS, BLOOM_BITS, LOWER, bloom, doc_numbers, in_bloom, shingles, steps, stored, utf8, word_hashes, words_of
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
-BLOCK_WINDOWS = 500_000
+BROADCAST_PREFIXES = 200_000
+SALT = 16
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
@@ -52,40 +57,38 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW_WORDS) -> DataFrame
     return items.mapInArrow(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, words string, n int")
 
 
-class _Windows:
-    """Window texts with their shingle hashes; lives in a task."""
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """(wid, q, h, at): the shingles of `windows` (wid, words): q words from word `at` on, by hash."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            s, e, first = words_of(data, offsets, ALNUM_CLASS)
+            h, owner = word_hashes(data, s, e), doc_numbers(first)
+            n = np.diff(first)
+            at = np.arange(len(h)) - first[:-1][owner]
+            for q in range(1, SHINGLE_WORDS + 1):
+                i = np.flatnonzero((np.minimum(n, SHINGLE_WORDS)[owner] == q) & (at + q <= n[owner]))
+                yield pa.record_batch([batch.column(0).take(pa.array(owner[i])), pa.array(np.full(len(i), q, np.int32)), pa.array(_named(shingles(h, q), q)[i].view(np.int64)), pa.array(at[i].astype(np.int32))], ["wid", "q", "h", "at"])
+
+    return windows.select("wid", "words").mapInArrow(run, "wid long, q int, h long, at int")
+
+
+def _named(h: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of shingles of different lengths are different keys."""
+    return h + np.uint64(q)
 
-    def __init__(self, texts: list[str]):
-        self.texts = [x.encode() for x in texts]
-        self.n = np.array([x.count(b" ") + 1 for x in self.texts], np.int64)
-        data, offsets = utf8(pa.array(self.texts, pa.binary()))
-        s, e, self.first = words_of(data, offsets, ALNUM_CLASS)
-        self.h = word_hashes(data, s, e)
 
-    def shingles(self):
-        """(window, offset in it, length, hash) of every shingle."""
-        owner = np.repeat(np.arange(len(self.n)), self.n)
-        at = np.arange(len(self.h)) - self.first[:-1][owner]
-        for q in np.unique(np.minimum(self.n, SHINGLE_WORDS)).tolist():
-            ok = (np.minimum(self.n, SHINGLE_WORDS)[owner] == q) & (at + q <= self.n[owner])
-            i = np.flatnonzero(ok)
-            yield q, owner[i], at[i], shingles(self.h, q)[i]
+_SLOT_SHIFTS = (0, 26, 38)
 
 
-class _Probe:
-    """Sorted hashes behind a bit map that turns most misses away."""
+def _slots(h: np.ndarray) -> list[np.ndarray]:
+    return [(h >> np.uint64(k)) & np.uint64((1 << BLOOM_BITS) - 1) for k in _SLOT_SHIFTS]
 
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self.sorted & np.uint64((1 << 22) - 1)] = True
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in h of known hashes, and which they are."""
-        at = np.flatnonzero(self.bits[h & np.uint64((1 << 22) - 1)])
-        k = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
-        ok = self.sorted[k] == h[at]
-        return at[ok], k[ok]
+def _filter_of(keys: DataFrame):
+    """A Bloom filter of keys (h)."""
+    return bloom(keys.sparkSession, keys.select(F.explode(F.array(*(F.shiftrightunsigned("h", k).bitwiseAND((1 << BLOOM_BITS) - 1) for k in _SLOT_SHIFTS))).alias("s")))
 
 
 def _doc_steps(batch, column: int):
@@ -96,110 +99,83 @@ def _doc_steps(batch, column: int):
         yield lo, part, s, e, first, word_hashes(part, s, e)
 
 
-def _rarity(docs: DataFrame, texts: list[str]) -> dict[int, dict[int, int]]:
-    """How often each shingle of the windows occurs in all documents."""
+def _places(h: np.ndarray, first: np.ndarray, lengths: list[int], words: np.ndarray):
+    """(q, positions, keys) of shingles that the filter lets through and that lie in one document."""
+    owner = doc_numbers(first)
+    for q in lengths:
+        key = _named(shingles(h, q), q)
+        pos = np.flatnonzero(in_bloom(words, _slots(key))) if len(key) else np.zeros(0, np.int64)
+        pos = pos[pos + q <= first[1:][owner[pos]]]
+        yield q, pos, key[pos], owner[pos]
+
+
+def rarity(docs: DataFrame, keys: DataFrame, lengths: list[int]) -> DataFrame:
+    """(h, n): how often each of `keys` (h) occurs in all documents, if at all."""
+    sent = _filter_of(keys)
 
     def run(batches):
-        w = _Windows(texts)
-        probes = {q: _Probe(h) for q, _, _, h in w.shingles()}
-        sums = {q: np.zeros(len(p.sorted), np.int64) for q, p in probes.items()}
         for batch in batches:
-            for _, _, _, _, _, h in _doc_steps(batch, 0):
-                for q, p in probes.items():
-                    sums[q] += np.bincount(p.find(shingles(h, q))[1], minlength=len(p.sorted))
-        for q, p in probes.items():
-            seen = np.flatnonzero(sums[q])
-            yield pa.record_batch([pa.array(np.full(len(seen), q, np.int32)), pa.array(p.sorted[seen].view(np.int64)), pa.array(sums[q][seen])], ["q", "h", "n"])
-
-    found = docs.select("text").mapInArrow(run, "q int, h long, n long").groupBy("q", "h").agg(F.sum("n").alias("n"))
-    out: dict[int, dict[int, int]] = {}
-    for q, h, n in found.collect():  # at most one row for each shingle of a block of windows
-        out.setdefault(q, {})[h] = n
-    return out
+            for _, _, _, _, first, h in _doc_steps(batch, 0):
+                for _, _, key, _ in _places(h, first, lengths, sent.value):
+                    u, n = np.unique(key, return_counts=True)
+                    yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(n)], ["h", "n"])
 
+    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return counted.hint("merge").join(keys, "h", "left_semi")
 
-def find_windows(docs: DataFrame, windows: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, words, starts) for each document and block of windows; `words` and `starts` are the
-    windows that occur and the word positions at which they do."""
-    numbered = stored(windows.select("words").distinct().withColumn("b", F.xxhash64("words")), "windows")
-    total = numbered.count()
-    n = max(1, -(-total // block_windows))
-    docs = docs.select("doc_id", "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    parts = []
-    for block in range(n):
-        texts = sorted(r[0] for r in numbered.filter(F.pmod("b", F.lit(n)) == block).select("words").collect())
-        parts.append(_find_block(docs, texts, id_type))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def prefixes(windows: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(h, words, n, at): the necessary prefix of each window that may occur: its rarest shingle, which is `at` words from its start; and the shingle lengths there are."""
+    listed = stored(window_shingles(windows), "shingles")
+    lengths = sorted(r["q"] for r in listed.select("q").distinct().collect())  # at most SHINGLE_WORDS rows
+    counts = stored(rarity(docs, stored(listed.select("h").distinct(), "keys"), lengths), "rarity")
+    ordered = listed.hint("merge").join(counts, "h", "left").groupBy("wid").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by(F.struct("h", "at"), F.struct(F.coalesce("n", F.lit(0)), "h", "at")).alias("p"))
+    rare = ordered.filter("least > 0").select("wid", "p.h", "p.at")
+    return stored(rare.hint("merge").join(windows, "wid").select("h", "words", "n", "at"), "prefixes"), lengths
 
 
-def _find_block(docs: DataFrame, texts: list[str], id_type: str) -> DataFrame:
-    rare = _rarity(docs, texts) if texts else {}
-
-    def prefixes(w: _Windows):
-        """For each shingle length: probe, and the (window, offset) lists of its hashes."""
-        best_n = np.full(len(w.n), np.iinfo(np.int64).max)
-        rows = []
-        for q, owner, at, h in w.shingles():
-            count = np.array([rare.get(q, {}).get(int(x), 0) for x in h.view(np.int64)], np.int64)
-            order = np.lexsort((h, count, owner))
-            lead = order[np.r_[True, owner[order][1:] != owner[order][:-1]]] if len(order) else order
-            rows.append((q, owner[lead], at[lead], h[lead], count[lead]))
-            best_n[owner[lead]] = count[lead]
-        out = []
-        for q, owner, at, h, count in rows:
-            keep = count > 0  # a shingle that no document has rules its window out
-            owner, at, h = owner[keep], at[keep], h[keep]
-            if len(h):
-                order = np.argsort(h, kind="stable")
-                probe = _Probe(h)
-                out.append((q, probe, owner[order], at[order], np.searchsorted(h[order], probe.sorted), np.searchsorted(h[order], probe.sorted, "right")))
-        return out
+def find_windows(docs: DataFrame, windows: DataFrame, window: int = WINDOW_WORDS, broadcast_prefixes: int = BROADCAST_PREFIXES) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, text_hash, n_words) of each document, and (row, words, start, n) of each place where one of `windows` (words, n) occurs in it."""
+    distinct = stored(windows.select("words", "n").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    lead, lengths = prefixes(distinct, docs)
+    sent = _filter_of(lead)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    place = pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("lead", pa.int32()), ("around", pa.list_(pa.string()))])
 
     def run(batches):
-        w = _Windows(texts)
-        table = prefixes(w)
         for batch in batches:
             n_words = np.zeros(batch.num_rows, np.int64)
-            found: dict[int, list[tuple[int, int]]] = {}
+            found: list[list] = [[] for _ in range(batch.num_rows)]
             for lo, part, s, e, first, h in _doc_steps(batch, 1):
                 n_words[lo : lo + len(first) - 1] = np.diff(first)
-                owner_doc = None
-                for q, probe, owner, at, left, right in table:
-                    pos, k = probe.find(shingles(h, q))
-                    if not len(pos):
-                        continue
-                    owner_doc = doc_numbers(first) if owner_doc is None else owner_doc
-                    reps = right[k] - left[k]
-                    pos, i = np.repeat(pos, reps), np.repeat(left[k], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    win, begin, doc = owner[i], pos - at[i], owner_doc[pos]
-                    ok = (begin >= first[doc]) & (begin + w.n[win] <= first[doc + 1])
-                    for x, y, d in zip(begin[ok].tolist(), win[ok].tolist(), doc[ok].tolist()):
-                        m = int(w.n[y])
-                        if np.array_equal(h[x : x + m], w.h[w.first[y] : w.first[y] + m]) and b" ".join(part[s[j] : e[j]].tobytes() for j in range(x, x + m)) == w.texts[y]:
-                            found.setdefault(lo + d, []).append((y, x - int(first[d])))
-            hits = [sorted(found.get(i, ())) for i in range(batch.num_rows)]
-            yield pa.record_batch(
-                [batch.column(0), pa.array(n_words), pa.array([[texts[y] for y, _ in x] for x in hits], pa.list_(pa.string())), pa.array([[x for _, x in y] for y in hits], pa.list_(pa.int32()))],
-                ["doc_id", "n_words", "words", "starts"],
-            )
-
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_words long, words array<string>, starts array<int>")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside any occurrence), item_ids (sorted strings)."""
+                for q, pos, key, owner in _places(h, first, lengths, sent.value):
+                    for x, k, d in zip(pos.tolist(), key.view(np.int64).tolist(), owner.tolist()):
+                        a, b = max(int(first[d]), x - window + q), min(int(first[d + 1]), x + window)
+                        words = [part[s[i] : e[i]].tobytes().decode() for i in range(a, b)]
+                        found[lo + d].append({"h": k, "pos": x - int(first[d]), "lead": x - a, "around": words})
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n_words), pa.array(found, pa.list_(place))], ["doc_id", "text_hash", "n_words", "places"])
+
+    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_words long, places array<struct<h:long,pos:int,lead:int,around:array<string>>>"
+    probed = stored(docs.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()), "probed")
+    flat = probed.filter(F.size("places") > 0).select("row", "n_words", F.explode("places").alias("x")).select("row", "n_words", "x.*")
+    if lead.count() <= broadcast_prefixes:
+        met = flat.join(F.broadcast(lead), "h")
+    else:
+        salted = flat.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALT)).cast("int"))
+        met = salted.hint("merge").join(lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["h", "salt"])
+    start = F.col("pos") - F.col("at")
+    bounds = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (F.col("lead") >= F.col("at"))
+    same = F.array_join(F.slice("around", F.col("lead") - F.col("at") + 1, F.col("n")), " ") == F.col("words")
+    hits = met.filter(bounds).filter(same).select("row", "words", start.alias("start"), "n").distinct()
+    return probed.select("row", "doc_id", "text_hash", "n_words"), stored(hits, "hits")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, broadcast_prefixes: int = BROADCAST_PREFIXES) -> DataFrame:
+    """One row for each of `docs`: doc_id, text_hash (xxhash64 of the text), n_words, n_hit (words inside any occurrence), item_ids (sorted strings)."""
     windows = stored(benchmark_windows(items, window), "item_windows")
-    found = find_windows(docs, windows, block_windows)
-    # Documents are few that hold anything; those rows alone are matched with items.
-    occ = stored(found, "found")
-    flat = occ.filter(F.size("words") > 0).select("doc_id", F.explode(F.arrays_zip("words", "starts")).alias("o")).select("doc_id", F.col("o.words").alias("words"), F.col("o.starts").alias("start"))
-    length = F.size(F.split("words", " "))
-    spans = flat.select("doc_id", "start", (F.col("start") + length).alias("end")).distinct()
-    covered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows, hits = find_windows(docs, windows, window, broadcast_prefixes)
+    spans = hits.select("row", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    covered = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     # Sum of what each span adds past the furthest end so far.
     n_hit = F.aggregate(
         "spans",
@@ -207,13 +183,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")),
         lambda a: a["n"].cast("long"),
     )
-    hit = covered.select("doc_id", n_hit.alias("n_hit"))
-    owners = flat.select("doc_id", "words").distinct().hint("shuffle_hash").join(windows.select("words", "item_id"), "words")
-    named = owners.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    totals = occ.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    hit, named = hit.withColumnRenamed("doc_id", "hit_doc"), named.withColumnRenamed("doc_id", "named_doc")
-    joined = totals.join(hit.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left").join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("named_doc")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    # Windows that many documents have are looked up in parts.
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")
+    owners = windows.select("words", "item_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    named = hits.select("row", "words").distinct().withColumn("salt", salt).hint("merge").join(owners, ["words", "salt"]).groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    joined = rows.join(covered.select("row", n_hit.alias("n_hit")).hint("shuffle_hash"), "row", "left").join(named.hint("shuffle_hash"), "row", "left")
+    return joined.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def digest(found: DataFrame) -> DataFrame:
