@@ -11,8 +11,8 @@ of its instances that are known to be of a kind, an instance is as good as the b
 Instances that reach `MIN_SCORE` through patterns with `MIN_SEEDS` distinct seeds become spans of that kind.
 Edges and scores are aggregated before each join, so a frequent pattern or instance is one row for each pair.
 
-Defined results: null and empty texts have no spans; repeated rows have the spans of one of them; fixed spans always stay, found ones never
-overlap them or each other; offsets are code points.
+Defined results: null and empty texts have no spans; every row, repeated ones and those of null doc_id too, is a row of the result with the spans of its own text;
+fixed spans always stay, found ones never overlap them or each other; offsets are code points; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,16 +141,16 @@ def _mentions(text: str):
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): all seeds and candidates of each document."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, text_hash, found): all seeds and candidates of each document."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("run", pa.int32()), ("choice", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             rows = [[dict(zip(("kind", "start", "end", "instance", "patterns", "run", "choice"), x)) for x in _mentions(t or "")] for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(rows, kind)], ["doc_id", "found"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(rows, kind)], ["doc_id", "text_hash", "found"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>,run:int,choice:int>>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>,run:int,choice:int>>")
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -172,19 +172,17 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCO
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, base, spans): fixed spans and all spans, as arrays of (rank of kind, start, end)."""
-    found = stored(mentions(docs), "mentions")
+    """(doc_id, text_hash, base, spans): fixed spans and all spans of each row, as arrays of (rank of kind, start, end)."""
+    found = stored(mentions(docs).withColumn("row", F.monotonically_increasing_id()), "mentions")
     new = bootstrap(found, rounds)
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
-    per_doc = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(rank.cast("int").alias("k"), "start", "end"))).alias(name))
-    flat = found.filter(F.size("found") > 0).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.kind", "m.start", "m.end", "m.instance", "m.run", "m.choice")
-    more = flat.filter("kind is null").drop("kind").hint("merge").join(new.select("instance", "kind"), "instance")
-    least = F.min("choice").over(Window.partitionBy("doc_id", "run"))
-    more = more.withColumn("_least", least).filter("choice = _least")
-    extra = per_doc(more, "extra").withColumnRenamed("doc_id", "x")
+    rank = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int").alias("k")
+    flat = found.filter(F.exists("found", lambda m: m["kind"].isNull())).select("row", F.explode("found").alias("m")).filter("m.kind is null").select("row", "m.start", "m.end", "m.instance", "m.run", "m.choice")
+    more = flat.hint("merge").join(new.select("instance", "kind"), "instance")
+    more = more.withColumn("_least", F.min("choice").over(Window.partitionBy("row", "run"))).filter("choice = _least")
+    extra = more.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(rank, "start", "end"))).alias("extra"))
     base = F.array_sort(F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: F.struct((F.array_position(F.array(*map(F.lit, KINDS)), m["kind"]) - 1).cast("int").alias("k"), m["start"].alias("start"), m["end"].alias("end"))))
-    joined = found.select("doc_id", base.alias("base")).join(extra.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("x")), "left")
-    return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<k:int,start:int,end:int>>")))).alias("spans"))
+    joined = found.select("row", "doc_id", "text_hash", base.alias("base")).join(extra.hint("shuffle_hash"), "row", "left")
+    return joined.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<k:int,start:int,end:int>>")))).alias("spans"))
 
 
 def _text(spans: str):
@@ -197,9 +195,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """Put `<kind>` in place of each span; other columns stay. Of spans that overlap, the united stretch becomes the first one's kind."""
-    spans = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    """Put `<kind>` in place of each span; other columns stay. Of spans that overlap, the united stretch becomes the first one's kind.
+    Rows find their spans by doc_id, null too, and text; rows that have both alike have the same spans, so as many rows come out as went in."""
+    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_text"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text"))
+    joined = docs.join(spans.hint("merge"), same, "left").drop("_id", "_text")
     cut = F.aggregate(
         F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),

@@ -77,8 +77,8 @@ def test_decontaminate(spark, docs, rows, empty):
     items = [(i, " ".join((t or "").split()[r.randint(0, 3) :][:14])) for i, t in rows if i >= 0][::3] + [(900, "tie TIE tie"), (901, None), (902, "!?"), (903, "zz yy"), (904, "zz yy")]
     table = spark.createDataFrame(items, "item_id long, text string")
     want = decontaminate.brute_force(rows, items)
-    for block in (1000, 7):
-        got = by_id(decontaminate.digest(decontaminate.decontaminate(docs, table, block_windows=block)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for most in (1000, 7):  # prefixes are sent to the tasks, or joined by shuffle
+        got = by_id(decontaminate.digest(decontaminate.decontaminate(docs, table, broadcast_prefixes=most)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert got == want
     assert decontaminate.decontaminate(empty, table).count() == 0
     assert all(not r.n_hit for r in decontaminate.decontaminate(docs, table.limit(0)).collect())
