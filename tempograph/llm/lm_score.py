@@ -34,7 +34,7 @@ from .common import LOWER, SPACE_CLASS, block_count, dealt, mix, shingles, squee
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 16 << 20
 
 
 def _grams(rows: pa.Table, order: int):
@@ -68,7 +68,7 @@ def _entries(grams: list[np.ndarray], place: np.ndarray, n_words: np.ndarray, pa
     """Distinct n-grams of a block by part, then hash: hashes, counts, and the row bounds and numbers of its parts. Hash 0 counts all words."""
     keys, counts = [np.zeros(1, np.uint64)], [np.array([n_words.sum()])]
     for k, g in enumerate(grams):
-        u, c, _ = _counted(g[place >= k])
+        u, c = np.unique(g[place >= k], return_counts=True)
         keys.append(u)
         counts.append(c)
     h, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
