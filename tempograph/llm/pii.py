@@ -2,12 +2,14 @@
 
 Seeds are emails, IP addresses, card numbers and phone numbers of fixed form. Around each seed, and around each
 other identifier-like string (one with an "@" or at least `MIN_DIGITS` digits), the words to the left and right
-give lexical patterns: two words before, or one word before and one after, with the coarse kind of characters inside.
+give lexical patterns, from exact to coarse: two words before; one before and one after; one before, or one after, with the string's shape; the shape between
+the kinds of its neighbours. Of a word the nearest 32 characters count, and words more than 200 characters away don't.
 A run of digits is cut where a seed lies in it. What is left is offered whole, and if spaces part complete groups (each of
 enough digits, or in a shape that recurs) also in pieces; pieces have the whole run's patterns besides their own, and count neither for nor
 against a pattern. Of a run and its pieces the pieces become spans if they make it up, else the run, else what pieces were found.
 Spark holds the graph of patterns and instances and scores it in rounds: a pattern is as good as the share
-of its instances that are known to be of a kind, an instance is as good as the best of its patterns together.
+of its instances that are known to be of a kind, and speaks for that kind from `MIN_PATTERN` on, so one that goes with a kind half of the time says nothing
+however often it occurs; an instance is as good as its patterns together.
 Instances that reach `MIN_SCORE` through patterns with `MIN_SEEDS` distinct seeds become spans of that kind.
 Edges and scores are aggregated before each join, so a frequent pattern or instance is one row for each pair.
 
@@ -28,6 +30,7 @@ from .common import stored
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_DIGITS = 7
+MIN_PATTERN = 0.7
 MIN_SCORE = 0.85
 MIN_SEEDS = 3
 
@@ -76,14 +79,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_REACH, _NEAR = 200, 32
+_RUN = re.compile(r"[^\W\d_]+|[0-9]+")
+
+
+def _shape(s: str) -> str:
+    """Runs of letters as `a`, of digits as `9`; marks as they are."""
+    return _RUN.sub(lambda m: "9" if m[0][0] in "0123456789" else "a", s)[:_NEAR]
+
+
+def _kind(word: str, edge: str) -> str:
+    """What a neighbour is: an edge of the text, digits, capitals, a name or a plain word, and the mark at its side that faces the string."""
+    if not word:
+        return edge
+    core = word.strip(_EDGE)
+    what = "9" if _DIGIT.search(core) else "A" if core.isupper() and len(core) > 1 else "Aa" if core[:1].isupper() else "a" if core else ""
+    mark = word[-1] if edge == "^" else word[0]
+    return what + (mark if mark in _EDGE else "")
+
+
 def _patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: words near it in lower case, and what it is made of."""
-    inner = "@" if "@" in text[start:end] else "9"
-    before = [w.strip(_EDGE).lower() for w in _WORD.findall(text[max(0, start - 60) : start])[-2:]]
-    after = [w.strip(_EDGE).lower() for w in _WORD.findall(text[end : end + 40])[:1]]
-    left = before[-1] if before else "^"
-    out = [f"{before[0]} {left} {inner} _"] if len(before) == 2 else []
-    return [*out, f"{left} {inner} {after[0] if after else '$'}"]
+    span = text[start:end]
+    inner, shape = "@" if "@" in span else "9", _shape(span)
+    before = [w[-_NEAR:] for w in _WORD.findall(text[max(0, start - _REACH) : start])[-2:]]
+    after = [w[:_NEAR] for w in _WORD.findall(text[end : end + _REACH])[:1]]
+    near, far = before[-1] if before else "", after[0] if after else ""
+    words = [w.strip(_EDGE).lower() for w in before]
+    left, right = words[-1] if words else "^", far.strip(_EDGE).lower() if after else "$"
+    out = [f"{words[0]} {left} {inner} _"] if len(words) == 2 else []
+    return [*out, f"{left} {inner} {right}", f"{left} <{shape}>", f"<{shape}> {right}", f"[{_kind(near, '^')}] <{shape}> [{_kind(far, '$')}]"]
 
 
 def _pieces(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], bool]:
@@ -153,7 +178,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>,run:int,choice:int>>")
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS, min_pattern: float = MIN_PATTERN) -> DataFrame:
     """(instance, kind, score): seeds' instances, and unseen ones that high-confidence patterns vouch for."""
     flat = found.select(F.explode("found").alias("m")).select("m.kind", "m.instance", "m.patterns", (F.col("m.choice") != 1).alias("piece"))
     edges = stored(flat.select("instance", "kind", "piece", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.min("piece").alias("piece")), "edges")
@@ -163,7 +188,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCO
     for _ in range(rounds):
         total = edges.filter("not piece").groupBy("pattern").agg(F.count("*").alias("n"))
         backed = edges.filter("not piece").select("pattern", "instance").hint("merge").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
-        pattern = backed.filter(F.col("k") >= min_seeds).hint("merge").join(total, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("s") / (F.col("n") + 0.25)).alias("p")).filter("p >= 0.5")
+        pattern = backed.filter(F.col("k") >= min_seeds).hint("merge").join(total, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("s") / (F.col("n") + 0.25)).alias("p")).filter(F.col("p") >= min_pattern)
         unseen = edges.filter("kind is null").select("pattern", "instance").hint("merge").join(pattern, "pattern")
         scored = unseen.groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("score"))
         best = scored.groupBy("instance").agg(F.max_by("as", F.struct("score", "as")).alias("kind"), F.max("score").alias("score")).filter(F.col("score") >= min_score)
@@ -171,6 +196,20 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCO
     return known.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")).filter(F.col("score") >= min_score)
 
 
+def hidden_seeds(docs: DataFrame, rounds: int = ROUNDS, share: int = 5) -> DataFrame:
+    """How well the method finds what the fixed patterns know: every `share`-th seed instance, by hash, is hidden from it. (kind, hidden, found, found_right, others): of each kind
+    the hidden instances, those found as that kind or another, those found as their own, and found instances that are no seed at all (`kind` is then what they were taken for)."""
+    mentioned = stored(mentions(docs), "mentions")
+    hide = lambda m: F.pmod(F.xxhash64(m["instance"]), F.lit(share)) == 0
+    masked = mentioned.withColumn("found", F.transform("found", lambda m: m.withField("kind", F.when(~hide(m), m["kind"]))))
+    truth = mentioned.select(F.explode("found").alias("m")).groupBy(F.col("m.instance").alias("instance")).agg(F.max("m.kind").alias("truth"))
+    asked = truth.filter(F.col("truth").isNull() | hide({"instance": F.col("instance")}))
+    got = asked.hint("merge").join(bootstrap(masked, rounds).select("instance", F.col("kind").alias("taken")), "instance", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    known = F.col("truth").isNotNull()
+    return got.withColumn("kind", F.coalesce("truth", "taken")).filter("kind is not null").groupBy("kind").agg(n(known).alias("hidden"), n(known & F.col("taken").isNotNull()).alias("found"), n(F.col("truth") == F.col("taken")).alias("found_right"), n(~known).alias("others"))
+
+
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_hash, base, spans): fixed spans and all spans of each row, as arrays of (rank of kind, start, end)."""
     found = stored(mentions(docs).withColumn("row", F.monotonically_increasing_id()), "mentions")
