@@ -20,7 +20,9 @@ def op2_suffix_dedup(spark, sf_dir):
 
 
 def op3_quality_rules(spark, sf_dir):
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    first = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select(*first, *(c for c in found.columns if c not in first))
 
 
 def op4_url_filters(spark, sf_dir):
@@ -40,7 +42,7 @@ def op7_jaccard_join(spark, sf_dir):
 
 
 def op8_quality_classifier(spark, sf_dir):
-    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_toxicity(spark, sf_dir):
@@ -62,5 +64,34 @@ def queries():
     return {name: f for name, f in globals().items() if (name.startswith("op") or name == "pipeline") and callable(f)}
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leads(n: int, by: str) -> str:
+    return ", ".join(f"lead(word, {i}) OVER (PARTITION BY {by} ORDER BY p) AS w{i}" for i in range(1, n))
+
+
+def _windows(n: int) -> str:
+    """Runs of 1 to n words from each word of x on, where the texts have so many."""
+    run = lambda k: ", ".join(["word", *(f"w{i}" for i in range(1, k))])
+    return " UNION ALL ".join(f"SELECT id, p, {k} AS k, concat_ws(' ', {run(k)}) AS win FROM x WHERE {'word' if k == 1 else f'w{k - 1}'} IS NOT NULL" for k in range(1, n + 1))
+
+
+_WORDS5 = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS5.format(_LOW)} AS w FROM documents), i AS (SELECT item_id, {_WORDS5.format(_LOW)} AS w FROM benchmark), pi AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM i),
+ pd AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+ wi AS (WITH x AS (SELECT item_id AS id, p, word, {_leads(10, 'item_id')} FROM pi) SELECT DISTINCT id AS item_id, k, win FROM ({_windows(10)}) y JOIN (SELECT item_id, len(w) AS n FROM i) z ON z.item_id = id WHERE k = least(10, n)),
+ wd AS (WITH x AS (SELECT doc_id AS id, p, word, {_leads(10, 'doc_id')} FROM pd) {_windows(10)}), m AS (SELECT id AS doc_id, p, k, item_id FROM wd JOIN wi USING (k, win)),
+ c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY 1), o AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM m GROUP BY 1)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(l), 0) AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)"""
+_OP7 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents), pw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d), x AS (SELECT doc_id, word, {_leads(5, 'doc_id')} FROM pw),
+ sh AS (SELECT DISTINCT doc_id, concat_ws(' ', word, w1, w2, w3, w4) AS s FROM x WHERE w4 IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), v AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM v JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ walk AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT id, b AS r FROM walk JOIN e ON e.a = walk.r)
+ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM walk GROUP BY 1) ON id = d.doc_id"""
+
+
 def oracle_sql():
-    return {}
+    """The queries that SQL can express whole. The others hold a trained model, a tokenizer, or Python's positions of matches; tests/llm compares them."""
+    return {"op5_decontaminate": _OP5, "op7_jaccard_join": _OP7}
