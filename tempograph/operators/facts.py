@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from ..functions import passes_assertion_gate
 
 
+BROADCAST_REQUESTS = 100_000
+SALT = 64
+
+
 def in_namespaces(facts: DataFrame, *namespaces: str) -> DataFrame:
     return facts.filter(F.col("namespace").isin(*namespaces))
 
 
 def allowed(facts: DataFrame, keys: DataFrame, requests: DataFrame) -> DataFrame:
-    """Facts that each request (qid, token) may see: its active key's namespaces."""
+    """Facts that each request (qid, token) may see: its active key's namespaces. Up to BROADCAST_REQUESTS pairs of request and namespace go to every task; beyond that
+    facts are joined by namespace in SALT parts, as namespaces are few."""
     key = keys.filter("active").select("key_hash", F.explode("namespaces").alias("namespace"))
-    seen = requests.withColumn("key_hash", F.sha2(F.col("token").cast("binary"), 256)).join(key, "key_hash").select("qid", "namespace").distinct()
-    return facts.join(seen, "namespace")
+    seen = requests.withColumn("key_hash", F.sha2(F.col("token").cast("binary"), 256)).hint("merge").join(key, "key_hash").select("qid", "namespace").distinct()
+    if seen.limit(BROADCAST_REQUESTS + 1).count() <= BROADCAST_REQUESTS:
+        return facts.join(F.broadcast(seen), "namespace")
+    parts = seen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return facts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).hint("merge").join(parts, ["namespace", "_salt"]).drop("_salt")
 
 
 def valid_vocabulary(facts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -48,13 +56,24 @@ def roles(facts: DataFrame) -> DataFrame:
     return one("subject_id", "subject").unionByName(one("object_id", "object"))
 
 
-def totals(state: DataFrame, n_entities: Column | None = None) -> DataFrame:
-    """Counts by state in one pass."""
+def totals(state: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Counts by state in one pass, and of entities if they are given."""
     n = lambda c: F.count(F.when(c, 1))
-    return state.agg(
+    out = state.agg(
         F.count("*").alias("facts"), n(F.col("epistemic_state") == "active").alias("active"), n(F.col("epistemic_state") == "superseded").alias("superseded"),
         n(F.col("epistemic_state") == "contradicted").alias("contradicted"), F.countDistinct("subject_id").alias("subjects"), F.countDistinct("episode_id").alias("episodes"), n(F.col("object_type") == "literal").alias("literals"),
     )
+    return out if entities is None else out.crossJoin(F.broadcast(entities.agg(F.count("*").alias("entities"))))  # one row each
+
+
+def dispositions(namespaces: DataFrame, defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(namespace, skepticism, literalism, empathy): an override's value where there is one, else the namespace's default, else that of `shared`. Both tables are
+    (namespace, trait, value), one row for each setting."""
+    traits = ("skepticism", "literalism", "empathy")
+    wide = lambda df, p: df.groupBy("namespace").agg(*(F.max(F.when(F.col("trait") == t, F.col("value"))).alias(f"{p}{t}") for t in traits))
+    shared = wide(defaults.filter("namespace = 'shared'"), "s_").drop("namespace")  # one row
+    j = namespaces.select("namespace").distinct().hint("merge").join(wide(defaults, "d_"), "namespace", "left").hint("merge").join(wide(overrides, "o_"), "namespace", "left").join(F.broadcast(shared), F.lit(True), "left")
+    return j.select("namespace", *(F.coalesce(f"o_{t}", f"d_{t}", f"s_{t}").alias(t) for t in traits))
 
 
 def top_predicates(facts: DataFrame, k: int = 10) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import missing_strings
+
 #: When a check warns.
 QUEUE_LIMIT, LAG_SECONDS, OTHER_SHARE, RECALL_GATE = 1000, 300, 0.15, 0.30
 SEVERITY = ("ok", "warning", "critical")
@@ -53,3 +55,45 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     samples = few.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list("statement")), "|").alias("samples"))
     j = count(a, "a").join(count(b, "b"), "session_id", "full_outer").fillna(0, ["n_a", "n_b"]).join(samples, "session_id", "left")
     return j.withColumn("ratio", F.when(F.col("n_a") > 0, F.round(F.col("n_b") / F.col("n_a"), 6)))
+
+
+def run_summary(compared: DataFrame, seconds: DataFrame) -> DataFrame:
+    """(sessions, mean_speed, mean_fact_ratio) of `compare_runs` and of what each session took (session_id, seconds_a, seconds_b): how many times as
+    fast the second run was, and its facts to the first one's, as means over sessions. A session of no time or no facts has no part in that mean."""
+    j = compared.hint("merge").join(seconds, "session_id")
+    speed = F.when(F.col("seconds_b") > 0, F.col("seconds_a") / F.col("seconds_b"))
+    return j.agg(F.count("*").alias("sessions"), F.round(F.avg(speed), 6).alias("mean_speed"), F.round(F.avg("ratio"), 6).alias("mean_fact_ratio"))
+
+
+def judge(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, class, n_results, missing_entities, missing_substrings, passed): `expected` is (qid, class, entities, substrings), `found` (qid, id, statement). A query passes if
+    nothing is missing in what it found; one of class `inject` that expects nothing passes only if it found nothing. A query's results are one text here, as they are what one prompt gets."""
+    texts = found.groupBy("qid").agg(F.count("*").alias("n_results"), F.array_join(F.array_sort(F.collect_list("statement")), "\n").alias("_t"))
+    j = expected.hint("merge").join(texts, "qid", "left").withColumn("_t", F.coalesce("_t", F.lit(""))).withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    miss = lambda c: missing_strings(F.coalesce(c, F.array().cast("array<string>")), F.col("_t"))
+    j = j.select("qid", "class", "n_results", miss("entities").alias("missing_entities"), miss("substrings").alias("missing_substrings"), (F.coalesce(F.size("entities"), F.lit(0)) + F.coalesce(F.size("substrings"), F.lit(0))).alias("_n"))
+    silent = (F.col("class") == "inject") & (F.col("_n") <= 0)
+    passed = F.when(silent, F.col("n_results") == 0).otherwise((F.size("missing_entities") == 0) & (F.size("missing_substrings") == 0))
+    return j.withColumn("passed", passed).drop("_n")
+
+
+def load_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(no, id, text, class, expected_ids): an evaluation query set of one JSON object a line, or a YAML file with a list or `queries:` where PyYAML is there. Missing fields are null."""
+    schema = "id string, text string, class string, expected_ids array<string>"
+    if path.endswith((".yaml", ".yml")):
+        import json
+
+        import yaml
+
+        data = yaml.safe_load("\n".join(r.value for r in spark.read.text(path).collect()))  # a query set is written by hand
+        rows = (data.get("queries", []) if isinstance(data, dict) else data) or []
+        df = spark.createDataFrame([(i, json.dumps(r, default=str)) for i, r in enumerate(rows)], "no long, value string")
+    else:
+        df = spark.read.text(path).withColumn("no", F.monotonically_increasing_id())
+    return df.select("no", F.from_json("value", schema).alias("q")).select("no", "q.*")
+
+
+def check_queries(queries: DataFrame) -> DataFrame:
+    """(status, queries, first_without_text): ok, a warning for an empty set, or an error with the number of the first query that has no text."""
+    out = queries.agg(F.count("*").alias("queries"), F.min(F.when(F.col("text").isNull(), F.col("no"))).alias("first_without_text"))
+    return out.select(F.when(F.col("queries") == 0, "warning").when(F.col("first_without_text").isNotNull(), "error").otherwise("ok").alias("status"), "queries", "first_without_text")

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import overlap, query_words, terms, time_range, token_estimate
-from .facts import roles, top_k, within_budget
+from ..functions import certainty_weight, normalize_name, query_words, terms, time_range, token_estimate
+from .facts import fallback, roles, within_budget
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 BROADCAST_TERMS = 100_000
 BROADCAST_VECTORS = 4_096
+#: Queries of a block and vectors of a chunk.
+BLOCK = 1_024
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -50,28 +52,38 @@ def ranked(scores: DataFrame, k: int | None = None, order: list[Column] | None =
 def keyword_search(queries: DataFrame, statements: DataFrame, k: int = 10, namespace: str | None = None) -> DataFrame:
     s = statements if namespace is None else statements.filter(F.col("namespace") == namespace)
     hits = bm25(queries, statements)
-    return ranked(hits if namespace is None else hits.join(s.select("id"), "id", "left_semi"), k)
+    return ranked(hits if namespace is None else hits.hint("merge").join(s.select("id"), "id", "left_semi"), k)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, id, score, rank): exact cosine top k. Queries (qid, embedding) go to the tasks in blocks of BROADCAST_VECTORS; each
-    task does a matrix product for each batch and keeps k rows a query, so what is shuffled is k rows for each task and query."""
-    rows = [(r["qid"], r["embedding"]) for r in queries.select("qid", "embedding").filter("embedding is not null").limit(BROADCAST_VECTORS + 1).collect()]
-    if len(rows) > BROADCAST_VECTORS:
-        n = -(-queries.count() // (BROADCAST_VECTORS // 2))
-        parts = [_vector_block(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i), vectors, k) for i in range(n)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return ranked(out, k)
-    return ranked(_vector_block(queries, vectors, k, rows), k)
-
-
-def _vector_block(queries, vectors, k, rows=None):
-    rows = rows if rows is not None else [(r["qid"], r["embedding"]) for r in queries.select("qid", "embedding").filter("embedding is not null").collect()]
-    vectors = vectors.select("id", "embedding")
+    """(qid, id, score, rank): exact cosine top k. Up to BROADCAST_VECTORS queries (qid, embedding) go to every task, which does a matrix product for each
+    batch and keeps k rows a query, so what is shuffled is k rows for each task and query. More queries are packed into blocks, vectors into
+    chunks, and each chunk meets each block in a join; k rows for each pair and query are left."""
+    asked = queries.select("qid", "embedding").filter("embedding is not null")
     types = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    rows = asked.limit(BROADCAST_VECTORS + 1).toArrow()
+    fields = f"qid {types[0]}, id {types[1]}, score double"
+    if len(rows) <= BROADCAST_VECTORS:
+        return ranked(vectors.select("id", "embedding").mapInArrow(_best_of_all(rows["qid"].combine_chunks(), rows["embedding"], k), fields), k)
+    block = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, n))).alias(f"_{key}s")).agg(F.collect_list(F.struct(key, "embedding")).alias(f"{key}s"))
+    n = -(-asked.count() // BLOCK)
+    chunks = block(vectors.select("id", "embedding").filter("embedding is not null"), "id", -(-vectors.count() // BLOCK)).withColumn("_qids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    met = chunks.hint("merge").join(block(asked, "qid", n), "_qids").select("qids", "ids")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, v = (batch.column(c)[i].values for c in (0, 1))
+                keep = _best_of_all(q.field("qid"), q.field("embedding"), k)
+                yield from keep(iter([pa.record_batch([v.field("id"), v.field("embedding")], ["id", "embedding"])]))
+
+    return ranked(met.mapInArrow(run, fields), k)
+
+
+def _best_of_all(qids: pa.Array, embeddings: pa.Array, k: int):
+    """A function over batches of vectors that gives the best k of them for each query; queries of another size than most find nothing."""
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, np.inf)
+    rows, qid_type = list(zip(qids.to_pylist(), embeddings.to_pylist())), qids.type
     dim = max((len(v) for _, v in rows), default=0)
     fits = [(q, v) for q, v in rows if len(v) == dim]
     matrix = unit(np.array([v for _, v in fits], dtype=np.float64).reshape(len(fits), dim))
@@ -92,22 +104,29 @@ def _vector_block(queries, vectors, k, rows=None):
                 best[q] = sorted(best[q] + [(-float(s[q][i]), ids[ok[i]]) for i in np.flatnonzero(s[q] >= edge)])[:k]
         flat = [(fits[q][0], i, -s) for q, b in enumerate(best) for s, i in b]
         if flat:
-            yield pa.record_batch([pa.array([x[0] for x in flat]), pa.array([x[1] for x in flat], id_type), pa.array([x[2] for x in flat], pa.float64())], ["qid", "id", "score"])
+            yield pa.record_batch([pa.array([x[0] for x in flat], qid_type), pa.array([x[1] for x in flat], id_type), pa.array([x[2] for x in flat], pa.float64())], ["qid", "id", "score"])
 
-    return vectors.mapInArrow(run, f"qid {types[0]}, id {types[1]}, score double")
+    return run
 
 
-def graph_search(queries: DataFrame, facts: DataFrame, entities: DataFrame, per_word: int = 5, k: int = 20) -> DataFrame:
-    """Facts that touch an entity whose name contains a word of the query: 5 for each word, in word order, then id.
+def usable_vectors(rows: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """`rows` (id, ...) with their embedding; a row without one, or with one of another size than `dim`, has none."""
+    return rows.hint("merge").join(vectors.filter(F.size("embedding") == dim).select("id", "embedding"), "id", "left")
+
 
-    A word of three letters or more meets names that share its first three letters in a row anywhere (an equi-join on trigrams) and is then
-    verified; shorter words meet the names' own one- and two-letter pieces."""
+def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Rows of `needles` with the rows of `texts` whose text has the needle somewhere, whatever the case. An equi-join on the needle's first three letters (or
+    all of a shorter one), then verified; a blank needle is in nothing."""
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - n + 1)), lambda i: F.substr(F.col("_text"), i, F.lit(n)))
+    wanted = needles.withColumn("_needle", F.lower(needle)).filter("_needle <> ''").withColumn("_gram", F.substring("_needle", 1, 3))
+    pieces = texts.withColumn("_text", F.lower(text)).withColumn("_gram", F.explode(F.array_distinct(F.concat(piece(1), piece(2), piece(3)))))
+    return wanted.hint("merge").join(pieces, "_gram").filter(F.contains("_text", "_needle")).drop("_gram", "_needle", "_text")
+
+
+def graph_search(queries: DataFrame, facts: DataFrame, entities: DataFrame, per_word: int = 5, k: int = 20) -> DataFrame:
+    """Facts that touch an entity whose name contains a word of the query: 5 for each word, in word order, then id."""
     words = queries.select("qid", F.posexplode(F.array_distinct(query_words("text"))).alias("word_no", "word"))
-    size = F.least(F.length("word"), F.lit(3))
-    words = words.withColumn("_gram", F.substring("word", 1, 3)).withColumn("_n", size)
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_name") - n + 1)), lambda i: F.substr(F.col("_name"), i, F.lit(n)))
-    names = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("_name")).select("entity_id", "_name", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_gram"))
-    met = words.hint("merge").join(names, "_gram").filter(F.contains("_name", "word")).select("qid", "word_no", "entity_id").distinct()
+    met = containing(entities.select(F.col("id").alias("entity_id"), "name"), "name", words, "word").select("qid", "word_no", "entity_id").distinct()
     hits = roles(facts).select("entity_id", "id").join(met.hint("merge"), "entity_id").select("qid", "word_no", "id").distinct()
     first = Window.partitionBy("qid", "word_no").orderBy("id")
     kept = hits.withColumn("_p", F.row_number().over(first)).filter(F.col("_p") <= per_word).groupBy("qid", "id").agg(F.min("word_no").alias("word_no"))
@@ -164,12 +183,18 @@ def inject(found: DataFrame, statements: DataFrame, budget: int = 1500, floor: f
     return within_budget(rows, "qid", "rank", token_estimate("statement"), budget)
 
 
+def overlap_scores(queries: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """(qid, id, score): share of each query's distinct words that a text has, where it has any. Words are joined, not texts."""
+    own = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[ \t-\r]+"), lambda y: y != ""))
+    asked = queries.select("qid", own(F.col("text")).alias("_w")).select("qid", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    words = texts.select("id", F.explode(own(F.col(text))).alias("word"))
+    return asked.hint("merge").join(words, "word").groupBy("qid", "id", "_n").agg(F.count("*").alias("_k")).select("qid", "id", F.round(F.col("_k") / F.greatest("_n", F.lit(1)), 6).alias("score"))
+
+
 def pending_search(queries: DataFrame, pending: DataFrame, now, newest: int = 1000, ttl_seconds: int = 300, k: int = 10) -> DataFrame:
-    """Keyword overlap with content that waits for ingestion: the newest 1,000 of the last five minutes (a bounded cache, so it is broadcast)."""
+    """Keyword overlap with content that waits for ingestion: the newest 1,000 of the last five minutes, a cache's bound."""
     live = pending.filter(F.col("queued_at") > F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds)))
-    cache = live.orderBy(F.desc("queued_at"), "id").limit(newest).select("id", "content", "queued_at")
-    hits = queries.join(F.broadcast(cache)).withColumn("score", F.round(overlap("text", "content"), 6)).filter("score > 0").select("qid", "id", "score")
-    return ranked(hits, k)
+    return ranked(overlap_scores(queries, live.orderBy(F.desc("queued_at"), "id").limit(newest), "content"), k)
 
 
 def hybrid_search(queries: DataFrame, statements: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
@@ -202,11 +227,75 @@ def recall(models: DataFrame, observations: DataFrame, facts: DataFrame, k: int
 
 def name_lookup(queries: DataFrame, aliases: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of entities that a text names by alias: as subject first, then as object."""
-    from ..functions import normalize_name
-
-    met = queries.withColumn("norm", normalize_name("text")).join(aliases.hint("merge"), "norm").select("qid", "entity_id")
-    hits = roles(facts).join(met.hint("merge"), "entity_id").withColumn("_tier", F.when(F.col("role") == "subject", 0).otherwise(1))
+    met = queries.withColumn("norm", normalize_name("text")).hint("merge").join(aliases, "norm").select("qid", "entity_id")
+    hits = roles(facts).hint("merge").join(met, "entity_id").withColumn("_tier", F.when(F.col("role") == "subject", 0).otherwise(1))
     return hits.groupBy("qid", "id").agg(F.min("_tier").alias("tier"))
 
 
-__all__ = ["bm25", "by_state", "fuse", "graph_search", "hybrid_search", "inject", "keyword_search", "name_lookup", "pending_search", "query_terms", "ranked", "recall", "recency_search", "scoped_search", "search", "temporal_search", "top_k", "vector_search"]
+def find_entities(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, entity_id): entities whose id or name is the `key` asked for. Two equi-joins, not an OR."""
+    e = entities.select(F.col("id").alias("entity_id"), "name")
+    by = lambda c: asked.hint("merge").join(e.withColumn("key", F.col(c)), "key").select("qid", "entity_id")
+    return by("entity_id").unionByName(by("name")).distinct()
+
+
+def keyword_entities(turns: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(qid, name): names that the user's table of keywords (keyword, names) gives for keywords which are somewhere in a turn's text."""
+    return containing(turns.select("qid", "text"), "text", keywords, "keyword").select("qid", F.explode("names").alias("name")).distinct()
+
+
+def name_injection(turns: DataFrame, names: DataFrame, entities: DataFrame, aliases: DataFrame, facts: DataFrame, statements: DataFrame, full_text: int = 10) -> DataFrame:
+    """(qid, id, source): active facts for a turn's `names` (qid, name; of `keyword_entities` or a model): 0 about an entity of exactly that name, 1 about one with
+    that alias, 2 with such an entity as object, 3 the best full-text hits of the turn itself. A fact counts once, by its first source. No name, no facts."""
+    e = entities.select(F.col("id").alias("entity_id"), "name")
+    exact = names.hint("merge").join(e, "name").select("qid", "entity_id").distinct()
+    alias = names.withColumn("norm", normalize_name("name")).hint("merge").join(aliases, "norm").select("qid", "entity_id").distinct()
+    live = facts.filter("epistemic_state = 'active'")
+    of = lambda met, c, source: met.hint("merge").join(live.select(F.col(c).alias("entity_id"), "id"), "entity_id").select("qid", "id", F.lit(source).alias("source"))
+    named = turns.hint("merge").join(names.select("qid").distinct(), "qid", "left_semi")
+    hits = bm25(named, statements).hint("merge").join(live.select("id"), "id", "left_semi")
+    found = of(exact, "subject_id", 0).unionByName(of(alias, "subject_id", 1)).unionByName(of(exact, "object_id", 2)).unionByName(ranked(hits, full_text).select("qid", "id", F.lit(3).alias("source")))
+    return found.groupBy("qid", "id").agg(F.min("source").alias("source"))
+
+
+def supplement(found: DataFrame, expected: DataFrame, entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """`found` (qid, id, rank) and after it, by id, the facts of the entities that `expected` (qid, key: id or name) names, if they aren't in it yet."""
+    about = find_entities(expected, entities).hint("merge").join(roles(facts).select("entity_id", "id"), "entity_id").select("qid", "id").distinct()
+    more = about.hint("merge").join(found.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("rank", F.lit(None).cast("int"))
+    w = Window.partitionBy("qid").orderBy(F.asc_nulls_last("rank"), "id")
+    return found.select("qid", "id", "rank").unionByName(more).withColumn("place", F.row_number().over(w))
+
+
+def with_certainty(hits: DataFrame, statements: DataFrame) -> DataFrame:
+    """Add certainty: 1, 0.7 or 0.4 by a fact's label, which is `stated` where there is none; 0 for content that still waits and for unknown labels."""
+    c = hits.hint("merge").join(statements.select("id", F.coalesce("certainty", F.lit("stated")).alias("certainty_label")), "id", "left")
+    return c.withColumn("certainty", F.when(F.col("certainty_label").isNull(), 0.0).otherwise(certainty_weight("certainty_label")))
+
+
+def observation_search(queries: DataFrame, observations: DataFrame, k: int = 10) -> DataFrame:
+    """Active observations (id, summary, proof_count, epistemic_state) by score, then by how many facts support them."""
+    live = observations.filter("epistemic_state = 'active'")
+    hits = bm25(queries, live, "summary").hint("merge").join(live.select("id", "proof_count"), "id")
+    return ranked(hits, k, [F.desc("score"), F.desc("proof_count")])
+
+
+def match_models(queries: DataFrame, models: DataFrame, k: int = 10) -> DataFrame:
+    """Models with the whole query in their title or summary, whatever the case, by id."""
+    texts = models.select("id", F.explode(F.array("title", "summary")).alias("_in"))
+    hits = containing(texts, "_in", queries.select("qid", "text"), "text").select("qid", "id").distinct()
+    return ranked(hits.withColumn("score", F.lit(0.0)), k)
+
+
+def model_search(queries: DataFrame, models: DataFrame, k: int = 10) -> DataFrame:
+    """Models by full text of title and summary; for queries that find nothing so, by text match."""
+    hits = ranked(bm25(queries, models.withColumn("_all", F.concat_ws(" ", "title", "summary")), "_all"), k)
+    return fallback(hits, match_models(queries, models, k))
+
+
+def topic_context(queries: DataFrame, statements: DataFrame, facts: DataFrame, hops: int = 2, k: int = 10) -> DataFrame:
+    """(qid, id): for each topic the k best facts by full text, and the facts between entities within `hops` of theirs. `statements` (id, statement) are of `facts`."""
+    from .graph import connecting_facts, expand
+
+    hits = keyword_search(queries, statements, k).select("qid", "id")
+    ends = roles(facts).select("entity_id", "id").hint("merge").join(hits, "id").select(F.col("qid").alias("seed"), F.col("entity_id").alias("id")).distinct()
+    return connecting_facts(facts, expand(facts, ends, hops)).select(F.col("seed").alias("qid"), "id").unionByName(hits).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import content_hash, episode_id, file_folder, file_name, message_line
+from ..sources.scratch import written
 
 BATCH = 20
 
@@ -71,10 +72,10 @@ def path_of_episode(index: DataFrame) -> DataFrame:
 
 def text_by_episode(asked: DataFrame, index: DataFrame, episodes: DataFrame) -> DataFrame:
     """(episode_id, text, found_in): stored document, else the episode's own content."""
-    stored = path_of_episode(index).join(index.select("path", "first_episode"), "path")
+    stored = written(index.select(F.explode("episode_ids").alias("episode_id"), "first_episode"))
     first = episodes.select(F.col("id").alias("first_episode"), F.col("content").alias("_stored"))
     own = episodes.select(F.col("id").alias("episode_id"), F.col("content").alias("_own"))
-    out = asked.join(stored, "episode_id", "left").join(first, "first_episode", "left").join(own, "episode_id", "left")
+    out = asked.hint("merge").join(stored, "episode_id", "left").hint("merge").join(first, "first_episode", "left").join(own, "episode_id", "left")
     return out.select("episode_id", F.coalesce("_stored", "_own").alias("text"), F.when(F.col("_stored").isNotNull(), "index").when(F.col("_own").isNotNull(), "episode").otherwise("none").alias("found_in"))
 
 
@@ -82,5 +83,15 @@ def without_documents(index: DataFrame, paths: DataFrame) -> DataFrame:
     return index.join(paths.select("path"), "path", "left_anti")
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
+def write_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Store each document's text once, as (file, file_id, content) in a folder for each kind, and give the index. The first text of each path is found by its hash before any text moves."""
+    index = written(documents_index(docs))
+    first = index.select("path", F.col("first_episode").alias("episode_id"))
+    texts = docs.select("episode_id", "content").hint("merge").join(first, "episode_id")
+    texts.select(F.substring_index("path", "/", 1).alias("folder"), F.substring_index("path", "/", -1).alias("file"), content_hash("content").alias("file_id"), "content").write.partitionBy("folder").mode("append").parquet(path)
+    return index
+
+
+def write_json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Results or alerts, one JSON object a line; mode `append` for a log."""
+    rows.write.mode(mode).json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("temporal", "facts", "retrieval", "curation", "streams")
+_MODULES = ("temporal", "facts", "retrieval", "curation", "context", "streams")
 
 
 def queries():

@@ -113,6 +113,57 @@ def e8_resolved_names(spark, d):
     return E.resolve_names(n, aliases(spark, d)).groupBy("how").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"))
 
 
+def _known(spark, d):
+    """Every customer is known under the name of the user of the same number."""
+    return table(spark, d, "customer").select(F.concat(F.lit("u"), F.col("c_custkey")).alias("norm"), F.concat(F.lit("cust:"), F.col("c_custkey")).alias("entity_id"))
+
+
+def _resolved(spark, d):
+    p = E.parse_responses(_responses(spark, d))
+    e, f = E.valid_entities(p), E.valid_facts(p, vocabulary(spark))
+    return e, f, E.resolve_names(E.all_names(e, f), _known(spark, d))
+
+
+def e9_new_entities(spark, d):
+    e, _, r = _resolved(spark, d)
+    return E.new_entities(r, e, _NOW).drop("created_at")
+
+
+def e10_new_aliases(spark, d):
+    _, _, r = _resolved(spark, d)
+    return E.new_aliases(r, _known(spark, d))
+
+
+def _logged(spark, d):
+    _, f, r = _resolved(spark, d)
+    return E.fact_log(f, r, event_facts(spark, d).select("id", "namespace", "recorded_at"), vocabulary(spark))
+
+
+def e13_fact_log(spark, d):
+    return _logged(spark, d)[0].select("id", "subject_id", "predicate", "object_id", "object_value", "statement", "functional", "negation", "certainty", "assertion_source", "epistemic_state", "valid_at_inferred", "namespace", "episode_id")
+
+
+def e13_fact_evidence(spark, d):
+    return _logged(spark, d)[1]
+
+
+def w7_first_seen(spark, d):
+    return E.first_seen(table(spark, d, "customer").select(F.upper("c_mktsegment").alias("name"), F.concat(F.lit("cust:"), F.col("c_custkey")).alias("entity_id"), F.col("c_custkey").alias("seq")))
+
+
+def e6_retried(spark, d):
+    """A model that fails for long prompts and answers with how much it was given."""
+
+    def model(prompt):
+        text = prompt.rpartition("Text:\n")[2]
+        if len(text) > 1500:
+            return "no idea"
+        return '{"entities": [{"name": "n' + str(len(text)) + '"}], "facts": []}' if text else None
+
+    x = E.extract(episodes(spark, d).select("id", "content"), ["uses"], model, 1200)
+    return x.select("id", "parsed", F.col("attempt").cast("long").alias("attempt"), F.get("result.entities", F.lit(0))["name"].alias("name"))
+
+
 def e7_dead_letters(spark, d):
     f = episodes(spark, d).select("id", "content", (F.length("content") % 4).alias("retries"))
     return E.dead_letters(f).select("id", "status", F.col("retries").cast("long").alias("retries"), F.length("content").cast("long").alias("chars"))
@@ -123,7 +174,7 @@ def c1_pending_groups(spark, d):
 
 
 def c2_group_facts(spark, d):
-    return C.group_facts(_state(spark, d), 3).select("id", F.col("place").cast("long").alias("place"))
+    return C.group_facts(_state(spark, d)).select("id", F.col("place").cast("long").alias("place"))
 
 
 def _observed(spark, d):
@@ -131,7 +182,7 @@ def _observed(spark, d):
 
 
 def c4_observations(spark, d):
-    return _observed(spark, d).withColumn("evidence_refs", F.array_join("evidence_refs", ","))
+    return C.observe(_state(spark, d)).withColumn("evidence_refs", F.array_join("evidence_refs", ","))
 
 
 def c9_consolidated(spark, d):
@@ -139,7 +190,73 @@ def c9_consolidated(spark, d):
 
 
 def c4_support_edges(spark, d):
-    return C.support_edges(_observed(spark, d))
+    return C.support_edges(C.observe(_state(spark, d)))
+
+
+_NOW = "2026-03-01 00:00:00"
+
+
+def _observations(spark, d):
+    """What was observed of two thirds of the facts, an older observation and a replaced one of each group."""
+    o = _observed(spark, d)
+    row = lambda tag, summary, state, at: o.select(F.concat(F.lit(f"{tag}:"), F.concat_ws("|", *C.GROUP)).alias("id"), *C.GROUP, summary.alias("summary"), "proof_count", "evidence_refs", F.lit(state).alias("epistemic_state"), F.lit(at).cast("timestamp").alias("recorded_at"), F.lit(None).cast("timestamp").alias("invalid_at"))
+    return row("now", F.col("summary"), "active", "2026-01-02").unionByName(row("old", F.lit("old"), "active", "2026-01-01")).unionByName(row("gone", F.lit("gone"), "superseded", "2026-01-03"))
+
+
+def c3_latest_observations(spark, d):
+    return C.latest_observations(_observations(spark, d)).select("id", "summary", "proof_count")
+
+
+def _drained(spark, d):
+    """All groups wait but those of the predicate `uses`; some keys lack a part."""
+    s = _state(spark, d)
+    groups = C.pending_groups(s).filter("predicate <> 'uses'")
+    keys = C.queue(groups).unionByName(groups.select(F.concat_ws("|", "subject_id", "predicate").alias("group_key")).distinct())
+    return C.drain(keys, s, _observations(spark, d), F.lit(_NOW).cast("timestamp"))
+
+
+def c10_drained(spark, d):
+    return _drained(spark, d).done
+
+
+def c1_still_pending(spark, d):
+    return _drained(spark, d).pending
+
+
+def c6_observation_edges(spark, d):
+    return _drained(spark, d).edges
+
+
+def c7_observations_after(spark, d):
+    o = _drained(spark, d).observations
+    return o.select("id", "summary", "proof_count", F.array_join("evidence_refs", ",").alias("evidence_refs"), "epistemic_state", F.unix_seconds("recorded_at").alias("recorded"), F.unix_seconds("invalid_at").alias("invalid"))
+
+
+def c8_model_summaries(spark, d):
+    """A model that counts words, and fails for long prompts."""
+
+    def model(prompt):
+        if len(prompt) > 24:
+            raise ValueError("too long")
+        return f"{len(prompt.split(' '))} words"
+
+    return C.summarised(C.observe(_state(spark, d)).select(*C.GROUP, "summary"), model)
+
+
+def _model_requests(spark, d):
+    """One model for each region, about its nations."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    names = n.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("curated_for"))
+    return r.join(names, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("title"), F.concat(F.lit("about "), F.lower("r_name")).alias("summary"), F.concat("curated_for", F.array(F.lit("nowhere"))).alias("curated_for"), F.when(F.col("r_regionkey") == 1, "personal").alias("namespace"))
+
+
+def m1_created_models(spark, d):
+    m, _ = C.create_models(_model_requests(spark, d), entities(spark, d), F.lit(_NOW).cast("timestamp"))
+    return m.select("id", "title", "summary", "namespace", F.size("tags").cast("long").alias("n_tags"), "llm_drafted", "approved_by", "stale", F.unix_seconds("updated_at").alias("updated"))
+
+
+def m1_curated_links(spark, d):
+    return C.create_models(_model_requests(spark, d), entities(spark, d), F.lit(_NOW).cast("timestamp"))[1]
 
 
 def _models(spark, d):
@@ -169,7 +286,7 @@ def m5_stale_models(spark, d):
 
 
 def m6_draft_models(spark, d):
-    return C.draft_models(_state(spark, d), 4)
+    return C.draft_models(_state(spark, d))
 
 
 def m3_model_search(spark, d):
@@ -228,6 +345,12 @@ _EPIS = """, us AS (SELECT * FROM sess WHERE archived = 0 AND message_count > 0)
  ep AS (SELECT session_id, i // {n} AS b, min("timestamp") AS first_at, string_agg(upper(role[1]) || role[2:] || ': ' || CASE WHEN length(content) > 2000 THEN substring(content, 1, 2000) || ' [...] (truncated)' ELSE content END, chr(10) ORDER BY i) AS content, count(*) AS c FROM nm GROUP BY 1, 2),
  eh AS (SELECT *, sha1('session:' || session_id || ':' || first_at) AS h FROM ep)"""
 _RESP = f"{FACTS}, rf AS (SELECT id, seq, subject_id AS subject, CASE WHEN seq % 6 = 0 THEN 'likes' ELSE predicate END AS predicate, CASE WHEN object_type = 'literal' THEN lower(object_value) || ' x' ELSE upper(object_value) || '  x.' END AS object, object_type, CASE WHEN seq % 4 = 0 THEN 'stated' ELSE certainty END AS certainty, negation FROM facts WHERE seq % 10 <> 9)"
+_NAMES = f"""{_RESP}, an AS (SELECT subject AS name FROM rf UNION SELECT object FROM rf WHERE predicate <> 'likes' AND object_type = 'entity'),
+ nm AS (SELECT name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS norm FROM an),
+ nr AS (SELECT name, norm, CASE WHEN c_custkey IS NULL THEN 'new' ELSE 'alias' END AS how, CASE WHEN c_custkey IS NULL THEN 'new:' || substring(sha256(min(name) OVER (PARTITION BY norm)), 1, 16) ELSE 'cust:' || c_custkey END AS entity_id FROM nm LEFT JOIN customer ON norm = 'u' || c_custkey)"""
+_LOG = f"""{_NAMES}, l0 AS (SELECT rf.*, s.entity_id AS subject_id, CASE WHEN object_type = 'entity' THEN o.entity_id END AS object_id FROM rf JOIN nr s ON s.name = rf.subject LEFT JOIN nr o ON o.name = rf.object WHERE predicate <> 'likes'),
+ lg AS (SELECT 'fact:' || substring(sha256(l0.id || '|' || l0.subject_id || '|' || l0.predicate || '|' || l0.object || '|' || l0.negation), 1, 16) AS id, l0.subject_id, l0.predicate, object_id, CASE WHEN object_id IS NULL THEN object END AS object_value, subject || ' ' || l0.predicate || ' ' || object AS statement,
+  l0.predicate IN ('has_role', 'version_is') AS functional, l0.negation, l0.certainty, 'model' AS assertion_source, 'active' AS epistemic_state, true AS valid_at_inferred, f.namespace, l0.id AS episode_id FROM l0 JOIN facts f ON f.id = l0.id)"""
 _GF = """gf AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate, namespace ORDER BY recorded_at DESC, seq DESC) AS place FROM state WHERE epistemic_state = 'active' AND assertion_source <> 'model'),
  ev AS (SELECT subject_id, predicate, namespace, list(id ORDER BY place) AS ids, list(object_value ORDER BY place) AS vals, count(DISTINCT object_value) AS n_objects FROM gf WHERE place <= 20 GROUP BY 1, 2, 3)"""
 _SUM = "subject_id || ' ' || predicate || ': ' || array_to_string(list_slice(vals, 1, 5), '; ')"
@@ -235,6 +358,13 @@ _SUM = "subject_id || ' ' || predicate || ': ' || array_to_string(list_slice(val
 _OLD = STATE.replace("FROM facts_k)", "FROM facts_k WHERE event_id % 3 <> 0)")
 _OBS = f"{_OLD}, {_GF}"
 _OBS_IN = "ob AS (WITH " + _OBS + f" SELECT subject_id, predicate, namespace, {_SUM} AS summary, CAST(len(ids) AS BIGINT) AS proof_count, list_sort(ids) AS refs FROM ev)"
+_PLAN = f"""{STATE}, {_GF}, {_OBS_IN}, j AS (SELECT ev.*, o.refs, o.proof_count AS pc, list_filter(ids, lambda x: NOT list_contains(coalesce(refs, []), x)) AS fresh FROM ev LEFT JOIN ob o ON o.subject_id = ev.subject_id AND o.predicate = ev.predicate AND o.namespace = ev.namespace),
+ a AS (SELECT *, CASE WHEN refs IS NULL THEN 'create' WHEN len(fresh) = 0 THEN 'skip' WHEN n_objects > 1 AND predicate IN ('has_role', 'version_is') THEN 'supersede' ELSE 'update' END AS action FROM j),
+ pl AS (SELECT subject_id, predicate, namespace, action, ids, fresh, {_SUM} AS summary, CAST(CASE WHEN action IN ('create', 'supersede') THEN len(ids) ELSE pc + len(fresh) END AS BIGINT) AS proof_count, array_to_string(list_sort(CASE WHEN action IN ('create', 'supersede') THEN ids ELSE list_concat(refs, fresh) END), ',') AS evidence_refs FROM a)"""
+_KEY = "subject_id || '|' || predicate || '|' || namespace"
+_DRAIN = f"{_PLAN}, dr AS (SELECT *, {_KEY} AS k, CASE WHEN action = 'update' THEN 'now:' || {_KEY} ELSE 'obs:' || substring(sha256({_KEY} || '|2026-03-01 00:00:00'), 1, 16) END AS id FROM pl WHERE action <> 'skip' AND predicate <> 'uses')"
+_MODEL_NS = "CASE WHEN r_regionkey = 1 THEN 'personal' ELSE 'shared' END"
+_MODEL_ID = f"'model:' || substring(sha256({_MODEL_NS} || '|' || r_name || '|2026-03-01 00:00:00'), 1, 16)"
 _CUR = "cur AS (SELECT DISTINCT 'm' || (CAST(substring(subject_id, 2) AS BIGINT) % 25) AS model_id, subject_id AS entity_id FROM facts)"
 _EXP = "ex AS (SELECT qid, 'class' || (qid % 3) AS class, CASE WHEN qid % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(['d' || qid, 'd' || (qid * 3 + 1)]) END AS e FROM asked)"
 _MET = f"WITH {_BM}, {_EXP}, h AS (SELECT qid, count(*) FILTER (rank <= 5) AS n, min(rank) AS best FROM (SELECT qid, unnest(e) AS id FROM ex) JOIN bm USING (qid, id) WHERE rank <= 200 GROUP BY 1), met AS (SELECT qid, class, round(CASE WHEN len(e) = 0 THEN 1.0::DOUBLE ELSE coalesce(n, 0) / len(e) END, 6) AS recall, round(CASE WHEN len(e) = 0 THEN 1.0::DOUBLE ELSE coalesce(1.0::DOUBLE / best, 0) END, 6) AS reciprocal_rank FROM ex LEFT JOIN h USING (qid))"
@@ -257,19 +387,36 @@ SQL = {
     "e8_resolved_names": """WITH e AS (SELECT 'cust:' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supp:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'part:' || p_partkey, p_name FROM part UNION ALL SELECT 'nat:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'reg:' || r_regionkey, r_name FROM region),
  nrm AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(lower(name), '-', ' '), '_', ' '), '/', ' '), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS norm FROM e),
  n AS (SELECT DISTINCT CASE WHEN id LIKE '%7' THEN 'Unknown ' || id ELSE upper(name) END AS name, CASE WHEN id LIKE '%7' THEN 'new' ELSE 'alias' END AS how, CASE WHEN id LIKE '%7' THEN 'Unknown ' || id ELSE norm END AS k FROM nrm) SELECT how, count(*) AS n, count(DISTINCT k) AS entities FROM n GROUP BY 1""",
+    "e9_new_entities": f"WITH {_NAMES} SELECT entity_id AS id, min(name) AS name, 'entity' AS type, '' AS summary FROM nr WHERE how = 'new' GROUP BY 1",
+    "e10_new_aliases": f"WITH {_NAMES} SELECT DISTINCT norm, entity_id FROM nr WHERE how = 'new'",
+    "e13_fact_log": f"WITH {_LOG} SELECT * FROM lg",
+    "e13_fact_evidence": f"WITH {_LOG} SELECT 'ev:' || substring(id, 6, 16) AS id, id AS fact_id, episode_id FROM lg",
+    "w7_first_seen": "SELECT lower(c_mktsegment) AS norm, 'cust:' || min(c_custkey) AS entity_id FROM customer GROUP BY 1",
+    "e6_retried": f"""WITH {EPISODES}, x AS (SELECT id, length(content) AS n FROM eps) SELECT id, n > 0 AS parsed, CAST(CASE WHEN n BETWEEN 1 AND 1500 THEN 1 ELSE 2 END AS BIGINT) AS attempt, CASE WHEN n > 0 THEN 'n' || CASE WHEN n > 1500 THEN 1200 ELSE n END END AS name FROM x""",
     "e7_dead_letters": f"WITH {EPISODES} SELECT id, CASE WHEN length(content) % 4 + 1 >= 3 THEN 'dead' ELSE 'retry' END AS status, CAST(length(content) % 4 + 1 AS BIGINT) AS retries, CAST(least(length(content), 500) AS BIGINT) AS chars FROM eps",
     "c1_pending_groups": f"WITH {FACTS} SELECT DISTINCT subject_id, predicate, namespace FROM facts WHERE assertion_source <> 'model'",
-    "c2_group_facts": f"WITH {STATE}, {_GF} SELECT id, place FROM gf WHERE place <= 3",
-    "c4_observations": f"WITH {_OBS_IN} SELECT subject_id, predicate, namespace, summary, proof_count, array_to_string(refs, ',') AS evidence_refs FROM ob",
-    "c4_support_edges": f"WITH {_OBS_IN} SELECT subject_id, predicate, namespace, unnest(refs) AS fact_id FROM ob",
-    "c9_consolidated": f"""WITH {STATE}, {_GF}, {_OBS_IN}, j AS (SELECT ev.*, o.refs, o.proof_count AS pc, list_filter(ids, lambda x: NOT list_contains(coalesce(refs, []), x)) AS fresh FROM ev LEFT JOIN ob o ON o.subject_id = ev.subject_id AND o.predicate = ev.predicate AND o.namespace = ev.namespace),
- a AS (SELECT *, CASE WHEN refs IS NULL THEN 'create' WHEN len(fresh) = 0 THEN 'skip' WHEN n_objects > 1 AND predicate IN ('has_role', 'version_is') THEN 'supersede' ELSE 'update' END AS action FROM j)
- SELECT subject_id, predicate, namespace, action, {_SUM} AS summary, CAST(CASE WHEN action IN ('create', 'supersede') THEN len(ids) ELSE pc + len(fresh) END AS BIGINT) AS proof_count, array_to_string(list_sort(CASE WHEN action IN ('create', 'supersede') THEN ids ELSE list_concat(refs, fresh) END), ',') AS evidence_refs FROM a""",
+    "c2_group_facts": f"WITH {STATE}, {_GF} SELECT id, place FROM gf WHERE place <= 20",
+    "c4_observations": f"WITH {STATE}, {_GF} SELECT subject_id, predicate, namespace, {_SUM} AS summary, CAST(len(ids) AS BIGINT) AS proof_count, array_to_string(list_sort(ids), ',') AS evidence_refs FROM ev",
+    "c4_support_edges": f"WITH {STATE}, {_GF} SELECT subject_id, predicate, namespace, unnest(ids) AS fact_id FROM ev",
+    "c3_latest_observations": f"WITH {_OBS_IN} SELECT 'now:' || subject_id || '|' || predicate || '|' || namespace AS id, summary, proof_count FROM ob",
+    "c10_drained": f"WITH {_DRAIN} SELECT k AS group_key, id, action FROM dr",
+    "c1_still_pending": f"WITH {_DRAIN} SELECT DISTINCT {_KEY} AS group_key FROM facts WHERE assertion_source <> 'model' AND predicate <> 'uses' AND {_KEY} NOT IN (SELECT k FROM dr)",
+    "c6_observation_edges": f"""WITH {_DRAIN} SELECT 'SUPPORTS' AS kind, id AS from_id, unnest(CASE WHEN action = 'update' THEN fresh ELSE ids END) AS to_id FROM dr
+ UNION ALL SELECT 'CONTRADICTS', unnest(fresh), 'now:' || k FROM dr WHERE action = 'supersede' UNION ALL SELECT 'SUPERSEDES', id, 'now:' || k FROM dr WHERE action = 'supersede'""",
+    "c7_observations_after": f"""WITH {_DRAIN}, o AS (SELECT *, {_KEY} AS k, array_to_string(refs, ',') AS r FROM ob), oj AS (SELECT o.*, dr.action, dr.summary AS s2, dr.proof_count AS p2, dr.evidence_refs AS r2 FROM o LEFT JOIN dr USING (k))
+ SELECT 'now:' || k AS id, CASE WHEN action = 'update' THEN s2 ELSE summary END AS summary, CASE WHEN action = 'update' THEN p2 ELSE proof_count END AS proof_count, CASE WHEN action = 'update' THEN r2 ELSE r END AS evidence_refs,
+  CASE WHEN action = 'supersede' THEN 'superseded' ELSE 'active' END AS epistemic_state, CAST(epoch(TIMESTAMP '2026-01-02') AS BIGINT) AS recorded, CASE WHEN action = 'supersede' THEN CAST(epoch(TIMESTAMP '2026-03-01') AS BIGINT) END AS invalid FROM oj
+ UNION ALL SELECT 'old:' || k, 'old', proof_count, r, 'active', CAST(epoch(TIMESTAMP '2026-01-01') AS BIGINT), NULL FROM o UNION ALL SELECT 'gone:' || k, 'gone', proof_count, r, 'superseded', CAST(epoch(TIMESTAMP '2026-01-03') AS BIGINT), NULL FROM o
+ UNION ALL SELECT id, summary, proof_count, evidence_refs, 'active', CAST(epoch(TIMESTAMP '2026-03-01') AS BIGINT), NULL FROM dr WHERE action <> 'update'""",
+    "c8_model_summaries": f"WITH {STATE}, {_GF}, x AS (SELECT subject_id, predicate, namespace, {_SUM} AS s FROM ev) SELECT subject_id, predicate, namespace, CASE WHEN length(s) > 24 THEN s ELSE len(string_split(s, ' ')) || ' words' END AS summary FROM x",
+    "m1_created_models": f"SELECT {_MODEL_ID} AS id, r_name AS title, 'about ' || lower(r_name) AS summary, {_MODEL_NS} AS namespace, CAST(0 AS BIGINT) AS n_tags, false AS llm_drafted, CAST(NULL AS VARCHAR) AS approved_by, false AS stale, CAST(epoch(TIMESTAMP '2026-03-01') AS BIGINT) AS updated FROM region",
+    "m1_curated_links": f"SELECT {_MODEL_ID} AS model_id, 'nat:' || n_nationkey AS entity_id FROM region JOIN nation ON n_regionkey = r_regionkey",
+    "c9_consolidated": f"WITH {_PLAN} SELECT subject_id, predicate, namespace, action, summary, proof_count, evidence_refs FROM pl",
     "m2_models": f"WITH {FACTS}, {_CUR} SELECT 'm' || n_nationkey AS id, n_name AS title, array_to_string(e, ',') AS entities FROM nation LEFT JOIN (SELECT model_id, list_sort(list(entity_id)) AS e FROM cur GROUP BY 1) c ON c.model_id = 'm' || n_nationkey",
     "m4_latest_models": "SELECT 'm' || n_nationkey AS id, CAST(CASE WHEN n_nationkey % 10 = 2 THEN 2 ELSE 1 END AS BIGINT) AS updated_at, n_name AS title, CASE WHEN n_nationkey % 10 = 2 THEN 'second' ELSE 'first' END AS summary FROM nation",
     "m5_stale_models": f"""WITH {FACTS}, {_CUR}, t AS (SELECT make_timestamp((epoch_us(min(recorded_at)) + 9 * epoch_us(max(recorded_at))) // 10) AS t FROM facts), l AS (SELECT subject_id, max(recorded_at) AS newest FROM facts GROUP BY 1)
  SELECT model_id, count(*) AS n_newer_entities FROM cur JOIN l ON l.subject_id = entity_id, t WHERE newest > t GROUP BY 1""",
-    "m6_draft_models": f"WITH {STATE}, r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY recorded_at DESC, seq DESC) AS p FROM state WHERE epistemic_state = 'active') SELECT subject_id, string_agg(statement, '. ' ORDER BY p) AS summary, count(*) AS n_statements FROM r WHERE p <= 4 GROUP BY 1",
+    "m6_draft_models": f"WITH {STATE}, r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY recorded_at DESC, seq DESC) AS p FROM state WHERE epistemic_state = 'active') SELECT subject_id, string_agg(statement, '. ' ORDER BY p) AS summary, count(*) AS n_statements FROM r GROUP BY 1",
     "m3_model_search": "WITH m AS (SELECT 'm' || n_nationkey AS id, n_nationkey % 4 AS tag, len(list_filter(regexp_split_to_array(lower(n_name), '[^a-z0-9]+'), lambda x: x <> '')) AS l FROM nation), s AS (SELECT CAST(r_regionkey AS INTEGER) AS qid, id, l FROM region JOIN m ON tag = r_regionkey % 4) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY l, id) AS rank FROM s QUALIFY rank <= 5",
     "q1_session_gate": "SELECT conv_id, CASE WHEN n < 2 THEN 'session has only ' || n || ' user turns (minimum 2)' WHEN conv_id % 10 = 3 THEN 'session ended in error state' WHEN conv_id % 10 = 4 THEN 'session was reverted' ELSE 'passed' END AS reason FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY 1)",
     "q6_health": f"""WITH {STATE}, c AS (SELECT 'queue_depth' AS check_name, CAST((SELECT count(*) FROM (SELECT DISTINCT subject_id, predicate, namespace FROM facts WHERE assertion_source <> 'model')) AS DOUBLE) AS value, 1000.0 AS lim

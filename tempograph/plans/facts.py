@@ -34,7 +34,7 @@ def _keys(spark, d):
 
 
 def a1_totals(spark, d):
-    return O.totals(_state(spark, d))
+    return O.totals(_state(spark, d), entities(spark, d))
 
 
 def a2_top_predicates(spark, d):
@@ -122,10 +122,12 @@ def p16_episode_list(spark, d):
 
 
 def p18_disposition(spark, d):
-    f = event_facts(spark, d).select("namespace").distinct()
-    trait = {"shared": (3, 3, 3), "personal": (2, 4, 4)}
-    s, li, e = (pick(F.col("namespace"), {k: v[i] for k, v in trait.items()}, 3) for i in range(3))
-    return f.select("namespace", disposition_text(s, li, e).alias("stance"))
+    """Defaults of two namespaces, one of which a user has changed in part; a third has none of its own."""
+    f = event_facts(spark, d).select(F.when(F.col("seq") % 3 == 0, "other").otherwise(F.col("namespace")).alias("namespace"))
+    rows = lambda data: spark.createDataFrame([(n, t, v) for n, values in data.items() for t, v in values.items()], "namespace string, trait string, value int")
+    defaults = rows({"shared": {"skepticism": 3, "literalism": 3, "empathy": 3}, "personal": {"skepticism": 2, "literalism": 4, "empathy": 4}})
+    found = O.dispositions(f, defaults, rows({"personal": {"skepticism": 5}, "other": {"empathy": 4}}))
+    return found.select("namespace", disposition_text("skepticism", "literalism", "empathy").alias("stance"))
 
 
 def f1_normalised_names(spark, d):
@@ -138,10 +140,9 @@ def f5_query_words(spark, d):
 
 
 def f6_overlap(spark, d):
-    q = query_batch(spark, d).filter("qid < 5").select("qid", "text")
-    docs = statements(spark, d).select("id", "statement")
-    # Five fixed queries against all texts.
-    return docs.join(F.broadcast(q)).select("qid", "id", F.round(overlap("text", "statement"), 6).alias("overlap")).filter("overlap > 0")
+    """Each document with the query of its number."""
+    q = query_batch(spark, d).select(F.concat(F.lit("d"), F.col("qid")).alias("id"), "text")
+    return statements(spark, d).hint("merge").join(q, "id").select("id", F.round(overlap("text", "statement"), 6).alias("overlap"))
 
 
 def f7_time_ranges(spark, d):
@@ -215,7 +216,7 @@ def t9_entity_facts(spark, d):
 
 _RENAME = "replace(replace(replace(lower(raw), '-', ' '), '_', ' '), '/', ' ')"
 SQL = {
-    "a1_totals": f"WITH {STATE} SELECT count(*) AS facts, count(*) FILTER (epistemic_state = 'active') AS active, count(*) FILTER (epistemic_state = 'superseded') AS superseded, count(*) FILTER (epistemic_state = 'contradicted') AS contradicted, count(DISTINCT subject_id) AS subjects, count(DISTINCT episode_id) AS episodes, count(*) FILTER (object_type = 'literal') AS literals FROM state",
+    "a1_totals": f"WITH {STATE}, {ENTITIES} SELECT (SELECT count(*) FROM ents) AS entities, count(*) AS facts, count(*) FILTER (epistemic_state = 'active') AS active, count(*) FILTER (epistemic_state = 'superseded') AS superseded, count(*) FILTER (epistemic_state = 'contradicted') AS contradicted, count(DISTINCT subject_id) AS subjects, count(DISTINCT episode_id) AS episodes, count(*) FILTER (object_type = 'literal') AS literals FROM state",
     "a2_top_predicates": f"WITH {FACTS} SELECT predicate, count(*) AS n FROM facts GROUP BY 1 ORDER BY n DESC, predicate LIMIT 10",
     "a3_entity_page": f"WITH {ENTITIES}, {GRAPH} SELECT e.id, e.name, coalesce(n, 0) AS n_facts, (SELECT count(*) FROM ents) AS total FROM ents e LEFT JOIN (SELECT subject_id, count(*) AS n FROM graph GROUP BY 1) g ON e.id = g.subject_id ORDER BY n_facts DESC, name, id LIMIT 20 OFFSET 40",
     "a5_facts_per_episode": f"WITH {FACTS} SELECT episode_id, count(*) AS n FROM facts GROUP BY 1",
@@ -241,12 +242,12 @@ SQL = {
  SELECT id, coalesce(src, 'model') <> 'model' AS consolidates, CAST(CASE src WHEN 'user' THEN 0 WHEN 'tool_result' THEN 1 ELSE 2 END AS BIGINT) AS source_rank, CAST(CASE certainty WHEN 'stated' THEN 1.0 WHEN 'inferred' THEN 0.7 ELSE 0.4 END AS DOUBLE) AS weight FROM g WHERE coalesce(src, 'model') IN ('user', 'tool_result', 'model')""",
     "p14_valid_at": f"WITH {FACTS} SELECT id, epoch_us(CASE WHEN seq % 3 = 1 THEN date_trunc('second', valid_at) ELSE recorded_at END) AS valid_at_us, seq % 3 <> 1 AS inferred FROM facts",
     "p16_episode_list": f"WITH {EPISODES} SELECT id, substring(content, 1, 200) AS preview, epoch_us(recorded_at) AS recorded_at_us FROM eps WHERE recorded_at >= TIMESTAMP '2026-01-03' ORDER BY recorded_at DESC, id LIMIT 50",
-    "p18_disposition": f"WITH {FACTS} SELECT DISTINCT namespace, CASE namespace WHEN 'personal' THEN 'moderate threshold; exact facts; preserve sentiment' ELSE 'moderate threshold; allow inference; factual focus' END AS stance FROM facts",
+    "p18_disposition": f"WITH {FACTS} SELECT DISTINCT CASE WHEN seq % 3 = 0 THEN 'other' ELSE namespace END AS namespace, CASE WHEN seq % 3 = 0 THEN 'moderate threshold; allow inference; preserve sentiment' WHEN namespace = 'personal' THEN 'require strong evidence; exact facts; preserve sentiment' ELSE 'moderate threshold; allow inference; factual focus' END AS stance FROM facts",
     "f1_normalised_names": f"""WITH {ENTITIES}, r AS (SELECT id, ' ' || upper(name) || '--The/_Second!  ' AS raw FROM ents) SELECT id, trim(regexp_replace(regexp_replace({_RENAME}, '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS norm,
  regexp_replace(trim(regexp_replace(lower(raw || ' X.;!'), ' +', ' ', 'g')), '[.,;:!?]+$', '') AS literal, trim(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS answer FROM r""",
     "f5_query_words": f"WITH {ASKED} SELECT qid, array_to_string(regexp_extract_all(text, '[a-z0-9]+(?:[-_][a-z0-9]+)*'), '|') AS words, CAST(length(text) // 4 AS BIGINT) AS tokens FROM asked",
-    "f6_overlap": f"""WITH {ASKED}, {STATEMENTS}, q AS (SELECT qid, list_distinct(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM asked WHERE qid < 5),
- s AS (SELECT id, list_filter(regexp_split_to_array(lower(statement), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM stmts) SELECT qid, id, round(len(list_intersect(q.w, s.w)) / greatest(len(q.w), 1), 6) AS overlap FROM q, s WHERE len(list_intersect(q.w, s.w)) > 0""",
+    "f6_overlap": f"""WITH {ASKED}, {STATEMENTS}, q AS (SELECT 'd' || qid AS id, list_distinct(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM asked),
+ s AS (SELECT id, list_filter(regexp_split_to_array(lower(statement), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM stmts) SELECT id, round(len(list_intersect(q.w, s.w)) / greatest(len(q.w), 1), 6) AS overlap FROM q JOIN s USING (id)""",
     "f7_time_ranges": """WITH e AS (SELECT event_id, ts, event_id % 13 AS p, date_trunc('year', ts) AS y, date_trunc('month', ts) AS m, date_trunc('day', ts) AS d FROM events),
  r AS (SELECT event_id, CASE p WHEN 0 THEN y - INTERVAL 10 MONTH WHEN 1 THEN y - INTERVAL 7 MONTH WHEN 2 THEN y - INTERVAL 4 MONTH WHEN 3 THEN y - INTERVAL 1 MONTH
   WHEN 4 THEN y + INTERVAL 5 MONTH - CASE WHEN month(ts) < 6 THEN INTERVAL 1 YEAR ELSE INTERVAL 0 YEAR END WHEN 5 THEN y + INTERVAL 11 MONTH - CASE WHEN month(ts) < 12 THEN INTERVAL 1 YEAR ELSE INTERVAL 0 YEAR END

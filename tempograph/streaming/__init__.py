@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ..sources.scratch import scratch_path
+from ..operators.extraction import MAX_RETRIES, dead_letters
+from ..sources.scratch import scratch_path, written
 
 READ_LIMIT, WRITE_LIMIT, WINDOW_SECONDS = 100, 20, 10
 SUPPRESS_SECONDS = 300
@@ -45,28 +46,37 @@ def deduplicated(stream: DataFrame, time: str = "recorded_at", within: str = "1
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(["id"])
 
 
-def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], stored: str, failed: str, checkpoint: str) -> None:
-    """Micro-batches of episodes (id, content, ...): those that failed before come first, ids already stored are skipped. `process` adds a column `ok`; rows
-    that are not ok go to the failed table with one more retry."""
+def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], stored: str, failed: str, dead: str, checkpoint: str) -> None:
+    """Micro-batches of episodes (id, content, ...): those that failed in the batch before come first, ids already stored are skipped. `process` adds a column `ok`. Rows
+    that are not ok wait in the failed table with one more retry; after MAX_RETRIES their beginning goes to the dead-letter table.
+
+    Each table has a folder `batch=<number>` for each micro-batch, which a replayed batch writes over, and which is read without the replayed batch's own
+    folder and later ones; so a batch that runs twice stores its rows once. Of the failed table only the last batch's folder is read, of the stored one only ids."""
     spark = stream.sparkSession
 
+    def before(path: str, number: int, schema: StructType) -> DataFrame:
+        try:
+            return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path).filter(F.col("batch") < number)
+        except Exception as e:  # not written yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], StructType([*schema.fields, StructField("batch", LongType())]))
+
+    def put(rows: DataFrame, path: str, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     def one(batch: DataFrame, number: int) -> None:
-        def table(path, schema):
-            try:
-                return spark.read.parquet(path)
-            except Exception as e:  # not written yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-                return spark.createDataFrame([], schema)
-
-        old = table(stored, batch.schema)
-        again = table(failed, StructType([*batch.schema.fields, StructField("retries", LongType()), StructField("batch", LongType())]))
-        last = again.groupBy("id").agg(F.max("retries").alias("retries"))
-        fresh = batch.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").join(last, "id", "left").withColumn("retries", F.coalesce("retries", F.lit(0)))
-        waiting = again.filter(F.col("batch") == number - 1).drop("batch").join(old.select("id"), "id", "left_anti")
+        waiting_schema = StructType([*batch.schema.fields, StructField("retries", LongType())])
+        old = before(stored, number, StructType([batch.schema["id"]])).select("id")
+        waiting = before(failed, number, waiting_schema).filter(F.col("batch") == number - 1).drop("batch")
+        fresh = batch.dropDuplicates(["id"]).hint("merge").join(old, "id", "left_anti").hint("merge").join(waiting.select("id"), "id", "left_anti").withColumn("retries", F.lit(0).cast("long"))
         done = process(waiting.unionByName(fresh.select(*waiting.columns))).persist()
-        done.filter("ok").select(*batch.columns).write.mode("append").parquet(stored)
-        done.filter("not ok").withColumn("retries", F.col("retries") + 1).withColumn("batch", F.lit(number).cast("long")).select(*batch.columns, "retries", "batch").write.mode("append").parquet(failed)
+        put(done.filter("ok").select(*batch.columns), stored, number)
+        again = dead_letters(done.filter("not ok").select(*waiting.columns)).persist()
+        full = done.filter("not ok").withColumn("retries", F.col("retries") + 1)
+        put(full.filter(F.col("retries") < MAX_RETRIES).select(*waiting.columns), failed, number)
+        put(again.filter("status = 'dead'").select("id", "content", F.col("retries").cast("long").alias("retries")), dead, number)
+        again.unpersist()
         done.unpersist()
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -81,8 +91,14 @@ def quota_use(requests: DataFrame, read_limit: int = READ_LIMIT, write_limit: in
     return used.select("key_id", "is_write", F.unix_micros("w.start").alias("window_us"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("refused"))
 
 
+def closed_by(requests: DataFrame, tick: DataFrame) -> DataFrame:
+    """Requests and one late tick (ts; other columns null), both streams: the tick moves the watermark past the last real window, so a stream that ends gives all windows."""
+    return requests.unionByName(tick, allowMissingColumns=True)
+
+
 class _Suppress(StatefulProcessor):
-    """Passes an alert if none of its category was sent in the period before."""
+    """Passes an alert if none of its category was sent in the period before. Alerts are put in order within a micro-batch; batches are taken to
+    come in order, as an alert source writes them. A category's alerts of one batch are sorted in its task, so `maxFilesPerTrigger` bounds them."""
 
     def __init__(self, seconds: int):
         self.micros = seconds * 1_000_000
@@ -118,7 +134,8 @@ _CHANGE = StructType([StructField("kind", StringType()), StructField("from_id",
 
 
 class _Fold(StatefulProcessor):
-    """The write rule, one fact after another; state is the key's active facts."""
+    """The write rule, one fact after another; state is the lane's active facts: of a functional predicate those of the one current object, of a plural one those of one
+    object, as objects of plural predicates never end each other. A lane's facts of one micro-batch are sorted in its task; `maxFilesPerTrigger` bounds them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.active = handle.getListState("active", _ACTIVE)
@@ -150,7 +167,8 @@ def fold_step(active: list, fact: tuple, functional: bool, changes: list) -> lis
 
 
 def state_changes(facts: DataFrame) -> DataFrame:
-    """Edges (kind, from_id, to_id) as facts arrive, for each (subject, predicate, namespace)."""
+    """Edges (kind, from_id, to_id) as facts arrive, for each (subject, predicate, namespace), and each object of plural predicates."""
     facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     f = facts.select("subject_id", "predicate", "namespace", "id", "seq", "recorded_at", F.coalesce("object_value", F.lit("")).alias("object_value"), "negation", "functional")
-    return f.groupBy("subject_id", "predicate", "namespace").transformWithStateInPandas(statefulProcessor=_Fold(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")
+    f = f.withColumn("lane", F.when(F.col("functional"), "").otherwise(F.col("object_value")))
+    return f.groupBy("subject_id", "predicate", "namespace", "lane").transformWithStateInPandas(statefulProcessor=_Fold(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")

@@ -159,7 +159,7 @@ def test_ingest_retries_then_stores(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(schema).parquet(str(src))
         ok = F.lit(True) if i == 2 else F.col("id") != "bad"
-        streaming.ingest(stream, lambda df, ok=ok: df.withColumn("ok", ok), str(out / "stored"), str(out / "failed"), str(out / "state"))
+        streaming.ingest(stream, lambda df, ok=ok: df.withColumn("ok", ok), str(out / "stored"), str(out / "failed"), str(out / "dead"), str(out / "state"))
     assert sorted(r.id for r in spark.read.parquet(str(out / "stored")).collect()) == ["a", "b", "bad", "c"]
     assert sorted(r.retries for r in spark.read.parquet(str(out / "failed")).collect()) == [1, 2]
 
