@@ -99,8 +99,8 @@ def bloom(spark: SparkSession, slots: DataFrame):
     shuffling: what it lets through is decided by the join that follows."""
     bits = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
     words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for r in bits.toLocalIterator():  # at most 2^20 rows
-        words[r["w"]] = r["b"]
+    at = bits.toArrow()  # at most 2^20 rows, 16 MB
+    words[at["w"].to_numpy()] = at["b"].to_numpy()
     return spark.sparkContext.broadcast(words)
 
 

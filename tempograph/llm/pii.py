@@ -229,7 +229,8 @@ def _text(spans: str):
 
 
 def digest(found: DataFrame) -> DataFrame:
-    count = [F.size(F.filter("base", lambda s, i=i: s["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = lambda i: F.filter("base", lambda s: s["k"] == i)
+    count = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(_text("base").cast("binary"), 256).alias("base_sha256"), _text("spans").alias("spans"))
 
 

@@ -25,8 +25,8 @@ from .common import stored
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: A combination with "block" must be in this share of the labelled pages, whatever their number.
 MIN_SUPPORT = 0.005
-#: Blocked pages among those with the combination: more likely bad than good.
-MIN_CONFIDENCE = 0.5
+#: Share of blocked pages among those with the combination.
+MIN_CONFIDENCE = 0.6
 #: By so many standard errors of a binomial at the base rate that share must exceed the base rate, as thousands of combinations are tried.
 MIN_DEVIATION = 5.0
 #: Up to so many mined rules are broadcast; more are joined by shuffle.

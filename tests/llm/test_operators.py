@@ -88,8 +88,9 @@ def test_pii_base(docs, rows, empty, spark):
     odd = ["a@b.c@d.e@f.g", "x@y@z.w.", "1.2.3.4.5.6.7.8 999.1.1.1", "+1 (555) 555-0101 4111 1111 1111 1111", "@a.b a@.b a@b", "+49-30 1234567 +1+2 4539 1488 0343 6467 9", "0" * 40, "é+33 1 23 45 67 89"]
     more = rows + [(1000 + i, t) for i, t in enumerate(odd)]
     df = spark.createDataFrame(more, "doc_id long, text string")
-    got = by_id(pii.digest(pii.personal_data(df)), "base_sha256", "spans")
+    got = by_id(pii.digest(pii.personal_data(df)), "base_sha256", "spans", "n_email", "n_ip", "n_card", "n_phone")
     for doc, text in more:
+        assert got[doc][2:] == tuple(sum(k == kind for k, _, _ in pii.brute_force(text)) for kind in pii.KINDS)
         assert got[doc][0] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in pii.brute_force(text)).encode()).hexdigest()
     assert pii.personal_data(empty).count() == 0
 
