@@ -83,6 +83,7 @@ def _word_scores(grams, doc, place, h, total, outside, backoff):
     """Of each word: log score, whether it backed off, whether no other document has it. `h` and `total` are sorted hashes and corpus counts."""
     left = []  # what is left of each word's n-gram counts without its own document
     for k, g in enumerate(grams):
+        g = np.where(place >= k, g, np.uint64(0))  # a run of words that begins in the document before is none of this one's
         u, _, inverse = _counted(g)
         all_of = total[np.minimum(np.searchsorted(h, u), len(h) - 1)][inverse]
         _, own, own_of = _counted(mix(g + np.uint64(0x9E37) * doc.astype(np.uint64)))

@@ -78,6 +78,15 @@ def _windows(n: int) -> str:
 
 
 _WORDS5 = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Bytes as hex digits. Texts are cut into pieces of 100 positions first, as finding a place in a long string takes as long as the place is far.
+_OP2 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), n AS (SELECT *, length(x) // 2 AS n FROM h),
+ b AS (SELECT doc_id, n, j, substring(x, 200 * j + 1, 300) AS y FROM (SELECT *, unnest(range(n // 100 + 1)) AS j FROM n WHERE n >= 50)),
+ s AS (SELECT doc_id, 100 * j + i AS p, substring(y, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(100)) AS i FROM b) WHERE 100 * j + i + 50 <= n), f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+ c AS (SELECT doc_id, p FROM s JOIN f USING (s) WHERE first < doc_id), g AS (SELECT *, CASE WHEN p <= lag(p) OVER w + 50 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g), r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, run),
+ e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n, n FROM n), k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS begin FROM e),
+ t AS (SELECT doc_id, string_agg(substring(x, 2 * begin + 1, 2 * (a - begin)), '' ORDER BY a, b) AS kept, CAST(sum(b - a) AS BIGINT) AS n_removed, CAST(count(*) FILTER (b > a) AS BIGINT) AS n_spans FROM k JOIN h USING (doc_id) GROUP BY 1)
+ SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM n JOIN t USING (doc_id)"""
 _OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS5.format(_LOW)} AS w FROM documents), i AS (SELECT item_id, {_WORDS5.format(_LOW)} AS w FROM benchmark), pi AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM i),
  pd AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
  wi AS (WITH x AS (SELECT item_id AS id, p, word, {_leads(10, 'item_id')} FROM pi) SELECT DISTINCT id AS item_id, k, win FROM ({_windows(10)}) y JOIN (SELECT item_id, len(w) AS n FROM i) z ON z.item_id = id WHERE k = least(10, n)),
@@ -91,7 +100,17 @@ _OP7 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x
  walk AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT id, b AS r FROM walk JOIN e ON e.a = walk.r)
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM walk GROUP BY 1) ON id = d.doc_id"""
 
+#: What is left of a count without the document's own is a count over all rows less one over the document's. A word's place p says how long its n-grams are.
+_OP10 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents), y AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+ x AS (SELECT doc_id, p, word AS g1, lag(word) OVER o || ' ' || word AS g2, lag(word, 2) OVER o || ' ' || lag(word) OVER o || ' ' || word AS g3 FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+ l AS (SELECT *, count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS l1, count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) AS l2, count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) AS l3 FROM x),
+ m AS (SELECT *, lag(l1) OVER o AS p1, lag(l2) OVER o AS p2, (SELECT count(*) FROM y) - count(*) OVER (PARTITION BY doc_id) AS others FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+ v AS (SELECT doc_id, p >= 3 AND l3 > 0 AS tri, p >= 2 AND l2 > 0 AS bi, l1 > 0 AS uni, CASE WHEN p >= 3 AND l3 > 0 THEN ln(CAST(l3 AS DOUBLE) / p2) WHEN p >= 2 AND l2 > 0 THEN ln(CAST(l2 AS DOUBLE) / p1) + (least(p, 3) - 2) * ln(0.4)
+  WHEN l1 > 0 THEN ln(CAST(l1 AS DOUBLE) / others) + (least(p, 3) - 1) * ln(0.4) ELSE ln(CAST(1 AS DOUBLE) / (others + 1)) + least(p, 3) * ln(0.4) END AS score, CASE WHEN p >= 3 THEN NOT (l3 > 0) WHEN p = 2 THEN NOT (l2 > 0) ELSE false END AS backed FROM m),
+ s AS (SELECT doc_id, count(*) FILTER (backed) AS n_backed_off, count(*) FILTER (NOT (tri OR bi OR uni)) AS n_unseen, round(sum(score), 6) AS log_score FROM v GROUP BY 1)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off, coalesce(n_unseen, 0) AS n_unseen, coalesce(log_score, 0) AS log_score, CASE WHEN len(w) > 0 THEN round(log_score / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id)"""
+
 
 def oracle_sql():
     """The queries that SQL can express whole. The others hold a trained model, a tokenizer, or Python's positions of matches; tests/llm compares them."""
-    return {"op5_decontaminate": _OP5, "op7_jaccard_join": _OP7}
+    return {"op2_suffix_dedup": _OP2, "op5_decontaminate": _OP5, "op7_jaccard_join": _OP7, "op10_lm_scoring": _OP10}

@@ -7,7 +7,7 @@ A byte goes if a string of `length` (50) bytes over it also starts in a document
    An anchor's context is all bytes that a 50-byte string over it can reach.
 2. Anchors are partitioned and sorted by anchor hash, context hash and document, and read as a stream, so one shared by any
    number of documents needs no memory. Where contexts are equal, all documents but the first lose the whole
-   context at once. Only the first document of each context of an anchor with several contexts needs a closer look.
+   context at once; documents that one task reads together settle that among themselves before the shuffle. Only the first document of each context of an anchor with several contexts needs a closer look.
 3. Those contexts are brought back as bytes, split into two finer groups each (the strings that reach 15 bytes to the left of the anchor, and
    those that reach as far to the right). All strings of a group hold the same bytes around the anchor, its core, which is written as one symbol.
    Equal passages of a group fall together, and each bucket of groups gets a suffix array of its distinct passages. Neighbours in it that
@@ -140,19 +140,37 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return doc[at], at - offsets[:-1][doc[at]], g[at], context
 
 
-def anchor_rows(docs: DataFrame, bits: int, length: int, k: int) -> DataFrame:
-    """(h, c, doc_id, pos) of all anchors; h has `bits` bits, where a clash only costs a comparison."""
+def anchor_rows(docs: DataFrame, bits: int, length: int, k: int, shift: int = 0) -> DataFrame:
+    """(h, c, doc_id, pos) of all anchors; h has `bits` bits, where a clash only costs a comparison. Of documents read together, all but
+    the first that have a context are settled here: their h is negative and c is 0, so a passage in very many documents is one row for each step where they meet."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
             for lo, hi in steps(offsets):
                 d, pos, h, c = _anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, k)
-                yield pa.record_batch([pa.array((mix(h) >> np.uint64(64 - bits)).view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(lo + d)), pa.array(pos.astype(np.int32))], ["h", "c", "doc_id", "pos"])
+                h, c, doc = (mix(h) >> np.uint64(64 - bits)).view(np.int64), c.view(np.int64), ids[lo + d]
+                later = _later(mix(h.view(np.uint64)) ^ c.view(np.uint64), doc >> shift)
+                h[later] = ~(doc[later] & 0xFFFF)
+                c = np.where(later, 0, c)
+                yield pa.record_batch([pa.array(h), pa.array(c), pa.array(doc), pa.array(pos.astype(np.int32))], ["h", "c", "doc_id", "pos"])
 
     return docs.mapInArrow(run, "h long, c long, doc_id long, pos int")
 
 
+def _later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows whose key a row of a smaller document has."""
+    order = np.lexsort((doc, key))
+    if not len(order):
+        return np.zeros(0, bool)
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.empty(len(key), bool)
+    out[order] = doc[order] > first
+    return out
+
+
 def shared_anchors(rows: DataFrame, shift: int = 0) -> DataFrame:
     """(doc_id, pos, h, whole): anchors whose whole context an earlier document has, and with whole = false those of the first
     document of a context whose anchor has other contexts too."""
@@ -162,6 +180,10 @@ def shared_anchors(rows: DataFrame, shift: int = 0) -> DataFrame:
         several, held = False, []  # whether the group has had two contexts; rows that wait for a second one
         for batch in batches:
             h, c, d, pos = (batch.column(i).to_numpy() for i in range(4))
+            settled = int(np.searchsorted(h, 0))  # they sort first
+            if settled:
+                yield pa.record_batch([pa.array(d[:settled]), pa.array(pos[:settled]), pa.array(h[:settled]), pa.array(np.ones(settled, bool))], ["doc_id", "pos", "h", "whole"])
+                h, c, d, pos = (x[settled:] for x in (h, c, d, pos))
             n = len(h)
             if not n:
                 continue
@@ -309,7 +331,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, shift
     docs = docs.select("doc_id", "text").filter(F.octet_length("text") >= length)
     total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 1
     bits = min(63, int(total).bit_length() + 4)
-    shared = stored(shared_anchors(anchor_rows(docs, bits, length, k), shift), "anchors")
+    shared = stored(shared_anchors(anchor_rows(docs, bits, length, k, shift), shift), "anchors")
     closer = shared.filter("not whole").select("doc_id", "pos").distinct()
     partial = closer_spans(stored(contexts_of(docs, closer, length, k), "halves"), length, shift=shift)
     full = shared.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("end"))

@@ -220,6 +220,14 @@ def test_lm_scores(docs, rows, empty, order):
     assert lm_score.lm_scores(empty, order).count() == 0
 
 
+def test_lm_scores_do_not_count_across_documents(spark):
+    """The end of one text and the start of the next are no n-gram of either, though the second has the same words elsewhere."""
+    rows = [(1, "p q x y"), (2, "z a x y z b x y z"), (3, "x y z c"), (4, "x y d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = by_id(lm_score.lm_scores(df), "n_words", "n_backed_off", "n_unseen", "log_score")
+    assert got == {i: pytest.approx(want) for (i, _), want in zip(rows, lm_score.brute_force([t for _, t in rows], 3))}
+
+
 def test_lm_query_scores_trigrams(spark, tmp_path):
     rows = [(1, "a b c d"), (2, "x b c y"), (3, "a b c e")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
