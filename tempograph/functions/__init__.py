@@ -57,7 +57,7 @@ def cosine(a, b) -> Column:
 
 
 def query_words(text) -> Column:
-    """Words of a query, compound words joined by - or _ kept whole."""
+    """Words of a query, compound words joined by - or _ kept whole. The pattern is a fixed value: it decides which names a query finds."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9]+(?:[-_][a-z0-9]+)*"), F.lit(0))
 
 
@@ -162,7 +162,7 @@ def token_estimate(text) -> Column:
 
 
 def group_label(entity, predicate, namespace) -> Column:
-    """For display only; joins use the three columns."""
+    """A group's key in the queue of groups; joins of facts use the three columns."""
     return F.concat_ws("|", _c(entity), _c(predicate), _c(namespace))
 
 
@@ -215,6 +215,7 @@ def resolve_valid_at(raw, recorded_at) -> tuple[Column, Column]:
 
 
 def disposition_text(skepticism, literalism, empathy) -> Column:
+    """A disposition in words. The phrases are fixed values: they go into prompts."""
     s, li, e = _c(skepticism), _c(literalism), _c(empathy)
     return F.concat_ws(
         "; ",

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import EXCLUSIVE_PREDICATES, can_consolidate
+from ..functions import EXCLUSIVE_PREDICATES, can_consolidate, group_label
 from ..sources.scratch import written
 
 GROUP = ("subject_id", "predicate", "namespace")
@@ -22,7 +22,7 @@ def pending_groups(facts: DataFrame) -> DataFrame:
 
 def queue(groups: DataFrame) -> DataFrame:
     """Keys `subject|predicate|namespace` of groups that wait."""
-    return groups.select(F.concat_ws("|", *GROUP).alias("group_key")).distinct()
+    return groups.select(group_label(*GROUP).alias("group_key")).distinct()
 
 
 def queued_groups(pending: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def drain(pending: DataFrame, state: DataFrame, observations: DataFrame, now: Co
     supports = plan.select(F.lit("SUPPORTS").alias("kind"), F.col("id").alias("from_id"), F.explode(F.when(F.col("action") == "update", F.col("new_facts")).otherwise(F.col("fact_ids"))).alias("to_id"))
     against = replaced.select(F.lit("CONTRADICTS").alias("kind"), F.explode("new_facts").alias("from_id"), F.col("observation_id").alias("to_id"))
     over = replaced.select(F.lit("SUPERSEDES").alias("kind"), F.col("id").alias("from_id"), F.col("observation_id").alias("to_id"))
-    done = plan.select(F.concat_ws("|", *GROUP).alias("group_key"), "id", "action")
+    done = plan.select(group_label(*GROUP).alias("group_key"), "id", "action")
     return Drained(after.unionByName(new), supports.unionByName(against).unionByName(over), dequeue(pending, done), done)
 
 

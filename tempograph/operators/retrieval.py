@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import certainty_weight, normalize_name, query_words, terms, time_range, token_estimate
+from ..sources.scratch import written
 from .facts import fallback, roles, within_budget
 
 K1, B = 1.2, 0.75
@@ -135,7 +136,8 @@ def graph_search(queries: DataFrame, facts: DataFrame, entities: DataFrame, per_
 
 def temporal_search(queries: DataFrame, statements: DataFrame, k: int = 20, scores: DataFrame | None = None) -> DataFrame:
     """Keyword hits that were valid in the time range that the query names; nothing for a query that names none."""
-    asked = queries.select("qid", time_range("text", "now").alias("_r")).filter("_r is not null").select("qid", F.col("_r.start").alias("_from"), F.col("_r.end").alias("_to"))
+    # Written, so that the long expression is compiled apart from the join.
+    asked = written(queries.select("qid", time_range("text", "now").alias("_r")).filter("_r is not null").select("qid", F.col("_r.start").alias("_from"), F.col("_r.end").alias("_to")))
     live = statements.filter("epistemic_state = 'active'").select("id", "valid_at")
     hits = (scores if scores is not None else bm25(queries, statements)).join(asked.hint("merge"), "qid").join(live.hint("merge"), "id").filter(F.col("valid_at").between(F.col("_from"), F.col("_to")))
     return ranked(hits.select("qid", "id", "score"), k)
@@ -166,8 +168,6 @@ def by_state(fused: DataFrame, state: DataFrame, include_history: bool = False)
 
 def search(queries: DataFrame, statements: DataFrame, k: int = 10, facts: DataFrame | None = None, entities: DataFrame | None = None, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, include_history: bool = False, fetch: int = 20) -> DataFrame:
     """Semantic, keyword, graph, temporal and recency lists, fused and ranked by state. A list whose inputs are missing is left out."""
-    from ..sources.scratch import written
-
     scores = written(bm25(queries, statements))  # three strategies read it
     lists = [vector_search(query_vectors, vectors, fetch)] if query_vectors is not None else []
     lists.append(ranked(scores, fetch))
@@ -191,8 +191,9 @@ def overlap_scores(queries: DataFrame, texts: DataFrame, text: str) -> DataFrame
     return asked.hint("merge").join(words, "word").groupBy("qid", "id", "_n").agg(F.count("*").alias("_k")).select("qid", "id", F.round(F.col("_k") / F.greatest("_n", F.lit(1)), 6).alias("score"))
 
 
-def pending_search(queries: DataFrame, pending: DataFrame, now, newest: int = 1000, ttl_seconds: int = 300, k: int = 10) -> DataFrame:
-    """Keyword overlap with content that waits for ingestion: the newest 1,000 of the last five minutes, a cache's bound."""
+def pending_search(queries: DataFrame, pending: DataFrame, now, newest: int = 1000, ttl_seconds: int = 300, k: int = 10, ingested: DataFrame | None = None) -> DataFrame:
+    """Keyword overlap with content that waits for ingestion: the newest 1,000 of the last five minutes, a cache's bound, without what is `ingested` (id) by now."""
+    pending = pending if ingested is None else pending.hint("merge").join(ingested.select("id"), "id", "left_anti")
     live = pending.filter(F.col("queued_at") > F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds)))
     return ranked(overlap_scores(queries, live.orderBy(F.desc("queued_at"), "id").limit(newest), "content"), k)
 

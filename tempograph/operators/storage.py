@@ -52,10 +52,17 @@ def migration_plan(sessions: DataFrame, messages: DataFrame, existing: DataFrame
     return e.join(known, "id", "left").withColumn("status", F.when(F.col("_known"), "skipped").otherwise("created")).drop("_known")
 
 
+def migration_summary(plan: DataFrame, facts: DataFrame) -> DataFrame:
+    """(status, episodes, facts, facts_per_episode) of a migration (id, status) and the facts (episode_id) written of its episodes."""
+    n = facts.groupBy(F.col("episode_id").alias("id")).agg(F.count("*").alias("_n"))
+    j = plan.hint("merge").join(n, "id", "left")
+    return j.groupBy("status").agg(F.count("*").alias("episodes"), F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("facts"), F.round(F.coalesce(F.sum("_n"), F.lit(0)) / F.count("*"), 6).alias("facts_per_episode"))
+
+
 def documents_index(docs: DataFrame) -> DataFrame:
     """Content-addressed store: one row for each path, with the first content and all episodes that have it.
 
-    `docs`: episode_id, content, content_type, source (map), saved_at. Hashes are made before the shuffle; the text itself moves only for the first of each path."""
+    `docs`: episode_id, content, content_type, source (map), saved_at. A path's row lists all its episodes, so it grows with their number; `path_of_episode` gives them as rows. Hashes are made before the shuffle; the text itself moves only for the first of each path."""
     d = docs.withColumn("path", F.concat_ws("/", file_folder("content_type", "source"), file_name("content", "content_type", "source"))).withColumn("file_id", content_hash("content"))
     facts = d.groupBy("path").agg(F.min_by(F.struct("file_id", "episode_id", "content_type"), F.struct("saved_at", "episode_id")).alias("f"), F.array_sort(F.collect_set("episode_id")).alias("episode_ids"), F.min("saved_at").alias("saved_at"), F.min_by(F.octet_length("content"), F.struct("saved_at", "episode_id")).alias("size_bytes"))
     return facts.select("path", "f.file_id", F.col("f.episode_id").alias("first_episode"), "f.content_type", "episode_ids", "saved_at", "size_bytes")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 KEY = ("subject_id", "predicate", "namespace")
 ORDER = ("recorded_at", "seq")
 
@@ -86,17 +88,15 @@ def history(facts: DataFrame, state: DataFrame, mode: str, when) -> DataFrame:
 
 def supersession_chain(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(id, head, length): the fact that is current at the end of each superseded fact's chain. Each round doubles the distance."""
-    from ..sources.scratch import written
-
     now = edges.filter("kind = 'SUPERSEDES'").groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("head")).withColumn("length", F.lit(1).cast("long"))
     now = written(now)
     for _ in range(rounds):
         nxt = now.select(F.col("id").alias("head"), F.col("head").alias("_far"), F.col("length").alias("_more"))
         joined = written(now.hint("merge").join(nxt, "head", "left"))
         if joined.filter("_far is not null").isEmpty():
-            break
+            return now
         now = joined.select("id", F.coalesce("_far", "head").alias("head"), (F.col("length") + F.coalesce("_more", F.lit(0))).alias("length"))
-    return now
+    raise ValueError(f"supersession doesn't end after {rounds} rounds of doubling: some facts form a cycle")
 
 
 def timeline(facts: DataFrame) -> DataFrame:

@@ -74,7 +74,15 @@ def e15_session_episodes(spark, d):
 
 def s18_migration(spark, d):
     e = S.to_episodes(sessions(spark, d), messages(spark, d))
-    return S.migration_plan(sessions(spark, d), messages(spark, d), e.filter("session_id % 2 = 0")).groupBy("status").agg(F.count("*").alias("n"))
+    return S.migration_plan(sessions(spark, d), messages(spark, d), e.filter("session_id % 2 = 0")).select("id", "status")
+
+
+def s20_migration_summary(spark, d):
+    """One fact for each message of an episode."""
+    e = S.to_episodes(sessions(spark, d), messages(spark, d))
+    span = F.split("msg_range", "-")
+    facts = e.select(F.col("id").alias("episode_id"), F.explode(F.sequence(F.lit(1), (span[1].cast("int") - span[0].cast("int")))))
+    return S.migration_summary(S.migration_plan(sessions(spark, d), messages(spark, d), e.filter("session_id % 2 = 0")), facts)
 
 
 def s19_dry_run(spark, d):
@@ -91,7 +99,7 @@ def _responses(spark, d):
 
 
 def e3_parsed_responses(spark, d):
-    return E.parse_responses(_responses(spark, d)).groupBy("parsed").agg(F.count("*").alias("n"))
+    return E.parse_responses(_responses(spark, d)).select("id", "parsed", F.size("result.facts").cast("long").alias("n_facts"))
 
 
 def e4_valid_entities(spark, d):
@@ -110,7 +118,7 @@ def e12_all_names(spark, d):
 def e8_resolved_names(spark, d):
     """Upper-cased and unknown names; ids of new entities are hashes."""
     n = entities(spark, d).select(F.when(F.substring("id", -1, 1) == "7", F.concat(F.lit("Unknown "), F.col("id"))).otherwise(F.upper("name")).alias("name")).distinct()
-    return E.resolve_names(n, aliases(spark, d)).groupBy("how").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"))
+    return E.resolve_names(n, aliases(spark, d)).select("name", "entity_id", "how")
 
 
 def _known(spark, d):
@@ -147,6 +155,15 @@ def e13_fact_evidence(spark, d):
     return _logged(spark, d)[1]
 
 
+def e8_resolved_by_vector(spark, d):
+    """Names that hold a vector's number, for numbers divisible by 100: most have that vector themselves, every third one another."""
+    v = table(spark, d, "embeddings")
+    known = v.select(F.concat(F.lit("e"), F.col("vec_id")).alias("id"), "embedding")
+    own = v.filter("vec_id % 100 = 0").select(F.concat(F.lit("vector "), F.col("vec_id")).alias("qid"), F.when(F.col("vec_id") % 3 == 1, F.reverse("embedding")).otherwise(F.col("embedding")).alias("embedding"))
+    names = own.select(F.initcap("qid").alias("name"))
+    return E.resolve_names(names, aliases(spark, d), known, lambda asked: asked.hint("merge").join(own, "qid")).select("name", "entity_id", "how")
+
+
 def w7_first_seen(spark, d):
     return E.first_seen(table(spark, d, "customer").select(F.upper("c_mktsegment").alias("name"), F.concat(F.lit("cust:"), F.col("c_custkey")).alias("entity_id"), F.col("c_custkey").alias("seq")))
 
@@ -378,19 +395,24 @@ SQL = {
     "s10_text_by_episode": f"""WITH {_STORE} SELECT episode_id, md5(coalesce(f.content, st.content)) AS md5, CASE WHEN f.content IS NOT NULL THEN 'index' ELSE 'episode' END AS found_in FROM st LEFT JOIN (SELECT path, s2.content FROM ix JOIN (SELECT episode_id AS e2, content FROM st) s2 ON s2.e2 = first_episode WHERE path NOT LIKE 'web/%') f ON f.path = folder || '/' || name
  UNION ALL SELECT 'none' || i, md5(''), 'none' FROM range(3) t(i)""",
     "e15_session_episodes": f"WITH {_USABLE}{_EPIS.format(n=4)} SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, session_id, md5(content) AS md5, (b * 4) || '-' || (b * 4 + c) AS msg_range FROM eh",
-    "s18_migration": f"WITH {_USABLE}{_EPIS.format(n=20)} SELECT CASE WHEN session_id % 2 = 0 THEN 'skipped' ELSE 'created' END AS status, count(*) AS n FROM eh GROUP BY 1",
+    "s18_migration": f"WITH {_USABLE}{_EPIS.format(n=20)} SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, CASE WHEN session_id % 2 = 0 THEN 'skipped' ELSE 'created' END AS status FROM eh",
+    "s20_migration_summary": f"WITH {_USABLE}{_EPIS.format(n=20)} SELECT CASE WHEN session_id % 2 = 0 THEN 'skipped' ELSE 'created' END AS status, count(*) AS episodes, CAST(sum(c) AS BIGINT) AS facts, round(sum(c) / count(*), 6) AS facts_per_episode FROM eh GROUP BY 1",
     "s19_dry_run": f"WITH {_USABLE} SELECT count(DISTINCT session_id) AS sessions, count(*) AS messages FROM um",
-    "e3_parsed_responses": f"WITH {FACTS} SELECT seq % 10 <> 9 AS parsed, count(*) AS n FROM facts GROUP BY 1",
+    "e3_parsed_responses": f"WITH {FACTS} SELECT id, seq % 10 <> 9 AS parsed, CAST(CASE WHEN seq % 10 <> 9 THEN 1 END AS BIGINT) AS n_facts FROM facts",
     "e4_valid_entities": f"WITH {_RESP} SELECT id, subject AS name, 'entity' AS type, '' AS summary FROM rf",
     "e5_valid_facts": f"WITH {_RESP} SELECT id, subject, predicate, object, object_type, certainty, negation FROM rf WHERE predicate <> 'likes'",
     "e12_all_names": f"WITH {_RESP} SELECT subject AS name FROM rf UNION SELECT object FROM rf WHERE predicate <> 'likes' AND object_type = 'entity'",
     "e8_resolved_names": """WITH e AS (SELECT 'cust:' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supp:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'part:' || p_partkey, p_name FROM part UNION ALL SELECT 'nat:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'reg:' || r_regionkey, r_name FROM region),
  nrm AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(lower(name), '-', ' '), '_', ' '), '/', ' '), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS norm FROM e),
- n AS (SELECT DISTINCT CASE WHEN id LIKE '%7' THEN 'Unknown ' || id ELSE upper(name) END AS name, CASE WHEN id LIKE '%7' THEN 'new' ELSE 'alias' END AS how, CASE WHEN id LIKE '%7' THEN 'Unknown ' || id ELSE norm END AS k FROM nrm) SELECT how, count(*) AS n, count(DISTINCT k) AS entities FROM n GROUP BY 1""",
+ al AS (SELECT norm, min(id) AS entity_id FROM nrm GROUP BY 1), n AS (SELECT DISTINCT CASE WHEN id LIKE '%7' THEN 'Unknown ' || id ELSE upper(name) END AS name, CASE WHEN id LIKE '%7' THEN NULL ELSE norm END AS norm FROM nrm)
+ SELECT name, CASE WHEN n.norm IS NULL THEN 'new:' || substring(sha256(name), 1, 16) ELSE al.entity_id END AS entity_id, CASE WHEN n.norm IS NULL THEN 'new' ELSE 'alias' END AS how FROM n LEFT JOIN al ON al.norm = n.norm""",
     "e9_new_entities": f"WITH {_NAMES} SELECT entity_id AS id, min(name) AS name, 'entity' AS type, '' AS summary FROM nr WHERE how = 'new' GROUP BY 1",
     "e10_new_aliases": f"WITH {_NAMES} SELECT DISTINCT norm, entity_id FROM nr WHERE how = 'new'",
     "e13_fact_log": f"WITH {_LOG} SELECT * FROM lg",
     "e13_fact_evidence": f"WITH {_LOG} SELECT 'ev:' || substring(id, 6, 16) AS id, id AS fact_id, episode_id FROM lg",
+    "e8_resolved_by_vector": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id AS n, CASE WHEN vec_id % 3 = 1 THEN list_reverse(v) ELSE v END AS v FROM e WHERE vec_id % 100 = 0),
+ s AS (SELECT n, 'e' || vec_id AS id, round(list_cosine_similarity(n.v, e.v), 6) AS score FROM n, e), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, id) = 1)
+ SELECT 'Vector ' || n AS name, CASE WHEN score >= 0.95 THEN id ELSE 'new:' || substring(sha256('Vector ' || n), 1, 16) END AS entity_id, CASE WHEN score >= 0.95 THEN 'merged' WHEN score >= 0.8 THEN 'ambiguous' ELSE 'new' END AS how FROM b""",
     "w7_first_seen": "SELECT lower(c_mktsegment) AS norm, 'cust:' || min(c_custkey) AS entity_id FROM customer GROUP BY 1",
     "e6_retried": f"""WITH {EPISODES}, x AS (SELECT id, length(content) AS n FROM eps) SELECT id, n > 0 AS parsed, CAST(CASE WHEN n BETWEEN 1 AND 1500 THEN 1 ELSE 2 END AS BIGINT) AS attempt, CASE WHEN n > 0 THEN 'n' || CASE WHEN n > 1500 THEN 1200 ELSE n END END AS name FROM x""",
     "e7_dead_letters": f"WITH {EPISODES} SELECT id, CASE WHEN length(content) % 4 + 1 >= 3 THEN 'dead' ELSE 'retry' END AS status, CAST(length(content) % 4 + 1 AS BIGINT) AS retries, CAST(least(length(content), 500) AS BIGINT) AS chars FROM eps",

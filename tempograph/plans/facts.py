@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import can_consolidate, certainty_weight, cosine, disposition_text, normalize_answer, normalize_literal, normalize_name, overlap, pick, query_words, resolve_valid_at, source_rank, time_range, token_estimate
 from ..operators import facts as O
 from ..operators import temporal as T
+from ..sources.vocabulary import PREDICATES
 from ..sources import aliases, entities, episodes, event_facts, graph_facts, query_batch, statements, table, vocabulary
 from .views import ENTITIES, EPISODES, FACTS, GRAPH, QUERIES as ASKED, STATE, STATEMENTS
 
@@ -100,9 +101,9 @@ def p6_vocabulary(spark, d):
 
 
 def p8_vocabulary_list(spark, d):
-    """Known predicates, with how many facts use each."""
+    """All known predicates, with how many facts use each."""
     n = event_facts(spark, d).groupBy("predicate").agg(F.count("*").alias("n"))
-    return vocabulary(spark).join(n, "predicate").select("predicate", "functional", "n")
+    return vocabulary(spark).join(n.hint("shuffle_hash"), "predicate", "left").select("predicate", "functional", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def p9_gates(spark, d):
@@ -158,7 +159,7 @@ def j1_subject_object_names(spark, d):
 
 
 def j3_roles(spark, d):
-    return O.roles(graph_facts(spark, d)).groupBy("entity_id", "role").agg(F.count("*").alias("n"))
+    return O.roles(graph_facts(spark, d)).select("entity_id", "role", "subject_id", "predicate", "object_id")
 
 
 def j4_provenance(spark, d):
@@ -237,7 +238,7 @@ SQL = {
     "p4_scope_membership": "SELECT n_nationkey AS key_id, true AS can_read, n_nationkey % 3 <> 1 AS sees_personal FROM nation",
     "p5_active": f"WITH {STATE} SELECT id, statement FROM state WHERE epistemic_state = 'active'",
     "p6_vocabulary": f"WITH {FACTS} SELECT id, predicate FROM facts WHERE seq % 7 <> 0",
-    "p8_vocabulary_list": f"WITH {FACTS} SELECT predicate, functional, count(*) AS n FROM facts GROUP BY ALL",
+    "p8_vocabulary_list": f"WITH {FACTS}, v(predicate, functional) AS (VALUES {', '.join(map(str, PREDICATES))}) SELECT v.predicate, v.functional, count(id) AS n FROM v LEFT JOIN facts f ON f.predicate = v.predicate GROUP BY 1, 2",
     "p9_gates": f"""WITH {FACTS}, g AS (SELECT *, CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 13 = 0 THEN 'rumour' ELSE assertion_source END AS src FROM facts)
  SELECT id, coalesce(src, 'model') <> 'model' AS consolidates, CAST(CASE src WHEN 'user' THEN 0 WHEN 'tool_result' THEN 1 ELSE 2 END AS BIGINT) AS source_rank, CAST(CASE certainty WHEN 'stated' THEN 1.0 WHEN 'inferred' THEN 0.7 ELSE 0.4 END AS DOUBLE) AS weight FROM g WHERE coalesce(src, 'model') IN ('user', 'tool_result', 'model')""",
     "p14_valid_at": f"WITH {FACTS} SELECT id, epoch_us(CASE WHEN seq % 3 = 1 THEN date_trunc('second', valid_at) ELSE recorded_at END) AS valid_at_us, seq % 3 <> 1 AS inferred FROM facts",
@@ -255,7 +256,7 @@ SQL = {
  SELECT event_id, epoch_us(a) AS start_us, epoch_us(CASE WHEN p < 4 THEN a + INTERVAL 3 MONTH WHEN p < 6 THEN a + INTERVAL 1 MONTH - INTERVAL 1 SECOND WHEN p = 6 THEN ts WHEN p = 7 THEN d - INTERVAL 1 SECOND WHEN p = 8 THEN m
   WHEN p = 9 THEN TIMESTAMP '2026-01-15 23:59:59' WHEN p = 10 THEN TIMESTAMP '2026-03-31 23:59:59' END) AS end_us FROM r""",
     "j1_subject_object_names": f"WITH {ENTITIES}, {GRAPH} SELECT s.name AS subject_name, predicate, o.name AS object FROM graph JOIN ents s ON s.id = subject_id LEFT JOIN ents o ON o.id = object_id",
-    "j3_roles": f"WITH {GRAPH}, r AS (SELECT subject_id AS entity_id, 'subject' AS role FROM graph UNION ALL SELECT object_id, 'object' FROM graph) SELECT entity_id, role, count(*) AS n FROM r GROUP BY ALL",
+    "j3_roles": f"WITH {GRAPH} SELECT subject_id AS entity_id, 'subject' AS role, subject_id, predicate, object_id FROM graph UNION ALL SELECT object_id, 'object', subject_id, predicate, object_id FROM graph",
     "j4_provenance": f"""WITH {FACTS}, {EPISODES}, p AS (SELECT f.id AS fact_id, e.id AS ep, CASE WHEN source LIKE '{{%' THEN source END AS j FROM facts f JOIN eps e ON e.id = f.episode_id)
  SELECT fact_id, unnest([0, 1, 2, 3, 4])::BIGINT AS step, unnest(['agent', 'channel', 'session', 'episode', 'source']) AS level, unnest([coalesce(json_extract_string(j, '$.agent'), 'unknown'), 'unknown', 'unknown', ep, coalesce(json_extract_string(j, '$.type'), 'session_transcript')]) AS value FROM p""",
     "j5_alias_lookup": f"WITH {ENTITIES}, n AS (SELECT id, trim(regexp_replace(regexp_replace({_RENAME}, '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS norm FROM (SELECT id, name AS raw FROM ents)), a AS (SELECT norm, min(id) AS entity_id FROM n GROUP BY 1) SELECT n.id AS qid, entity_id FROM n JOIN a USING (norm)",

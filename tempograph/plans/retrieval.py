@@ -84,6 +84,12 @@ def r12_pending(spark, d):
     return _rank(R.pending_search(_asked(spark, d), s, "2026-01-04 00:00:00", 1000, 86400))
 
 
+def x6_still_pending(spark, d):
+    """What waits, without what was ingested meanwhile."""
+    s = statements(spark, d).select("id", F.col("statement").alias("content"), F.col("recorded_at").alias("queued_at"))
+    return _rank(R.pending_search(_asked(spark, d), s, "2026-01-04 00:00:00", 1000, 86400, 10, s.filter("id like '%3'")))
+
+
 def r3_hybrid(spark, d):
     """Queries of a number divisible by 100. Query and statement vectors of the same number stand in for embedded texts."""
     v = table(spark, d, "embeddings")
@@ -123,7 +129,7 @@ def g2_neighbours(spark, d):
 
 
 def g3_backlinks(spark, d):
-    return G.backlinks(graph_facts(spark, d)).groupBy("id").agg(F.count("*").alias("n"))
+    return G.backlinks(graph_facts(spark, d))
 
 
 def g4_connecting_facts(spark, d):
@@ -178,6 +184,9 @@ SQL = {
  SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY no, id) AS rank FROM o QUALIFY rank <= 20""",
     "r12_pending": f"""WITH {ASKED}, {STATEMENTS}, c AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(statement), '[ \\t-\\r]+'), lambda x: x <> '')) AS w FROM stmts WHERE recorded_at > TIMESTAMP '2026-01-03' ORDER BY recorded_at DESC, id LIMIT 1000),
  q AS (SELECT qid, list_distinct(list_filter(string_split(CASE WHEN qid % 3 = 0 THEN text || ' in january' ELSE text END, ' '), lambda x: x <> '')) AS w FROM asked), s AS (SELECT qid, id, round(len(list_intersect(q.w, c.w)) / greatest(len(q.w), 1), 6) AS score FROM q, c)
+ SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "x6_still_pending": f"""WITH {ASKED}, {STATEMENTS}, c AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(statement), '[ \\t-\\r]+'), lambda x: x <> '')) AS w FROM stmts WHERE recorded_at > TIMESTAMP '2026-01-03' AND id NOT LIKE '%3' ORDER BY recorded_at DESC, id LIMIT 1000),
+ q AS (SELECT qid, list_distinct(list_filter(string_split(CASE WHEN qid % 3 = 0 THEN text || ' in january' ELSE text END, ' '), lambda x: x <> '')) AS w FROM asked), s AS (SELECT qid, id, round(len(list_intersect(q.w, c.w)) / greatest(len(q.w), 1), 6) AS score FROM q, c)
  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "r3_hybrid": f"""WITH {_BM}, {_V}, s AS (SELECT q.vec_id AS qid, 'd' || e.vec_id AS id, e.vec_id AS n, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 100 = 0),
  vr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20),
@@ -196,7 +205,7 @@ SQL = {
  SELECT qid, id, CAST(min(tier) AS BIGINT) AS tier FROM h GROUP BY 1, 2""",
     "g1_multi_hop": f"WITH RECURSIVE {GRAPH}, {_LINKS}, walk AS (SELECT 'supp:' || s_suppkey AS seed, 'supp:' || s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey % 100 = 0 UNION SELECT seed, l.b, hop + 1 FROM walk JOIN l ON l.a = walk.id WHERE hop < 3) SELECT seed, id, CAST(min(hop) AS BIGINT) AS hop FROM walk GROUP BY 1, 2 HAVING min(hop) > 0",
     "g2_neighbours": f"WITH {GRAPH}, {_LINKS} SELECT a, b, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS predicates FROM l GROUP BY 1, 2",
-    "g3_backlinks": f"WITH {GRAPH} SELECT object_id AS id, count(DISTINCT subject_id) AS n FROM graph GROUP BY 1",
+    "g3_backlinks": f"WITH {GRAPH} SELECT DISTINCT object_id AS id, subject_id AS referrer FROM graph",
     "g4_connecting_facts": f"""WITH {GRAPH}, {_LINKS}, s AS (SELECT 'supp:' || s_suppkey AS seed FROM supplier WHERE s_suppkey % 100 = 0), near AS (SELECT seed, seed AS id FROM s UNION SELECT seed, b FROM s JOIN l ON l.a = seed)
  SELECT x.seed, predicate, count(*) AS n FROM graph JOIN near x ON x.id = subject_id JOIN near y ON y.id = object_id AND y.seed = x.seed GROUP BY 1, 2""",
     "e11_merged_root": "SELECT 'cust:' || c_custkey AS source_id, 'cust:' || (c_custkey - (c_custkey - 1) % 5) AS root FROM customer WHERE c_custkey % 5 <> 1 AND c_custkey > 0",

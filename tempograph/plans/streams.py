@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming as X
 from ..sources import event_facts, table
-from ..sources.scratch import written
+from ..sources.scratch import scratch_path, written
 from .views import FACTS, STATE
 
 
@@ -15,6 +15,16 @@ def x2_deduplicated(spark, d):
     return X.run_to_table(X.deduplicated(e.unionByName(e))).select("id", "namespace")
 
 
+def x1_ingested(spark, d):
+    """Documents as a stream of episodes; one in seven fails and waits for another try."""
+    path = scratch_path(spark)
+    e = X.read_table(spark, d, "documents").select(F.concat(F.lit("ep"), F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
+    stored, failed, dead, state = (f"{path}/{x}" for x in ("stored", "failed", "dead", "state"))
+    X.ingest(e.unionByName(e), lambda df: df.withColumn("ok", F.col("doc_id") % 7 != 0), stored, failed, dead, state)
+    at = lambda p, where, retries: spark.read.parquet(p).select("id", F.lit(where).alias("found_in"), retries.cast("long").alias("retries"))
+    return at(stored, "stored", F.lit(0)).unionByName(at(failed, "failed", F.col("retries")))
+
+
 def x3_state_changes(spark, d):
     return X.run_to_table(X.state_changes(event_facts(spark, d, X.read_table(spark, d, "events"))))
 
@@ -37,6 +47,7 @@ def x5_alerts(spark, d):
 
 SQL = {
     "x2_deduplicated": f"WITH {FACTS} SELECT id, namespace FROM facts",
+    "x1_ingested": "SELECT 'ep' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'stored' END AS found_in, CAST(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS retries FROM documents",
     "x3_state_changes": f"WITH {STATE} SELECT CASE WHEN epistemic_state = 'superseded' THEN 'SUPERSEDES' ELSE 'CONTRADICTS' END AS kind, ended_by AS from_id, id AS to_id FROM state WHERE ended_by IS NOT NULL",
     "x4_quota": """WITH r AS (SELECT user_id % 7 AS key_id, event_type IN ('purchase', 'signup') AS is_write, epoch_us(ts) // 1000 AS us FROM events),
  w AS (SELECT key_id, is_write, us - us % 10000000 AS window_us, count(*) AS n FROM r GROUP BY ALL) SELECT *, greatest(n - CASE WHEN is_write THEN 2 ELSE 10 END, 0) AS refused FROM w""",

@@ -34,17 +34,17 @@ def w6_version_chain(spark, d):
 
 
 def t1_as_of_knowledge(spark, d):
-    return T.known_at(event_facts(spark, d), _mid(spark, d)).select("id", "subject_id", "statement", MICROS("recorded_at"))
+    return T.known_at(_with_mid(spark, d, event_facts(spark, d)), F.col("_mid")).select("id", "subject_id", "statement", MICROS("recorded_at"))
 
 
 def t2_as_of_world(spark, d):
-    return T.true_at(_state(spark, d), _mid(spark, d)).select("id", "subject_id", "statement", "epistemic_state", MICROS("valid_at"), MICROS("invalid_at"))
+    return T.true_at(_with_mid(spark, d, _state(spark, d)), F.col("_mid")).select("id", "subject_id", "statement", "epistemic_state", MICROS("valid_at"), MICROS("invalid_at"))
 
 
-def _mid(spark, d):
-    """Half way through the recorded time, to the hour: one row."""
-    r = event_facts(spark, d).agg(F.expr("date_trunc('hour', timestamp_micros((unix_micros(min(recorded_at)) + unix_micros(max(recorded_at))) div 2))").alias("t")).first()
-    return str(r["t"]) if r["t"] else MID
+def _with_mid(spark, d, rows):
+    """Add the time half way through what was recorded, to the hour: a table of one row, broadcast."""
+    mid = event_facts(spark, d).agg(F.expr("date_trunc('hour', timestamp_micros((unix_micros(min(recorded_at)) + unix_micros(max(recorded_at))) div 2))").alias("_mid"))
+    return rows.crossJoin(F.broadcast(mid))
 
 
 def j12_interval_join(spark, d):
@@ -53,9 +53,8 @@ def j12_interval_join(spark, d):
 
 
 def t8_history_counts(spark, d):
-    when = _mid(spark, d)
-    f, s = event_facts(spark, d), _state(spark, d)
-    one = lambda mode: T.history(f, s, mode, when).groupBy("namespace").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "namespace", "n")
+    f, s = (_with_mid(spark, d, x) for x in (event_facts(spark, d), _state(spark, d)))
+    one = lambda mode: T.history(f, s, mode, F.col("_mid")).groupBy("namespace").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "namespace", "n")
     return one("knowledge").unionByName(one("world"))
 
 
@@ -75,7 +74,7 @@ def j13_unsupported_facts(spark, d):
     """Facts that no other fact ended and that ended none."""
     s = _state(spark, d)
     touched = T.state_edges(s).select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
-    return s.select("id", "subject_id").join(touched, "id", "left_anti")
+    return s.select("id", "subject_id").hint("merge").join(touched, "id", "left_anti")
 
 
 def p7_functional_by_vocabulary(spark, d):

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Functional predicates hold one object at a time, the others any number.
-FUNCTIONAL = """works_at version_is runs_on located_in married_to ceo_of capital_of published_on born_on died_on height_is weight_is
-color_is directed_by released_on headquartered_in acquired_by replaced_by named has_ip runs_model deployed_on has_gpu
-has_throughput has_version head_node_of has_role founded_in located_at has_port has_regression has_memory has_timezone
-has_profile has_role_at hosted_on auth_method""".split()
-PLURAL = """author_of uses depends_on related_to employs founded_by member_of parent_of child_of part_of contains manages owns created
-manufactured_by language_is genre_is starring serves competes_with partnered_with configured_with part_of_cluster
-connects_to uses_framework rejected parent_brand_of prefers has_preference builds monitors has_constraint prohibited""".split()
+#: Fixed values: (predicate, functional). Functional predicates hold one object at a time, the others any number.
+PREDICATES = (
+    ("works_at", True), ("version_is", True), ("runs_on", True), ("located_in", True), ("married_to", True), ("ceo_of", True), ("capital_of", True),
+    ("published_on", True), ("born_on", True), ("died_on", True), ("height_is", True), ("weight_is", True), ("color_is", True), ("directed_by", True),
+    ("released_on", True), ("headquartered_in", True), ("acquired_by", True), ("replaced_by", True), ("named", True), ("has_ip", True),
+    ("runs_model", True), ("deployed_on", True), ("has_gpu", True), ("has_throughput", True), ("has_version", True), ("head_node_of", True),
+    ("has_role", True), ("founded_in", True), ("located_at", True), ("has_port", True), ("has_regression", True), ("has_memory", True),
+    ("has_timezone", True), ("has_profile", True), ("has_role_at", True), ("hosted_on", True), ("auth_method", True), ("author_of", False),
+    ("uses", False), ("depends_on", False), ("related_to", False), ("employs", False), ("founded_by", False), ("member_of", False),
+    ("parent_of", False), ("child_of", False), ("part_of", False), ("contains", False), ("manages", False), ("owns", False), ("created", False),
+    ("manufactured_by", False), ("language_is", False), ("genre_is", False), ("starring", False), ("serves", False), ("competes_with", False),
+    ("partnered_with", False), ("configured_with", False), ("part_of_cluster", False), ("connects_to", False), ("uses_framework", False),
+    ("rejected", False), ("parent_brand_of", False), ("prefers", False), ("has_preference", False), ("builds", False), ("monitors", False),
+    ("has_constraint", False), ("prohibited", False),
+)
+FUNCTIONAL = [p for p, functional in PREDICATES if functional]
+PLURAL = [p for p, functional in PREDICATES if not functional]
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
     """(predicate, functional): 70 rows, so it may be broadcast."""
-    return spark.createDataFrame([(p, p in FUNCTIONAL) for p in sorted(FUNCTIONAL + PLURAL)], "predicate string, functional boolean")
+    return spark.createDataFrame(sorted(PREDICATES), "predicate string, functional boolean")
