@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import block_count, dealt, mix, squeeze, unpacked, unsqueeze, utf8, word_hashes
 
-BLOCK_CHARS = 10 << 20
+BLOCK_CHARS = 5 << 20
 #: The special string, and the pattern of the byte-level pre-tokenizer with its spaces spelt out.
 SPECIAL = "<|endoftext|>"
 _S = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
