@@ -34,7 +34,7 @@ from .common import LOWER, SPACE_CLASS, block_count, dealt, mix, shingles, squee
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 12 << 20
 
 
 def _grams(rows: pa.Table, order: int):
@@ -65,16 +65,19 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _entries(grams: list[np.ndarray], place: np.ndarray, n_words: np.ndarray, parts: int):
-    """Distinct n-grams of a block by part, then hash: hashes, counts, and the row bounds and numbers of its parts. Hash 0 counts all words."""
-    keys, counts = [np.zeros(1, np.uint64)], [np.array([n_words.sum()])]
+    """Distinct n-grams of a block in order of hash: hashes, counts, and the row bounds and numbers of their parts, which are equal ranges of hashes. Hash 0 counts all words."""
+    keys, counts = [np.zeros(1, np.uint64)], [np.array([n_words.sum()], np.uint32)]
     for k, g in enumerate(grams):
         u, c = np.unique(g[place >= k], return_counts=True)
         keys.append(u)
-        counts.append(c)
-    h, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    part = (h % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((h, part))
-    h, count, part = h[order], count[order], part[order]
+        counts.append(c.astype(np.uint32))
+        del u, c
+    h, count = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
+    order = np.argsort(h)
+    h, count = h[order], count[order]
+    del order
+    part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     return h, count, np.r_[cut, len(h)], part[cut]
 
@@ -109,35 +112,37 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
     docs = docs.select("doc_id", "text")
     n = block_count(docs, block_chars)
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    parts = 2 * n  # a part's entries of all blocks are half as many as a block's
     blocked = dealt(docs, n)
 
     def explode(rows: pa.Table) -> pa.Table:
         block = rows["block"][0].as_py()
         grams, _, place, n_words = _grams(unpacked(rows), order)
-        h, count, bounds, part = _entries(grams, place, n_words, n)
+        h, count, bounds, part = _entries(grams, place, n_words, parts)
+        del grams, place
         sent = [(squeeze(np.diff(h[a:b], prepend=np.uint64(0))), squeeze(count[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
         return pa.table({"part": part, "block": pa.array(np.full(len(part), block, np.int32)), "h": pa.array([x for x, _ in sent], pa.binary()), "n": pa.array([x for _, x in sent], pa.binary())})
 
     def total(rows: pa.Table) -> pa.Table:
         h = [np.cumsum(unsqueeze(x.as_buffer(), np.uint64), dtype=np.uint64) for x in rows["h"]]
-        counts = np.concatenate([unsqueeze(x.as_buffer(), np.int64) for x in rows["n"]])
+        counts = np.concatenate([unsqueeze(x.as_buffer(), np.uint32) for x in rows["n"]])
         bounds = np.cumsum([0, *map(len, h)])
-        _, inverse = np.unique(np.concatenate(h), return_inverse=True)
-        del h
-        sums = np.zeros(int(inverse.max(initial=-1)) + 1, np.int64)
-        np.add.at(sums, inverse, counts)
-        sums = sums[inverse]
+        h = np.concatenate(h)
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        sums = np.empty(len(h), np.int64)
+        sums[order] = np.repeat(np.add.reduceat(counts[order], first, dtype=np.int64), np.diff(np.r_[first, len(h)]))
+        del h, order, counts
         return pa.table({"block": rows["block"], "part": rows["part"], "total": pa.array([squeeze(sums[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows = unpacked(rows)
         grams, doc, place, n_words = _grams(rows, order)
-        h = _entries(grams, place, n_words, n)[0]
+        h = _entries(grams, place, n_words, parts)[0]
         total = np.concatenate([unsqueeze(x.as_buffer(), np.int64) for x in answers.sort_by("part")["total"]])
         if len(h) != len(total):
             raise ValueError(f"a block has {len(h)} n-grams, {len(total)} were counted")
-        by = np.argsort(h)
-        h, total = h[by], total[by]
         others = int(total[0])  # hash 0
         size = len(n_words)
         log_score, backed, unseen = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
