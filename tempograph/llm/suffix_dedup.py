@@ -161,13 +161,13 @@ def anchor_rows(docs: DataFrame, bits: int, length: int, k: int, shift: int = 0)
 
 def _later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Rows whose key a row of a smaller document has."""
-    order = np.lexsort((doc, key))
-    if not len(order):
-        return np.zeros(0, bool)
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(key), bool)
-    out[order] = doc[order] > first
+    out = np.zeros(len(key), bool)
+    order = np.argsort(key)
+    sorted_key = key[order]
+    new = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]]) if len(key) else order
+    if len(new) < len(key):
+        ids = doc[order]
+        out[order] = ids > np.repeat(np.minimum.reduceat(ids, new), np.diff(np.r_[new, len(key)]))
     return out
 
 
