@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ ALNUM_CLASS = np.array([b in _ALNUM for b in range(256)])
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
+#: Bytes of a word up to which its polynomial is its hash.
+LONG_WORD = 64
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -222,11 +226,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, cls: np.ndarray) -> tuple[np
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes. A polynomial modulo 2^64 has pairs of strings of 1,024 bytes that always meet, and worse odds as
+    strings near that length, so words of more than LONG_WORD bytes are hashed by XXH3."""
     p, q = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
-    return mix((sums[e] - sums[s]) * q[s])
+    h = mix((sums[e] - sums[s]) * q[s])
+    long = np.flatnonzero(e - s > LONG_WORD)
+    h[long] = np.array([xxhash.xxh3_64_intdigest(data[s[i] : e[i]]) for i in long.tolist()], np.uint64)
+    return h
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard_join, lm_score, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, conversation_repair, decontaminate, jaccard_join, lm_score, phrase_dedup, pii, quality_classifier, quality_rules, spelling, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_phrase_dedup(spark, sf_dir):
+    return phrase_dedup.digest(phrase_dedup.remove(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -110,7 +122,65 @@ _OP10 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\
  s AS (SELECT doc_id, count(*) FILTER (backed) AS n_backed_off, count(*) FILTER (NOT (tri OR bi OR uni)) AS n_unseen, round(sum(score), 6) AS log_score FROM v GROUP BY 1)
  SELECT doc_id, len(w) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off, coalesce(n_unseen, 0) AS n_unseen, coalesce(log_score, 0) AS log_score, CASE WHEN len(w) > 0 THEN round(log_score / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id)"""
 
+#: The table of CRC-32 by byte as one list, and a string's CRC as a fold of its bytes over it.
+_CRC = """crc_bits AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE k < 8),
+ crc AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8)"""
+
+
+def _crc32(s: str) -> str:
+    code = f"list_transform(range(octet_length(encode({s}))), lambda i: CAST('0x' || substring(hex(encode({s})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {code}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+def _op11() -> str:
+    """Rows after damage; then a walk over each conversation's rows that keeps the cheapest (cost, audit, repaired lines) for each state: b0 nothing yet, b1 system, b2 user, b3 assistant."""
+    way = lambda b, cost, letter, line: f"{{'c': {b}.c + {cost}, 'a': {b}.a || '{letter}', 'r': {b}.r || {line}}}"
+    least = lambda *w: f"list_min([{', '.join(w)}])"
+    empty = {"user": "chr(10) || 'user:'", "assistant": "chr(10) || 'assistant:'"}
+    put = lambda b, role: way(b, 2, "I", empty[role])
+    layer = lambda src: f"(SELECT * EXCLUDE (b2, b3), {least('b2', put('b0', 'user'), put('b1', 'user'), put('b3', 'user'))} AS b2, {least('b3', put('b2', 'assistant'))} AS b3 FROM {src})"
+    keep = lambda b: way(b, "late", "K", "chr(10) || role || ':' || text")
+    turn = lambda b, role: way(b, "2 + late", "R", f"chr(10) || '{role}:' || text")
+    gone = lambda b: way(b, 3, "D", "''")
+    only = lambda initial, w: f"CASE WHEN i = '{initial}' AND NOT forced THEN {w} ELSE far END"
+    free = lambda w: f"CASE WHEN NOT forced THEN {w} ELSE far END"
+    to = {
+        "b0": [gone("b0")], "b1": [gone("b1"), only("s", keep("b0"))],
+        "b2": [gone("b2"), *(f(x) for b in ("b0", "b1", "b3") for f, x in ((lambda w: only("u", w), keep(b)), (free, turn(b, "user"))))],
+        "b3": [gone("b3"), only("a", keep("b2")), free(turn("b2", "assistant"))],
+    }
+    first = "{'c': 0::BIGINT, 'a': '', 'r': ''}"
+    far = "{'c': 1000000000::BIGINT, 'a': '~', 'r': ''}"
+    return f"""WITH RECURSIVE {_CRC}, d0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS die FROM conversations, crc),
+ d1 AS (SELECT conv_id, turn, CASE WHEN die = 4 THEN 'user' ELSE role END AS role, CASE die WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN die = 3 THEN 2 ELSE 1 END)) AS again FROM d0 WHERE die <> 0),
+ d2 AS (SELECT *, row_number() OVER w AS p, left(role, 1) AS i, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS again_said, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut FROM d1
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role || ':' || text)),
+ d AS (SELECT *, blank OR again_said AS forced, CAST(cut AS BIGINT) AS late, {far} AS far, p > 1 AND lag(i) OVER w || i NOT IN ('su', 'ua', 'au') AS illegal FROM d2 WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+ walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS p, {first} AS b0, {far} AS b1, {far} AS b2, {far} AS b3 FROM conversations
+  UNION ALL SELECT conv_id, p, {', '.join(f'{least(*w)} AS {b}' for b, w in to.items())} FROM {layer(layer('(SELECT w.conv_id, d.p, b0, b1, b2, b3, role, text, i, forced, late, far FROM walk w JOIN d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.p = w.p + 1)'))}),
+ e AS (SELECT conv_id, {least('b0', 'b3')} AS best FROM {layer(layer('(SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1)'))}),
+ n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again_said) AS duplicate, count(*) FILTER (NOT forced AND cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM d GROUP BY 1)
+ SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substring(best.r, 2)) AS repaired_sha256
+ FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+#: Near words share a pattern: the word without one letter, and where it was for words of one length. Forms are followed upwards.
+_OP12 = f"""WITH RECURSIVE {_CRC}, r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+ g AS (SELECT doc_id, r, count(*) AS k FROM r WHERE length(r) >= 7 GROUP BY 1, 2), h AS (SELECT *, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")} AS h FROM g, crc),
+ c AS (SELECT CASE WHEN h % 31 = 0 THEN substring(r, 1, CAST(h % length(r) AS INT)) || substring(r, CAST(h % length(r) AS INT) + 2) ELSE r END AS word, k FROM h),
+ w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+ x AS (SELECT word, n, i, substring(word, 1, CAST(i AS INT)) || substring(word, CAST(i AS INT) + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+ near AS (SELECT a.word, b.word AS other, b.n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT x.word, w.word, w.n FROM x JOIN w ON w.word = x.rest UNION SELECT w.word, x.word, x.n FROM x JOIN w ON w.word = x.rest),
+ best AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'w': encode(other)}}) AS b FROM near GROUP BY 1),
+ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 10 * w.n THEN decode(b.w) END AS form, CASE WHEN -b.n >= 10 * w.n THEN -b.n END AS form_n FROM w LEFT JOIN best USING (word)),
+ up AS (SELECT word, word AS top, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+ SELECT f.word, form, top AS root, n, n_near, form_n FROM f JOIN up ON up.word = f.word AND next IS NULL"""
+_OP13 = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+ s AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)), f AS (SELECT s, min((doc_id, p)) AS first FROM s GROUP BY 1 HAVING count(*) > 1),
+ g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM s JOIN f USING (s) WHERE (doc_id, p) > first), k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM p ANTI JOIN g USING (doc_id, p) GROUP BY 1)
+ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
 
 def oracle_sql():
     """The queries that SQL can express whole. The others hold a trained model, a tokenizer, or Python's positions of matches; tests/llm compares them."""
-    return {"op2_suffix_dedup": _OP2, "op5_decontaminate": _OP5, "op7_jaccard_join": _OP7, "op10_lm_scoring": _OP10}
+    return {"op2_suffix_dedup": _OP2, "op5_decontaminate": _OP5, "op7_jaccard_join": _OP7, "op10_lm_scoring": _OP10, "op11_conversation_repair": _op11(), "op12_spelling_variants": _OP12, "op13_phrase_dedup": _OP13}
