@@ -116,7 +116,7 @@ def by_priority(lists: list[DataFrame], qid: str, order: str, limit: int) -> Dat
 
 def fallback(first: DataFrame, second: DataFrame, qid: str = "qid") -> DataFrame:
     """The second list only for queries for which the first has nothing."""
-    return first.unionByName(second.join(first.select(qid).distinct(), qid, "left_anti"))
+    return first.unionByName(second.hint("merge").join(first.select(qid).distinct(), qid, "left_anti"))
 
 
 def within_budget(rows: DataFrame, qid: str, order: str, cost: Column, budget: int) -> DataFrame:

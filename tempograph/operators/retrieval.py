@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import certainty_weight, normalize_name, query_words, terms, time_range, token_estimate
 from ..sources.scratch import written
+from .search_index import SearchIndex, build, search as search_index
 from .facts import fallback, roles, within_budget
 
 K1, B = 1.2, 0.75
@@ -28,12 +29,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, statements: DataFrame, text: str = "statement") -> DataFrame:
-    """(qid, id, score) of all statements that share a term with the query. Counts are over all statements."""
+    """(qid, id, score) of all statements that share a term with the query, pair by pair: what a search by `search_index` has to find. Counts are over all statements."""
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
     small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     words = statements.select("id", terms(text).alias("_t"))
-    stats = words.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))
+    stats = words.agg(F.count("*").alias("_n"), F.avg(F.coalesce(F.size("_t"), F.lit(0))).alias("_avg"))
     postings = words.select("id", F.size("_t").alias("_len"), F.explode("_t").alias("term")).join(F.broadcast(wanted) if small else wanted.hint("merge"), "term", "left_semi")
     tf = postings.groupBy("term", "id", "_len").agg(F.count("*").alias("_tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("_df"))
@@ -50,10 +51,12 @@ def ranked(scores: DataFrame, k: int | None = None, order: list[Column] | None =
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def keyword_search(queries: DataFrame, statements: DataFrame, k: int = 10, namespace: str | None = None) -> DataFrame:
-    s = statements if namespace is None else statements.filter(F.col("namespace") == namespace)
-    hits = bm25(queries, statements)
-    return ranked(hits if namespace is None else hits.hint("merge").join(s.select("id"), "id", "left_semi"), k)
+def keyword_search(queries: DataFrame, statements: DataFrame, k: int = 10, namespace: str | None = None, index: SearchIndex | None = None) -> DataFrame:
+    """The best k statements by full text, of one namespace if it is given. Without an `index` of the statements one is built."""
+    index = index or build(statements)
+    if namespace is None:
+        return ranked(search_index(index, queries, k).hits, k)
+    return ranked(search_index(index, queries, k, statements.select("id", "namespace"), lambda d, q: d["namespace"] == namespace).hits, k)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -134,20 +137,20 @@ def graph_search(queries: DataFrame, facts: DataFrame, entities: DataFrame, per_
     return ranked(kept.withColumn("score", F.lit(1.0)), k, [F.col("word_no")]).select("qid", "id", "score", "rank")
 
 
-def temporal_search(queries: DataFrame, statements: DataFrame, k: int = 20, scores: DataFrame | None = None) -> DataFrame:
+def temporal_search(queries: DataFrame, statements: DataFrame, k: int = 20, index: SearchIndex | None = None) -> DataFrame:
     """Keyword hits that were valid in the time range that the query names; nothing for a query that names none."""
-    # Written, so that the long expression is compiled apart from the join.
-    asked = written(queries.select("qid", time_range("text", "now").alias("_r")).filter("_r is not null").select("qid", F.col("_r.start").alias("_from"), F.col("_r.end").alias("_to")))
-    live = statements.filter("epistemic_state = 'active'").select("id", "valid_at")
-    hits = (scores if scores is not None else bm25(queries, statements)).join(asked.hint("merge"), "qid").join(live.hint("merge"), "id").filter(F.col("valid_at").between(F.col("_from"), F.col("_to")))
-    return ranked(hits.select("qid", "id", "score"), k)
+    # Written, so that the long expression is compiled apart from the search.
+    plain = written(queries.select("qid", "text", "now"))
+    asked = written(plain.select("qid", "text", time_range("text", "now").alias("_r")).filter("_r is not null").select("qid", "text", F.unix_micros("_r.start").alias("from_us"), F.unix_micros("_r.end").alias("to_us")))
+    live = statements.filter("epistemic_state = 'active' and valid_at is not null").select("id", F.unix_micros("valid_at").alias("valid_us"))
+    return ranked(search_index(index or build(statements), asked, k, live, lambda d, q: (d["valid_us"] >= q["from_us"]) & (d["valid_us"] <= q["to_us"])).hits, k)
 
 
-def recency_search(queries: DataFrame, statements: DataFrame, k: int = 20, candidates: int = 40, scores: DataFrame | None = None) -> DataFrame:
+def recency_search(queries: DataFrame, statements: DataFrame, k: int = 20, candidates: int = 40, index: SearchIndex | None = None) -> DataFrame:
     """The best keyword hits, newest first, active only."""
     live = statements.filter("epistemic_state = 'active'").select("id", "recorded_at")
-    hits = (scores if scores is not None else bm25(queries, statements)).join(live.hint("merge"), "id")
-    return ranked(ranked(hits, candidates).drop("rank"), k, [F.desc("recorded_at")]).select("qid", "id", "score", "rank")
+    hits = search_index(index or build(statements), queries, candidates, live.select("id")).hits.hint("merge").join(live, "id")
+    return ranked(hits, k, [F.desc("recorded_at")]).select("qid", "id", "score", "rank")
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -166,14 +169,14 @@ def by_state(fused: DataFrame, state: DataFrame, include_history: bool = False)
     return ranked(s, None, [F.when(F.col("epistemic_state") == "active", 0).otherwise(1), F.desc("score"), F.col("first_seen")])
 
 
-def search(queries: DataFrame, statements: DataFrame, k: int = 10, facts: DataFrame | None = None, entities: DataFrame | None = None, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, include_history: bool = False, fetch: int = 20) -> DataFrame:
-    """Semantic, keyword, graph, temporal and recency lists, fused and ranked by state. A list whose inputs are missing is left out."""
-    scores = written(bm25(queries, statements))  # three strategies read it
+def search(queries: DataFrame, statements: DataFrame, k: int = 10, facts: DataFrame | None = None, entities: DataFrame | None = None, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, include_history: bool = False, fetch: int = 20, index: SearchIndex | None = None) -> DataFrame:
+    """Semantic, keyword, graph, temporal and recency lists, fused and ranked by state. A list whose inputs are missing is left out. Three of them read one `index`."""
+    index = index or build(statements)
     lists = [vector_search(query_vectors, vectors, fetch)] if query_vectors is not None else []
-    lists.append(ranked(scores, fetch))
+    lists.append(keyword_search(queries, statements, fetch, index=index))
     if facts is not None:
         lists.append(graph_search(queries, facts, entities, k=fetch))
-    lists += [temporal_search(queries, statements, fetch, scores), recency_search(queries, statements, fetch, 2 * fetch, scores)]
+    lists += [temporal_search(queries, statements, fetch, index), recency_search(queries, statements, fetch, 2 * fetch, index)]
     return by_state(fuse(lists), statements, include_history).filter(F.col("rank") <= k)
 
 
@@ -198,17 +201,19 @@ def pending_search(queries: DataFrame, pending: DataFrame, now, newest: int = 10
     return ranked(overlap_scores(queries, live.orderBy(F.desc("queued_at"), "id").limit(newest), "content"), k)
 
 
-def hybrid_search(queries: DataFrame, statements: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
+def hybrid_search(queries: DataFrame, statements: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 10, index: SearchIndex | None = None) -> DataFrame:
     """Keyword and vector lists fused, each fetched to twice k; keyword alone where there are no vectors."""
-    words = keyword_search(queries, statements, 2 * k)
+    words = keyword_search(queries, statements, 2 * k, index=index)
     if query_vectors is None:
         return words.filter(F.col("rank") <= k)
     return ranked(fuse([vector_search(query_vectors, vectors, 2 * k), words]), k, [F.desc("score"), F.col("first_seen")])
 
 
-def scoped_search(queries: DataFrame, statements: DataFrame, allowed: DataFrame, pending: DataFrame | None = None, k: int = 10) -> DataFrame:
+def scoped_search(queries: DataFrame, statements: DataFrame, allowed: DataFrame, pending: DataFrame | None = None, k: int = 10, index: SearchIndex | None = None) -> DataFrame:
     """Keyword hits in the namespaces that each query may see (`allowed`: qid, namespace), then hits in pending content (qid, id, score), cut at k."""
-    hits = bm25(queries, statements).join(statements.select("id", "namespace").hint("merge"), "id").join(allowed.distinct().hint("merge"), ["qid", "namespace"], "left_semi")
+    seen = queries.hint("merge").join(allowed.groupBy("qid").agg(F.collect_set("namespace").alias("namespaces")), "qid")  # a key's namespaces
+    may = lambda d, q: np.isin(d["namespace"].astype(str), q["namespaces"]) & (d["namespace"] != None)  # noqa: E711, E731
+    hits = search_index(index or build(statements), seen, k, statements.select("id", "namespace"), may).hits
     rows = hits.select("qid", "id", "score", F.lit(0).alias("tier"))
     if pending is not None:
         rows = rows.unionByName(pending.select("qid", F.concat(F.lit("pending:"), F.col("id")).alias("id"), "score", F.lit(1).alias("tier")))
@@ -245,7 +250,7 @@ def keyword_entities(turns: DataFrame, keywords: DataFrame) -> DataFrame:
     return containing(turns.select("qid", "text"), "text", keywords, "keyword").select("qid", F.explode("names").alias("name")).distinct()
 
 
-def name_injection(turns: DataFrame, names: DataFrame, entities: DataFrame, aliases: DataFrame, facts: DataFrame, statements: DataFrame, full_text: int = 10) -> DataFrame:
+def name_injection(turns: DataFrame, names: DataFrame, entities: DataFrame, aliases: DataFrame, facts: DataFrame, statements: DataFrame, full_text: int = 10, index: SearchIndex | None = None) -> DataFrame:
     """(qid, id, source): active facts for a turn's `names` (qid, name; of `keyword_entities` or a model): 0 about an entity of exactly that name, 1 about one with
     that alias, 2 with such an entity as object, 3 the best full-text hits of the turn itself. A fact counts once, by its first source. No name, no facts."""
     e = entities.select(F.col("id").alias("entity_id"), "name")
@@ -254,7 +259,7 @@ def name_injection(turns: DataFrame, names: DataFrame, entities: DataFrame, alia
     live = facts.filter("epistemic_state = 'active'")
     of = lambda met, c, source: met.hint("merge").join(live.select(F.col(c).alias("entity_id"), "id"), "entity_id").select("qid", "id", F.lit(source).alias("source"))
     named = turns.hint("merge").join(names.select("qid").distinct(), "qid", "left_semi")
-    hits = bm25(named, statements).hint("merge").join(live.select("id"), "id", "left_semi")
+    hits = search_index(index or build(statements), named, full_text, live.select("id")).hits
     found = of(exact, "subject_id", 0).unionByName(of(alias, "subject_id", 1)).unionByName(of(exact, "object_id", 2)).unionByName(ranked(hits, full_text).select("qid", "id", F.lit(3).alias("source")))
     return found.groupBy("qid", "id").agg(F.min("source").alias("source"))
 
@@ -276,7 +281,7 @@ def with_certainty(hits: DataFrame, statements: DataFrame) -> DataFrame:
 def observation_search(queries: DataFrame, observations: DataFrame, k: int = 10) -> DataFrame:
     """Active observations (id, summary, proof_count, epistemic_state) by score, then by how many facts support them."""
     live = observations.filter("epistemic_state = 'active'")
-    hits = bm25(queries, live, "summary").hint("merge").join(live.select("id", "proof_count"), "id")
+    hits = search_index(build(live, "summary"), queries, k, ties=True).hits.hint("merge").join(live.select("id", "proof_count"), "id")
     return ranked(hits, k, [F.desc("score"), F.desc("proof_count")])
 
 
@@ -288,8 +293,9 @@ def match_models(queries: DataFrame, models: DataFrame, k: int = 10) -> DataFram
 
 
 def model_search(queries: DataFrame, models: DataFrame, k: int = 10) -> DataFrame:
-    """Models by full text of title and summary; for queries that find nothing so, by text match."""
-    hits = ranked(bm25(queries, models.withColumn("_all", F.concat_ws(" ", "title", "summary")), "_all"), k)
+    """Models by full text of title, summary and tags, an array where there are any; for queries that find nothing so, by text match of title and summary."""
+    tags = [F.array_join("tags", " ")] if "tags" in models.columns else []
+    hits = ranked(search_index(build(models.select("id", F.concat_ws(" ", "title", "summary", *tags).alias("_all")), "_all"), queries, k).hits, k)
     return fallback(hits, match_models(queries, models, k))
 
 

@@ -82,7 +82,7 @@ def text_by_episode(asked: DataFrame, index: DataFrame, episodes: DataFrame) ->
     stored = written(index.select(F.explode("episode_ids").alias("episode_id"), "first_episode"))
     first = episodes.select(F.col("id").alias("first_episode"), F.col("content").alias("_stored"))
     own = episodes.select(F.col("id").alias("episode_id"), F.col("content").alias("_own"))
-    out = asked.hint("merge").join(stored, "episode_id", "left").hint("merge").join(first, "first_episode", "left").join(own, "episode_id", "left")
+    out = asked.hint("merge").join(stored, "episode_id", "left").hint("merge").join(first, "first_episode", "left").hint("merge").join(own, "episode_id", "left")
     return out.select("episode_id", F.coalesce("_stored", "_own").alias("text"), F.when(F.col("_stored").isNotNull(), "index").when(F.col("_own").isNotNull(), "episode").otherwise("none").alias("found_in"))
 
 

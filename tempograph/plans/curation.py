@@ -307,9 +307,8 @@ def m6_draft_models(spark, d):
 
 
 def m3_model_search(spark, d):
-    m = _models(spark, d).select("id", F.concat_ws(" ", "title", F.array_join("tags", " ")).alias("statement"))
     asked = table(spark, d, "region").select(F.col("r_regionkey").alias("qid"), F.concat(F.lit("tag"), F.col("r_regionkey") % 4).alias("text"))
-    return R.ranked(R.bm25(asked, m), 5).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+    return R.model_search(asked, _models(spark, d).withColumn("summary", F.lit(None).cast("string")), 5).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 def q1_session_gate(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cosine
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.search_index import build
 from ..sources import aliases, entities, graph_facts, query_batch, statements, table
 from .views import ENTITIES, GRAPH, QUERIES as ASKED, STATEMENTS
 
@@ -59,7 +60,8 @@ def r6_recency(spark, d):
 
 def r8_fused_by_state(spark, d):
     q, s = _asked(spark, d), statements(spark, d)
-    return _rank(R.by_state(R.fuse([R.keyword_search(q, s, 20), R.recency_search(q, s, 20, 40)]), s))
+    index = build(s)
+    return _rank(R.by_state(R.fuse([R.keyword_search(q, s, 20, index=index), R.recency_search(q, s, 20, 40, index)]), s))
 
 
 def r9_search(spark, d):
@@ -105,13 +107,6 @@ def r11_scoped(spark, d):
     return _rank(R.scoped_search(q, statements(spark, d), allowed, R.pending_search(q, s, "2026-01-04 00:00:00", 1000, 86400, 3), 8))
 
 
-def r15_recall(spark, d):
-    q, s = _asked(spark, d), statements(spark, d)
-    hits = R.bm25(q, s)
-    part = lambda ns: R.ranked(hits.join(s.filter(F.col("namespace") == ns).select("id"), "id", "left_semi"))
-    return R.recall(part("es"), part("fr").filter("rank <= 4"), R.ranked(hits, 10)).withColumn("place", F.col("place").cast("long"))
-
-
 def r14_name_lookup(spark, d):
     """Customers and suppliers of a number divisible by 100, by alias."""
     facts = graph_facts(spark, d).withColumn("id", F.concat_ws(">", "subject_id", "predicate", "object_id"))
@@ -197,9 +192,6 @@ SQL = {
  pr AS (SELECT qid, id, score FROM ps WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 3),
  u AS (SELECT qid, id, score, 0 AS tier FROM sc JOIN stmts USING (id) WHERE namespace = CASE WHEN qid % 2 = 0 THEN 'fr' ELSE 'de' END UNION ALL SELECT qid, 'pending:' || id, score, 1 FROM pr)
  SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY tier, score DESC, id) AS rank FROM u QUALIFY rank <= 8""",
-    "r15_recall": f"""WITH {_BM}, n AS (SELECT qid, id, score, namespace FROM sc JOIN stmts USING (id)), r AS (SELECT qid, id, namespace, row_number() OVER (PARTITION BY qid, namespace ORDER BY score DESC, id) AS rank FROM n),
- u AS (SELECT qid, id, rank, 'mental_model' AS result_type, 0 AS tier FROM r WHERE namespace = 'es' AND rank <= 3 UNION ALL SELECT qid, id, rank, 'observation', 1 FROM r WHERE namespace = 'fr' AND rank <= 4 UNION ALL SELECT qid, id, rank, 'fact', 2 FROM bm WHERE rank <= 10)
- SELECT qid, id, result_type, row_number() OVER (PARTITION BY qid ORDER BY tier, rank, id) AS place FROM u QUALIFY place <= 10""",
     "r14_name_lookup": f"""WITH {GRAPH}, a AS (SELECT 'cust:' || c_custkey AS qid FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT 'supp:' || s_suppkey FROM supplier WHERE s_suppkey % 100 = 0),
  h AS (SELECT qid, subject_id || '>' || predicate || '>' || object_id AS id, 0 AS tier FROM a JOIN graph ON subject_id = qid UNION ALL SELECT qid, subject_id || '>' || predicate || '>' || object_id, 1 FROM a JOIN graph ON object_id = qid)
  SELECT qid, id, CAST(min(tier) AS BIGINT) AS tier FROM h GROUP BY 1, 2""",

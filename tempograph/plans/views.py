@@ -36,7 +36,7 @@ STATEMENTS = """stmts AS (SELECT 'd' || doc_id AS id, coalesce(text, '') AS stat
   TIMESTAMP '2026-01-01' + doc_id * INTERVAL 1 HOUR AS valid_at,
   CASE WHEN doc_id % 17 = 0 THEN 'superseded' WHEN doc_id % 13 = 0 THEN 'contradicted' ELSE 'active' END AS epistemic_state FROM documents)"""
 
-QUERIES = """asked AS (SELECT item_id AS qid, array_to_string(list_slice(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 1, 4), ' ') AS text FROM benchmark)"""
+QUERIES = """asked AS (SELECT item_id AS qid, array_to_string(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ' ') AS text FROM benchmark)"""
 
 EPISODES = """eps AS (SELECT 'ep' || doc_id AS id, coalesce(text, '') AS content, 'text' AS content_type,
   CASE WHEN doc_id % 11 = 0 THEN source ELSE '{"agent": "a' || (doc_id % 3) || '", "type": "' || source || '"}' END AS source, lang AS namespace,

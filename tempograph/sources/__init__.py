@@ -65,10 +65,10 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("statement"), F.col("lang").alias("namespace"), recorded.alias("recorded_at"), recorded.alias("valid_at"), state.alias("epistemic_state"))
 
 
-def query_batch(spark: SparkSession, sf_dir: str, words: int = 4) -> DataFrame:
-    """(qid, text, now): the first words of each benchmark item."""
-    first = F.array_join(F.slice(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), 1, words), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), first.alias("text"), F.lit("2026-02-15 12:00:00").cast("timestamp").alias("now"))
+def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, text, now): the words of each benchmark item."""
+    words = F.array_join(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), " ")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words.alias("text"), F.lit("2026-02-15 12:00:00").cast("timestamp").alias("now"))
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
