@@ -33,8 +33,10 @@ from ..sources.scratch import scratch_path, written
 
 K1, B = 1.2, 0.75
 #: Documents of a shard and queries of a block.
-SHARD = 4_096
+SHARD = 1_024
 BLOCK = 512
+#: Rows of asked terms that are sent to every task; more are joined by shuffle.
+BROADCAST_TERMS = 100_000
 #: Least number of buckets of a new index, and terms in a bucket from which on there are more.
 BUCKETS = 8
 BUCKET_TERMS = 4_000_000
@@ -43,6 +45,7 @@ _SLACK = 1e-6
 
 #: From columns of a shard's documents and a query's row, which documents it may find.
 May = Callable[[dict, dict], np.ndarray]
+_SCHEMAS = {"postings": "term string, shard int, best double, places array<int>, tf array<int>, segment int, bucket int", "terms": "term string, df long, best double, segment int, bucket int"}
 
 
 @dataclass
@@ -52,7 +55,8 @@ class SearchIndex:
     buckets: int = BUCKETS
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        read = self.spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else self.spark.read  # an empty segment has no file that tells
+        return read.parquet(f"{self.path}/{name}")
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
@@ -67,28 +71,44 @@ def append(index: SearchIndex, statements: DataFrame, text: str = "statement") -
     """Add statements (id, `text`) that the index doesn't have yet, as one more segment. Texts are tokenised once. Sizes are written last: a segment without them is
     not seen, and a write that is tried again takes its place."""
     spark = index.spark
-    words = written(statements.select("id", terms(text).alias("_t")).select("id", F.coalesce(F.size("_t"), F.lit(0)).alias("len"), "_t"))
-    n, total = words.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     segment = _next_segment(index)
+    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-statements.count() // SHARD)))).cast("int").alias("shard")
+    place = (F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1).alias("place")  # some SHARD rows
+    placed = written(statements.select(shard, "id", text).repartition("shard").select("shard", place, "id", terms(text).alias("_t")).withColumn("len", F.coalesce(F.size("_t"), F.lit(0))))
+    n, total = placed.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     if segment == 1:
         index.buckets = max(BUCKETS, 1 << (total // BUCKET_TERMS).bit_length())
     put = lambda df, name, by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{index.path}/{name}/segment={segment}")
-    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // SHARD)))).cast("int").alias("shard")
-    place = (F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1).alias("place")  # some SHARD rows
-    docs = words.select(shard, "id", "len", "_t").repartition("shard")
-    placed = written(docs.select("shard", place, "id", "len", "_t"))
-    put(placed.drop("_t").sortWithinPartitions("shard", "place"), "docs", [])
-    counted = placed.select("shard", "place", "len", F.explode("_t").alias("term")).groupBy("term", "shard", "place", "len").agg(F.count("*").cast("int").alias("tf"))
-    weight = saturation(F.col("tf"), F.col("len"), F.lit(max(total, 1) / max(n, 1)))
-    dealt = counted.select(index.bucket(), "term", "shard", F.struct("place", "tf").alias("_p"), weight.alias("_w")).repartition("bucket")
-    rows = dealt.groupBy("bucket", "term", "shard").agg(F.max("_w").alias("best"), F.sort_array(F.collect_list("_p")).alias("_p"))  # some SHARD documents
-    put(rows.select("bucket", "term", "shard", "best", F.col("_p.place").alias("places"), F.col("_p.tf").alias("tf")).sortWithinPartitions("bucket", "term", "shard"), "postings", ["bucket"])
-    own = spark.read.parquet(f"{index.path}/postings/segment={segment}") if total else rows.select("bucket", "term", "best", F.col("_p.place").alias("places"))
+    put(placed.drop("_t"), "docs", [])
+    rows = placed.select("shard", "place", "len", "_t").groupBy("shard").applyInArrow(_inverted(max(total, 1) / max(n, 1)), "term string, shard int, best double, places array<int>, tf array<int>")
+    put(rows.select(index.bucket(), "*").repartition("bucket").sortWithinPartitions("bucket", "term", "shard"), "postings", ["bucket"])
+    own = index.table("postings").filter(F.col("segment") == segment)
     put(own.groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"), F.max("best").alias("best")).repartition("bucket").sortWithinPartitions("bucket", "term"), "terms", ["bucket"])
     spark.createDataFrame([(n, int(total), index.buckets)], "n long, total long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{index.path}/sizes/segment={segment}")
     return index
 
 
+def _inverted(average: float):
+    """A function over a shard's documents (shard, place, len, _t) that gives its postings."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        words = rows["_t"].combine_chunks().fill_null([]) if rows["_t"].null_count else rows["_t"].combine_chunks()
+        place, length = rows["place"].to_numpy(), np.zeros(rows.num_rows, np.int64)
+        length[place] = rows["len"].to_numpy()
+        named = words.flatten().dictionary_encode()
+        owner = np.repeat(place, np.diff(words.offsets.to_numpy()))
+        pairs, tf = np.unique(named.indices.to_numpy().astype(np.int64) * rows.num_rows + owner, return_counts=True)
+        term, at = np.divmod(pairs, rows.num_rows)
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else term
+        ends = pa.array(np.r_[first, len(term)].astype(np.int32))
+        best = np.maximum.reduceat(saturation(tf.astype(float), length[at], average), first) if len(term) else np.zeros(0)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, tf)]
+        shard = pa.array(np.full(len(first), rows["shard"][0].as_py() if rows.num_rows else 0, np.int32))
+        return pa.table([named.dictionary.take(pa.array(term[first])), shard, pa.array(best), *lists], ["term", "shard", "best", "places", "tf"])
+
+    return run
+
+
 def _next_segment(index: SearchIndex) -> int:
     try:
         return (index.table("sizes").agg(F.max("segment")).first()[0] or 0) + 1
@@ -131,13 +151,15 @@ def _array(column: pa.Array) -> np.ndarray:
 class _Shard:
     """The documents of one shard and its postings of the terms asked for."""
 
-    def __init__(self, docs: dict, postings: list[dict], k: int, ties: bool, may: May | None):
+    def __init__(self, docs: dict, postings: pa.StructArray, k: int, ties: bool, may: May | None):
         self.docs, self.k, self.ties, self.may = docs, k, ties, may
         self.terms = {}
-        lengths = docs["len"]
-        for p in postings:
-            places, tf = np.array(p["places"]), np.array(p["tf"], np.float64)
-            self.terms[p["term"]] = p["top"], places, p["idf"] * saturation(tf, lengths[places], p["average"])
+        term, idf, average, top = (postings.field(c).to_pylist() for c in ("term", "idf", "average", "top"))
+        lists = [postings.field(c) for c in ("places", "tf")]
+        ends, places, tf = lists[0].offsets.to_numpy(), *(x.values.to_numpy() for x in lists)
+        for i, name in enumerate(term):
+            at = places[ends[i] : ends[i + 1]]
+            self.terms[name] = top[i], at, idf[i] * saturation(tf[ends[i] : ends[i + 1]].astype(float), docs["len"][at], average[i])
 
     def best(self, asked: dict) -> tuple[list[tuple], int]:
         """(id, score) of the best k for a query, and how many weights were added."""
@@ -181,13 +203,16 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
     blocks = max(1, -(-queries.count() // BLOCK))
     asked = written(queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("terms", F.array_distinct(terms("text"))))
     words = written(asked.select("qid", "block", F.explode("terms").alias("term")).withColumn("bucket", index.bucket()))
-    wanted = words.select("bucket", "term", "block").distinct()
-    known = index.table("terms").hint("merge").join(wanted.select("bucket", "term").distinct(), ["bucket", "term"])
+    wanted = words.groupBy("bucket", "term", "block").agg(F.lit(True).alias("_w"))
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    near = F.broadcast if few else (lambda df: df.hint("merge"))
+    known = index.table("terms").join(near(wanted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
     n = known.groupBy("bucket", "term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(whole))
-    priced = written(n.select("bucket", "term", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
+    priced = written(n.select("bucket", "term", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).hint("merge").join(wanted, ["bucket", "term"]).select("bucket", "term", "block", "idf"))
     top = F.col("idf") * F.col("best") * F.col("_scale")
-    heads = index.table("postings").select("bucket", "term", "segment", "shard", "best").hint("merge").join(priced, ["bucket", "term"]).join(F.broadcast(scale), "segment").select("bucket", "term", "segment", "shard", top.alias("top"))
-    bounds = written(heads.hint("merge").join(words, ["bucket", "term"]).groupBy("qid", "block", "segment", "shard").agg(F.sum("top").alias("high")))
+    of_terms = lambda *columns: index.table("postings").select("bucket", "term", "segment", "shard", "best", *columns).join(near(priced), ["bucket", "term"]).join(F.broadcast(scale), "segment")
+    heads = of_terms().select("bucket", "term", "block", "segment", "shard", top.alias("top"))
+    bounds = written(heads.hint("merge").join(words, ["bucket", "term", "block"]).groupBy("qid", "block", "segment", "shard").agg(F.sum("top").alias("high")))
 
     own = index.table("docs")
     if docs is not None:
@@ -200,7 +225,7 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
         """(qid, id, score, n) of queries in shards, `places` (qid, block, segment, shard, least); id is null in the row that counts."""
         key = ["block", "segment", "shard"]
         shards = places.select(*key).distinct()
-        posted = index.table("postings").hint("merge").join(priced, ["bucket", "term"]).hint("merge").join(wanted, ["bucket", "term"]).hint("merge").join(shards, key, "left_semi").join(F.broadcast(scale), "segment")
+        posted = of_terms("places", "tf").hint("merge").join(shards, key, "left_semi")
         post = posted.select(*key, F.struct("term", "places", "tf", "idf", "average", top.alias("top")).alias("post"))
         doc = shards.hint("merge").join(own, ["segment", "shard"]).select(*key, F.struct(*doc_columns).alias("doc"))
         ask = places.hint("merge").join(asked.drop("block"), "qid").select(*key, F.struct(*ask_columns).alias("ask"))
@@ -211,7 +236,7 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
             columns = {f.name: part("doc").field(i) for i, f in enumerate(part("doc").type)}
             order = np.argsort(columns["place"].to_numpy())
             plain = {c: _array(a)[order] for c, a in columns.items()}
-            shard = _Shard(plain, part("post").to_pylist(), k, ties, may)
+            shard = _Shard(plain, part("post"), k, ties, may)
             out = []
             for q in part("ask").to_pylist():
                 hits, added = shard.best(q)
