@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import EXCLUSIVE_PREDICATES, can_consolidate, group_label
 from ..sources.scratch import written
+from .ordered import positions
 
 GROUP = ("subject_id", "predicate", "namespace")
 CAP = 20
@@ -174,12 +175,16 @@ def stale_models(models: DataFrame, curated: DataFrame, facts: DataFrame) -> Dat
     return hit.groupBy("model_id").agg(F.count("*").alias("n_newer_entities"))
 
 
+#: Statements of a draft that are joined at once.
+CHUNK = 1_000
+
+
 def draft_models(state: DataFrame, statements: int | None = None) -> DataFrame:
     """A draft for each entity: its active statements, newest first, joined; of the newest `statements` only, if given. The draft is
-    one text, so it grows with the entity's facts; a summary for `create_models` can be asked of a model with `summarised`."""
-    top = state.filter("epistemic_state = 'active'")
+    one text, so it grows with the entity's facts; it is joined from chunks of CHUNK statements, which are placed and joined over all tasks."""
+    top = positions(state.filter("epistemic_state = 'active'").select("subject_id", "statement", "recorded_at", "seq"), ["subject_id"], [F.desc("recorded_at"), F.desc("seq"), F.desc("statement")], "_p")
     if statements is not None:
-        w = Window.partitionBy("subject_id").orderBy(F.desc("recorded_at"), F.desc("seq"))
-        top = top.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= statements)
-    newest = F.reverse(F.array_sort(F.collect_list(F.struct("recorded_at", "seq", "statement"))))
-    return top.groupBy("subject_id").agg(F.array_join(F.transform(newest, lambda x: x["statement"]), ". ").alias("summary"), F.count("*").alias("n_statements"))
+        top = top.filter(F.col("_p") <= statements)
+    joined = lambda of, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, of))), lambda x: x[of]), ". ")
+    chunks = top.groupBy("subject_id", F.floor((F.col("_p") - 1) / CHUNK).alias("_chunk")).agg(joined("statement", "_p").alias("text"), F.count("*").alias("n"))
+    return chunks.groupBy("subject_id").agg(joined("text", "_chunk").alias("summary"), F.sum("n").alias("n_statements"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import passes_assertion_gate
+from .ordered import positions
 
 
 BROADCAST_REQUESTS = 100_000
@@ -80,6 +81,18 @@ def top_predicates(facts: DataFrame, k: int = 10) -> DataFrame:
     return facts.groupBy("predicate").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(k)
 
 
+def entity_facts(asked: DataFrame, entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """The page of each entity asked for (qid, key: id or name): (qid, entity_id, name, role, id, subject_name, predicate, object, valid_at, place), the newest valid_at first, then id."""
+    from .retrieval import find_entities
+
+    met = find_entities(asked, entities)
+    mine = roles(facts).hint("merge").join(met, "entity_id")
+    called = lambda key, name: entities.select(F.col("id").alias(key), F.col("name").alias(name))
+    named = mine.hint("merge").join(called("entity_id", "name"), "entity_id").hint("merge").join(called("subject_id", "subject_name"), "subject_id", "left").hint("merge").join(called("object_id", "object"), "object_id", "left")
+    place = F.row_number().over(Window.partitionBy("qid", "entity_id").orderBy(F.desc_nulls_last("valid_at"), "id", "role")).alias("place")
+    return named.select("qid", "entity_id", "name", "role", "id", "subject_name", "predicate", "object", "valid_at", place)
+
+
 def entity_page(entities: DataFrame, facts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Entities by number of facts about them, one page, with the total."""
     n = facts.groupBy(F.col("subject_id").alias("id")).agg(F.count("*").alias("n_facts"))
@@ -136,30 +149,29 @@ def gauges(metrics: DataFrame) -> DataFrame:
 
 
 def histograms(metrics: DataFrame) -> DataFrame:
-    """Count, least, greatest, mean and last of the history that is kept: past 1,000 values it is cut to the newest 500."""
-    w = Window.partitionBy("name")
-    n = F.count("*").over(w)
-    keep = F.when(n <= 1000, n).otherwise(500 + (n - 1001) % 501)
-    newest = F.row_number().over(w.orderBy(F.desc("ts"), F.desc("id")))
-    kept = metrics.withColumn("_keep", keep).withColumn("_new", newest).filter("_new <= _keep")
+    """Count, least, greatest, mean and last of the history that is kept: past 1,000 values it is cut to the newest 500. Places are taken over all tasks, so a name may have any
+    number of values."""
+    n = metrics.groupBy("name").agg(F.count("*").alias("_n"))
+    keep = F.when(F.col("_n") <= 1000, F.col("_n")).otherwise(500 + (F.col("_n") - 1001) % 501)
+    newest = positions(metrics.select("name", "ts", "id", "value"), ["name"], [F.desc("ts"), F.desc("id")], "_new").filter("_new <= 1000")
+    kept = newest.hint("merge").join(n.select("name", keep.alias("_keep")), "name").filter("_new <= _keep")
     return kept.groupBy("name").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "id")).alias("last"))
 
 
 def latency_summary(requests: DataFrame, by: str, points=(0.5, 0.95, 0.99)) -> DataFrame:
-    """Counts of outcomes and latency quantiles at position q * (n + 1), interpolated. Ranks are taken in one sort for each group."""
-    ok = requests.filter("status = 200")
-    w = Window.partitionBy(by)
-    ranked = ok.withColumn("_r", F.row_number().over(w.orderBy("ms"))).withColumn("_n", F.count("*").over(w))
-    cols = []
-    for q in points:
-        at = F.lit(q) * (F.col("_n") + 1)
-        low = F.least(F.greatest(F.floor(at), F.lit(1)), F.col("_n") - 1)
-        share = at - low
-        # Two neighbours, weighted.
-        cols.append(F.sum(F.when(F.col("_r") == low, F.col("ms") * (1 - share)).when(F.col("_r") == low + 1, F.col("ms") * share)).alias(f"p{int(q * 100)}"))
+    """Counts of outcomes and latency quantiles at position q * (n + 1), interpolated. Ranks are taken over all tasks; of the sorted values only those of the ranks
+    wanted, two for each quantile, are joined."""
     n = lambda c: F.count(F.when(c, 1))
     counts = requests.groupBy(by).agg(F.count("*").alias("n"), n(F.col("status") == 200).alias("ok"), n(F.col("status") == 429).alias("rate_limited"), n(~F.col("status").isin(200, 429)).alias("errors"))
-    return counts.join(ranked.groupBy(by).agg(*cols), by, "left")
+    sorted_ms = positions(requests.filter("status = 200 and ms is not null").select(by, "ms"), [by], [F.col("ms")], "_r")
+    usable = sorted_ms.groupBy(by).agg(F.max("_r").alias("_n"))
+    each = usable.select(by, "_n", F.explode(F.array(*(F.struct(F.lit(f"p{int(q * 100)}").alias("p"), F.lit(q).alias("q")) for q in points))).alias("_q")).select(by, "_n", "_q.*")
+    at = F.col("q") * (F.col("_n") + 1)
+    low = F.least(F.greatest(F.floor(at), F.lit(1)), F.col("_n") - 1)
+    two = each.select(by, "p", F.explode(F.array(F.struct(low.alias("_r"), (1 - (at - low)).alias("_w")), F.struct((low + 1).alias("_r"), (at - low).alias("_w")))).alias("_x")).select(by, "p", "_x.*")
+    met = sorted_ms.hint("merge").join(two, [by, "_r"])
+    quantiles = met.groupBy(by).agg(*(F.sum(F.when(F.col("p") == f"p{int(q * 100)}", F.col("ms") * F.col("_w"))).alias(f"p{int(q * 100)}") for q in points))
+    return counts.hint("merge").join(quantiles, by, "left")
 
 
 def provenance(facts: DataFrame, episodes: DataFrame) -> DataFrame:

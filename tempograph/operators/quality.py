@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import missing_strings
+from ..functions import has_substring, missing_strings
 
 #: When a check warns.
 QUEUE_LIMIT, LAG_SECONDS, OTHER_SHARE, RECALL_GATE = 1000, 300, 0.15, 0.30
@@ -47,6 +47,22 @@ def class_summary(metrics: DataFrame, gate: float = RECALL_GATE) -> DataFrame:
     return metrics.groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.count(F.when(F.col("recall") >= gate, 1)).alias("passed"))
 
 
+def substring_matches(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, matched): whether any result (qid, id, statement) has any of the expected strings (qid, substrings), whatever the case; true where none is expected."""
+    rows = found.hint("merge").join(expected.select("qid", "substrings"), "qid")
+    hit = rows.groupBy("qid").agg(F.max(has_substring("substrings", F.struct("id", "statement"))).alias("_m"))
+    j = expected.hint("merge").join(hit, "qid", "left")
+    return j.select("qid", (F.coalesce(F.size("substrings"), F.lit(0)) <= 0).alias("_none"), "_m").select("qid", (F.col("_none") | F.coalesce("_m", F.lit(False))).alias("matched"))
+
+
+def run_totals(metrics: DataFrame, matched: DataFrame, gate: float = RECALL_GATE) -> DataFrame:
+    """One row for a run: (queries, recall, mrr, substring_accuracy, verdict), means over all queries. The run passes if its mean recall, as rounded, reaches the gate; without queries it is an error."""
+    j = metrics.hint("merge").join(matched, "qid", "left")
+    mean = lambda c: F.round(F.avg(c), 4)
+    one = j.agg(F.count("*").alias("queries"), mean("recall").alias("recall"), mean("reciprocal_rank").alias("mrr"), mean(F.coalesce("matched", F.lit(False)).cast("double")).alias("substring_accuracy"))
+    return one.withColumn("verdict", F.when(F.col("queries") == 0, "error").when(F.col("recall") >= gate, "pass").otherwise("fail"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(session_id, n_a, n_b, ratio, samples): facts of two extractor runs side by side, with three samples of each session that either has."""
     count = lambda df, n: df.groupBy("session_id").agg(F.count("*").alias(f"n_{n}"))

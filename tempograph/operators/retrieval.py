@@ -118,13 +118,31 @@ def usable_vectors(rows: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return rows.hint("merge").join(vectors.filter(F.size("embedding") == dim).select("id", "embedding"), "id", "left")
 
 
+def _grams(text: str, *sizes: int) -> Column:
+    """Distinct pieces of a text of the given lengths."""
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    return F.array_distinct(F.concat(*map(piece, sizes)))
+
+
+def candidates(texts: DataFrame, text: str, needles: DataFrame) -> DataFrame:
+    """(_needle, texts' columns, _text): for each distinct `_needle` the texts that hold its rarest piece of three letters (or all of a shorter one). How many texts
+    hold a piece is counted over all of them; a needle with a piece that is in none is in nothing."""
+    asked = needles.select("_needle").distinct().withColumn("_gram", F.explode(F.when(F.length("_needle") < 3, F.array("_needle")).otherwise(_grams("_needle", 3))))
+    asked = written(asked)
+    pieces = texts.withColumn("_text", F.lower(text)).withColumn("_gram", F.explode(_grams("_text", 1, 2, 3)))
+    met = written(pieces.hint("merge").join(asked.select("_gram").distinct(), "_gram", "left_semi"))
+    held = met.groupBy("_gram").agg(F.count("*").alias("_n"))
+    counted = asked.hint("merge").join(held, "_gram", "left")
+    rarest = counted.groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_g")).filter("_g.n > 0").select("_needle", F.col("_g._gram").alias("_gram"))
+    return rarest.hint("merge").join(met, "_gram").drop("_gram")
+
+
 def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Rows of `needles` with the rows of `texts` whose text has the needle somewhere, whatever the case. An equi-join on the needle's first three letters (or
-    all of a shorter one), then verified; a blank needle is in nothing."""
-    piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - n + 1)), lambda i: F.substr(F.col("_text"), i, F.lit(n)))
-    wanted = needles.withColumn("_needle", F.lower(needle)).filter("_needle <> ''").withColumn("_gram", F.substring("_needle", 1, 3))
-    pieces = texts.withColumn("_text", F.lower(text)).withColumn("_gram", F.explode(F.array_distinct(F.concat(piece(1), piece(2), piece(3)))))
-    return wanted.hint("merge").join(pieces, "_gram").filter(F.contains("_text", "_needle")).drop("_gram", "_needle", "_text")
+    """Rows of `needles` with the rows of `texts` whose text has the needle somewhere, whatever the case: an equi-join on the needle's rarest piece, then verified; a blank
+    needle is in nothing."""
+    wanted = needles.withColumn("_needle", F.lower(needle)).filter("_needle <> ''")
+    found = candidates(texts, text, wanted).filter(F.contains("_text", "_needle")).drop("_text")
+    return wanted.hint("merge").join(found, "_needle").drop("_needle")
 
 
 def graph_search(queries: DataFrame, facts: DataFrame, entities: DataFrame, per_word: int = 5, k: int = 20) -> DataFrame:

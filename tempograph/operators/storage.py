@@ -74,12 +74,13 @@ def list_documents(index: DataFrame, content_type: str | None = None, limit: int
 
 
 def path_of_episode(index: DataFrame) -> DataFrame:
+    """(episode_id, path): where each episode's document is stored."""
     return index.select(F.explode("episode_ids").alias("episode_id"), "path")
 
 
 def text_by_episode(asked: DataFrame, index: DataFrame, episodes: DataFrame) -> DataFrame:
     """(episode_id, text, found_in): stored document, else the episode's own content."""
-    stored = written(index.select(F.explode("episode_ids").alias("episode_id"), "first_episode"))
+    stored = written(path_of_episode(index).hint("merge").join(index.select("path", "first_episode"), "path"))
     first = episodes.select(F.col("id").alias("first_episode"), F.col("content").alias("_stored"))
     own = episodes.select(F.col("id").alias("episode_id"), F.col("content").alias("_own"))
     out = asked.hint("merge").join(stored, "episode_id", "left").hint("merge").join(first, "first_episode", "left").hint("merge").join(own, "episode_id", "left")

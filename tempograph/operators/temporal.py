@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .ordered import positions
 
 KEY = ("subject_id", "predicate", "namespace")
 ORDER = ("recorded_at", "seq")
@@ -24,23 +25,23 @@ def _lane() -> Column:
     return F.when(F.col("functional"), F.lit("")).otherwise(F.coalesce("object_value", F.lit("")))
 
 
-def with_state(facts: DataFrame) -> DataFrame:
+def with_state(facts: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Add write_kind, epistemic_state, invalid_at and ended_by (the id of the fact that ended it)."""
     lane = Window.partitionBy(*KEY, "_lane")
-    w = lane.orderBy(*ORDER)
+    w = lane.orderBy(*order)
     f = facts.withColumn("_lane", _lane())
     same = F.coalesce("object_value", F.lit("")) == F.lag(F.coalesce("object_value", F.lit(""))).over(w)
     f = f.withColumn("_first", F.row_number().over(w) == 1).withColumn("_same", F.coalesce(same, F.lit(False)))
     f = f.withColumn("_flip", F.col("_same") & (F.col("negation") != F.lag("negation").over(w)))
     # A contradicting write empties the active set, so within a run of flips every second one finds nothing to contradict.
     f = f.withColumn("_run", F.sum(F.when(F.col("_flip"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    f = f.withColumn("_contradicts", F.col("_flip") & ((F.row_number().over(Window.partitionBy(*KEY, "_lane", "_run").orderBy(*ORDER)) % 2) == 0))
+    f = f.withColumn("_contradicts", F.col("_flip") & ((F.row_number().over(Window.partitionBy(*KEY, "_lane", "_run").orderBy(*order)) % 2) == 0))
     emptied = F.coalesce(F.lag("_contradicts").over(w), F.lit(False))
     f = f.withColumn("_supersedes", F.col("functional") & ~F.col("_first") & ~F.col("_same") & ~emptied)
     kind = F.when(F.col("_supersedes"), "supersede").when(F.col("_contradicts"), "contradict").otherwise("plain")
     f = f.withColumn("write_kind", kind)
     # The next write that ends something ends every fact still active before it. Read backwards, it is a running "last".
-    back = lane.orderBy(*(F.col(c).desc() for c in ORDER)).rowsBetween(Window.unboundedPreceding, -1)
+    back = lane.orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
     event = F.when(F.col("write_kind") != "plain", F.struct("write_kind", "id", "valid_at"))
     f = f.withColumn("_end", F.last(event, ignorenulls=True).over(back))
     own = F.col("write_kind") == "contradict"
@@ -76,9 +77,22 @@ def true_at(state: DataFrame, when) -> DataFrame:
 
 
 def true_for(state: DataFrame, asked: DataFrame) -> DataFrame:
-    """The same for a table of (subject_id, at): an equi-join with the interval as residual."""
-    s = state.withColumnRenamed("subject_id", "_s")
-    return asked.join(s, (F.col("subject_id") == F.col("_s")) & (F.col("valid_at") <= F.col("at")) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col("at")))).drop("_s")
+    """The same for a table of (subject_id, at, ...), as a sweep: in one order of all times of a subject, a running count of questions says which questions, by number, lie in
+    a fact's interval; so what is joined is what is found, however many versions and times a subject has. `id` has to be unique."""
+    points = asked.filter("at is not null").select("subject_id", F.col("at").cast("timestamp").alias("_t")).distinct()
+    facts = state.filter("valid_at is not null").hint("merge").join(points.select("subject_id").distinct(), "subject_id", "left_semi")
+    end = lambda t, kind, row: facts.select("subject_id", F.col(t).alias("_t"), F.lit(kind).alias("_kind"), F.col("id").alias("_id"), row.alias("_row"))
+    whole = F.struct(*(c for c in facts.columns if c != "subject_id"))
+    times = end("valid_at", 0, whole).unionByName(end("invalid_at", 1, F.when(F.lit(False), whole))).unionByName(points.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+    # Ends before questions of the same time: an interval holds its first moment and not its last. No end comes after all questions.
+    counted = positions(times.withColumn("_q", (F.col("_kind") == 2).cast("int")), ["subject_id"], [F.asc_nulls_last("_t"), F.col("_kind"), F.col("_id")], "_n", "_q")
+    at = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_n")))
+    spans = counted.filter("_kind < 2").groupBy("subject_id", "_id").agg(at(0).alias("_from"), at(1).alias("_to"), F.first("_row", ignorenulls=True).alias("_row")).filter("_from < _to")
+    hits = spans.select("subject_id", "_row", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_n"))
+    when = counted.filter("_kind = 2").select("subject_id", "_n", "_t")
+    found = hits.hint("merge").join(when, ["subject_id", "_n"]).select("subject_id", "_t", "_row.*")
+    both = asked.withColumn("_t", F.col("at").cast("timestamp")).hint("merge").join(found, ["subject_id", "_t"])
+    return both.drop("_t")
 
 
 def history(facts: DataFrame, state: DataFrame, mode: str, when) -> DataFrame:

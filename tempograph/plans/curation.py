@@ -67,6 +67,10 @@ def s10_text_by_episode(spark, d):
     return S.text_by_episode(asked, index, e).select("episode_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"), "found_in")
 
 
+def s9_episode_paths(spark, d):
+    return S.path_of_episode(S.documents_index(_stored_docs(spark, d)))
+
+
 def e15_session_episodes(spark, d):
     e = S.to_episodes(sessions(spark, d), messages(spark, d), 4)
     return e.select("id", "session_id", F.md5(F.col("content").cast("binary")).alias("md5"), "msg_range")
@@ -181,6 +185,17 @@ def e6_retried(spark, d):
     return x.select("id", "parsed", F.col("attempt").cast("long").alias("attempt"), F.get("result.entities", F.lit(0))["name"].alias("name"))
 
 
+def _letters(text: str) -> list[float]:
+    """A deterministic model, of a wrong dimension for texts of even length."""
+    v = [len(text), text.count("e"), text.count(" "), 1.0]
+    return v if len(text) % 2 else v[:3]
+
+
+def e14_embedded(spark, d):
+    rows = E.embed_texts(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _letters, 4)
+    return rows.select("id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("chars", "letters_e", "spaces"))))
+
+
 def e7_dead_letters(spark, d):
     f = episodes(spark, d).select("id", "content", (F.length("content") % 4).alias("retries"))
     return E.dead_letters(f).select("id", "status", F.col("retries").cast("long").alias("retries"), F.length("content").cast("long").alias("chars"))
@@ -331,6 +346,16 @@ def v1_retrieval_metrics(spark, d):
     return Q.retrieval_metrics(_expected(spark, d), R.keyword_search(_asked(spark, d), statements(spark, d), 200))
 
 
+def v4_run_totals(spark, d):
+    """Every query expects its first long word or a word that is nowhere, but for each fifth, which expects nothing."""
+    q, s = _asked(spark, d), statements(spark, d)
+    hits = R.keyword_search(q, s, 10)
+    word = F.coalesce(F.get(F.filter(F.split("text", " "), lambda x: F.length(x) >= 10), F.lit(0)), F.lit("zzz-q"))
+    e = q.select("qid", F.when(F.col("qid") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("qid") % 5 == 1, F.lit("zzz-q")).otherwise(F.upper(word)))).alias("substrings"))
+    found = hits.hint("merge").join(s.select("id", "statement"), "id").select("qid", "id", "statement")
+    return Q.run_totals(Q.retrieval_metrics(_expected(spark, d), hits), Q.substring_matches(e, found))
+
+
 def v5_class_summary(spark, d):
     return Q.class_summary(Q.retrieval_metrics(_expected(spark, d), R.keyword_search(_asked(spark, d), statements(spark, d), 200)))
 
@@ -445,6 +470,11 @@ SQL = {
  UNION ALL SELECT 'contradictions', CAST(count(*) FILTER (epistemic_state = 'contradicted') AS DOUBLE), 1e300 FROM state), s AS (SELECT check_name, value, CASE WHEN value > lim THEN 'warning' ELSE 'ok' END AS status FROM c)
  SELECT * FROM s UNION ALL SELECT 'overall', CAST(max(CASE status WHEN 'ok' THEN 1 ELSE 2 END) AS DOUBLE), max(status) FROM s""",
     "v1_retrieval_metrics": f"{_MET} SELECT * FROM met",
+    "v4_run_totals": f"""{_MET.replace("rank <= 200", "rank <= 10")}, ww AS (SELECT qid, coalesce(list_filter(string_split(text, ' '), lambda x: length(x) >= 10)[1], 'zzz-q') AS word FROM q),
+ su AS (SELECT qid, bool_or(contains(lower(statement), word)) AS hit FROM bm JOIN stmts USING (id) JOIN ww USING (qid) WHERE rank <= 10 GROUP BY 1), mm AS (SELECT met.*, CASE WHEN qid % 5 = 0 THEN 1.0::DOUBLE WHEN qid % 5 = 1 OR NOT coalesce(hit, false) THEN 0 ELSE 1 END AS m FROM met LEFT JOIN su USING (qid))
+ SELECT count(*) AS queries, round(avg(recall), 4) AS recall, round(avg(reciprocal_rank), 4) AS mrr, round(avg(m), 4) AS substring_accuracy, CASE WHEN round(avg(recall), 4) >= 0.3 THEN 'pass' ELSE 'fail' END AS verdict FROM mm""",
+    "e14_embedded": "SELECT doc_id AS id, CASE WHEN ok THEN CAST(length(text) AS DOUBLE) END AS chars, CASE WHEN ok THEN CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) END AS letters_e, CASE WHEN ok THEN CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) END AS spaces FROM (SELECT *, coalesce(length(text) % 2 = 1 AND regexp_matches(text, '[^ \\t-\\r]'), false) AS ok FROM documents)",
+    "s9_episode_paths": f"WITH {_STORE} SELECT DISTINCT episode_id, folder || '/' || name AS path FROM st",
     "v5_class_summary": f"{_MET} SELECT class, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr, count(*) FILTER (recall >= 0.3) AS passed FROM met GROUP BY 1",
     "v3_substrings": f"""WITH {STATEMENTS}, s AS (SELECT id, statement, lower(statement) AS l, trim(regexp_replace(lower(statement), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS n FROM stmts)
  SELECT id, contains(l, 'the ') OR contains(l, 'ion-the') OR contains(l, 'zzz') AS any_found, CAST((NOT (contains(l, 'the ') OR contains(n, 'the')))::INT + (NOT (contains(l, 'ion-the') OR contains(n, 'ion the')))::INT + (NOT contains(n, 'zzz'))::INT AS BIGINT) AS missing FROM s""",

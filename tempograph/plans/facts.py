@@ -211,8 +211,12 @@ def u6_fallback(spark, d):
 
 
 def t9_entity_facts(spark, d):
-    r = O.roles(graph_facts(spark, d)).filter("entity_id in ('nat:1', 'nat:2', 'supp:3')")
-    return r.select("entity_id", "role", "subject_id", "predicate", "object_id")
+    """Pages of suppliers and customers of a number divisible by 100, the former by name; a fact holds from the day that its subject's number says."""
+    asked = entities(spark, d).filter("(id like 'supp:%' or id like 'cust:%') and cast(substring_index(id, ':', -1) as long) % 100 = 0")
+    asked = asked.select(F.col("id").alias("qid"), F.when(F.col("id").startswith("supp:"), F.col("name")).otherwise(F.col("id")).alias("key"))
+    since = F.timestamp_micros(F.lit(1767225600000000) + F.substring_index("subject_id", ":", -1).cast("long") % 50 * 86400000000)
+    facts = graph_facts(spark, d).withColumn("id", F.concat_ws(">", "subject_id", "predicate", "object_id")).withColumn("valid_at", since)
+    return O.entity_facts(asked, entities(spark, d), facts).select("qid", "entity_id", "name", "role", "id", "subject_name", "predicate", "object", F.col("place").cast("long").alias("place"))
 
 
 _RENAME = "replace(replace(replace(lower(raw), '-', ' '), '_', ' '), '/', ' ')"
@@ -268,6 +272,8 @@ SQL = {
     "u3_priority": f"""WITH {FACTS}, u AS (SELECT subject_id, id, seq, 0 AS tier FROM facts WHERE predicate = 'owns' UNION ALL SELECT subject_id, id, seq, 1 FROM facts WHERE certainty = 'stated' UNION ALL SELECT subject_id, id, seq, 2 FROM facts WHERE negation),
  r AS (SELECT subject_id, id, CAST(tier AS BIGINT) AS tier, row_number() OVER (PARTITION BY subject_id ORDER BY tier, seq) AS place FROM u) SELECT * FROM r WHERE place <= 5""",
     "u6_fallback": f"WITH {FACTS}, a AS (SELECT id, subject_id FROM facts WHERE negation AND seq % 5 = 0) SELECT * FROM a UNION ALL SELECT id, subject_id FROM facts WHERE predicate = 'owns' AND subject_id NOT IN (SELECT subject_id FROM a)",
-    "t9_entity_facts": f"WITH {GRAPH} SELECT subject_id AS entity_id, 'subject' AS role, subject_id, predicate, object_id FROM graph WHERE subject_id IN ('nat:1', 'nat:2', 'supp:3') UNION ALL SELECT object_id, 'object', subject_id, predicate, object_id FROM graph WHERE object_id IN ('nat:1', 'nat:2', 'supp:3')",
+    "t9_entity_facts": f"""WITH {GRAPH}, {ENTITIES}, g AS (SELECT *, subject_id || '>' || predicate || '>' || object_id AS id, CAST(split_part(subject_id, ':', 2) AS BIGINT) % 50 AS day FROM graph),
+ a AS (SELECT id AS e, name FROM ents WHERE (id LIKE 'supp:%' OR id LIKE 'cust:%') AND CAST(split_part(id, ':', 2) AS BIGINT) % 100 = 0), r AS (SELECT a.*, 'subject' AS role, g.* FROM a JOIN g ON subject_id = e UNION ALL SELECT a.*, 'object', g.* FROM a JOIN g ON object_id = e)
+ SELECT e AS qid, e AS entity_id, r.name, role, r.id, s.name AS subject_name, predicate, o.name AS object, row_number() OVER (PARTITION BY e ORDER BY day DESC, r.id, role) AS place FROM r LEFT JOIN ents s ON s.id = subject_id LEFT JOIN ents o ON o.id = object_id""",
 }
 QUERIES = {n: globals()[n] for n in SQL}

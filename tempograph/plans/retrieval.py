@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cosine
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from ..operators.search_index import build
 from ..sources import aliases, entities, graph_facts, query_batch, statements, table
 from .views import ENTITIES, GRAPH, QUERIES as ASKED, STATEMENTS
@@ -39,6 +40,12 @@ def r2_vector_top_k(spark, d):
     return _rank(R.vector_search(q, v, 10))
 
 
+def j7_vector_index(spark, d):
+    """The same queries by an inverted file: not exact, see its test for what it finds."""
+    q, v = _vectors(spark, d)
+    return _rank(V.search(V.build(v), q, 10).hits)
+
+
 def f4_cosine(spark, d):
     """Each vector with the next one."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -202,4 +209,4 @@ SQL = {
  SELECT x.seed, predicate, count(*) AS n FROM graph JOIN near x ON x.id = subject_id JOIN near y ON y.id = object_id AND y.seed = x.seed GROUP BY 1, 2""",
     "e11_merged_root": "SELECT 'cust:' || c_custkey AS source_id, 'cust:' || (c_custkey - (c_custkey - 1) % 5) AS root FROM customer WHERE c_custkey % 5 <> 1 AND c_custkey > 0",
 }
-QUERIES = {n: globals()[n] for n in SQL}
+QUERIES = {n: globals()[n] for n in (*SQL, "j7_vector_index")}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import streaming as X
-from ..sources import event_facts, table
+from ..operators.state_store import opened
+from ..sources import event_facts, messages, sessions, statements, table
 from ..sources.scratch import scratch_path, written
-from .views import FACTS, STATE
+from .curation import _EPIS, _USABLE
+from .views import FACTS, STATE, STATEMENTS
 
 
 def x2_deduplicated(spark, d):
@@ -26,7 +28,7 @@ def x1_ingested(spark, d):
 
 
 def x3_state_changes(spark, d):
-    return X.run_to_table(X.state_changes(event_facts(spark, d, X.read_table(spark, d, "events"))))
+    return X.state_changes(event_facts(spark, d, X.read_table(spark, d, "events")), scratch_path(spark))
 
 
 def x4_quota(spark, d):
@@ -42,10 +44,49 @@ def x5_alerts(spark, d):
     e = X.read_table(spark, d, "events").filter("event_type = 'error'")
     k = F.get_json_object("props", "$.k").cast("int")
     a = e.select(F.col("event_id").alias("id"), F.concat(F.lit("c"), k % 5).alias("category"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return X.run_to_table(X.suppressed_alerts(a, 86400))
+    return X.suppressed_alerts(a, scratch_path(spark), 86400)
+
+
+def _as_stream(df, files, order):
+    """A table as a stream of files in order, one file a micro-batch."""
+    path = scratch_path(df.sparkSession)
+    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def x6_pending_stream(spark, d):
+    """Statements of sixty days as they are queued, a micro-batch a file; those of a number ending in 3 are ingested as soon as they are there."""
+    s = statements(spark, d).select("id", F.col("statement").alias("content"), F.col("recorded_at").alias("queued_at"))
+    waits, done = _as_stream(s, 3, "queued_at"), _as_stream(s.filter("id like '%3'").select("id", F.col("queued_at").alias("at")), 3, "at")
+    return X.pending_cache(waits, done, scratch_path(spark), 60 * 86400).select("id", F.unix_micros("queued_at").alias("queued_us"))
+
+
+def t3_incremental_state(spark, d):
+    """The log in three batches by time of recording; each reads only the buckets that it touches."""
+    f = written(event_facts(spark, d))
+    third = f.agg((F.max(F.unix_micros("recorded_at")) - F.min(F.unix_micros("recorded_at"))).alias("w"), F.min(F.unix_micros("recorded_at")).alias("a"))  # one row
+    dealt = written(f.crossJoin(F.broadcast(third)).withColumn("_b", F.least(F.floor(3 * (F.unix_micros("recorded_at") - F.col("a")) / (F.col("w") + 1)), F.lit(2))).drop("w", "a"))
+    store = opened(spark)
+    for b in range(3):
+        store.append(dealt.filter(F.col("_b") == b).drop("_b"))
+    return store.state().select("id", "write_kind", "epistemic_state", F.unix_micros("invalid_at").alias("invalid_at_us"), "ended_by")
+
+
+def s18_resumed_migration(spark, d):
+    """Sessions as a stream of four files: stopped after one micro-batch, and run again to the end."""
+    c, m = sessions(spark, d), messages(spark, d)
+    stored, path = scratch_path(spark), scratch_path(spark)
+    c.repartition(4, "id").write.parquet(stored)
+    stream = lambda: spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(stored)
+    X.migrate(stream(), m, path, 1)
+    X.migrate(stream(), m, path)
+    return spark.read.parquet(f"{path}/episodes").select("id", "session_id", F.md5(F.col("content").cast("binary")).alias("md5"), "msg_range")
 
 
 SQL = {
+    "x6_pending_stream": f"WITH {STATEMENTS} SELECT id, epoch_us(recorded_at) AS queued_us FROM stmts WHERE recorded_at > (SELECT max(recorded_at) FROM stmts) - INTERVAL 60 DAY AND id NOT LIKE '%3' ORDER BY recorded_at DESC, id LIMIT 1000",
+    "t3_incremental_state": f"WITH {STATE} SELECT id, write_kind, epistemic_state, epoch_us(invalid_at) AS invalid_at_us, ended_by FROM state",
+    "s18_resumed_migration": f"WITH {_USABLE}{_EPIS.format(n=20)} SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, session_id, md5(content) AS md5, (b * 20) || '-' || (b * 20 + c) AS msg_range FROM eh",
     "x2_deduplicated": f"WITH {FACTS} SELECT id, namespace FROM facts",
     "x1_ingested": "SELECT 'ep' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'stored' END AS found_in, CAST(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS retries FROM documents",
     "x3_state_changes": f"WITH {STATE} SELECT CASE WHEN epistemic_state = 'superseded' THEN 'SUPERSEDES' ELSE 'CONTRADICTS' END AS kind, ended_by AS from_id, id AS to_id FROM state WHERE ended_by IS NOT NULL",

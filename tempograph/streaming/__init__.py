@@ -1,20 +1,25 @@
-"""Streaming forms of ingest, state changes, quotas and alerts, over file sources with `availableNow` triggers.
+"""Streaming forms of ingest, state changes, quotas, alerts, pending content and migration, over file sources with `availableNow` triggers.
 
-Order of arrival (`seq`), not event time, drives supersession, as in the batch form; watermarks only bound the state of
-de-duplication and of quota windows.
+Order of arrival, by micro-batch and then (recorded_at, seq), drives supersession, not event time; watermarks only bound the state of
+de-duplication and of quota windows. State that rules need in order is a table that micro-batches read and write in folders of their own, so that
+Spark sorts and spills what a task streams through, and a replayed batch writes over what it wrote.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.extraction import MAX_RETRIES, dead_letters
+from ..operators.state_store import StateStore
+from ..operators.storage import to_episodes
+from ..operators.temporal import state_edges
 from ..sources.scratch import scratch_path, written
 
 READ_LIMIT, WRITE_LIMIT, WINDOW_SECONDS = 100, 20, 10
@@ -47,29 +52,20 @@ def deduplicated(stream: DataFrame, time: str = "recorded_at", within: str = "1
 
 
 def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], stored: str, failed: str, dead: str, checkpoint: str) -> None:
-    """Micro-batches of episodes (id, content, ...): those that failed in the batch before come first, ids already stored are skipped. `process` adds a column `ok`. Rows
-    that are not ok wait in the failed table with one more retry; after MAX_RETRIES their beginning goes to the dead-letter table.
+    """Micro-batches of episodes (id, content, ...): those that failed in the batch before come first. An id that came before is skipped; the ids seen are the stream's keyed state, looked up
+    one by one, so what a batch reads doesn't grow with what is stored. `process` adds a column `ok`. Rows that are not ok wait in the failed table with one more retry; after MAX_RETRIES their beginning goes to the dead-letter table.
 
     Each table has a folder `batch=<number>` for each micro-batch, which a replayed batch writes over, and which is read without the replayed batch's own
     folder and later ones; so a batch that runs twice stores its rows once. Of the failed table only the last batch's folder is read, of the stored one only ids."""
     spark = stream.sparkSession
 
-    def before(path: str, number: int, schema: StructType) -> DataFrame:
-        try:
-            return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path).filter(F.col("batch") < number)
-        except Exception as e:  # not written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], StructType([*schema.fields, StructField("batch", LongType())]))
-
     def put(rows: DataFrame, path: str, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     def one(batch: DataFrame, number: int) -> None:
         waiting_schema = StructType([*batch.schema.fields, StructField("retries", LongType())])
-        old = before(stored, number, StructType([batch.schema["id"]])).select("id")
-        waiting = before(failed, number, waiting_schema).filter(F.col("batch") == number - 1).drop("batch")
-        fresh = batch.dropDuplicates(["id"]).hint("merge").join(old, "id", "left_anti").hint("merge").join(waiting.select("id"), "id", "left_anti").withColumn("retries", F.lit(0).cast("long"))
+        waiting = _written_before(spark, failed, number, waiting_schema).filter(F.col("batch") == number - 1).drop("batch")
+        fresh = batch.withColumn("retries", F.lit(0).cast("long"))
         done = process(waiting.unionByName(fresh.select(*waiting.columns))).persist()
         put(done.filter("ok").select(*batch.columns), stored, number)
         again = dead_letters(done.filter("not ok").select(*waiting.columns)).persist()
@@ -79,7 +75,7 @@ def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], stored:
         again.unpersist()
         done.unpersist()
 
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.dropDuplicates(["id"]).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def quota_use(requests: DataFrame, read_limit: int = READ_LIMIT, write_limit: int = WRITE_LIMIT) -> DataFrame:
@@ -96,60 +92,53 @@ def closed_by(requests: DataFrame, tick: DataFrame) -> DataFrame:
     return requests.unionByName(tick, allowMissingColumns=True)
 
 
-class _Suppress(StatefulProcessor):
-    """Passes an alert if none of its category was sent in the period before. Alerts are put in order within a micro-batch; batches are taken to
-    come in order, as an alert source writes them. A category's alerts of one batch are sorted in its task, so `maxFilesPerTrigger` bounds them."""
-
-    def __init__(self, seconds: int):
-        self.micros = seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", StructType([StructField("at", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["at", "id"])
-        last = self.sent.get()[0] if self.sent.exists() else None
-        kept = []
-        for at, alert in zip(every["at"].tolist(), every["id"].tolist()):
-            if last is None or at - last >= self.micros:
-                kept.append((alert, key[0], at))
-                last = at
-        if last is not None:
-            self.sent.update((last,))
-        yield pd.DataFrame(kept, columns=["id", "category", "at"])
-
-    def close(self) -> None:
-        pass
-
-
-def suppressed_alerts(alerts: DataFrame, seconds: int = SUPPRESS_SECONDS) -> DataFrame:
-    """Alerts (id, category, at in microseconds) that go out: one for each category and period since the last one sent."""
-    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    out = StructType([StructField("id", LongType()), StructField("category", StringType()), StructField("at", LongType())])
-    return alerts.groupBy("category").transformWithStateInPandas(statefulProcessor=_Suppress(seconds), outputStructType=out, outputMode="Append", timeMode="None")
-
-
-_ACTIVE = StructType([StructField("id", StringType()), StructField("object_value", StringType()), StructField("negation", BooleanType())])
-_CHANGE = StructType([StructField("kind", StringType()), StructField("from_id", StringType()), StructField("to_id", StringType())])
-
-
-class _Fold(StatefulProcessor):
-    """The write rule, one fact after another; state is the lane's active facts: of a functional predicate those of the one current object, of a plural one those of one
-    object, as objects of plural predicates never end each other. A lane's facts of one micro-batch are sorted in its task; `maxFilesPerTrigger` bounds them."""
+def suppressed_alerts(alerts: DataFrame, path: str, seconds: int = SUPPRESS_SECONDS) -> DataFrame:
+    """Alerts (id, category, at in microseconds) that go out: one for each category and period since the last one sent. Batches are taken to come in order, as an alert source writes them.
+    Each micro-batch is sorted by Spark and read as a stream, which keeps one time for each category, so a category of any size needs no memory; the last times are a table of a row
+    a category. A batch that is replayed takes its own place and starts from the times before it."""
+    spark = alerts.sparkSession
+    micros = seconds * 1_000_000
+    types = {c: alerts.schema[c].dataType.simpleString() for c in ("id", "category", "at")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        category, free = None, None  # the category that goes on, and from when on it may send again
+        for batch in batches:
+            names, at, last = batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            keep, i, n = [], 0, len(names)
+            while i < n:
+                if names[i] != category or free is None:
+                    category, free = names[i], at[i] if last[i] is None else last[i] + micros
+                end = bisect.bisect_right(names, category, i)
+                i += int(np.searchsorted(at[i:end], free))
+                if i < end:
+                    keep.append(i)
+                    free = at[i] + micros
+                    i += 1
+            yield batch.select([0, 1, 2]).take(pa.array(keep, pa.int64()))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getListState("active", _ACTIVE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        active = [tuple(x) for x in self.active.get()]
-        changes = []
-        for f in pd.concat(list(rows)).sort_values(["recorded_at", "seq"]).itertuples():
-            active = fold_step(active, (f.id, f.object_value, bool(f.negation)), bool(f.functional), changes)
-        self.active.put(active) if active else self.active.clear()
-        yield pd.DataFrame(changes, columns=["kind", "from_id", "to_id"])
-
-    def close(self) -> None:
-        pass
+    def one(batch: DataFrame, number: int) -> None:
+        sent = _written_before(spark, f"{path}/sent", number, StructType([alerts.schema["category"], StructField("last", LongType())]))
+        last = sent.groupBy("category").agg(F.max("last").alias("last"))
+        rows = batch.select("id", "category", "at").hint("merge").join(last, "category", "left").select("id", "category", "at", "last")
+        ordered = rows.repartition("category").sortWithinPartitions("category", "at", "id")
+        out = ordered.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items()))
+        out.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        kept = spark.read.schema(alerts.select(*types).schema).parquet(f"{path}/rows/batch={number}")
+        kept.groupBy("category").agg(F.max("at").alias("last")).write.mode("overwrite").parquet(f"{path}/sent/batch={number}")
+
+    alerts.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select(*types)
+
+
+def _written_before(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
+    """Rows of the `batch=` folders below `number`."""
+    schema = StructType([*schema.fields, StructField("batch", LongType())])
+    try:
+        return spark.read.schema(schema).parquet(path).filter(F.col("batch") < number)
+    except Exception as e:  # not written yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def fold_step(active: list, fact: tuple, functional: bool, changes: list) -> list:
@@ -166,9 +155,63 @@ def fold_step(active: list, fact: tuple, functional: bool, changes: list) -> lis
     return [*active, fact]
 
 
-def state_changes(facts: DataFrame) -> DataFrame:
-    """Edges (kind, from_id, to_id) as facts arrive, for each (subject, predicate, namespace), and each object of plural predicates."""
-    facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    f = facts.select("subject_id", "predicate", "namespace", "id", "seq", "recorded_at", F.coalesce("object_value", F.lit("")).alias("object_value"), "negation", "functional")
-    f = f.withColumn("lane", F.when(F.col("functional"), "").otherwise(F.col("object_value")))
-    return f.groupBy("subject_id", "predicate", "namespace", "lane").transformWithStateInPandas(statefulProcessor=_Fold(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")
+def state_changes(facts: DataFrame, path: str) -> DataFrame:
+    """Edges (kind, from_id, to_id) as facts arrive: each micro-batch is appended to a `state_store.StateStore` at `path`, which folds it by windows onto what is active in the buckets that it
+    touches. A replayed batch is appended once; a fact that comes late takes effect when it comes, after all that came before."""
+    store = StateStore(facts.sparkSession, path)
+    facts.writeStream.foreachBatch(lambda batch, number: store.append(batch, number + 1) and None).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return state_edges(store.ended())
+
+
+def pending_cache(content: DataFrame, done: DataFrame, path: str, ttl_seconds: int = 300, newest: int = 1_000) -> DataFrame:
+    """(id, content, queued_at) of what still waits after a stream of content (id, content, queued_at) and of ingested ids `done` (id, at): the newest `newest` of the last `ttl_seconds` before the
+    latest time that either has. Each micro-batch takes the few rows kept before, adds its own, drops what was ingested or has expired, and keeps the newest, found by a top-k over all
+    tasks. The state is those rows and, for as long as content of their age could still wait, the ids ingested."""
+    spark = content.sparkSession
+    queued = content.select("id", "content", F.col("queued_at").alias("at"), F.lit(False).alias("gone"))
+    left = done.select("id", F.lit(None).cast("string").alias("content"), "at", F.lit(True).alias("gone"))
+    both = queued.unionByName(left)
+    schema = both.schema
+
+    def one(batch: DataFrame, number: int) -> None:
+        kept = _written_before(spark, f"{path}/kept", number, schema)
+        every = kept.filter(F.col("batch") == number - 1).drop("batch").unionByName(batch)
+        now = every.agg(F.max("at").alias("_now"))  # one row
+        live = every.crossJoin(F.broadcast(now)).filter(F.col("at") > F.col("_now") - F.make_dt_interval(secs=F.lit(ttl_seconds))).drop("_now")
+        ids = live.filter("gone").groupBy("id").agg(F.max("at").alias("at"))
+        waits = live.filter("not gone").hint("merge").join(ids.select("id"), "id", "left_anti")
+        first = waits.groupBy("id").agg(F.max(F.struct("at", "content")).alias("x")).select("id", "x.content", "x.at", F.lit(False).alias("gone")).orderBy(F.desc("at"), "id").limit(newest)
+        first.unionByName(ids.select("id", F.lit(None).cast("string").alias("content"), "at", F.lit(True).alias("gone"))).write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
+        spark.createDataFrame([(number,)], "last long").coalesce(1).write.mode("overwrite").parquet(f"{path}/last")
+
+    both.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/last").first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/kept/batch={last}").filter("not gone").select("id", "content", F.col("at").alias("queued_at"))
+
+
+def migrate(sessions: DataFrame, messages: DataFrame, path: str, max_batches: int | None = None) -> DataFrame:
+    """Episodes of a stream of sessions (id, started_at, ...) and their messages, written with a status for each session. The stream's checkpoint says which sessions are done: stopped after
+    `max_batches` or by a failure it goes on from there when run again, and a session that comes twice is migrated once. A batch tried again takes its own place."""
+    spark = sessions.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    left = [max_batches]
+
+    class Stopped(Exception):
+        pass
+
+    def one(batch: DataFrame, number: int) -> None:
+        if left[0] == 0:
+            raise Stopped
+        made = to_episodes(batch, messages)
+        made.write.mode("overwrite").parquet(f"{path}/episodes/batch={number}")
+        counted = spark.read.schema(made.schema).parquet(f"{path}/episodes/batch={number}").groupBy("session_id").agg(F.count("*").alias("n_episodes"))
+        batch.select(F.col("id").alias("session_id")).hint("merge").join(counted, "session_id", "left").select("session_id", F.coalesce("n_episodes", F.lit(0)).alias("n_episodes"), F.when(F.col("n_episodes") > 0, "migrated").otherwise("empty").alias("status")).write.mode("overwrite").parquet(f"{path}/status/batch={number}")
+        if left[0] is not None:
+            left[0] -= 1
+
+    try:
+        sessions.dropDuplicates(["id"]).writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    except Exception as e:
+        if max_batches is None or "Stopped" not in str(e):
+            raise
+    return spark.read.parquet(f"{path}/status").drop("batch")
