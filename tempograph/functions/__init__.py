@@ -12,7 +12,6 @@ EXCLUSIVE_PREDICATES = ("works_at", "version_is", "runs_on", "has_role", "has_ve
 EXTENSIONS = {"text": ".txt", "code": ".py", "pdf": ".pdf", "web": ".html", "voice": ".txt", "json": ".json"}
 FOLDERS = {"text": "text", "code": "code", "pdf": "documents", "web": "web", "voice": "transcripts", "json": "json"}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-DISPOSITIONS = {"shared": (3, 3, 3), "personal": (2, 4, 4)}
 
 _S = r"[ \t-\r]"
 
@@ -226,7 +225,7 @@ def disposition_text(skepticism, literalism, empathy) -> Column:
 
 
 def session_gate(user_turns, in_error, reverted) -> Column:
-    """Reason why a session is not extracted, or `passed`."""
+    """Reason why a session is not extracted, or `passed`. The reasons are fixed values: they are stored with sessions."""
     n = _c(user_turns)
     return (
         F.when(n < 2, F.concat(F.lit("session has only "), n.cast("string"), F.lit(" user turns (minimum 2)")))

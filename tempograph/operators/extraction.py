@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vector_index import VectorIndex
 from ..functions import clip, normalize_literal, normalize_name, resolve_valid_at, statement
 from ..sources.scratch import written
 
@@ -87,9 +88,9 @@ def all_names(entities: DataFrame, facts: DataFrame) -> DataFrame:
     return entities.select("name").union(facts.select("subject")).union(facts.filter("object_type = 'entity'").select("object")).distinct()
 
 
-def resolve_names(names: DataFrame, aliases: DataFrame, entity_vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def resolve_names(names: DataFrame, aliases: DataFrame, entity_vectors: DataFrame | VectorIndex | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(name, norm, entity_id, how): alias, else the nearest entity by cosine from 0.95 (merged) or from 0.80 (ambiguous: kept apart for review),
-    else a new entity, whose id is that of the first spelling of the normalised name."""
+    else a new entity, whose id is that of the first spelling of the normalised name. With an index of entity vectors only near cells are compared."""
     from .retrieval import vector_search
 
     n = names.select("name", normalize_name("name").alias("norm"))

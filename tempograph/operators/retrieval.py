@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import certainty_weight, normalize_name, query_words, terms, time_range, token_estimate
 from ..sources.scratch import written
 from .search_index import SearchIndex, build, search as search_index
+from .vector_index import VectorIndex, search as probe
 from .facts import fallback, roles, within_budget
 
 K1, B = 1.2, 0.75
@@ -59,10 +60,12 @@ def keyword_search(queries: DataFrame, statements: DataFrame, k: int = 10, names
     return ranked(search_index(index, queries, k, statements.select("id", "namespace"), lambda d, q: d["namespace"] == namespace).hits, k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, id, score, rank): exact cosine top k. Up to BROADCAST_VECTORS queries (qid, embedding) go to every task, which does a matrix product for each
+def vector_search(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = 10) -> DataFrame:
+    """(qid, id, score, rank): cosine top k; of an index what its cells give, of a table (id, embedding) the exact one. Up to BROADCAST_VECTORS queries (qid, embedding) go to every task, which does a matrix product for each
     batch and keeps k rows a query, so what is shuffled is k rows for each task and query. More queries are packed into blocks, vectors into
     chunks, and each chunk meets each block in a join; k rows for each pair and query are left."""
+    if isinstance(vectors, VectorIndex):
+        return probe(vectors, queries, k).hits
     asked = queries.select("qid", "embedding").filter("embedding is not null")
     types = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     rows = asked.limit(BROADCAST_VECTORS + 1).toArrow()
@@ -187,7 +190,7 @@ def by_state(fused: DataFrame, state: DataFrame, include_history: bool = False)
     return ranked(s, None, [F.when(F.col("epistemic_state") == "active", 0).otherwise(1), F.desc("score"), F.col("first_seen")])
 
 
-def search(queries: DataFrame, statements: DataFrame, k: int = 10, facts: DataFrame | None = None, entities: DataFrame | None = None, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, include_history: bool = False, fetch: int = 20, index: SearchIndex | None = None) -> DataFrame:
+def search(queries: DataFrame, statements: DataFrame, k: int = 10, facts: DataFrame | None = None, entities: DataFrame | None = None, query_vectors: DataFrame | None = None, vectors: DataFrame | VectorIndex | None = None, include_history: bool = False, fetch: int = 20, index: SearchIndex | None = None) -> DataFrame:
     """Semantic, keyword, graph, temporal and recency lists, fused and ranked by state. A list whose inputs are missing is left out. Three of them read one `index`."""
     index = index or build(statements)
     lists = [vector_search(query_vectors, vectors, fetch)] if query_vectors is not None else []
@@ -219,7 +222,7 @@ def pending_search(queries: DataFrame, pending: DataFrame, now, newest: int = 10
     return ranked(overlap_scores(queries, live.orderBy(F.desc("queued_at"), "id").limit(newest), "content"), k)
 
 
-def hybrid_search(queries: DataFrame, statements: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 10, index: SearchIndex | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, statements: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | VectorIndex | None = None, k: int = 10, index: SearchIndex | None = None) -> DataFrame:
     """Keyword and vector lists fused, each fetched to twice k; keyword alone where there are no vectors."""
     words = keyword_search(queries, statements, 2 * k, index=index)
     if query_vectors is None:

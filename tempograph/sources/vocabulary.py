@@ -25,4 +25,4 @@ PLURAL = [p for p, functional in PREDICATES if not functional]
 
 def vocabulary(spark: SparkSession) -> DataFrame:
     """(predicate, functional): 70 rows, so it may be broadcast."""
-    return spark.createDataFrame(sorted(PREDICATES), "predicate string, functional boolean")
+    return spark.createDataFrame(PREDICATES, "predicate string, functional boolean")

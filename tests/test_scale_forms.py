@@ -149,6 +149,7 @@ def test_vector_index_recall(spark):
     found = vector_index.search(vector_index.build(v), q, 10)
     told = vector_index.recall(retrieval.vector_search(q, v, 10), found.hits).first()
     assert told.queries == 20 and told.recall >= 0.9, told
+    assert ids(retrieval.vector_search(q, vector_index.build(v), 10), "qid", "id", "rank") == ids(found.hits, "qid", "id", "rank")
     assert found.compared.agg(F.avg("compared")).first()[0] < 1300
 
 
