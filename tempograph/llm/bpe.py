@@ -17,7 +17,7 @@ The tokenizer file must be at the given path on every machine; it is only read.
 
 Defined results: null is encoded as the empty text: no ids; the special string of the tokenizer becomes its id,
 as in the tokenizers library; repeated rows are each encoded; a text of one very long word is one word.
-Documents of one doc_id may differ in text; doc_id may be null and of any type that can be sorted; an empty table gives an empty one.
+Documents of one doc_id may differ in text; doc_id may be null and of any type that can be sorted; an empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

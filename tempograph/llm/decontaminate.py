@@ -14,7 +14,8 @@ Shingles that no window has are dropped in the task by a Bloom filter of fixed s
 sent to every task; more are joined by shuffle, each in SALT copies, so that a passage in a third of all documents is not one task's work.
 
 Defined results: null or wordless text has no words and no hits; a wordless or null item is never found;
-repeated items are each reported; every row of documents, repeated ones and those of null doc_id too, is one row of the result; extra columns are ignored.
+repeated items are each reported; every row of documents, repeated ones and those of null doc_id too, is one row of the result; without documents the result is empty, without
+items nothing is hit; extra columns are ignored.
 """
 
 from __future__ import annotations

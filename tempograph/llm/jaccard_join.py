@@ -22,7 +22,8 @@ D = (1-t)/(1+t) * (a+b) shingles, so with more than D cells that aren't empty, t
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of fewer words than a shingle
 is one shingle; equal texts link. doc_id may be of any type that sorts, null before all others; repeated rows and several texts of one doc_id stay a row each and
 link by their texts like other documents; a component's id is the smallest doc_id in it. Extra columns are ignored.
-Words and shingles are compared by 64-bit hashes, not letter by letter, as is the equality of sets (128 bits).
+Words and shingles are compared by 64-bit hashes (`common.word_hashes`), not letter by letter, as is the equality of sets (128 bits). An empty table
+gives an empty one.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ step, times 1 / (words of the other documents + 1).
 
 Words are runs without space or \\t..\\r, with A-Z lower-cased, compared by 64-bit hash.
 Defined results: null and wordless texts have 0 words, log score 0 and a null mean; repeated rows count as
-documents of their own; a corpus of one document has only unseen words; extra columns are ignored.
+documents of their own; a corpus of one document has only unseen words; doc_id may be null and of any type that sorts; an
+empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Instances that reach `MIN_SCORE` through patterns with `MIN_SEEDS` distinct seed
 Edges and scores are aggregated before each join, so a frequent pattern or instance is one row for each pair.
 
 Defined results: null and empty texts have no spans; every row, repeated ones and those of null doc_id too, is a row of the result with the spans of its own text;
-fixed spans always stay, found ones never overlap them or each other; offsets are code points; extra columns are ignored.
+fixed spans always stay, found ones never overlap them or each other; offsets are code points; an instance that is a seed of two kinds
+counts as the last of them by name; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,7 +183,6 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCO
     """(instance, kind, score): seeds' instances, and unseen ones that high-confidence patterns vouch for."""
     flat = found.select(F.explode("found").alias("m")).select("m.kind", "m.instance", "m.patterns", (F.col("m.choice") != 1).alias("piece"))
     edges = stored(flat.select("instance", "kind", "piece", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.min("piece").alias("piece")), "edges")
-    seeded = edges.filter("kind is not null").select("pattern").distinct()
     # Patterns without a seed can only matter once an instance is found, so all edges of found instances stay in play.
     known = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):

@@ -10,7 +10,8 @@ does not depend on order). Scoring covers every document and whole texts.
 
 Defined results: null and wordless texts get the bias alone, a score between 0 and 1; with no usable labels
 all weights are 0 and every score is 0.5; repeated rows are scored alike; labels whose value is null are
-not learnt from; a document labelled twice is learnt from twice.
+not learnt from; a document labelled twice is learnt from twice; doc_id may be null (never labelled) and of any type; an
+empty table gives an empty one; extra columns are ignored, or kept if asked for.
 """
 
 from __future__ import annotations

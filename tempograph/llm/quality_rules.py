@@ -11,7 +11,8 @@ cover more than `max_covered` of its words, or its longest repeat is longer than
 Words are compared by number, so nothing rests on hashes. Texts are judged whole and one by one: no shuffle.
 
 Defined results: null, empty and wordless texts have zero counts and fail the base rule; repeated rows are
-each judged; a text of one word has no repeats; extra columns are ignored.
+each judged; a text of one word has no repeats; doc_id may be null and of any type, as rows are judged
+by themselves; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations

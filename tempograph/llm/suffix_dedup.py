@@ -21,7 +21,7 @@ one pass in ascending order places every suffix at the front of its group. No ra
 
 Defined results: null is empty; documents of fewer bytes than `length` lose nothing; repeats within a document
 stay unless an earlier document has them. doc_id may be of any type that sorts, null before all others; rows of one doc_id, null too, are one document with
-several texts: they take nothing from each other, each loses what a smaller doc_id has, and each stays a row. Extra columns are ignored.
+several texts: they take nothing from each other, each loses what a smaller doc_id has, and each stays a row. An empty table gives an empty one; extra columns are ignored.
 In what follows `doc_id` is the row's number and `number >> shift` its document (`common.numbered`).
 """
 

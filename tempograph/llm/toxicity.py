@@ -15,7 +15,8 @@ Counts cover every labelled learning row (no sample), aggregated in Spark into 2
 pairs of counts leave Spark.
 
 Defined results: null and wordless texts have no passage and get the score of no evidence; with no usable
-labels every score is 0; repeated rows score alike; labels with null values are not learnt from.
+labels every score is 0; repeated rows score alike; labels with null values are not learnt from; doc_id may be null (never
+labelled) and of any type; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations

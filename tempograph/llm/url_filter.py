@@ -10,7 +10,8 @@ Labels are rows of (doc_id, quality, toxic) for pages of the same id; a page is
 is 0 or it is toxic.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and no tokens, and is
-allowed; repeated rows are each judged; with no labels or no mined rule every page without a rule is allowed.
+allowed; repeated rows are each judged; with no labels or no mined rule every page without a rule is allowed. Rules of equal support all
+hold; page_id may be null, null labels and ids match nothing; an empty table gives an empty one; extra columns of pages and labels are ignored.
 """
 
 from __future__ import annotations
