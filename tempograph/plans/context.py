@@ -146,6 +146,15 @@ def s14_query_check(spark, d):
     return Q.check_queries(table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("no"), F.when(F.col("item_id") % 7 != 5, F.col("text")).alias("text")))
 
 
+def s13_query_set(spark, d):
+    """Benchmark items as a query set of JSON lines in the shared folder; some have no text or no class."""
+    n = F.col("item_id")
+    path = scratch_path(spark)
+    q = table(spark, d, "benchmark").select(n.cast("string").alias("id"), F.when(n % 7 != 5, F.col("text")).alias("text"), F.when(n % 3 != 0, F.concat(F.lit("c"), n % 3)).alias("class"), F.array(F.concat(F.lit("d"), n), F.lit("d0")).alias("expected_ids"))
+    q.write.json(path)
+    return Q.load_queries(spark, path).select("id", "text", "class", F.array_join("expected_ids", ",").alias("expected_ids"))
+
+
 def s15_alert_log(spark, d):
     """Alerts as JSON lines, in two writes, read again."""
     e = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.lit("error").alias("category"), "props")
@@ -213,6 +222,7 @@ SQL = {
  x AS (SELECT qid, n, CASE WHEN qid % 3 = 1 THEN 0 ELSE len(list_filter(string_split(text, ' '), lambda w: NOT (contains(t, w) OR contains(tn, w)))) END AS me, CASE WHEN qid % 3 = 2 THEN list_filter(['zzz-q', 'THE'], lambda w: NOT (contains(t, lower(w)) OR contains(tn, CASE w WHEN 'zzz-q' THEN 'zzz q' ELSE 'the' END))) ELSE CAST([] AS VARCHAR[]) END AS ms FROM j)
  SELECT qid, ['entity_lookup', 'inject', 'paraphrase'][CAST(qid % 3 + 1 AS INTEGER)] AS class, n AS n_results, CAST(me AS BIGINT) AS n_missing_entities, array_to_string(ms, ',') AS missing_substrings, CASE WHEN qid % 3 = 1 THEN n = 0 ELSE me = 0 AND len(ms) = 0 END AS passed FROM x""",
     "s14_query_check": "SELECT CASE WHEN min(CASE WHEN text IS NULL OR item_id % 7 = 5 THEN item_id END) IS NULL THEN 'ok' ELSE 'error' END AS status, count(*) AS queries, CAST(min(CASE WHEN text IS NULL OR item_id % 7 = 5 THEN item_id END) AS BIGINT) AS first_without_text FROM benchmark",
+    "s13_query_set": "SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 7 <> 5 THEN text END AS text, CASE WHEN item_id % 3 <> 0 THEN 'c' || (item_id % 3) END AS class, 'd' || item_id || ',d0' AS expected_ids FROM benchmark",
     "s15_alert_log": "SELECT event_id AS id, 'error' AS category, props FROM events WHERE event_type = 'error'",
     "s16_facts_with_vectors": "SELECT 'd' || doc_id AS id, vec_id IS NOT NULL AND vec_id % 5 <> 0 AS usable FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
 }

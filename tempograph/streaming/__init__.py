@@ -7,7 +7,6 @@ Spark sorts and spills what a task streams through, and a replayed batch writes
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,10 +104,11 @@ def suppressed_alerts(alerts: DataFrame, path: str, seconds: int = SUPPRESS_SECO
         for batch in batches:
             names, at, last = batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
             keep, i, n = [], 0, len(names)
+            ends = np.append(np.flatnonzero([a != b for a, b in zip(names, names[1:])]) + 1, n)  # of runs of one category
             while i < n:
                 if names[i] != category or free is None:
                     category, free = names[i], at[i] if last[i] is None else last[i] + micros
-                end = bisect.bisect_right(names, category, i)
+                end = int(ends[np.searchsorted(ends, i, "right")])
                 i += int(np.searchsorted(at[i:end], free))
                 if i < end:
                     keep.append(i)
@@ -119,7 +119,7 @@ def suppressed_alerts(alerts: DataFrame, path: str, seconds: int = SUPPRESS_SECO
     def one(batch: DataFrame, number: int) -> None:
         sent = _written_before(spark, f"{path}/sent", number, StructType([alerts.schema["category"], StructField("last", LongType())]))
         last = sent.groupBy("category").agg(F.max("last").alias("last"))
-        rows = batch.select("id", "category", "at").hint("merge").join(last, "category", "left").select("id", "category", "at", "last")
+        rows = batch.select("id", "category", "at").hint("merge").join(last.withColumnRenamed("category", "_c"), F.col("category").eqNullSafe(F.col("_c")), "left").select("id", "category", "at", "last")
         ordered = rows.repartition("category").sortWithinPartitions("category", "at", "id")
         out = ordered.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items()))
         out.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
