@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, dealt, mix, squeeze, unpacked, unsqueeze, utf8, word_hashes
+from .common import block_count, dealt, give_back, mix, squeeze, tidy, unpacked, unsqueeze, utf8, word_hashes
 
 BLOCK_CHARS = 5 << 20
 #: The special string, and the pattern of the byte-level pre-tokenizer with its spaces spelt out.
@@ -40,6 +40,14 @@ _S = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
+def _tidied(f, *tables: pa.Table) -> pa.Table:
+    """A group function that gives memory back after each group."""
+    try:
+        return f(*tables)
+    finally:
+        give_back()
+
+
 def _splitter():
     import regex
 
@@ -195,10 +203,10 @@ def _encode(docs: DataFrame, tokenizer_path: str, block_chars: int, decoded: boo
         return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(out, pa.binary()), **more})
 
     blocked = dealt(docs, n)
-    words = blocked.groupBy("block").applyInArrow(list_words, "part int, block int, words binary, sizes binary")
-    encoded = words.groupBy("part").applyInArrow(encode_words, "block int, part int, counts binary, ids binary")
+    words = blocked.groupBy("block").applyInArrow(lambda rows: _tidied(list_words, rows), "part int, block int, words binary, sizes binary")
+    encoded = words.groupBy("part").applyInArrow(lambda rows: _tidied(encode_words, rows), "block int, part int, counts binary, ids binary")
     fields = f"doc_id {id_type}, n_tokens long, ids binary" + ", decoded string" * decoded
-    return blocked.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join_ids, fields)
+    return blocked.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(lambda left, right: _tidied(join_ids, left, right), fields)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -242,7 +250,7 @@ def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*keep, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
-    return tokens.mapInArrow(run, f"{fields}, decoded string")
+    return tokens.mapInArrow(tidy(run), f"{fields}, decoded string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ treat every byte from 0x80 up as a word byte, so a multi-byte character is never
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -37,6 +39,25 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Return what this Python worker no longer needs to the system: idle workers keep it otherwise, and an executor has many."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A function over batches that gives memory back when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,7 +107,7 @@ def dealt(docs: DataFrame, n: int) -> DataFrame:
             packs = [(int(block[order[a]]), _pack(rows.take(pa.array(order[a:b])))) for a, b in zip(cut[:-1], cut[1:])]
             yield pa.record_batch([pa.array([x for x, _ in packs], pa.int32()), pa.array([x for _, x in packs], pa.binary())], ["block", "pack"])
 
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(run, "block int, pack binary")
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").mapInArrow(tidy(run), "block int, pack binary")
 
 
 def unpacked(rows: pa.Table) -> pa.Table:
@@ -129,7 +150,7 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.record_batch(batch.columns[3:], keep).filter(pa.array(ok))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(slot(0).alias("_b0"), slot(1).alias("_b1"), slot(2).alias("_b2"), *keep).mapInArrow(run, fields)
+    return docs.select(slot(0).alias("_b0"), slot(1).alias("_b1"), slot(2).alias("_b2"), *keep).mapInArrow(tidy(run), fields)
 
 
 def squeeze(a: np.ndarray) -> bytes:

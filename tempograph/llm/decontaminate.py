@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_CLASS, BLOOM_BITS, LOWER, bloom, doc_numbers, in_bloom, shingles, steps, stored, utf8, word_hashes, words_of
+from .common import ALNUM_CLASS, BLOOM_BITS, LOWER, bloom, doc_numbers, in_bloom, shingles, steps, stored, tidy, utf8, word_hashes, words_of
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
@@ -55,7 +55,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW_WORDS) -> DataFrame
             yield pa.record_batch([pa.array(out_id, batch.column(0).type), pa.array(out_w, pa.string()), pa.array(out_n, pa.int32())], ["item_id", "words", "n"])
 
     items = items.select("item_id", "text")
-    return items.mapInArrow(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, words string, n int")
+    return items.mapInArrow(tidy(run), f"item_id {items.schema['item_id'].dataType.simpleString()}, words string, n int")
 
 
 def window_shingles(windows: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def window_shingles(windows: DataFrame) -> DataFrame:
                 i = np.flatnonzero((np.minimum(n, SHINGLE_WORDS)[owner] == q) & (at + q <= n[owner]))
                 yield pa.record_batch([batch.column(0).take(pa.array(owner[i])), pa.array(np.full(len(i), q, np.int32)), pa.array(_named(shingles(h, q), q)[i].view(np.int64)), pa.array(at[i].astype(np.int32))], ["wid", "q", "h", "at"])
 
-    return windows.select("wid", "words").mapInArrow(run, "wid long, q int, h long, at int")
+    return windows.select("wid", "words").mapInArrow(tidy(run), "wid long, q int, h long, at int")
 
 
 def _named(h: np.ndarray, q: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def rarity(docs: DataFrame, keys: DataFrame, lengths: list[int]) -> DataFrame:
                     u, n = np.unique(key, return_counts=True)
                     yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return counted.hint("merge").join(keys, "h", "left_semi")
 
 
@@ -157,7 +157,7 @@ def find_windows(docs: DataFrame, windows: DataFrame, window: int = WINDOW_WORDS
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n_words), pa.array(found, pa.list_(place))], ["doc_id", "text_hash", "n_words", "places"])
 
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_words long, places array<struct<h:long,pos:int,lead:int,around:array<string>>>"
-    probed = stored(docs.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()), "probed")
+    probed = stored(docs.mapInArrow(tidy(run), fields).withColumn("row", F.monotonically_increasing_id()), "probed")
     flat = probed.filter(F.size("places") > 0).select("row", "n_words", F.explode("places").alias("x")).select("row", "n_words", "x.*")
     if lead.count() <= broadcast_prefixes:
         met = flat.join(F.broadcast(lead), "h")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, likely, mix, numbered, shingles, steps, stored, utf8, word_hashes, words_of
+from .common import LOWER, SPACE_CLASS, likely, mix, numbered, shingles, steps, stored, tidy, utf8, word_hashes, words_of
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -135,7 +135,7 @@ def set_table(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int =
                     np.bitwise_xor.at(words[row], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
             yield pa.record_batch([batch.column(0), pa.array(size), pa.array(prints, pa.binary()), pa.array(spare[0]), pa.array(spare[1]), *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in words.T)], ["doc_id", "n_shingles", "fingerprint", "spare0", "spare1", *names])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, fingerprint binary, spare0 int, spare1 int, " + ", ".join(f"{x} long" for x in names))
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, fingerprint binary, spare0 int, spare1 int, " + ", ".join(f"{x} long" for x in names))
 
 
 def cell_rows(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE) -> DataFrame:
@@ -174,7 +174,7 @@ def cell_rows(docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int =
         key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
         return pa.record_batch([pa.array(key), batch.column(0).take(pa.array(at))], ["key", "doc_id"])
 
-    return docs.mapInArrow(run, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    return docs.mapInArrow(tidy(run), f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
 
 
 def group_pairs(rows: DataFrame, small: int = SMALL) -> DataFrame:
@@ -231,7 +231,7 @@ def group_pairs(rows: DataFrame, small: int = SMALL) -> DataFrame:
             yield pa.record_batch([pa.array(out_k, pa.int64()), pa.array(out_a, batch.column(1).type), pa.array(out_b, batch.column(1).type)], ["key", "a", "b"])
 
     together = rows.withColumn("g", F.shiftright("key", 1)).repartition("g").sortWithinPartitions("key", "doc_id").select("key", "doc_id")
-    return together.mapInArrow(run, f"key long, a {id_type}, b {id_type}")
+    return together.mapInArrow(tidy(run), f"key long, a {id_type}, b {id_type}")
 
 
 def _may_link(a: str, b: str, t_num: int, t_den: int) -> Column:
@@ -261,7 +261,7 @@ def pass_long_sketch(pairs: DataFrame, docs: DataFrame, t_num: int = T_NUM, t_de
                     rows.append(row), size.append(len(h)), out.append(np.packbits(flags).tobytes())
             yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(size, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "sketch"])
 
-    sketches = likely(docs.select("doc_id", "text"), _ends(pairs)).mapInArrow(sketch, f"doc_id {id_type}, n long, sketch binary")
+    sketches = likely(docs.select("doc_id", "text"), _ends(pairs)).mapInArrow(tidy(sketch), f"doc_id {id_type}, n long, sketch binary")
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "na", "nb", "sa", "sb")
 
@@ -279,7 +279,7 @@ def pass_long_sketch(pairs: DataFrame, docs: DataFrame, t_num: int = T_NUM, t_de
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(compare, f"a {id_type}, b {id_type}")
+    return both.mapInArrow(tidy(compare), f"a {id_type}, b {id_type}")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, t_num: int = T_NUM, t_den: int = T_DEN, n: int = SHINGLE) -> DataFrame:
@@ -303,7 +303,7 @@ def verify(pairs: DataFrame, docs: DataFrame, t_num: int = T_NUM, t_den: int = T
                     keep.append(row)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("a", "b", "text_b", "text_a").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return both.select("a", "b", "text_b", "text_a").mapInArrow(tidy(run), f"a {id_type}, b {id_type}")
 
 
 def components(links: DataFrame) -> DataFrame:

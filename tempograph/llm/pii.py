@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -176,7 +176,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(("kind", "start", "end", "instance", "patterns", "run", "choice"), x)) for x in _mentions(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(rows, kind)], ["doc_id", "text_hash", "found"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>,run:int,choice:int>>")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>,run:int,choice:int>>")
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS, min_pattern: float = MIN_PATTERN) -> DataFrame:

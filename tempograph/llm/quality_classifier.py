@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, doc_numbers, mix, shingles, steps, utf8, word_hashes, words_of
+from .common import LOWER, SPACE_CLASS, doc_numbers, mix, shingles, steps, tidy, utf8, word_hashes, words_of
 
 BITS = 18
 MAX_TRAIN = 8_000
@@ -123,7 +123,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep_from: float = KEEP_FROM, ke
             yield pa.record_batch([*batch.columns[1:], pa.array(np.round(p, 6))], [*keep, "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{fields}, score double").withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
+    return docs.mapInArrow(tidy(run), f"{fields}, score double").withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
 
 
 def fold(column="doc_id"):
