@@ -203,23 +203,23 @@ def whole(parts: DataFrame, joined: int = JOINED) -> DataFrame:
             yield from _piece_rows(conv, [row]).to_batches()
 
         for batch in batches:
-            for r in range(batch.num_rows):
-                name = batch.column(0)[r].as_py(), batch.column(6)[r].as_py()
-                if held and name != key:
+            for r, (name, piece, paths, *ends, block) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if held and (name, block) != key:
                     yield from joined_up()
                     held = []
-                key, conv = name, batch.column(0).slice(r, 1)
-                held.append((batch.column(1)[r].as_py(), [tuple(p.values()) for p in batch.column(2)[r].as_py()], *(batch.column(i)[r].as_py() for i in (3, 4, 5))))
+                key, conv = (name, block), batch.column(0).slice(r, 1)
+                held.append((piece, [tuple(p.values()) for p in paths], *ends))
         if held:
             yield from joined_up()
 
     while True:
-        many = parts.groupBy("conv_id").count().filter("count > 1")
-        if many.isEmpty():
+        if parts.groupBy("conv_id").count().filter("count > 1").isEmpty():
             return parts
-        block = F.floor((F.row_number().over(Window.partitionBy("conv_id").orderBy("piece")) - 1) / joined).alias("block")
-        dealt = parts.select(*_PIECE_COLUMNS, block).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "piece")
-        parts = stored(dealt.mapInArrow(run, parts.schema), "pieces")
+        mine = Window.partitionBy("conv_id")
+        place = F.floor((F.row_number().over(mine.orderBy("piece")) - 1) / joined)
+        numbered = stored(parts.select(*_PIECE_COLUMNS, place.alias("block"), (F.count("*").over(mine) == 1).alias("_whole")), "pieces")
+        dealt = numbered.filter("not _whole").drop("_whole").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "piece")
+        parts = stored(numbered.filter("_whole").select(*_PIECE_COLUMNS).unionByName(dealt.mapInArrow(run, parts.schema)), "pieces")
 
 
 def audits(parts: DataFrame) -> DataFrame:
