@@ -72,7 +72,7 @@ class StateStore:
         at: Column = F.pmod(F.xxhash64(*(c for c in KEY if c != "namespace")), F.lit(self.buckets)).cast("int")
         self._put(facts.withColumn("bucket", at), "log", batch)
         # What was written is read back by its own columns: a folder's name alone doesn't tell the type of a namespace.
-        columns = [c for c in facts.columns]
+        columns = facts.columns
         schema = facts.withColumn("bucket", at).schema
         new = self.spark.read.schema(schema).parquet(f"{self.path}/log/batch={batch}")
         touched = written(new.select(*_PLACE).distinct())
