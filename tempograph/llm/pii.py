@@ -5,13 +5,14 @@ other identifier-like string (one with an "@" or at least `MIN_DIGITS` digits),
 give lexical patterns, from exact to coarse: two words before; one before and one after; one before, or one after, with the string's shape; the shape between
 the kinds of its neighbours. Of a word the nearest 32 characters count, and words more than 200 characters away don't.
 A run of digits is cut where a seed lies in it. What is left is offered whole, and if spaces part complete groups (each of
-enough digits, or in a shape that recurs) also in pieces; pieces have the whole run's patterns besides their own, and count neither for nor
+at least `MIN_PIECE` digits, or in a shape that recurs) also in pieces; pieces have the whole run's patterns besides their own, and count neither for nor
 against a pattern. Of a run and its pieces the pieces become spans if they make it up, else the run, else what pieces were found.
 Spark holds the graph of patterns and instances and scores it in rounds: a pattern is as good as the share
 of its instances that are known to be of a kind, and speaks for that kind from `MIN_PATTERN` on, so one that goes with a kind half of the time says nothing
 however often it occurs; an instance is as good as its patterns together.
 Instances that reach `MIN_SCORE` through patterns with `MIN_SEEDS` distinct seeds become spans of that kind.
-Edges and scores are aggregated before each join, so a frequent pattern or instance is one row for each pair.
+Edges and scores are aggregated before each join, so a frequent pattern or instance is one row for each pair; joins are salted, so the
+edges of a hot pattern, of a hot instance and the places of a hot identifier are read by `SALTS` tasks.
 
 Defined results: null and empty texts have no spans; every row, repeated ones and those of null doc_id too, is a row of the result with the spans of its own text;
 fixed spans always stay, found ones never overlap them or each other; offsets are code points; an instance that is a seed of two kinds
@@ -30,7 +31,9 @@ from .common import stored, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-MIN_DIGITS = 7
+MIN_DIGITS = 4
+MIN_PIECE = 7
+SALTS = 16
 MIN_PATTERN = 0.7
 MIN_SCORE = 0.85
 MIN_SEEDS = 3
@@ -118,7 +121,7 @@ def _pieces(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], boo
     digits = [len(_NOT_DIGIT.sub("", text[a:b])) for a, b in words]
     if len(words) < 2:
         return [], False
-    if min(digits) >= MIN_DIGITS:
+    if min(digits) >= MIN_PIECE:
         return words, True
     shapes = [_DIGIT.sub("9", text[a:b]) for a, b in words]
     back = [0]  # of each prefix: its longest border (Knuth, Morris and Pratt); the last one gives the period
@@ -128,9 +131,9 @@ def _pieces(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], boo
             k = back[k - 1]
         back.append(k + (shapes[i] == shapes[k]))
     p = len(shapes) - back[-1]
-    if p < len(shapes) and len(shapes) % p == 0 and sum(digits[:p]) >= MIN_DIGITS:
+    if p < len(shapes) and len(shapes) % p == 0 and sum(digits[:p]) >= MIN_PIECE:
         return [(words[i][0], words[i + p - 1][1]) for i in range(0, len(words), p)], True
-    return [w for w, n in zip(words, digits) if n >= MIN_DIGITS], False
+    return [w for w, n in zip(words, digits) if n >= MIN_PIECE], False
 
 
 def _mentions(text: str):
@@ -179,6 +182,12 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, found array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>,run:int,choice:int>>")
 
 
+def _salted(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Join with a table of one row for each key, or one for each key and kind: rows of a key are spread by `by` over SALTS parts, those of `few` go to each."""
+    spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).hint("merge").join(spread, [key, "salt"]).drop("salt")
+
+
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS, min_pattern: float = MIN_PATTERN) -> DataFrame:
     """(instance, kind, score): seeds' instances, and unseen ones that high-confidence patterns vouch for."""
     flat = found.select(F.explode("found").alias("m")).select("m.kind", "m.instance", "m.patterns", (F.col("m.choice") != 1).alias("piece"))
@@ -187,9 +196,9 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCO
     known = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):
         total = edges.filter("not piece").groupBy("pattern").agg(F.count("*").alias("n"))
-        backed = edges.filter("not piece").select("pattern", "instance").hint("merge").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
+        backed = _salted(edges.filter("not piece").select("pattern", "instance"), known, "instance", "pattern").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
         pattern = backed.filter(F.col("k") >= min_seeds).hint("merge").join(total, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("s") / (F.col("n") + 0.25)).alias("p")).filter(F.col("p") >= min_pattern)
-        unseen = edges.filter("kind is null").select("pattern", "instance").hint("merge").join(pattern, "pattern")
+        unseen = _salted(edges.filter("kind is null").select("pattern", "instance"), pattern, "pattern", "instance")
         scored = unseen.groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("score"))
         best = scored.groupBy("instance").agg(F.max_by("as", F.struct("score", "as")).alias("kind"), F.max("score").alias("score")).filter(F.col("score") >= min_score)
         known = stored(edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)).unionByName(best), "known")
@@ -216,7 +225,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     new = bootstrap(found, rounds)
     rank = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int").alias("k")
     flat = found.filter(F.exists("found", lambda m: m["kind"].isNull())).select("row", F.explode("found").alias("m")).filter("m.kind is null").select("row", "m.start", "m.end", "m.instance", "m.run", "m.choice")
-    more = flat.hint("merge").join(new.select("instance", "kind"), "instance")
+    more = _salted(flat, new.select("instance", "kind"), "instance", "row")
     more = more.withColumn("_least", F.min("choice").over(Window.partitionBy("row", "run"))).filter("choice = _least")
     extra = more.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(rank, "start", "end"))).alias("extra"))
     base = F.array_sort(F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: F.struct((F.array_position(F.array(*map(F.lit, KINDS)), m["kind"]) - 1).cast("int").alias("k"), m["start"].alias("start"), m["end"].alias("end"))))

@@ -1,8 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens are words and their first 4, 5 and 6 bytes, so an inflected form is known by its stem; a word scores as the
-mean of its tokens. Token scores are log-odds between toxic and other labelled texts, positive and negative ones alike: on each side
-the count plus PRIOR over its expected value plus PRIOR, so the prior grows with the tokens and has the pooled distribution's shape.
+mean of its tokens. Token scores are log-odds between toxic and other labelled texts, positive and negative ones alike: the log-ratio of the
+posterior means of the token's share on each side. For a token of pooled share q a side has the Dirichlet prior of "this token" and "any other"
+with base (q, 1 - q) and mass PRIOR / q, worth PRIOR counts of the token however frequent it is: (t + PRIOR) / (N + PRIOR / q), which is q times
+(t + PRIOR) / (q * N + PRIOR).
 A token counts once for each distinct text, so repeats and exact copies add no evidence; for the same reason a word that
 occurs among the NEAR words before it can't add to a segment. An offset makes the mean score of a text that isn't toxic negative.
 A linear scan (Ruzzo and Tompa) finds all disjoint maximal segments of a document; those
@@ -67,7 +69,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def log_odds(c: np.ndarray, t: np.ndarray, nc: float, nt: float) -> np.ndarray:
-    """Log-odds of tokens seen in `c` clean and `t` toxic texts, of all `nc` and `nt` tokens."""
+    """Log-odds of tokens seen in `c` clean and `t` toxic texts, of all `nc` and `nt` tokens: both posterior means divided by the pooled share."""
     n = (c + t) / (nc + nt)
     return np.log((t + PRIOR) / (n * nt + PRIOR)) - np.log((c + PRIOR) / (n * nc + PRIOR))
 

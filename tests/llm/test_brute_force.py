@@ -50,6 +50,67 @@ def test_hidden_seeds_come_back(spark):
     assert got["phone"].hidden >= 10 and got["phone"].found_right == got["phone"].hidden and got["phone"].others == 0
 
 
+def test_short_identifiers_by_context(spark):
+    """Numbers of four to six digits where mostly others that are certain stand."""
+    r = random.Random(7)
+    rows = [(i, f"please dial extension {f'+1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}' if i % 8 else r.randint(1000, 999999)} for help with item {i}") for i in range(80)]
+    rows.append((99, "it was built in 1987 by 4500 people"))
+    got = {x.doc_id: [(s.start, s.end, s.k) for s in x.spans] for x in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:-1]:
+        assert got[i] == [(22, text.index(" for"), pii.KINDS.index("phone"))]
+    assert got[99] == []
+
+
+def plain_bootstrap(found: list) -> dict[str, tuple[str, float]]:
+    """Scores of instances with dictionaries, in rounds; for tests."""
+    edges = {}
+    for m in found:
+        for p in m.patterns:
+            kind, piece = edges.get((p, m.instance), (None, True))
+            edges[p, m.instance] = max(filter(None, (kind, m.kind)), default=None), piece and m.choice != 1
+    seeds = {i: {k} for (_, i), (k, _) in edges.items() if k}
+    for (_, i), (k, _) in edges.items():
+        seeds.get(i, set()).update({k} if k else ())
+    known = {(i, k): 1.0 for i, ks in seeds.items() for k in ks}
+    for _ in range(pii.ROUNDS):
+        total, backed = {}, {}
+        for (p, i), (_, piece) in edges.items():
+            if not piece:
+                total[p] = total.get(p, 0) + 1
+                for k in pii.KINDS:
+                    if (i, k) in known:
+                        backed.setdefault((p, k), []).append(known[i, k])
+        share = {(p, k): sum(v) / (total[p] + 0.25) for (p, k), v in backed.items() if len(v) >= pii.MIN_SEEDS}
+        doubt = {}
+        for (p, i), (kind, _) in edges.items():
+            if kind is None:
+                for k in pii.KINDS:
+                    if share.get((p, k), 0) >= pii.MIN_PATTERN:
+                        doubt[i, k] = doubt.get((i, k), 1.0) * (1 - min(share[p, k], 0.999))
+        best = {}
+        for (i, k), d in doubt.items():
+            best[i] = max(best.get(i, (0.0, "")), (1 - d, k))
+        known = {(i, k): 1.0 for i, ks in seeds.items() for k in ks} | {(i, k): s for i, (s, k) in best.items() if s >= pii.MIN_SCORE}
+    out = {}
+    for (i, k), s in known.items():
+        out[i] = max(out.get(i, (0.0, "")), (s, k))
+    return {i: (k, s) for i, (s, k) in out.items() if s >= pii.MIN_SCORE}
+
+
+@pytest.mark.parametrize("table", ["documents", "made"])
+def test_graph_scores(spark, table):
+    """Over a whole table, and over texts in which contexts recur, kinds mix and runs have pieces."""
+    r = random.Random(11)
+    number = lambda: r.choice([f"+1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}", f"{r.randint(10**3, 10**9)}", f"10.0.{r.randint(0, 255)}.{r.randint(0, 255)}", f"{r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)} {r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"])
+    rows = [(i, f"{r.choice(['call', 'host', 'id', 'ref no'])} {number()} {r.choice(['now', 'today', 'or else'])} {number()}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string") if table == "made" else spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.mentions(docs)
+    want = plain_bootstrap([m for x in found.collect() for m in x.found])
+    got = {x.instance: (x.kind, x.score) for x in pii.bootstrap(found).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: k for i, (k, _) in want.items()}
+    assert all(abs(s - want[i][1]) < 1e-9 for i, (_, s) in got.items())
+
+
 def test_settled_rows_are_those_of_later_documents():
     r = np.random.default_rng(1)
     key, doc = r.integers(0, 5, 200).astype(np.uint64), r.integers(0, 9, 200)
