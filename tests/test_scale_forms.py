@@ -55,6 +55,31 @@ def test_a_star_is_dealt_in_blocks(spark):
     assert ids(graph.expand(f, starts, 2, 60), "seed", "id", "hop") == want and len(want) == 2 + 501 - 1 + 500
 
 
+def test_what_seeds_reach_is_a_row_for_each_group(spark):
+    """70 leaves of one hub fill two groups of 64 seeds, and each entity has a row for each of them and hop, not one for each seed; against a plain search."""
+    r = random.Random(4)
+    pairs = [(f"leaf{i}", "hub") for i in range(70)] + [(f"n{r.randint(0, 30)}", f"n{r.randint(0, 30)}") for _ in range(40)] + [("leaf1", "n1"), ("n2", "n2"), ("hub", None)] + 2 * [("leaf2", "n3")]
+    f = spark.createDataFrame([(a, "in", b) for a, b in pairs], "subject_id string, predicate string, object_id string")
+    seeds = [f"leaf{i}" for i in range(70)] + ["n1", "far"]
+    got = graph.reach(f, spark.createDataFrame([(s, s) for s in seeds], "seed string, id string"), 3, 60)
+    near = {}
+    for a, b in pairs:
+        if b is not None:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want, layers = [], set()
+    for s in seeds:
+        seen, front = {s: 0}, {s}
+        for hop in (1, 2, 3):
+            front = {b for a in front for b in near.get(a, ())} - set(seen)
+            seen |= dict.fromkeys(front, hop)
+        want += [(s, i, h) for i, h in seen.items()]
+    assert ids(got.rows(), "seed", "id", "hop") == sorted(want)
+    assert got.layers.filter("id = 'leaf5' and hop = 2").count() == 2 and len([w for w in want if w[1:] == ("leaf5", 2)]) == 69
+    whole = {(s, i) for s, i, _ in want}
+    between = sorted((s, a, b) for s in seeds for a, b in pairs if (s, a) in whole and (s, b) in whole)
+    assert ids(graph.connecting_facts(f, got), "seed", "subject_id", "object_id") == between
+
+
 def test_drafts_in_chunks(spark, monkeypatch):
     s = spark.range(50).select(F.lit("u").alias("subject_id"), F.concat(F.lit("s"), "id").alias("statement"), F.timestamp_seconds(F.col("id") % 7).alias("recorded_at"), F.col("id").alias("seq"), F.lit("active").alias("epistemic_state"))
     want = ids(consolidation.draft_models(s), "summary", "n_statements")
