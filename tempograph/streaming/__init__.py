@@ -165,8 +165,9 @@ def state_changes(facts: DataFrame, path: str) -> DataFrame:
 
 def pending_cache(content: DataFrame, done: DataFrame, path: str, ttl_seconds: int = 300, newest: int = 1_000) -> DataFrame:
     """(id, content, queued_at) of what still waits after a stream of content (id, content, queued_at) and of ingested ids `done` (id, at): the newest `newest` of the last `ttl_seconds` before the
-    latest time that either has. Each micro-batch takes the few rows kept before, adds its own, drops what was ingested or has expired, and keeps the newest, found by a top-k over all
-    tasks. The state is those rows and, for as long as content of their age could still wait, the ids ingested."""
+    latest time that either has. Each micro-batch takes the rows kept before, adds its own, and drops what was ingested or has expired; all others are kept, as those among the newest may
+    yet be ingested and make room. The newest are taken at the end, by a top-k over all tasks. The state is content that waits and, for as long as content of their age could still wait,
+    the ids ingested."""
     spark = content.sparkSession
     queued = content.select("id", "content", F.col("queued_at").alias("at"), F.lit(False).alias("gone"))
     left = done.select("id", F.lit(None).cast("string").alias("content"), "at", F.lit(True).alias("gone"))
@@ -180,13 +181,13 @@ def pending_cache(content: DataFrame, done: DataFrame, path: str, ttl_seconds: i
         live = every.crossJoin(F.broadcast(now)).filter(F.col("at") > F.col("_now") - F.make_dt_interval(secs=F.lit(ttl_seconds))).drop("_now")
         ids = live.filter("gone").groupBy("id").agg(F.max("at").alias("at"))
         waits = live.filter("not gone").hint("merge").join(ids.select("id"), "id", "left_anti")
-        first = waits.groupBy("id").agg(F.max(F.struct("at", "content")).alias("x")).select("id", "x.content", "x.at", F.lit(False).alias("gone")).orderBy(F.desc("at"), "id").limit(newest)
+        first = waits.groupBy("id").agg(F.max(F.struct("at", "content")).alias("x")).select("id", "x.content", "x.at", F.lit(False).alias("gone"))
         first.unionByName(ids.select("id", F.lit(None).cast("string").alias("content"), "at", F.lit(True).alias("gone"))).write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
         spark.createDataFrame([(number,)], "last long").coalesce(1).write.mode("overwrite").parquet(f"{path}/last")
 
     both.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{path}/last").first()[0]
-    return spark.read.schema(schema).parquet(f"{path}/kept/batch={last}").filter("not gone").select("id", "content", F.col("at").alias("queued_at"))
+    return spark.read.schema(schema).parquet(f"{path}/kept/batch={last}").filter("not gone").orderBy(F.desc("at"), "id").limit(newest).select("id", "content", F.col("at").alias("queued_at"))
 
 
 def migrate(sessions: DataFrame, messages: DataFrame, path: str, max_batches: int | None = None) -> DataFrame:

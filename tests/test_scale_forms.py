@@ -158,6 +158,14 @@ def test_pending_content_expires_and_is_removed(spark, tmp_path):
     assert ids(few, "id") == [("e",)]
 
 
+def test_pending_content_makes_room_when_newer_is_ingested_later(spark, tmp_path):
+    """b was beyond the newest one until c was ingested, a batch later."""
+    at = lambda s: __import__("datetime").datetime.fromtimestamp(1_700_000_000 + s)
+    waits = stream_of(spark, tmp_path / "w", "id string, content string, queued_at timestamp", [("b", "x", at(1)), ("c", "x", at(2))], [("a", "x", at(0))])
+    done = stream_of(spark, tmp_path / "d", "id string, at timestamp", [("z", at(3))], [("c", at(3))])
+    assert ids(X.pending_cache(waits, done, str(tmp_path / "s"), 300, 1), "id") == [("b",)]
+
+
 def test_a_stopped_migration_goes_on(spark, tmp_path):
     m = spark.range(60).select((F.col("id") % 12).alias("session_id"), F.col("id").alias("timestamp"), F.lit("user").alias("role"), F.lit("hi").alias("content"), F.lit("").alias("tool_name"))
     rows = [[(s, 0, 5, 0) for s in part] for part in ((0, 1, 2, 3), (4, 5, 6, 7, 0), (8, 9, 10, 11))]
