@@ -204,3 +204,36 @@ def test_rarest_pieces_make_fewer_candidates(spark):
     needles = texts.filter("id < 10").select(F.lower("name").alias("_needle"))
     assert retrieval.candidates(texts, "name", needles).count() < 400 * 10 / 4  # by the first three letters all of them
     assert retrieval.containing(texts, "name", needles.withColumnRenamed("_needle", "needle"), "needle").count() == 10
+
+
+def test_pieces_of_texts_are_not_written(spark, monkeypatch):
+    """A piece of all texts and the texts that hold it are never rows of one key: what is written are the needles' pieces, and the same is found when there are many."""
+    texts = spark.range(300).select("id", F.concat(F.lit("Größe#"), F.format_string("%05d", F.col("id") * 37 % 1000)).alias("name"))
+    needles = spark.createDataFrame([("größe#0",), ("e#00",), ("99",), ("#",), ("none",)], "needle string")
+    rows = []
+    monkeypatch.setattr(retrieval, "written", lambda df: (rows.append(df.count()), df)[1])
+    want = ids(retrieval.containing(texts, "name", needles, "needle"), "needle", "id")
+    assert max(rows) <= 20, rows
+    assert want == sorted((n.needle, t.id) for n in needles.collect() for t in texts.collect() if n.needle in t.name.lower())
+    monkeypatch.setattr(retrieval, "BROADCAST_GRAMS", 0)
+    assert ids(retrieval.containing(texts, "name", needles, "needle"), "needle", "id") == want
+
+
+def test_a_word_of_many_queries_has_its_facts_once(spark):
+    facts_ = spark.createDataFrame([(f"f{i:03}", f"e{i}", "hub" if i % 2 else f"e{i + 1}") for i in range(200)], "id string, subject_id string, object_id string")
+    names = spark.createDataFrame([(f"e{i}", f"thing {i}") for i in range(201)] + [("hub", "hub thing")], "id string, name string")
+    asked = spark.createDataFrame([(q, f"hub thing {q}") for q in range(150, 170)], "qid int, text string")
+    got = retrieval.graph_search(asked, facts_, names)
+    top = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "dense_rank" in line]
+    assert top and not any("qid" in line for line in top), top
+    by_q = {}
+    for q, i, rank in ids(got, "qid", "id", "rank"):
+        by_q.setdefault(q, []).append((rank, i))
+    plain = {}
+    for q in range(150, 170):
+        seen = []
+        for word in ("hub", "thing", str(q)):
+            of = {e for e, n in [(f"e{i}", f"thing {i}") for i in range(201)] + [("hub", "hub thing")] if word in n}
+            seen += [x for x in sorted(f"f{i:03}" for i in range(200) if f"e{i}" in of or ("hub" if i % 2 else f"e{i + 1}") in of)[:5] if x not in seen]
+        plain[q] = seen[:20]
+    assert {q: [i for _, i in sorted(v)] for q, v in by_q.items()} == plain
