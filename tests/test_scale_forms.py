@@ -237,3 +237,17 @@ def test_a_word_of_many_queries_has_its_facts_once(spark):
             seen += [x for x in sorted(f"f{i:03}" for i in range(200) if f"e{i}" in of or ("hub" if i % 2 else f"e{i + 1}") in of)[:5] if x not in seen]
         plain[q] = seen[:20]
     assert {q: [i for _, i in sorted(v)] for q, v in by_q.items()} == plain
+
+
+def test_injected_facts_are_not_grouped_by_turn(spark):
+    """70 turns name one place of 30 facts: the first source counts, and the pairs of turn and fact are only made at the end."""
+    facts_ = spark.createDataFrame([(f"f{i}", "hub" if i < 20 else f"e{i}", "hub" if i >= 10 else "x", "active" if i % 7 else "superseded") for i in range(30)], "id string, subject_id string, object_id string, epistemic_state string")
+    entities = spark.createDataFrame([("hub", "Hub"), ("x", "X")], "id string, name string")
+    none = spark.createDataFrame([], "norm string, entity_id string")
+    names = spark.createDataFrame([(q, "Hub") for q in range(70)] + [(3, "X")], "qid int, name string")
+    turns = spark.createDataFrame([(q, "nothing known") for q in range(71)], "qid int, text string")
+    texts = spark.createDataFrame([("f0", "other words")], "id string, statement string")
+    got = retrieval.name_injection(turns, names, entities, none, facts_, texts)
+    assert not [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [qid#" in line and ", id#" in line.split("]")[0]]
+    want = [(q, f"f{i}", 0 if i < 20 else 2) for q in range(70) for i in range(30) if i % 7]
+    assert ids(got, "qid", "id", "source") == sorted(want)
