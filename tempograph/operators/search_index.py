@@ -14,6 +14,9 @@ BLOCK queries that asks, never pairs of query and document:
 3. only shards whose bound reaches the threshold are searched at all. In a shard, terms are added from the strongest on, until those left together can't
    lift a document over the threshold; the rest is looked up for the few documents that they can lift.
 
+Queries that differ only by rare terms (in at most SHARD documents) are asked once without them, and each for itself only of the documents that have its rare terms, so work
+grows with their postings, not with queries times shards.
+
 The best k of a shard are its rows, so k rows for each query and shard searched are left, and `report` counts pairs that were scored. The result is that
 of scoring every document. Which documents a query may find is decided in the shard, before thresholds are taken.
 """
@@ -162,7 +165,7 @@ class _Shard:
             self.terms[name] = top[i], at, idf[i] * saturation(tf[ends[i] : ends[i + 1]].astype(float), docs["len"][at], average[i])
 
     def best(self, asked: dict) -> tuple[list[tuple], int]:
-        """(id, score) of the best k for a query, and how many weights were added."""
+        """(id, score, prefer) of the best k for a query, and how many weights were added; with `rare` terms only of documents that have one of them."""
         n = len(self.docs["len"])
         may = self.docs["known"] if "known" in self.docs else np.ones(n, bool)
         if self.may is not None:
@@ -170,16 +173,23 @@ class _Shard:
         found = sorted((self.terms[t] for t in set(asked["terms"]) if t in self.terms), key=lambda x: -x[0])
         left = np.cumsum([x[0] for x in found][::-1])[::-1].tolist() + [0.0]
         score, least, added, at = np.zeros(n), asked["least"], 0, 0
-        for at, (_, places, weight) in enumerate(found):
-            if left[at] < least - _SLACK:
-                break
-            score[places] += weight
-            added += len(places)
-            if may.sum() >= self.k:
-                least = max(least, np.partition(score[may], -self.k)[-self.k])
+        if asked["rare"]:
+            has = np.zeros(n, bool)
+            for t in asked["rare"]:
+                if t in self.terms:
+                    has[self.terms[t][1]] = True
+            lifted = np.flatnonzero(may & has)
         else:
-            at = len(found)
-        lifted = np.flatnonzero(may & (score > 0) & (score + left[at] >= least - _SLACK)) if at else np.zeros(0, int)
+            for at, (_, places, weight) in enumerate(found):
+                if left[at] < least - _SLACK:
+                    break
+                score[places] += weight
+                added += len(places)
+                if may.sum() >= self.k:
+                    least = max(least, np.partition(score[may], -self.k)[-self.k])
+            else:
+                at = len(found)
+            lifted = np.flatnonzero(may & (score > 0) & (score + left[at] >= least - _SLACK)) if at else np.zeros(0, int)
         for _, places, weight in found[at:]:
             i = np.minimum(np.searchsorted(places, lifted), len(places) - 1)
             hit = places[i] == lifted
@@ -189,46 +199,50 @@ class _Shard:
         if len(lifted) > self.k:
             edge = np.partition(rounded, -self.k)[-self.k]
             lifted, rounded = lifted[rounded >= edge], rounded[rounded >= edge]
-        rows = sorted(((self.docs["id"][i], s) for i, s in zip(lifted.tolist(), rounded.tolist())), key=lambda x: (-x[1], x[0]))
+        prefer = self.docs["prefer"][lifted].tolist() if "prefer" in self.docs else [0] * len(lifted)
+        rows = sorted(((self.docs["id"][i], s, p) for i, s, p in zip(lifted.tolist(), rounded.tolist(), prefer)), key=lambda x: (-x[1], -x[2], x[0]))
         return rows if self.ties else rows[: self.k], added
 
 
 def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | None = None, may: May | None = None, ties: bool = False) -> Found:
     """The best k statements (qid, id, score) of each query (qid, text), by score, then id; with `ties` all that share the k-th score. Only those in `docs` (id, ...), if it is
-    given. `may` gets its columns as arrays, a null in whole numbers or booleans as 0, and a row of `queries` without its text."""
+    given; of equal scores those of a greater `prefer` (a whole number) come first, if it has that column. `may` gets its columns as arrays, a null in whole numbers or
+    booleans as 0, and a row of `queries` without its text."""
     sizes = index.table("sizes")
     whole = sizes.agg(F.sum("n").alias("_n"), (F.greatest(F.sum("total"), F.lit(1)) / F.greatest(F.sum("n"), F.lit(1))).alias("average"))  # one row
     # A segment's `best` was taken at its own mean length; at a greater one weights grow by no more than the ratio.
     scale = sizes.crossJoin(F.broadcast(whole)).select("segment", "average", F.greatest(F.lit(1.0), F.col("average") / (F.greatest("total", F.lit(1)) / F.greatest("n", F.lit(1)))).alias("_scale"))  # a row a segment
-    blocks = max(1, -(-queries.count() // BLOCK))
-    asked = written(queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("terms", F.array_distinct(terms("text"))))
-    words = written(asked.select("qid", "block", F.explode("terms").alias("term")).withColumn("bucket", index.bucket()))
-    wanted = words.groupBy("bucket", "term", "block").agg(F.lit(True).alias("_w"))
+    given = written(queries.withColumn("terms", F.array_distinct(terms("text"))).drop("text"))
+    words = written(given.select("qid", F.explode("terms").alias("term")).withColumn("bucket", index.bucket()))
+    wanted = words.select("bucket", "term").distinct()
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     near = F.broadcast if few else (lambda df: df.hint("merge"))
-    known = index.table("terms").join(near(wanted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
-    n = known.groupBy("bucket", "term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(whole))
-    priced = written(n.select("bucket", "term", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).hint("merge").join(wanted, ["bucket", "term"]).select("bucket", "term", "block", "idf"))
-    top = F.col("idf") * F.col("best") * F.col("_scale")
-    of_terms = lambda *columns: index.table("postings").select("bucket", "term", "segment", "shard", "best", *columns).join(near(priced), ["bucket", "term"]).join(F.broadcast(scale), "segment")
-    heads = of_terms().select("bucket", "term", "block", "segment", "shard", top.alias("top"))
-    bounds = written(heads.hint("merge").join(words, ["bucket", "term", "block"]).groupBy("qid", "block", "segment", "shard").agg(F.sum("top").alias("high")))
+    counted = index.table("terms").join(near(wanted), ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(whole))
+    known = written(counted.select("bucket", "term", "df", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
+    asked, alike = _split(given, words.join(near(known), ["bucket", "term"]))
+    blocks = max(1, -(-alike.count() // BLOCK))
+    alike = alike.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    top = (F.col("idf") * F.col("best") * F.col("_scale")).alias("top")
+    own_words = alike.select("qid", "block", F.explode("terms").alias("term")).withColumn("bucket", index.bucket())
+    priced = written(known.drop("df").hint("merge").join(own_words.select("bucket", "term", "block").distinct(), ["bucket", "term"]))
+    some = priced.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    of_terms = lambda *columns: index.table("postings").select("bucket", "term", "segment", "shard", "best", *columns).join(F.broadcast(priced) if some else priced.hint("merge"), ["bucket", "term"]).join(F.broadcast(scale), "segment")
+    heads = of_terms().select("bucket", "term", "block", "segment", "shard", top)
+    bounds = written(heads.hint("merge").join(own_words, ["bucket", "term", "block"]).groupBy("qid", "block", "segment", "shard").agg(F.sum("top").alias("high")))
 
     own = index.table("docs")
     if docs is not None:
         own = own.hint("merge").join(docs.withColumn("known", F.lit(True)), "id", "left")
     doc_columns = [c for c in own.columns if c not in ("segment", "shard")]
-    ask_columns = [c for c in asked.columns if c not in ("block", "text")] + ["least"]
-    qid_type, id_type = asked.schema["qid"].dataType.simpleString(), own.schema["id"].dataType.simpleString()
+    key = ["block", "segment", "shard"]
+    qid_type, id_type = given.schema["qid"].dataType.simpleString(), own.schema["id"].dataType.simpleString()
 
-    def answered(places: DataFrame) -> DataFrame:
-        """(qid, id, score, n) of queries in shards, `places` (qid, block, segment, shard, least); id is null in the row that counts."""
-        key = ["block", "segment", "shard"]
+    def answered(places: DataFrame, asks: DataFrame, posted: DataFrame) -> DataFrame:
+        """(qid, id, score, prefer, n) of queries in shards, `places` (qid, block, segment, shard, least), with the postings of the block's terms there; id is null in the row that counts."""
         shards = places.select(*key).distinct()
-        posted = of_terms("places", "tf").hint("merge").join(shards, key, "left_semi")
-        post = posted.select(*key, F.struct("term", "places", "tf", "idf", "average", top.alias("top")).alias("post"))
+        post = posted.select(*key, F.struct("term", "places", "tf", "idf", "average", top).alias("post"))
         doc = shards.hint("merge").join(own, ["segment", "shard"]).select(*key, F.struct(*doc_columns).alias("doc"))
-        ask = places.hint("merge").join(asked.drop("block", "text"), "qid").select(*key, F.struct(*ask_columns).alias("ask"))
+        ask = places.hint("merge").join(asks, "qid").select(*key, F.struct(*asks.columns, "least").alias("ask"))
         rows = post.unionByName(doc, allowMissingColumns=True).unionByName(ask, allowMissingColumns=True)
 
         def run(rows: pa.Table) -> pa.Table:
@@ -240,18 +254,59 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
             out = []
             for q in part("ask").to_pylist():
                 hits, added = shard.best(q)
-                out += [(q["qid"], i, s, 0) for i, s in hits] + [(q["qid"], None, None, added)]
-            types = (part("ask").type.field("qid").type, columns["id"].type, pa.float64(), pa.int64())
-            return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["qid", "id", "score", "n"])
+                out += [(q["qid"], *h, 0) for h in hits] + [(q["qid"], None, None, None, added)]
+            types = (part("ask").type.field("qid").type, columns["id"].type, pa.float64(), pa.int64(), pa.int64())
+            return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["qid", "id", "score", "prefer", "n"])
 
-        return written(rows.groupBy(*key).applyInArrow(run, f"qid {qid_type}, id {id_type}, score double, n long"))
+        return written(rows.groupBy(*key).applyInArrow(run, f"qid {qid_type}, id {id_type}, score double, prefer long, n long"))
 
     of_query = Window.partitionBy("qid")
+    order = [F.desc("score"), F.desc("prefer"), "id"]
+
+    def kept(rows: DataFrame) -> DataFrame:
+        p = F.rank().over(of_query.orderBy(F.desc("score"))) if ties else F.row_number().over(of_query.orderBy(*order))
+        return rows.withColumn("_p", p).filter(F.col("_p") <= k).select("qid", "id", "score", "prefer")
+
+    def over_shards(places: DataFrame) -> DataFrame:
+        return answered(places, alike.drop("block"), of_terms("places", "tf").hint("merge").join(places.select(*key).distinct(), key, "left_semi"))
+
     ranked = bounds.withColumn("_p", F.row_number().over(of_query.orderBy(F.desc("high"), "segment", "shard")))
-    first = answered(ranked.filter("_p = 1").select("qid", "block", "segment", "shard", F.lit(0.0).alias("least")))
-    least = first.filter("id is not null").withColumn("_p", F.row_number().over(of_query.orderBy(F.desc("score"), "id"))).filter(F.col("_p") == k).select("qid", F.col("score").alias("least"))
+    first = over_shards(ranked.filter("_p = 1").select("qid", *key, F.lit(0.0).alias("least")))
+    least = first.filter("id is not null").withColumn("_p", F.row_number().over(of_query.orderBy(*order))).filter(F.col("_p") == k).select("qid", F.col("score").alias("least"))
     others = ranked.filter("_p > 1").hint("merge").join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).filter(F.col("high") >= F.col("least") - _SLACK)
-    both = first.unionByName(answered(others.select("qid", "block", "segment", "shard", "least")))
-    by = of_query.orderBy(F.desc("score"))
-    hits = both.filter("id is not null").withColumn("_p", F.rank().over(by) if ties else F.row_number().over(by.orderBy(F.desc("score"), "id"))).filter(F.col("_p") <= k).select("qid", "id", "score")
-    return Found(hits, both.filter("id is null").select("qid", "n"), bounds)
+    both = first.unionByName(over_shards(others.select("qid", *key, "least")))
+    hits = kept(both.filter("id is not null"))
+    counts = both.filter("id is null").select("qid", "n")
+    if asked is not None:
+        rare = asked.select("qid", F.explode("rare").alias("term")).withColumn("bucket", index.bucket())
+        sent = lambda df: F.broadcast(df) if few else df.hint("merge")
+        read = lambda which, *columns: index.table("postings").select("bucket", "term", "segment", "shard", *columns).join(sent(which.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+        visits = read(rare).hint("merge").join(rare, ["bucket", "term"]).select("qid", "segment", "shard").distinct()
+        # A shard's queries are those that have a rare term there, in blocks of their own, so that a shard is read as often as they need it and no more.
+        block = F.floor((F.row_number().over(Window.partitionBy("segment", "shard").orderBy("qid")) - 1) / BLOCK).cast("int")
+        visits = written(visits.withColumn("block", block).withColumn("least", F.lit(0.0)))
+        there = visits.hint("merge").join(words, "qid").select(*key, "bucket", "term").distinct()
+        posted = read(wanted, "best", "places", "tf").hint("merge").join(there, ["bucket", "term", "segment", "shard"])
+        posted = posted.join(near(known.drop("df")), ["bucket", "term"]).join(F.broadcast(scale), "segment")
+        found = answered(visits, asked.drop("first"), posted)
+        shared = asked.select("qid", F.col("first").alias("_first")).hint("merge").join(hits.withColumnRenamed("qid", "_first"), "_first").select("qid", "id", "score", "prefer")
+        every = shared.unionByName(found.filter("id is not null").select("qid", "id", "score", "prefer"))
+        hits = kept(every.groupBy("qid", "id").agg(F.max("score").alias("score"), F.max("prefer").alias("prefer")))  # a rare term adds to a score
+        counts = counts.unionByName(found.filter("id is null").select("qid", "n"))
+    return Found(hits.drop("prefer"), counts, bounds)
+
+
+def _split(given: DataFrame, words: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Queries with rare terms of their own, and those to ask of all shards. If at least half of the queries equal others once terms of at most SHARD documents are left out, one of each kind
+    (qid, terms, ...) is asked without such terms, and each query (..., rare, first) knows which one: a document without its rare terms scores as it does for `first`.
+    Else all are asked of all shards, and there are none with rare terms."""
+    extra = [c for c in given.columns if c not in ("qid", "terms")]
+    listed = lambda rare: F.array_sort(F.collect_list(F.when((F.col("df") <= SHARD) == F.lit(rare), F.col("term"))))
+    split = written(given.hint("merge").join(words.groupBy("qid").agg(listed(True).alias("rare"), listed(False).alias("_common")), "qid"))
+    same = written(split.filter("size(_common) > 0").groupBy("_common", *extra).agg(F.min("qid").alias("first")))
+    none = F.array().cast("array<string>").alias("rare")
+    if 2 * same.count() > split.count():
+        return None, given.select("*", none)
+    by = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_common", *extra)]
+    met = split.alias("a").hint("merge").join(same.alias("b"), by, "left").select("a.qid", "a.terms", *(f"a.{c}" for c in extra), "a.rare", "b.first")
+    return written(met), same.select(F.col("first").alias("qid"), F.col("_common").alias("terms"), *extra, none)

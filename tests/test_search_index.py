@@ -77,6 +77,23 @@ def test_only_what_may_be_found_sets_thresholds(tables, index):
     assert rows_of(S.search(index, odd, 5, docs, lambda d, q: d["namespace"] == q["only"]).hits) == rows_of(want)
 
 
+def test_queries_that_differ_by_rare_words_are_asked_once(spark, tables, monkeypatch):
+    """Pairs of query and shard grow with postings of rare words, not with queries times shards; results are those of all pairs, with places of equal scores by `prefer`."""
+    monkeypatch.setattr(S, "SHARD", 20)
+    statements = tables[0]
+    small = S.build(statements)
+    asked = spark.range(40).select(F.col("id").cast("int").alias("qid"), F.concat(F.lit("c1 c2 r"), F.col("id") * 7).alias("text"))
+    found = S.search(small, asked, 5)
+    every = R.bm25(asked, statements)
+    assert rows_of(found.hits) == rows_of(R.ranked(every, 5))
+    told = found.report()
+    rare = every.sparkSession.createDataFrame([(f"r{i * 7}",) for i in range(40)], "term string").join(small.table("postings"), "term").count()
+    assert told["shards_searched"] <= rare + told["shards_possible"] < 40 * 10, told
+    liked = statements.withColumn("prefer", F.coalesce(F.length("statement"), F.lit(0)).cast("long"))
+    want = R.ranked(every.join(liked.select("id", "prefer"), "id"), 5, [F.desc("score"), F.desc("prefer")])
+    assert rows_of(S.search(small, asked, 5, liked.select("id", "prefer")).hits) == rows_of(want)
+
+
 def test_an_index_grows_by_segments(spark, tables, tmp_path):
     """Of segments with other mean lengths, opened again by path."""
     statements, asked = tables
