@@ -251,3 +251,24 @@ def test_injected_facts_are_not_grouped_by_turn(spark):
     assert not [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [qid#" in line and ", id#" in line.split("]")[0]]
     want = [(q, f"f{i}", 0 if i < 20 else 2) for q in range(70) for i in range(30) if i % 7]
     assert ids(got, "qid", "id", "source") == sorted(want)
+
+
+def test_a_task_holds_few_scores_at_once(monkeypatch):
+    """However many vectors come in a batch; ties of other slices count by id, and the best k are those of all scores."""
+    import numpy as np
+    import pyarrow as pa
+    from tempograph.operators import retrieval
+
+    r = np.random.default_rng(5)
+    v, q = r.normal(size=(500, 8)), r.normal(size=(20, 8))
+    v[400:450] = v[:50]
+    column = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    held, rounded = [], np.round
+    monkeypatch.setattr(retrieval.np, "round", lambda x, n: (held.append(x.size), rounded(x, n))[1])
+    monkeypatch.setattr(retrieval, "CELLS", 600, raising=False)
+    (got,) = retrieval._best_of_all(pa.array(range(20)), column(q), 3)(iter([pa.record_batch([pa.array(range(500)), column(v)], ["id", "embedding"])]))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = rounded(unit(q) @ unit(v).T, 6)
+    want = [(i, j, float(s[i][j])) for i in range(20) for j in sorted(range(500), key=lambda j: (-s[i][j], j))[:3]]
+    assert [(x["qid"], x["id"], x["score"]) for x in got.to_pylist()] == want
+    assert max(held) <= 600
