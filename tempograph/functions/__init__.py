@@ -65,6 +65,11 @@ def terms(text) -> Column:
     return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def term_line(text) -> Column:
+    """The terms of a text, in order, with one space between them; they hold none themselves."""
+    return F.trim(F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", " "))
+
+
 def overlap(query, content) -> Column:
     """Share of the query's distinct space-separated terms that the content has."""
     split = lambda x: F.array_distinct(F.filter(F.split(F.lower(_c(x)), f"{_S}+"), lambda y: y != ""))

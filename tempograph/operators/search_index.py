@@ -10,13 +10,17 @@ A search for the best k of each query joins its terms with `postings` by bucket
 BLOCK queries that asks, never pairs of query and document:
 
 1. from `best` alone, read without the postings, comes an upper bound for each query and shard;
-2. each query is answered in the shard with its greatest bound; the k-th score there is a threshold, as no document below it matters;
+2. each query is answered in the shard with its greatest bound, or in as many as hold FIRST documents for each that is wanted; the k-th score there is a threshold, as no
+   document below it matters;
 3. only shards whose bound reaches the threshold are searched at all. In a shard, terms are added from the strongest on, until those left together can't
    lift a document over the threshold; the rest is looked up for the few documents that they can lift.
 
 Queries that differ only by rare terms (in at most SHARD documents) are asked once without them, and each for itself only of the documents that have its rare terms, so work
 grows with their postings, not with queries times shards.
 
+An index that is built for given queries and left in the shared folder holds postings of their terms only, which are a small part of all; lengths, counts of documents
+and frequencies are those of whole texts, so scores are the same. It refuses queries with other terms.
+
 The best k of a shard are its rows, so k rows for each query and shard searched are left, and `report` counts pairs that were scored. The result is that
 of scoring every document. Which documents a query may find is decided in the shard, before thresholds are taken.
 """
@@ -28,10 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import terms
+from ..functions import term_line, terms
 from ..sources.scratch import scratch_path, written
 
 K1, B = 1.2, 0.75
@@ -40,6 +45,12 @@ SHARD = 1_024
 BLOCK = 512
 #: Rows of asked terms that are sent to every task; more are joined by shuffle.
 BROADCAST_TERMS = 100_000
+#: Queries, and shards that they are asked of, that are sent to every task.
+BROADCAST_QUERIES, BROADCAST_SHARDS = 2_048, 100_000
+#: Documents for each one wanted that are searched before thresholds are taken.
+FIRST = 100
+#: Terms that are added at once, between two looks at what can still matter.
+STEP = 8
 #: Least number of buckets of a new index, and terms in a bucket from which on there are more.
 BUCKETS = 8
 BUCKET_TERMS = 4_000_000
@@ -56,6 +67,8 @@ class SearchIndex:
     spark: SparkSession
     path: str
     buckets: int = BUCKETS
+    #: The terms that it has, null for all.
+    only: pa.Array | None = None
 
     def table(self, name: str) -> DataFrame:
         read = self.spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else self.spark.read  # an empty segment has no file that tells
@@ -71,43 +84,62 @@ def saturation(tf, length, average):
 
 
 def append(index: SearchIndex, statements: DataFrame, text: str = "statement") -> SearchIndex:
-    """Add statements (id, `text`) that the index doesn't have yet, as one more segment. Texts are tokenised once. Sizes are written last: a segment without them is
+    """Add statements (id, `text`) that the index doesn't have yet, as one more segment. Texts are shuffled and tokenised once. Sizes are written last: a segment without them is
     not seen, and a write that is tried again takes its place."""
     spark = index.spark
     segment = _next_segment(index)
+    id_type = statements.schema["id"].dataType.simpleString()
     shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-statements.count() // SHARD)))).cast("int").alias("shard")
-    place = (F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1).alias("place")  # some SHARD rows
-    placed = written(statements.select(shard, "id", text).repartition("shard").select("shard", place, "id", terms(text).alias("_t")).withColumn("len", F.coalesce(F.size("_t"), F.lit(0))))
-    n, total = placed.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    lines = statements.select(shard, "id", F.col(text).alias("_text")).repartition("shard").select("shard", "id", term_line("_text").alias("_line"))
+    placed = written(lines.groupBy("shard").applyInArrow(_inverted(index.only), f"term string, shard int, best double, mean double, places array<int>, tf array<int>, place int, id {id_type}, len int"))
+    docs = placed.filter("term is null").select("shard", "place", "id", "len")
+    n, total = docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    posted = placed.filter("term is not null")
     if segment == 1:
-        index.buckets = max(BUCKETS, 1 << (total // BUCKET_TERMS).bit_length())
+        held = total if index.only is None else posted.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+        index.buckets = max(BUCKETS, 1 << (held // BUCKET_TERMS).bit_length())
     put = lambda df, name, by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{index.path}/{name}/segment={segment}")
-    put(placed.drop("_t"), "docs", [])
-    rows = placed.select("shard", "place", "len", "_t").groupBy("shard").applyInArrow(_inverted(max(total, 1) / max(n, 1)), "term string, shard int, best double, places array<int>, tf array<int>")
-    put(rows.select(index.bucket(), "*").repartition("bucket").sortWithinPartitions("bucket", "term", "shard"), "postings", ["bucket"])
+    put(docs, "docs", [])
+    # Weights at the shard's own mean length grow by no more than the ratio.
+    best = (F.col("best") * F.greatest(F.lit(1.0), F.lit(max(total, 1) / max(n, 1)) / F.col("mean"))).alias("best")
+    rows = posted.select(index.bucket(), "term", "shard", best, "places", "tf")
+    put(rows.repartitionById(index.buckets, F.col("bucket")).sortWithinPartitions("bucket", "term", "shard"), "postings", ["bucket"])
     own = index.table("postings").filter(F.col("segment") == segment)
-    put(own.groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"), F.max("best").alias("best")).repartition("bucket").sortWithinPartitions("bucket", "term"), "terms", ["bucket"])
-    spark.createDataFrame([(n, int(total), index.buckets)], "n long, total long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{index.path}/sizes/segment={segment}")
+    put(own.groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"), F.max("best").alias("best")).repartitionById(index.buckets, F.col("bucket")).sortWithinPartitions("bucket", "term"), "terms", ["bucket"])
+    spark.range(1).coalesce(1).select(F.lit(n).cast("long").alias("n"), F.lit(int(total)).cast("long").alias("total"), F.lit(index.buckets).alias("buckets")).write.mode("overwrite").parquet(f"{index.path}/sizes/segment={segment}")
     return index
 
 
-def _inverted(average: float):
-    """A function over a shard's documents (shard, place, len, _t) that gives its postings."""
+def _inverted(only: pa.Array | None):
+    """A function over a shard's documents (shard, id, _line) that gives its documents, of no term, and its postings, of the terms in `only` if it is given."""
 
     def run(rows: pa.Table) -> pa.Table:
-        words = rows["_t"].combine_chunks().fill_null([]) if rows["_t"].null_count else rows["_t"].combine_chunks()
-        place, length = rows["place"].to_numpy(), np.zeros(rows.num_rows, np.int64)
-        length[place] = rows["len"].to_numpy()
-        named = words.flatten().dictionary_encode()
-        owner = np.repeat(place, np.diff(words.offsets.to_numpy()))
-        pairs, tf = np.unique(named.indices.to_numpy().astype(np.int64) * rows.num_rows + owner, return_counts=True)
-        term, at = np.divmod(pairs, rows.num_rows)
+        line = rows["_line"].combine_chunks().fill_null("")
+        words = pc.split_pattern(line, " ")
+        flat = words.flatten()
+        length = np.where(pc.equal(line, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(words).to_numpy())
+        owner = np.repeat(np.arange(len(line)), pc.list_value_length(words).to_numpy())
+        if only is None:
+            named = flat.dictionary_encode()
+            names, code, real = named.dictionary, named.indices.to_numpy(), length[owner] > 0
+        else:
+            found = pc.index_in(flat, value_set=only)
+            names, code, real = only, found.fill_null(0).to_numpy(), found.is_valid().to_numpy(zero_copy_only=False)
+        pairs, tf = np.unique(code[real].astype(np.int64) * len(line) + owner[real], return_counts=True)
+        term, at = np.divmod(pairs, len(line))
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else term
         ends = pa.array(np.r_[first, len(term)].astype(np.int32))
-        best = np.maximum.reduceat(saturation(tf.astype(float), length[at], average), first) if len(term) else np.zeros(0)
+        mean = max(1, length.sum()) / max(1, len(line))
+        best = np.maximum.reduceat(saturation(tf.astype(float), length[at], mean), first) if len(term) else np.zeros(0)
         lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, tf)]
-        shard = pa.array(np.full(len(first), rows["shard"][0].as_py() if rows.num_rows else 0, np.int32))
-        return pa.table([named.dictionary.take(pa.array(term[first])), shard, pa.array(best), *lists], ["term", "shard", "best", "places", "tf"])
+        shard = rows["shard"][0].as_py() if rows.num_rows else 0
+        same = lambda value, n, kind: pa.array(np.full(n, value), kind)
+        n = len(first)
+        posted = {"term": names.take(pa.array(term[first])), "shard": same(shard, n, pa.int32()), "best": pa.array(best), "mean": same(mean, n, pa.float64()), "places": lists[0], "tf": lists[1]}
+        docs = {"shard": same(shard, len(line), pa.int32()), "place": pa.array(np.arange(len(line), dtype=np.int32)), "id": rows["id"].combine_chunks(), "len": pa.array(length.astype(np.int32))}
+        types = {"term": pa.string(), "shard": pa.int32(), "best": pa.float64(), "mean": pa.float64(), "places": lists[0].type, "tf": lists[1].type, "place": pa.int32(), "id": rows["id"].type, "len": pa.int32()}
+        parts = [pa.table([x[c] if c in x else pa.nulls(size, t) for c, t in types.items()], list(types)) for x, size in ((docs, len(line)), (posted, n))]
+        return pa.concat_tables(parts)
 
     return run
 
@@ -121,9 +153,19 @@ def _next_segment(index: SearchIndex) -> int:
         return 1
 
 
-def build(statements: DataFrame, text: str = "statement", path: str | None = None) -> SearchIndex:
-    """An index of `statements` in a new folder, of the shared one unless `path` is given."""
-    return append(SearchIndex(statements.sparkSession, path or scratch_path(statements.sparkSession)), statements, text)
+def build(statements: DataFrame, text: str = "statement", path: str | None = None, asked: DataFrame | None = None) -> SearchIndex:
+    """An index of `statements` in a new folder, of the shared one unless `path` is given. One for `asked` queries (text) has only their terms, if those are few enough to send to every
+    task, and is for these queries alone, so it can't be given a path."""
+    if path is not None and asked is not None:
+        raise ValueError("an index that is kept holds all terms")
+    only = None if asked is None else _few(asked.select(F.explode(terms("text")).alias("term")).distinct())
+    return append(SearchIndex(statements.sparkSession, path or scratch_path(statements.sparkSession), only=only), statements, text)
+
+
+def _few(wanted: DataFrame) -> pa.Array | None:
+    """The terms of `wanted` (term) if they are at most BROADCAST_TERMS."""
+    rows = wanted.select("term").limit(BROADCAST_TERMS + 1).toArrow()["term"].combine_chunks().cast(pa.string())
+    return rows if len(rows) <= BROADCAST_TERMS else None
 
 
 def opened(spark: SparkSession, path: str) -> SearchIndex:
@@ -156,20 +198,21 @@ class _Shard:
 
     def __init__(self, docs: dict, postings: pa.StructArray, k: int, ties: bool, may: May | None):
         self.docs, self.k, self.ties, self.may = docs, k, ties, may
-        self.terms = {}
-        term, idf, average, top = (postings.field(c).to_pylist() for c in ("term", "idf", "average", "top"))
+        term, top = (postings.field(c).to_pylist() for c in ("term", "top"))
         lists = [postings.field(c) for c in ("places", "tf")]
         ends, places, tf = lists[0].offsets.to_numpy(), *(x.values.to_numpy() for x in lists)
-        for i, name in enumerate(term):
-            at = places[ends[i] : ends[i + 1]]
-            self.terms[name] = top[i], at, idf[i] * saturation(tf[ends[i] : ends[i + 1]].astype(float), docs["len"][at], average[i])
+        idf, average = (np.repeat(postings.field(c).to_numpy(), np.diff(ends)) for c in ("idf", "average"))
+        places, tf = (x[ends[0] : ends[-1]] if len(term) else x[:0] for x in (places, tf))
+        weight = idf * saturation(tf.astype(float), docs["len"][places], average)
+        ends = ends - ends[0] if len(term) else ends
+        self.terms = {name: (top[i], places[a:b], weight[a:b]) for i, (name, a, b) in enumerate(zip(term, ends[:-1].tolist(), ends[1:].tolist()))}
+        self.known = docs["known"] if "known" in docs else np.ones(len(docs["len"]), bool)
 
     def best(self, asked: dict) -> tuple[list[tuple], int]:
         """(id, score, prefer) of the best k for a query, and how many weights were added; with `rare` terms only of documents that have one of them."""
         n = len(self.docs["len"])
-        may = self.docs["known"] if "known" in self.docs else np.ones(n, bool)
-        if self.may is not None:
-            may = may & self.may(self.docs, asked)
+        may = self.known if self.may is None else self.known & self.may(self.docs, asked)
+        enough, every = may.sum() >= self.k, may.all()
         found = sorted((self.terms[t] for t in set(asked["terms"]) if t in self.terms), key=lambda x: -x[0])
         left = np.cumsum([x[0] for x in found][::-1])[::-1].tolist() + [0.0]
         score, least, added, at = np.zeros(n), asked["least"], 0, 0
@@ -180,15 +223,13 @@ class _Shard:
                     has[self.terms[t][1]] = True
             lifted = np.flatnonzero(may & has)
         else:
-            for at, (_, places, weight) in enumerate(found):
-                if left[at] < least - _SLACK:
-                    break
-                score[places] += weight
-                added += len(places)
-                if may.sum() >= self.k:
-                    least = max(least, np.partition(score[may], -self.k)[-self.k])
-            else:
-                at = len(found)
+            while at < len(found) and left[at] >= least - _SLACK:
+                some = found[at : at + STEP]
+                score += np.bincount(np.concatenate([x[1] for x in some]), np.concatenate([x[2] for x in some]), n)
+                at += len(some)
+                added += sum(len(x[1]) for x in some)
+                if enough:
+                    least = max(least, np.partition(score if every else score[may], -self.k)[-self.k])
             lifted = np.flatnonzero(may & (score > 0) & (score + left[at] >= least - _SLACK)) if at else np.zeros(0, int)
         for _, places, weight in found[at:]:
             i = np.minimum(np.searchsorted(places, lifted), len(places) - 1)
@@ -215,12 +256,16 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
     given = written(queries.withColumn("terms", F.array_distinct(terms("text"))).drop("text"))
     words = written(given.select("qid", F.explode("terms").alias("term")).withColumn("bucket", index.bucket()))
     wanted = words.select("bucket", "term").distinct()
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    some_terms = _few(wanted)
+    few = some_terms is not None
+    if index.only is not None and (not few or not pc.all(pc.is_in(some_terms, value_set=index.only), min_count=0).as_py()):
+        raise ValueError("the index was built for other queries and lacks some terms of these")
     near = F.broadcast if few else (lambda df: df.hint("merge"))
     counted = index.table("terms").join(near(wanted), ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(whole))
     known = written(counted.select("bucket", "term", "df", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
     asked, alike = _split(given, words.join(near(known), ["bucket", "term"]))
-    blocks = max(1, -(-alike.count() // BLOCK))
+    n_alike = alike.count()
+    blocks = max(1, -(-n_alike // BLOCK))
     alike = alike.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
     top = (F.col("idf") * F.col("best") * F.col("_scale")).alias("top")
     own_words = alike.select("qid", "block", F.explode("terms").alias("term")).withColumn("bucket", index.bucket())
@@ -232,17 +277,18 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
 
     own = index.table("docs")
     if docs is not None:
-        own = own.hint("merge").join(docs.withColumn("known", F.lit(True)), "id", "left")
+        own = written(own.hint("merge").join(docs.withColumn("known", F.lit(True)), "id", "left"))  # read in both steps
     doc_columns = [c for c in own.columns if c not in ("segment", "shard")]
     key = ["block", "segment", "shard"]
     qid_type, id_type = given.schema["qid"].dataType.simpleString(), own.schema["id"].dataType.simpleString()
 
-    def answered(places: DataFrame, asks: DataFrame, posted: DataFrame) -> DataFrame:
-        """(qid, id, score, prefer, n) of queries in shards, `places` (qid, block, segment, shard, least), with the postings of the block's terms there; id is null in the row that counts."""
+    def answered(places: DataFrame, asks: DataFrame, posted: DataFrame, sent: bool = False) -> DataFrame:
+        """(qid, id, score, prefer, n) of queries in shards, `places` (qid, block, segment, shard, least), with the postings of the block's terms there; id is null in the row that counts. `asks` are `sent`
+        to every task if they are few."""
         shards = places.select(*key).distinct()
         post = posted.select(*key, F.struct("term", "places", "tf", "idf", "average", top).alias("post"))
         doc = shards.hint("merge").join(own, ["segment", "shard"]).select(*key, F.struct(*doc_columns).alias("doc"))
-        ask = places.hint("merge").join(asks, "qid").select(*key, F.struct(*asks.columns, "least").alias("ask"))
+        ask = places.join(F.broadcast(asks) if sent else asks.hint("merge"), "qid").select(*key, F.struct(*asks.columns, "least").alias("ask"))
         rows = post.unionByName(doc, allowMissingColumns=True).unionByName(ask, allowMissingColumns=True)
 
         def run(rows: pa.Table) -> pa.Table:
@@ -268,12 +314,17 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
         return rows.withColumn("_p", p).filter(F.col("_p") <= k).select("qid", "id", "score", "prefer")
 
     def over_shards(places: DataFrame) -> DataFrame:
-        return answered(places, alike.drop("block"), of_terms("places", "tf").hint("merge").join(places.select(*key).distinct(), key, "left_semi"))
+        places = written(places)
+        shards = places.select(*key).distinct()
+        near_by = shards.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+        posted = of_terms("places", "tf").join(F.broadcast(shards) if near_by else shards.hint("merge"), key, "left_semi")
+        return answered(places, alike.drop("block"), posted, n_alike <= BROADCAST_QUERIES)
 
+    tried = max(1, FIRST * k // SHARD)
     ranked = bounds.withColumn("_p", F.row_number().over(of_query.orderBy(F.desc("high"), "segment", "shard")))
-    first = over_shards(ranked.filter("_p = 1").select("qid", *key, F.lit(0.0).alias("least")))
+    first = over_shards(ranked.filter(F.col("_p") <= tried).select("qid", *key, F.lit(0.0).alias("least")))
     least = first.filter("id is not null").withColumn("_p", F.row_number().over(of_query.orderBy(*order))).filter(F.col("_p") == k).select("qid", F.col("score").alias("least"))
-    others = ranked.filter("_p > 1").hint("merge").join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).filter(F.col("high") >= F.col("least") - _SLACK)
+    others = ranked.filter(F.col("_p") > tried).hint("merge").join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).filter(F.col("high") >= F.col("least") - _SLACK)
     both = first.unionByName(over_shards(others.select("qid", *key, "least")))
     hits = kept(both.filter("id is not null"))
     counts = both.filter("id is null").select("qid", "n")

@@ -67,7 +67,7 @@ def r6_recency(spark, d):
 
 def r8_fused_by_state(spark, d):
     q, s = _asked(spark, d), statements(spark, d)
-    index = build(s)
+    index = build(s, asked=q)
     return _rank(R.by_state(R.fuse([R.keyword_search(q, s, 20, index=index), R.recency_search(q, s, 20, 40, index)]), s))
 
 

@@ -116,3 +116,62 @@ def test_a_search_reads_heads_without_postings(index, tables):
 def test_an_empty_index(spark, tables):
     empty = S.build(tables[0].limit(0))
     assert S.search(empty, tables[1], 5).hits.count() == 0
+
+
+def test_an_index_for_given_queries_has_only_their_terms(spark, tables, tmp_path):
+    """Of 1,500 rare words some are asked for. Lengths and counts of documents are those of whole texts, so scores are the same; other queries are refused."""
+    statements, asked = tables
+    whole, own = S.build(statements), S.build(statements, asked=asked)
+    terms = {r.term for r in R.query_terms(asked).collect()}
+    assert {r.term for r in own.table("terms").select("term").collect()} == {r.term for r in whole.table("terms").select("term").collect()} & terms
+    assert own.table("postings").count() < whole.table("postings").count() / 4
+    lengths = lambda index: sorted((r.id, r.len) for r in index.table("docs").select("id", "len").collect())
+    assert lengths(own) == lengths(whole)
+    assert rows_of(S.search(own, asked, 7).hits) == rows_of(R.ranked(R.bm25(asked, statements), 7))
+    with pytest.raises(ValueError, match="other queries"):
+        S.search(own, spark.createDataFrame([(1, "c1 elsewhere")], "qid int, text string"), 7)
+    with pytest.raises(ValueError, match="all terms"):
+        S.build(statements, path=str(tmp_path / "kept"), asked=asked)
+
+
+def test_terms_are_those_of_the_expression(spark):
+    """Also where the text is cut apart outside of it: odd spaces, signs, letters that change their length in lower case."""
+    texts = ["", " ", None, "  a  b ", "İstanbul ΣΟΦΟΣ", "x y z", "½٣_Ⅷ áb", "中文 \U0001f600q\U00010400", "A-a.A\n\ta\x00b"]
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, statement string")
+    want = {(r.id, r.term): r.tf for r in df.select("id", F.explode(S.terms("statement")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")).collect()}
+    for index in (S.build(df), S.build(df, asked=df.select(F.col("statement").alias("text")))):
+        posted = index.table("postings").select("term", F.explode(F.arrays_zip("places", "tf")).alias("p")).select("term", F.col("p.places").alias("place"), "p.tf")
+        assert {(r.id, r.term): r.tf for r in posted.join(index.table("docs").select("place", "id"), "place").collect()} == want
+
+
+def test_few_documents_pass_a_threshold_of_several_shards(tables, monkeypatch):
+    """For many wanted documents the first step searches as many shards as hold FIRST for each, so that others give few rows; terms may be added in any steps."""
+    statements, asked = tables
+    monkeypatch.setattr(S, "SHARD", 20)
+    index = S.build(statements, asked=asked)
+    want = rows_of(R.ranked(R.bm25(asked, statements), 20))
+    rows = []
+    real = S.written
+
+    def counting(df):
+        out = real(df)
+        if "prefer" in out.columns:
+            rows[-1] += out.filter("id is not null").count()
+        return out
+
+    monkeypatch.setattr(S, "written", counting)
+    for first, step in ((1, 1), (10, 50), (40, 3)):
+        monkeypatch.setattr(S, "FIRST", first)
+        monkeypatch.setattr(S, "STEP", step)
+        rows.append(0)
+        assert rows_of(S.search(index, asked, 20).hits) == want
+    assert rows[1] < rows[0], rows
+
+
+def test_texts_of_hits_are_not_shuffled(spark, tables):
+    """A prompt's texts are taken where they are read."""
+    statements, _ = tables
+    hits = spark.createDataFrame([(1, "d1", 1, 0.5), (1, "d2", 2, 0.4), (2, "d1", 1, 0.0)], "qid int, id string, rank int, score double")
+    plan = R.inject(hits, statements)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.qid, r.id) for r in R.inject(hits, statements).collect()) == [(1, "d1"), (1, "d2")]
