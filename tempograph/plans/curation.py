@@ -352,7 +352,7 @@ def v4_run_totals(spark, d):
     hits = R.keyword_search(q, s, 10)
     word = F.coalesce(F.get(F.filter(F.split("text", " "), lambda x: F.length(x) >= 10), F.lit(0)), F.lit("zzz-q"))
     e = q.select("qid", F.when(F.col("qid") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("qid") % 5 == 1, F.lit("zzz-q")).otherwise(F.upper(word)))).alias("substrings"))
-    found = hits.hint("merge").join(s.select("id", "statement"), "id").select("qid", "id", "statement")
+    found = R.of_hits(hits, s.select("id", "statement")).select("qid", "id", "statement")
     return Q.run_totals(Q.retrieval_metrics(_expected(spark, d), hits), Q.substring_matches(e, found))
 
 
