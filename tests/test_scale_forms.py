@@ -253,6 +253,33 @@ def test_injected_facts_are_not_grouped_by_turn(spark):
     assert ids(got, "qid", "id", "source") == sorted(want)
 
 
+def test_names_of_turns_are_made_once(spark):
+    """A table of names that is made by reading texts is read once, not for each of its uses."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    names = spark.createDataFrame([(q, f"e{q % 3}") for q in range(40)], "qid int, name string").repartition(2).mapInArrow(counted, "qid int, name string")
+    entities = spark.createDataFrame([(f"x{i}", f"e{i}") for i in range(3)], "id string, name string")
+    facts_ = spark.createDataFrame([(f"f{i}", f"x{i % 3}", "p", None, "active") for i in range(6)], "id string, subject_id string, predicate string, object_id string, epistemic_state string")
+    turns, texts = spark.createDataFrame([(q, "one") for q in range(40)], "qid int, text string"), spark.createDataFrame([("f0", "two")], "id string, statement string")
+    none = spark.createDataFrame([], "norm string, entity_id string")
+    assert retrieval.name_injection(turns, names, entities, none, facts_, texts).count() == 80
+    assert read.value == 40
+
+
+def test_pieces_of_a_long_text_take_linear_time(spark):
+    """A substring at a place is found by a walk from the start, so pieces of 200,000 letters took 10^10 steps."""
+    plan = spark.range(1).select(F.lit("x").alias("t")).select(retrieval._grams("t", 1, 3))._jdf.queryExecution().analyzed().toString()
+    assert "substr" not in plan
+    odd = [("abca", ["a", "b", "c", "abc", "bca"]), ("é🙂b", ["b", "é", "é🙂b", "🙂"]), ("ab", ["a", "b"]), ("aaaa", ["a", "aaa"])]
+    got = spark.createDataFrame([(t,) for t, _ in odd], "t string").select("t", retrieval._grams("t", 1, 3).alias("g")).collect()
+    assert {r.t: sorted(r.g) for r in got} == {t: sorted(g) for t, g in odd}
+
+
 def test_a_task_holds_few_scores_at_once(monkeypatch):
     """However many vectors come in a batch; ties of other slices count by id, and the best k are those of all scores."""
     import numpy as np

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,42 @@ def test_texts_of_hits_are_not_shuffled(spark, tables):
     plan = R.inject(hits, statements)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted((r.qid, r.id) for r in R.inject(hits, statements).collect()) == [(1, "d1"), (1, "d2")]
+
+
+def test_long_queries_are_scored_together(tables, monkeypatch):
+    """Queries of all lengths in one block, and of documents that not all may be found."""
+    statements, asked = tables
+    every = asked.unionByName(statements.filter("id < 'd15'").select((F.substring("id", 2, 9).cast("int") + 1000).alias("qid"), F.col("statement").alias("text")))
+    live = statements.filter("namespace <> 'n1'").select("id")
+    want = R.bm25(every, statements)
+    monkeypatch.setattr(S, "LONG", 9)
+    index = S.build(statements)
+    for k in (1, 7):
+        assert rows_of(S.search(index, every, k).hits) == rows_of(R.ranked(want, k))
+        assert rows_of(S.search(index, every, k, live).hits) == rows_of(R.ranked(want.join(live, "id"), k))
+
+
+@pytest.mark.parametrize(("frequent", "dense"), [(32, 4096), (3, 2), (10**9, 0), (1, 10**6)])
+def test_scores_by_matrices_are_those_of_one_term_after_another(monkeypatch, frequent, dense):
+    """Terms in a matrix, those that are too rare for it and those that find no place in it; with ties, bounds and documents that no query may find."""
+    r = random.Random(4)
+    monkeypatch.setattr(S, "FREQUENT", frequent)
+    monkeypatch.setattr(S, "DENSE", dense)
+    n, terms = 200, [f"t{i}" for i in range(60)]
+    docs = {"id": np.array([f"d{i}" for i in range(n)], object), "len": np.array([r.choice([5, 9, 40]) for _ in range(n)]), "known": np.array([i % 5 > 0 for i in range(n)]), "prefer": np.arange(n) % 3}
+    places = [sorted(r.sample(range(n), r.choice([1, 3, 40, 150]))) for _ in terms]
+    posted = pa.table({"term": terms, "places": pa.array(places, pa.list_(pa.int32())), "tf": pa.array([[r.randint(1, 3) for _ in x] for x in places], pa.list_(pa.int32())), "idf": [2.0] * len(terms), "average": [9.0] * len(terms), "top": [5.0] * len(terms)})
+    asks = [{"qid": q, "terms": r.sample([*terms, "unseen"], r.choice([0, 1, 8, 50])), "rare": [], "least": r.choice([0.0, 3.0])} for q in range(40)]
+    for ties in (False, True):
+        shard = S._Shard(docs, posted, 4, ties, lambda d, q: d["len"] != 40 if q["qid"] % 2 else d["len"] > 0)
+        plain = lambda found: [[(i, round(s, 6), p) for i, s, p in rows] for rows, _ in found]
+        assert plain(shard.whole(asks)) == plain(map(shard.best, asks))
+        assert [n for _, n in shard.whole(asks)] == [sum(len(places[terms.index(t)]) for t in q["terms"] if t in terms) for q in asks]
+
+
+def test_no_null_lists_are_sent_to_python(tables):
+    """Arrow walks over null lists at the end of a column for each row that follows, which was most of a search's time."""
+    rows = tables[1].selectExpr("1 as post_term", "array(1) as post_places", "cast(null as int) as ask_least", "cast(null as array<string>) as ask_terms")
+    rows = rows.unionByName(tables[1].selectExpr("null as post_term", "null as post_places", "1 as ask_least", "cast(null as array<string>) as ask_terms"))
+    got = S._without_null_lists(rows, {"post": "term", "ask": "least"}).distinct().collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, [1], None, []), (None, [], 1, None)]))
