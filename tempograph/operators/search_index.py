@@ -20,7 +20,8 @@ Queries that differ only by rare terms (in at most SHARD documents) are asked on
 grows with their postings, not with queries times shards.
 
 An index that is built for given queries and left in the shared folder holds postings of their terms only, which are a small part of all; lengths, counts of documents
-and frequencies are those of whole texts, so scores are the same. It refuses queries with other terms.
+and frequencies are those of whole texts, so scores are the same. It refuses queries with other terms. Terms are counted where texts are read, so texts are not shuffled. If it is built for the `first` k of all
+documents, of those that equal in length and counts only the least k ids of a batch are kept and stand for the others.
 
 The best k of a shard are its rows, so k rows for each query and shard searched are left, and `report` counts pairs that were scored. The result is that
 of scoring every document. Which documents a query may find is decided in the shard, before thresholds are taken.
@@ -63,7 +64,7 @@ _SLACK = 1e-6
 
 #: From columns of a shard's documents and a query's row, which documents it may find.
 May = Callable[[dict, dict], np.ndarray]
-_SCHEMAS = {"postings": "term string, shard int, best double, places array<int>, tf array<int>, segment int, bucket int", "terms": "term string, df long, best double, segment int, bucket int"}
+_SCHEMAS = {"postings": "term string, shard int, df long, best double, places array<int>, tf array<int>, segment int, bucket int", "terms": "term string, df long, best double, segment int, bucket int"}
 
 
 @dataclass
@@ -73,6 +74,8 @@ class SearchIndex:
     buckets: int = BUCKETS
     #: The terms that it has, null for all.
     only: pa.Array | None = None
+    #: How many documents a query may ask for, null for any number, of all documents.
+    first: int | None = None
 
     def table(self, name: str) -> DataFrame:
         read = self.spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else self.spark.read  # an empty segment has no file that tells
@@ -93,55 +96,105 @@ def append(index: SearchIndex, statements: DataFrame, text: str = "statement") -
     spark = index.spark
     segment = _next_segment(index)
     id_type = statements.schema["id"].dataType.simpleString()
-    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-statements.count() // SHARD)))).cast("int").alias("shard")
-    lines = statements.select(shard, "id", F.col(text).alias("_text")).repartition("shard").select("shard", "id", term_line("_text").alias("_line"))
-    placed = written(lines.groupBy("shard").applyInArrow(_inverted(index.only), f"term string, shard int, best double, mean double, places array<int>, tf array<int>, place int, id {id_type}, len int"))
-    docs = placed.filter("term is null").select("shard", "place", "id", "len")
-    n, total = docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    lines = statements.select("id", term_line(text).alias("_line"))
+    if index.only is not None:
+        lines = written(lines.mapInArrow(_counted(index.only, index.first), f"id {id_type}, len int, n long, codes array<int>, counts array<int>"))
+    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-lines.count() // SHARD)))).cast("int").alias("shard")
+    if index.only is None:  # texts are shuffled, not their terms in an array
+        lines = statements.select(shard, "id", F.col(text).alias("_text")).repartition("shard").select("shard", "id", term_line("_text").alias("_line"))
+    else:
+        lines = lines.select(shard, "*")
+    placed = written(lines.groupBy("shard").applyInArrow(_inverted(index.only), f"term string, shard int, df long, best double, mean double, places array<int>, tf array<int>, place int, id {id_type}, len int, n long"))
+    docs = placed.filter("term is null").select("shard", "place", "id", "len", "n")
+    n, total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("len")), F.lit(0))).first()
     posted = placed.filter("term is not null")
     if segment == 1:
         held = total if index.only is None else posted.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
         index.buckets = max(BUCKETS, 1 << (held // BUCKET_TERMS).bit_length())
     put = lambda df, name, by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{index.path}/{name}/segment={segment}")
-    put(docs, "docs", [])
+    put(docs.drop("n"), "docs", [])
     # Weights at the shard's own mean length grow by no more than the ratio.
     best = (F.col("best") * F.greatest(F.lit(1.0), F.lit(max(total, 1) / max(n, 1)) / F.col("mean"))).alias("best")
-    rows = posted.select(index.bucket(), "term", "shard", best, "places", "tf")
+    rows = posted.select(index.bucket(), "term", "shard", "df", best, "places", "tf")
     put(rows.repartitionById(index.buckets, F.col("bucket")).sortWithinPartitions("bucket", "term", "shard"), "postings", ["bucket"])
     own = index.table("postings").filter(F.col("segment") == segment)
-    put(own.groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"), F.max("best").alias("best")).repartitionById(index.buckets, F.col("bucket")).sortWithinPartitions("bucket", "term"), "terms", ["bucket"])
+    put(own.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("best").alias("best")).repartitionById(index.buckets, F.col("bucket")).sortWithinPartitions("bucket", "term"), "terms", ["bucket"])
     spark.range(1).coalesce(1).select(F.lit(n).cast("long").alias("n"), F.lit(int(total)).cast("long").alias("total"), F.lit(index.buckets).alias("buckets")).write.mode("overwrite").parquet(f"{index.path}/sizes/segment={segment}")
     return index
 
 
+def _found(line: pa.Array, only: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The length of each line of terms, and for each pair of a term, of those in `only` if it is given, and a line that has it: the term's number in the names that come last, the line and how often."""
+    words = pc.split_pattern(line, " ")
+    flat, size = words.flatten(), pc.list_value_length(words).to_numpy()
+    length = np.where(pc.equal(line, "").to_numpy(zero_copy_only=False), 0, size)
+    owner = np.repeat(np.arange(len(line)), size)
+    if only is None:
+        named = flat.dictionary_encode()
+        names, code, real = named.dictionary, named.indices.to_numpy(), length[owner] > 0
+    else:
+        found = pc.index_in(flat, value_set=only)
+        names, code, real = only, found.fill_null(0).to_numpy(), found.is_valid().to_numpy(zero_copy_only=False)
+    pairs, tf = np.unique(code[real].astype(np.int64) * len(line) + owner[real], return_counts=True)
+    return length, *(np.divmod(pairs, len(line)) if len(line) else (pairs, pairs)), tf, names
+
+
+def _counted(only: pa.Array, first: int | None):
+    """A function over documents (id, _line) that gives their length and how often they have which terms of `only`. Documents that are equal in this have equal scores, so if no more than `first` are wanted,
+    those of the least ids stand for all of a batch: `n` counts how many."""
+
+    def run(batches):
+        for batch in batches:
+            ids, line = batch.column(0), batch.column(1).fill_null("")
+            length, code, at, tf, _ = _found(line, only)
+            order = np.argsort(at, kind="stable")
+            code, at, tf = (x[order].astype(np.int32) for x in (code, at, tf))
+            ends = np.searchsorted(at, np.arange(len(line) + 1)).astype(np.int32)
+            n, keep = np.ones(len(line), np.int64), None
+            if first is not None:
+                known, own, keep = np.stack([code, tf], 1), {}, []
+                for i in pc.array_sort_indices(ids, null_placement="at_start").to_pylist():
+                    alike = own.setdefault((int(length[i]), known[ends[i] : ends[i + 1]].tobytes()), [i, 0])
+                    alike[1] += 1
+                    if alike[1] <= first:
+                        keep.append(i)
+                    else:
+                        n[alike[0]] += 1
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (code, tf)]
+            rows = pa.record_batch([ids, pa.array(length.astype(np.int32)), pa.array(n), *lists], ["id", "len", "n", "codes", "counts"])
+            yield rows if keep is None else rows.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _inverted(only: pa.Array | None):
-    """A function over a shard's documents (shard, id, _line) that gives its documents, of no term, and its postings, of the terms in `only` if it is given."""
+    """A function over a shard's documents (shard, id, _line; with `only` those of `_counted`) that gives its documents, of no term, and its postings."""
 
     def run(rows: pa.Table) -> pa.Table:
-        line = rows["_line"].combine_chunks().fill_null("")
-        words = pc.split_pattern(line, " ")
-        flat = words.flatten()
-        length = np.where(pc.equal(line, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(words).to_numpy())
-        owner = np.repeat(np.arange(len(line)), pc.list_value_length(words).to_numpy())
         if only is None:
-            named = flat.dictionary_encode()
-            names, code, real = named.dictionary, named.indices.to_numpy(), length[owner] > 0
+            line = rows["_line"].combine_chunks().fill_null("")
+            length, term, at, tf, names = _found(line, None)
+            stands = np.ones(len(line), np.int64)
         else:
-            found = pc.index_in(flat, value_set=only)
-            names, code, real = only, found.fill_null(0).to_numpy(), found.is_valid().to_numpy(zero_copy_only=False)
-        pairs, tf = np.unique(code[real].astype(np.int64) * len(line) + owner[real], return_counts=True)
-        term, at = np.divmod(pairs, len(line))
+            codes, counts = (rows[c].combine_chunks() for c in ("codes", "counts"))
+            length, stands, names = rows["len"].to_numpy().astype(np.int64), rows["n"].to_numpy(), only
+            term, tf = (x.flatten().to_numpy().astype(np.int64) for x in (codes, counts))
+            at = np.repeat(np.arange(len(length)), pc.list_value_length(codes).to_numpy())
+            order = np.lexsort((at, term))
+            term, at, tf = term[order], at[order], tf[order]
+        line = length
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else term
         ends = pa.array(np.r_[first, len(term)].astype(np.int32))
+        df = np.add.reduceat(stands[at], first) if len(term) else term
         mean = max(1, length.sum()) / max(1, len(line))
         best = np.maximum.reduceat(saturation(tf.astype(float), length[at], mean), first) if len(term) else np.zeros(0)
         lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, tf)]
         shard = rows["shard"][0].as_py() if rows.num_rows else 0
         same = lambda value, n, kind: pa.array(np.full(n, value), kind)
         n = len(first)
-        posted = {"term": names.take(pa.array(term[first])), "shard": same(shard, n, pa.int32()), "best": pa.array(best), "mean": same(mean, n, pa.float64()), "places": lists[0], "tf": lists[1]}
-        docs = {"shard": same(shard, len(line), pa.int32()), "place": pa.array(np.arange(len(line), dtype=np.int32)), "id": rows["id"].combine_chunks(), "len": pa.array(length.astype(np.int32))}
-        types = {"term": pa.string(), "shard": pa.int32(), "best": pa.float64(), "mean": pa.float64(), "places": lists[0].type, "tf": lists[1].type, "place": pa.int32(), "id": rows["id"].type, "len": pa.int32()}
+        posted = {"term": names.take(pa.array(term[first])), "shard": same(shard, n, pa.int32()), "df": pa.array(df, pa.int64()), "best": pa.array(best), "mean": same(mean, n, pa.float64()), "places": lists[0], "tf": lists[1]}
+        docs = {"shard": same(shard, len(line), pa.int32()), "place": pa.array(np.arange(len(line), dtype=np.int32)), "id": rows["id"].combine_chunks(), "len": pa.array(length.astype(np.int32)), "n": pa.array(stands)}
+        types = {"term": pa.string(), "shard": pa.int32(), "df": pa.int64(), "best": pa.float64(), "mean": pa.float64(), "places": lists[0].type, "tf": lists[1].type, "place": pa.int32(), "id": rows["id"].type, "len": pa.int32(), "n": pa.int64()}
         parts = [pa.table([x[c] if c in x else pa.nulls(size, t) for c, t in types.items()], list(types)) for x, size in ((docs, len(line)), (posted, n))]
         return pa.concat_tables(parts)
 
@@ -157,13 +210,13 @@ def _next_segment(index: SearchIndex) -> int:
         return 1
 
 
-def build(statements: DataFrame, text: str = "statement", path: str | None = None, asked: DataFrame | None = None) -> SearchIndex:
+def build(statements: DataFrame, text: str = "statement", path: str | None = None, asked: DataFrame | None = None, first: int | None = None) -> SearchIndex:
     """An index of `statements` in a new folder, of the shared one unless `path` is given. One for `asked` queries (text) has only their terms, if those are few enough to send to every
-    task, and is for these queries alone, so it can't be given a path."""
+    task, and is for these queries alone, so it can't be given a path; with `first` they may want that many documents at most, of all."""
     if path is not None and asked is not None:
         raise ValueError("an index that is kept holds all terms")
     only = None if asked is None else _few(asked.select(F.explode(terms("text")).alias("term")).distinct())
-    return append(SearchIndex(statements.sparkSession, path or scratch_path(statements.sparkSession), only=only), statements, text)
+    return append(SearchIndex(statements.sparkSession, path or scratch_path(statements.sparkSession), only=only, first=None if only is None else first), statements, text)
 
 
 def _few(wanted: DataFrame) -> pa.Array | None:
@@ -287,6 +340,8 @@ def search(index: SearchIndex, queries: DataFrame, k: int, docs: DataFrame | Non
     """The best k statements (qid, id, score) of each query (qid, text), by score, then id; with `ties` all that share the k-th score. Only those in `docs` (id, ...), if it is
     given; of equal scores those of a greater `prefer` (a whole number) come first, if it has that column. `may` gets its columns as arrays, a null in whole numbers or
     booleans as 0, and a row of `queries` without its text."""
+    if index.first is not None and (k > index.first or docs is not None or may is not None or ties):
+        raise ValueError(f"the index was built for the best {index.first} of all documents")
     sizes = index.table("sizes")
     whole = sizes.agg(F.sum("n").alias("_n"), (F.greatest(F.sum("total"), F.lit(1)) / F.greatest(F.sum("n"), F.lit(1))).alias("average"))  # one row
     # A segment's `best` was taken at its own mean length; at a greater one weights grow by no more than the ratio.

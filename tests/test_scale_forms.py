@@ -271,6 +271,19 @@ def test_names_of_turns_are_made_once(spark):
     assert read.value == 40
 
 
+def test_topic_context_shuffles_no_facts_for_their_ends(spark, monkeypatch):
+    """The ends of a few hits are found where facts are read, once; what was shuffled for them were all facts, twice."""
+    rows = [(f"p{i}>in>h{i % 3}", f"p{i}", "in", f"h{i % 3}") for i in range(60)]
+    facts_ = spark.createDataFrame(rows, "id string, subject_id string, predicate string, object_id string")
+    texts = facts_.select("id", F.concat_ws(" ", "subject_id", "object_id").alias("statement"))
+    seen, kept = [], retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df: (seen.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())), kept(df))[1])
+    got = ids(retrieval.topic_context(spark.createDataFrame([(1, "p4"), (2, "p5")], "qid int, text string"), texts, facts_, 1, 1), "qid", "id")
+    assert got == sorted((q, r[0]) for q, h in ((1, "h1"), (2, "h2")) for r in rows if r[3] == h)
+    ends = [plan for columns, plan in seen if columns == ["seed", "id"] and "entity_id" in plan]
+    assert len(ends) == 1 and "strategy=broadcast" in ends[0] and "strategy=merge" not in ends[0]
+
+
 def test_pieces_of_a_long_text_take_linear_time(spark):
     """A substring at a place is found by a walk from the start, so pieces of 200,000 letters took 10^10 steps."""
     plan = spark.range(1).select(F.lit("x").alias("t")).select(retrieval._grams("t", 1, 3))._jdf.queryExecution().analyzed().toString()

@@ -216,3 +216,20 @@ def test_no_null_lists_are_sent_to_python(tables):
     rows = rows.unionByName(tables[1].selectExpr("null as post_term", "null as post_places", "1 as ask_least", "cast(null as array<string>) as ask_terms"))
     got = S._without_null_lists(rows, {"post": "term", "ask": "least"}).distinct().collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, [1], None, []), (None, [], 1, None)]))
+
+
+def test_equal_documents_stand_for_each_other(spark, tables, monkeypatch):
+    """Of documents that equal in length and counts of asked terms an index for the best k keeps the least k ids of a batch; frequencies, lengths and results are those of all documents."""
+    statements, asked = tables
+    few = asked.filter("qid < 3 or qid >= 100")
+    alike = spark.range(3000).select(F.concat(F.lit("f"), "id").alias("id"), F.concat(F.lit("c1 supplier "), F.col("id")).alias("statement"), F.lit("n0").alias("namespace"))
+    rows = statements.unionByName(alike).repartition(4)
+    index = S.build(rows, asked=few, first=2)
+    assert index.table("docs").filter("id like 'f%'").count() <= 8  # 2 for each batch
+    assert tuple(index.table("sizes").select("n", "total").first()) == tuple(S.build(rows).table("sizes").select("n", "total").first())
+    every = R.bm25(few, rows)
+    for k in (1, 2):
+        assert rows_of(S.search(index, few, k).hits) == rows_of(R.keyword_search(few, rows, k)) == rows_of(R.ranked(every, k))
+    for other in (dict(k=3), dict(k=2, ties=True), dict(k=2, docs=rows.select("id")), dict(k=2, may=lambda d, q: d["len"] > 1)):
+        with pytest.raises(ValueError):
+            S.search(index, few, **other)
