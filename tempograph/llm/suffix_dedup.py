@@ -10,7 +10,7 @@ A byte goes if a string of `length` (50) bytes over it also starts in a document
    context at once; documents that one task reads together settle that among themselves before the shuffle. Only the first document of each context of an anchor with several contexts needs a closer look.
 3. Those contexts are brought back as bytes, split into two finer groups each (the strings that reach 15 bytes to the left of the anchor, and
    those that reach as far to the right). All strings of a group hold the same bytes around the anchor, its core, which is written as one symbol.
-   Equal passages of a group fall together, and each bucket of groups gets a suffix array of its distinct passages. Neighbours in it that
+   Equal passages of a group fall together, also when they are cut to what their strings' hashes say they may share, and each bucket of groups gets a suffix array of its distinct passages. Neighbours in it that
    share 50 bytes form intervals; a string's bytes go if its interval has a smaller document.
    Groups of more than HOT contexts are handled by counting their strings one by one in Spark instead.
 
@@ -38,6 +38,8 @@ LENGTH = 50
 ANCHOR = 20
 HOT = 4_000
 BUCKET = 4_000
+#: Bytes of text whose hashes stay in a core's cache.
+CACHED = 1 << 16
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -149,7 +151,9 @@ def anchor_rows(docs: DataFrame, bits: int, length: int, k: int, shift: int = 0)
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             for lo, hi in steps(offsets):
-                d, pos, h, c = _anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, k)
+                few = [(lo + a, lo + b) for a, b in steps(offsets[lo : hi + 1], CACHED)]
+                found = [_anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, k) for a, b in few]
+                d, (pos, h, c) = np.concatenate([x[0] + a - lo for (a, _), x in zip(few, found)]), (np.concatenate([x[i] for x in found]) for i in (1, 2, 3))
                 h, c, doc = (mix(h) >> np.uint64(64 - bits)).view(np.int64), c.view(np.int64), ids[lo + d]
                 later = _later(mix(h.view(np.uint64)) ^ c.view(np.uint64), doc >> shift)
                 h[later] = ~(doc[later] & 0xFFFF)
@@ -220,7 +224,7 @@ def shared_anchors(rows: DataFrame, shift: int = 0) -> DataFrame:
 def contexts_of(docs: DataFrame, closer: DataFrame, length: int, k: int) -> DataFrame:
     """(key, proof, core, doc_id, start, left, flanks): the two halves of each context. `key` and `proof` are hashes of the side and the `core` bytes that all
     strings of the half hold; `flanks` are the bytes before it (`left` of them) and after it."""
-    wanted = closer.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("at"))  # at most one for each byte of a text
+    wanted = closer.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("at"))  # at most one for each byte of a text
     texts = likely(docs.select("doc_id", "text"), closer.select("doc_id").distinct())
     joined = texts.hint("merge").join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "at")
     near = (length - k) // 2
@@ -272,6 +276,47 @@ def covered_in_bucket(group: np.ndarray, doc: np.ndarray, left: np.ndarray, flan
     return owner[hit], hit - begin[owner[hit]]
 
 
+def covered(group: np.ndarray, doc: np.ndarray, left: np.ndarray, flanks: list[bytes], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `covered_in_bucket` gives, which is asked only of what passages may share: each is cut to the strings whose hash another passage of its group has, and those that are equal then are one, of the
+    smallest document."""
+    none, wide, n = np.zeros(0, np.int64), symbols - 1, len(flanks)
+    size = np.array([len(x) for x in flanks], np.int64)
+    begin = np.cumsum(size) - size
+    count = np.maximum(0, np.minimum(left, size - wide) + 1)
+    who = np.repeat(np.arange(n), count)
+    offset = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+    at = begin[who] + offset
+    data = np.frombuffer(b"".join(flanks), np.uint8).astype(np.uint64)
+    p, q = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * p[:-1], out=sums[1:])
+    place = (group[who] * 256 + left[who] - offset).astype(np.uint64)
+    _, same, times = np.unique(mix((sums[at + wide] - sums[at]) * q[at]) ^ mix(place + np.uint64(1)), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[same] > 1)
+    if not len(shared):
+        return none, none
+    who, offset = who[shared], offset[shared]
+    cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+    who, low, high = who[cut], offset[cut], offset[np.r_[cut[1:], len(offset)] - 1]
+    kinds: dict = {}
+    kind = np.array([kinds.setdefault((int(group[i]), int(left[i]) - a, flanks[i][a : b + wide]), len(kinds)) for i, a, b in zip(who.tolist(), low.tolist(), high.tolist())])
+    least = np.full(len(kinds), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, doc[who])
+    found, where = covered_in_bucket(np.array([x[0] for x in kinds]), least, np.array([x[1] for x in kinds]), [x[2] for x in kinds], symbols)
+    order = np.argsort(found, kind="stable")
+    found, where = found[order], where[order]
+    later = doc[who] > least[kind]
+    # A later one loses all its strings, the first of a kind those that other kinds have.
+    start, end = np.searchsorted(found, kind), np.searchsorted(found, kind, "right")
+    lost = np.where(later, high - low + 1, end - start)
+    step = np.arange(lost.sum()) - np.repeat(np.cumsum(lost) - lost, lost)
+    whole = np.repeat(later, lost)
+    own = np.zeros(len(step), np.int64)
+    own[whole] = step[whole]
+    own[~whole] = where[(np.repeat(start, lost) + step)[~whole]]
+    return np.repeat(who, lost), np.repeat(low, lost) + own
+
+
 def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int = BUCKET, *, shift: int = 0) -> DataFrame:
     """(doc_id, start, end): runs of strings that a smaller document's context in the same group has."""
     group = ["key", "proof", "core"]
@@ -299,7 +344,7 @@ def closer_spans(contexts: DataFrame, length: int, hot: int = HOT, bucket: int =
             pick = np.array([i for i, x in enumerate(passages) if x[2] == c and several[i]], np.int64)
             if not len(pick):
                 continue
-            who, at = covered_in_bucket(owner[pick], first[pick] >> shift, np.array([passages[i][3] for i in pick]), [passages[i][4] for i in pick], length - c + 1)
+            who, at = covered(owner[pick], first[pick] >> shift, np.array([passages[i][3] for i in pick]), [passages[i][4] for i in pick], length - c + 1)
             if not len(who):
                 continue
             order = np.lexsort((at, who))
@@ -332,7 +377,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, shift
     total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 1
     bits = min(63, int(total).bit_length() + 4)
     shared = stored(shared_anchors(anchor_rows(docs, bits, length, k, shift), shift), "anchors")
-    closer = shared.filter("not whole").select("doc_id", "pos").distinct()
+    closer = shared.filter("not whole").select("doc_id", "pos")
     partial = closer_spans(stored(contexts_of(docs, closer, length, k), "halves"), length, shift=shift)
     full = shared.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("end"))
     return full.unionByName(partial).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

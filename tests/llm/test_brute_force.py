@@ -160,3 +160,21 @@ def test_stages(spark, tmp_path):
             assert {x.doc_id: x.ids_sha256 for x in after.collect()} == want
         before = after
     assert docs.count() > before.count() > 100
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_passages_are_cut_before_they_are_sorted(seed, monkeypatch):
+    """What passages lose is the same, and those that share one string with different surroundings are sorted as one."""
+    r = random.Random(seed)
+    symbols, plain = 6, lambda x: sorted(zip(*(y.tolist() for y in x)))
+    word = lambda n: bytes(r.choice(b"ab") for _ in range(n))
+    flanks = [word(r.randint(5, 14)) for _ in range(80)]
+    left = np.array([r.randint(0, symbols - 1) for _ in flanks])  # all strings hold the core
+    group, doc = np.array([r.randint(0, 3) for _ in flanks]), np.array([r.randint(0, 20) for _ in flanks])
+    assert plain(suffix_dedup.covered(group, doc, left, flanks, symbols)) == plain(suffix_dedup.covered_in_bucket(group, doc, left, flanks, symbols))
+    sizes, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: sizes.append(len(text)) or sort(text))
+    alone = [bytes([i, i, i]) + b"xxxyy" + bytes([i, i, i]) for i in range(1, 90)]
+    many, at = suffix_dedup.covered(np.zeros(89, int), np.arange(89), np.full(89, 5), alone, symbols)
+    assert sorted(zip(many.tolist(), at.tolist())) == [(i, 3) for i in range(1, 89)] and sizes == [6]
+    assert not len(suffix_dedup.covered(np.arange(3), np.arange(3), np.full(3, 3), [b"abcdefgh"] * 3, symbols)[0])
